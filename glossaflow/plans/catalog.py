@@ -1,0 +1,6 @@
+"""All queries of the library with their SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
