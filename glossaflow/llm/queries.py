@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_rules, simhash, token_counts
+from . import packing, quality_rules, simhash, substring_dedup, suffix_dedup, token_counts
 
 #: Fixed values of the vocabulary: its end-of-text string and id, and the id that ends a packed document.
 SPECIAL, END_ID = {"<|endoftext|>": 50256}, 2
@@ -33,5 +33,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failures")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op3_simhash, op6_token_counts, op8_quality_rules)}
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(documents(spark, sf_dir), suffix_dedup.Shape(400, 128, "byte"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(documents(spark, sf_dir), substring_dedup.Shape(20, 5, "word"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op3_simhash, op6_token_counts, op8_quality_rules, op9_suffix_dedup, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}
