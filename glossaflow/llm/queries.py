@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_rules, simhash, substring_dedup, suffix_dedup, token_counts
+from . import ngram_join, packing, quality_rules, simhash, substring_dedup, suffix_dedup, token_counts
 
 #: Fixed values of the vocabulary: its end-of-text string and id, and the id that ends a packed document.
 SPECIAL, END_ID = {"<|endoftext|>": 50256}, 2
@@ -21,6 +21,10 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, SPECIAL, END_ID, 1024)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.with_components(documents(spark, sf_dir), ngram_join.Join(3, 90, 100)).drop("dh")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.compared(documents(spark, sf_dir))
 
@@ -41,5 +45,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(documents(spark, sf_dir), substring_dedup.Shape(20, 5, "word"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op3_simhash, op6_token_counts, op8_quality_rules, op9_suffix_dedup, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_ngram_join, op3_simhash, op6_token_counts, op8_quality_rules, op9_suffix_dedup, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}
