@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, packing, quality_rules, simhash, substring_dedup, suffix_dedup, token_counts
+from . import html_extraction, language_id, ngram_join, packing, quality_rules, simhash, substring_dedup, suffix_dedup, token_counts
 
 #: Fixed values of the vocabulary: its end-of-text string and id, and the id that ends a packed document.
 SPECIAL, END_ID = {"<|endoftext|>": 50256}, 2
@@ -29,6 +29,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.compared(documents(spark, sf_dir))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), 1_500_000)
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 512)
 
@@ -45,5 +53,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(documents(spark, sf_dir), substring_dedup.Shape(20, 5, "word"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_ngram_join, op3_simhash, op6_token_counts, op8_quality_rules, op9_suffix_dedup, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_ngram_join, op3_simhash, op4_language_id, op5_html_extraction, op6_token_counts, op8_quality_rules, op9_suffix_dedup, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}
