@@ -38,9 +38,10 @@ RULES = (
     Rule("too_short", "n_words < 50"),
     Rule("repeated_windows", "100 * n_repeat_words > 50 * n_words"),
     Rule("repeated_lines", "n_lines >= 4 AND 100 * n_dup_lines > 60 * n_lines"),
-    Rule("symbols", "100 * n_symbols > 20 * word_chars"),
+    Rule("symbols", "100 * n_symbols > 20 * n_words"),
     Rule("word_length", "word_chars < 2 * n_words OR word_chars > 25 * n_words"),
     Rule("too_few_letters", "100 * n_letters < 50 * word_chars"),
+    Rule("shouting", "100 * n_exclaims > 30 * n_words"),
 )
 
 
@@ -74,6 +75,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         n_words=F.size("_w").cast("long"),
         word_chars=F.length(bare).cast("long"),
         n_symbols=(F.length("_t") - F.length(F.translate("_t", _SYMBOLS, ""))).cast("long"),
+        n_exclaims=(F.length("_t") - F.length(F.translate("_t", "!", ""))).cast("long"),
         n_letters=F.length(F.regexp_replace("_t", r"\P{L}+", "")).cast("long"),
         n_lines=F.size("_l").cast("long"),
         n_dup_lines=(F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),

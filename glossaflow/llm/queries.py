@@ -6,13 +6,25 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import html_extraction, language_id, ngram_join, packing, quality_rules, simhash, substring_dedup, suffix_dedup, token_counts
+from . import html_extraction, language_id, mixing, ngram_join, packing, quality_rules, simhash, substring_dedup, suffix_dedup, token_counts
 
 #: Fixed values of the vocabulary: its end-of-text string and id, and the id that ends a packed document.
 SPECIAL, END_ID = {"<|endoftext|>": 50256}, 2
 
 
+#: Margins of the mixture: rare sources, languages and topics weigh more than their share.
+MARGINS = [mixing.Margin("source", power=0.5), mixing.Margin("lang", power=0.7), mixing.Margin("topic", power=0.9)]
+TOPICS = {
+    "legal": ["license", "licence", "copyright", "rights", "warranty", "terms", "mit", "apache"],
+    "commerce": ["buy", "price", "sale", "order", "shop", "casino", "win"],
+    "contact": ["mail", "email", "phone", "call", "www", "com", "org"],
+    "code": ["def", "return", "class", "import", "var", "function"],
+}
+KEEP = 0.7
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -41,6 +53,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 512)
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed, _ = mixing.mix(documents(spark, sf_dir), MARGINS, TOPICS, KEEP)
+    return mixed.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").cast("long").alias("n_tokens"), F.col("_probability").alias("probability"), F.col("_kept").alias("kept"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failures")
 
@@ -53,5 +70,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(documents(spark, sf_dir), substring_dedup.Shape(20, 5, "word"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_ngram_join, op3_simhash, op4_language_id, op5_html_extraction, op6_token_counts, op8_quality_rules, op9_suffix_dedup, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_ngram_join, op3_simhash, op4_language_id, op5_html_extraction, op6_token_counts, op7_mixing, op8_quality_rules, op9_suffix_dedup, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}
