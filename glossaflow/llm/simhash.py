@@ -23,7 +23,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import barrier
+from .common import Scratch, barrier
 
 BITS = 128
 _LANES, _PAIR = 32, 0x0000000100000001
@@ -89,7 +89,7 @@ def within(queries: DataFrame, index: DataFrame, radius: int, blocks: int | None
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells: int = 4096, rows_in_bucket: int = 20_000) -> DataFrame:
     """doc_id, _t, _next of each row: its text and that of the next row in descending order of an integer id, after the last that of the first. _key is unique and _next_key the next row's.
 
-    Ids are dealt into buckets of consecutive ids, balanced by a histogram of a bounded number of cells, and texts are shuffled once, by bucket. The first row of each bucket, a bounded number, is joined to the last row of the bucket before it.
+    Ids are dealt into buckets of consecutive ids, balanced by a histogram of a bounded number of cells, and texts are shuffled once, by bucket. The first row of each bucket also goes, as a copy, to the end of the bucket before it.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     lo, hi, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
@@ -104,22 +104,19 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
         bucket_of.append(b)
         size += held.get(c, 0)
     buckets = b + 1
-    rows = rows.withColumn("_b", F.element_at(F.lit(bucket_of), cell + 1))
-    in_bucket = Window.partitionBy("_b").orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64("_t"))
-    dealt = rows.repartition(buckets, "_b") if buckets > 1 else rows
-    dealt = dealt.select("*", F.row_number().over(in_bucket).alias("_n"), F.lead("_t").over(in_bucket).alias("_lead"))
-    # each bucket's first row: its id from the ids alone, then its text
-    first_ids = rows.groupBy("_b").agg(F.max("doc_id").alias("doc_id"))
-    tops = rows.join(F.broadcast(first_ids.select("_b", F.col("doc_id").alias("_top"))), "_b").where(F.col("doc_id").eqNullSafe(F.col("_top")))
-    tops = tops.groupBy("_b").agg(F.min_by("_t", F.xxhash64("_t")).alias("_top_text"))
-    present = sorted(r[0] for r in first_ids.select("_b").collect())  # as many as buckets
-    follows = dict(zip(present, present[1:] + present[:1], strict=True))
-    after = F.element_at(F.lit([follows.get(i, 0) for i in range(buckets)]), F.col("_b") + 1)
-    tops = tops.select(F.col("_b").alias("_after"), "_top_text")
-    # only rows without a successor in their bucket look for one
-    out = dealt.withColumn("_after", F.when(F.col("_lead").isNull(), after)).join(tops, "_after", "left")
+    rows = rows.withColumn("_b", F.element_at(F.lit(bucket_of), cell + 1)).withColumn("_guest", F.lit(False))
+    # a copy of each bucket's first row is a guest at the end of the bucket before it: first its id from the ids alone, then its text
+    top_ids = rows.groupBy("_b").agg(F.max("doc_id").alias("_top")).collect()  # as many as buckets
+    present = sorted((r[0], r[1]) for r in top_ids)
+    before = dict(zip([b for b, _ in present[1:] + present[:1]], [b for b, _ in present], strict=True))
+    top_of = F.element_at(F.lit([dict(present).get(b) for b in range(buckets)]).cast("array<bigint>"), F.col("_b") + 1)
+    tops = rows.where(F.col("doc_id").eqNullSafe(top_of)).groupBy("_b", "doc_id").agg(F.min_by("_t", F.xxhash64("_t")).alias("_t"))
+    guests = tops.select("doc_id", "_t", F.element_at(F.lit([before.get(b, 0) for b in range(buckets)]), F.col("_b") + 1).alias("_b"), F.lit(True).alias("_guest"))
+    after = F.element_at(F.lit([dict((b, a) for a, b in before.items()).get(b, 0) for b in range(buckets)]), F.col("_b") + 1)
+    in_bucket = Window.partitionBy("_b").orderBy("_guest", F.col("doc_id").desc_nulls_last(), F.xxhash64("_t"))
+    dealt = rows.unionByName(guests).select("*", F.row_number().over(in_bucket).alias("_n"), F.lead("_t").over(in_bucket).alias("_next"), F.lead("_guest").over(in_bucket).alias("_last"))
     key = lambda b, n: F.shiftleft(b.cast("long"), 34) + n
-    return out.select("doc_id", "_t", F.coalesce("_lead", "_top_text").alias("_next"), key(F.col("_b"), F.col("_n")).alias("_key"), F.when(F.col("_lead").isNull(), key(F.col("_after"), F.lit(1))).otherwise(key(F.col("_b"), F.col("_n") + 1)).alias("_next_key"))
+    return dealt.where("not _guest").select("doc_id", "_t", "_next", key(F.col("_b"), F.col("_n")).alias("_key"), F.when(F.col("_last"), key(after, F.lit(1))).otherwise(key(F.col("_b"), F.col("_n") + 1)).alias("_next_key"))
 
 
 def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -130,7 +127,9 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     df = df.withColumn("edited_sha256", F.sha2(F.col("_edited").cast("binary"), 256))
     both = df.select(*about, F.inline(F.array(F.struct(F.lit(0).alias("_kind"), F.col("_t").alias("_text")), F.struct(F.lit(1).alias("_kind"), F.col("_edited").alias("_text")))))
     prints = fingerprints(both, [*about, "_kind"], "_text")
+    # written, as each row is read twice: for itself and as the next one
     per = prints.groupBy(*about).agg(*[F.max(F.when(F.col("_kind") == k, F.col("fingerprint"))).alias(c) for k, c in enumerate(("fingerprint", "edited_fingerprint"))])
+    per = Scratch(docs.sparkSession, "simhash").table("fingerprints", per)
     following = per.select(F.col("_key").alias("_next_key"), F.col("fingerprint").alias("_following"))
     out = per.join(following, "_next_key")
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("_following")).alias("near_next"))
