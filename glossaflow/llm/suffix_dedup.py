@@ -279,6 +279,44 @@ def remove_bytes(docs: DataFrame, spans: DataFrame, with_text: bool = False) ->
     return windows.joined_spans(docs, spans).select("doc_id", "text", "spans").mapInArrow(kept, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
 
 
+def whole_characters(raw: bytes, a: int, b: int) -> tuple[int, int]:
+    """The span without the parts of characters at its ends."""
+    while a < b and raw[a] & 0xC0 == 0x80:
+        a += 1
+    while b < len(raw) and b > a and raw[b] & 0xC0 == 0x80:
+        b -= 1
+    return a, b
+
+
+def cut_rows(docs: DataFrame, shape: Shape = DEFAULT, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str | None = "n_chars", most: int = 5_000) -> DataFrame:
+    """The rows of docs with text_col cut, whole characters only, and n_chars_col, if there is one, counted anew. Rows that lose all their text go; rows that had none stay."""
+    scratch = Scratch(docs.sparkSession, "suffixes")
+    named = windows.named(docs, id_col, text_col)
+    spans = windows.spans_by_document(repeated_spans(named, shape, scratch, most)).alias("b")
+    packed = docs.select(F.struct(*docs.columns).alias("row")).select("row", F.col(f"row.{id_col}").alias("doc_id"), F.xxhash64(F.coalesce(f"row.{text_col}", F.lit(""))).alias("th"), F.col(f"row.{text_col}").alias("text")).alias("a")
+    joined = packed.join(spans, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in DOC], "left").select("a.row", "a.text", "b.spans")
+
+    def kept(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for text, held in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
+                text = text.as_py()
+                if text is not None and held:
+                    raw = text.encode()
+                    runs = [whole_characters(raw, a, b) for a, b in windows.covered((x["a"], x["b"]) for x in held)]
+                    edges = [0, *(x for run in runs for x in run), len(raw)]
+                    text = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode()
+                out.append(text)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], pa.schema([batch.schema.field("row"), pa.field("kept", pa.string())]))
+
+    row_type = docs.schema.simpleString()
+    cut = joined.mapInArrow(kept, f"row {row_type}, kept string").where("kept is null or trim(kept) <> '' or trim(row.`" + text_col + "`) = ''")
+    again = {text_col: F.col("kept")} | ({n_chars_col: F.length("kept").cast(docs.schema[n_chars_col].dataType)} if n_chars_col in docs.columns else {})
+    return cut.select(*[again[c].alias(c) if c in again else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def dedup(docs: DataFrame, shape: Shape = DEFAULT, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, most: int = 5_000) -> DataFrame:
     """The documents without bytes of strings of shape.size bytes that also start elsewhere."""
     scratch = Scratch(docs.sparkSession, "suffixes")
