@@ -100,7 +100,7 @@ class Powers:
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
+            n = -(-n // 65536) * 65536
             up, down = np.full(n, BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
             up[0] = down[0] = 1
             self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)

@@ -64,7 +64,7 @@ class Join:
 def batch_sets(column, how: Join):
     """(row, sorted distinct n-gram hashes) of every row of an Arrow text column."""
     data, lo, hi = text_buffer(column)
-    for a, b in row_runs(lo, hi, 4_000_000):
+    for a, b in row_runs(lo, hi, 1_000_000):
         base, end = int(lo[a]), int(hi[b - 1])
         part = data[base:end]
         starts, ends, firsts = word_spans(part, lo[a:b] - base, hi[a:b] - base)

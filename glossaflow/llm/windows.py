@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import byte_values, mix64, prefix_hash, span_hash, text_buffer, word_spans
 
 #: Units handled at once; one document may have more, and is then cut into stretches that overlap by a window.
-STRETCH = 1_000_000
+STRETCH = 400_000
 _PLACE_BITS = 21  # > log2(STRETCH + a window)
 #: Bits of a filter: 2 ** 27, 16 MB.
 FILTER_BITS = 27
@@ -139,7 +139,7 @@ def row_runs(lo: np.ndarray, hi: np.ndarray, most: int) -> Iterator[tuple[int, i
         yield begin, len(lo)
 
 
-def word_hashes(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, most: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def word_hashes(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(rows, hash of every word, first word of each row and the end)."""
     for a, b in row_runs(lo, hi, most):
         starts, ends, firsts = word_spans(data, lo[a:b], hi[a:b])
