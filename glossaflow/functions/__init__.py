@@ -1 +1 @@
-
+"""Column functions; all native unless they say otherwise."""

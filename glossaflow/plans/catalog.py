@@ -1,6 +1,714 @@
-"""All queries of the library with their SQL."""
+"""All queries of the library, each with SQL that gives the same rows from the same tables.
+
+Queries over the registry or the prompts bring their settings along as rows,
+and the SQL states them as VALUES and does its own overlay.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import limits, spans, usage, validation
+from ..functions import text as tx
+from ..operators import models, requests, responses
+from ..operators.prompts import Prompts
+from ..sources import documents as src
+from ..sources import transport as tp
+from ..streaming import stream
+from . import reports
+from .translate import Job, prepare, translate
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with the SQL that it must agree with."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sql_str(value) -> str:
+    return "NULL" if value is None else "'" + str(value).replace("'", "''") + "'"
+
+
+def sql_num(value) -> str:
+    return "NULL" if value is None else f"{int(value)}::BIGINT"
+
+
+# --- spans -----------------------------------------------------------------
+
+_SQL_URL = r"""(?i)\b(?:https?|ftp|mailto)://[^\s"<>()]+"""
+_SQL_TAG = "(?is)<{0}.*?>.*?</{0}>"
+
+
+def _sql_protect(text: str, pattern: str, before: str) -> str:
+    return f"array_to_string(list_transform(regexp_split_to_array({text}, '{pattern}'), lambda x, i: CASE WHEN i = 1 THEN x ELSE '@@' || ({before} + i - 2) || '@@' || x END), '')"
+
+
+def _sql_chain(source: str, key: str, patterns: list[str]) -> str:
+    """Nested queries: t0, m0, then t1 from t0 and so on; b is the number of spans so far."""
+    out = f"SELECT {key}, {source}"
+    for k, p in enumerate(patterns):
+        before = " + ".join(["0", *[f"len(m{j})" for j in range(k)]])
+        out = f"SELECT *, {_sql_protect(f't{k}', p, f'({before})')} AS t{k + 1} FROM (SELECT *, regexp_extract_all(t{k}, '{p}') AS m{k} FROM ({out}))"
+    return out
+
+
+_PAGE_TEXT = F.concat("url", F.lit(" "), "html")
+_CHAIN = ["html_script", "html_a", "url"]
+_SQL_CHAIN = _sql_chain("url || ' ' || html AS t0 FROM pages", "page_id", [_SQL_TAG.format("script"), _SQL_TAG.format("a"), _SQL_URL])
+
+
+def _chain(spark: SparkSession, sf_dir: str, names: list[str] = _CHAIN) -> tuple[DataFrame, list[spans.SpanFilter]]:
+    filters = spans.resolve(names)
+    return spans.protect(table(spark, sf_dir, "pages").select("page_id", _PAGE_TEXT.alias("text")), "text", filters), filters
+
+
+@query(f"SELECT page_id, t1 AS prepared, len(m0)::BIGINT AS n FROM ({_sql_chain('url AS t0 FROM pages', 'page_id', [_SQL_URL])})")
+def protect_url(spark, sf_dir):
+    """Addresses as placeholders."""
+    df = spans.protect(table(spark, sf_dir, "pages").select("page_id", "url"), "url", spans.resolve(["url"]))
+    return df.select("page_id", "prepared", F.size(F.col("spans")[0]["found"]).cast("bigint").alias("n"))
+
+
+def _protect_tag(tag: str):
+    def run(spark, sf_dir):
+        df = spans.protect(table(spark, sf_dir, "pages").select("page_id", "html"), "html", spans.resolve([f"html_{tag}"]))
+        return df.select("page_id", "prepared", F.size(F.col("spans")[0]["found"]).cast("bigint").alias("n"))
+
+    return run
+
+
+for _name, _tag in (("script", "script"), ("a", "a"), ("heading", "h[1-6]"), ("p", "p")):
+    QUERIES[f"protect_html_{_name}"] = _protect_tag(_tag)
+    ORACLES[f"protect_html_{_name}"] = f"SELECT page_id, t1 AS prepared, len(m0)::BIGINT AS n FROM ({_sql_chain('html AS t0 FROM pages', 'page_id', [_SQL_TAG.format(_tag)])})"
+
+
+@query(f"SELECT page_id, t3 AS prepared, len(m0)::BIGINT AS n_script, len(m1)::BIGINT AS n_a, len(m2)::BIGINT AS n_url FROM ({_SQL_CHAIN})")
+def protect_chain(spark, sf_dir):
+    """Three filters with one counter."""
+    df, _ = _chain(spark, sf_dir)
+    return df.select("page_id", "prepared", *[F.size(F.col("spans")[k]["found"]).cast("bigint").alias(f"n_{n.removeprefix('html_')}") for k, n in enumerate(_CHAIN)])
+
+
+@query(f"SELECT page_id, t3 AS prepared, len(m0)::BIGINT AS n_script, len(m1)::BIGINT AS n_a, len(m2)::BIGINT AS n_url, true AS restored FROM ({_SQL_CHAIN})")
+def protect_dry_run(spark, sf_dir):
+    """What a dry run prepares, and whether putting the spans back gives the page again."""
+    df, filters = _chain(spark, sf_dir)
+    counts = [F.size(F.col("spans")[k]["found"]).cast("bigint").alias(f"n_{n.removeprefix('html_')}") for k, n in enumerate(_CHAIN)]
+    return df.select("page_id", "prepared", *counts, (spans.restore(F.col("prepared"), F.col("spans"), len(filters)) == F.col("text")).alias("restored"))
+
+
+@query("SELECT page_id, url || ' ' || html AS restored FROM pages")
+def restore_roundtrip(spark, sf_dir):
+    df, filters = _chain(spark, sf_dir)
+    return df.select("page_id", spans.restore(F.col("prepared"), F.col("spans"), len(filters)).alias("restored"))
+
+
+@query("""SELECT f AS filter, sum(CASE WHEN n > 0 THEN 1 ELSE 0 END)::BIGINT AS n_docs, sum(n)::BIGINT AS n_spans FROM (
+SELECT 'html_script' AS f, len(m0) AS n FROM c UNION ALL SELECT 'html_a', len(m1) FROM c UNION ALL SELECT 'url', len(m2) FROM c) GROUP BY f""".replace("FROM c", f"FROM ({_SQL_CHAIN})"))
+def filter_stats_by_filter(spark, sf_dir):
+    """Documents and spans by filter."""
+    df, _ = _chain(spark, sf_dir)
+    return reports.filter_totals(df.select(spans.stats(F.col("spans")).alias("filter_stats")))
+
+
+@query(f"SELECT page_id, t2 AS prepared, len(m0)::BIGINT AS n_0, len(m1)::BIGINT AS n_1 FROM ({_sql_chain('html AS t0 FROM pages', 'page_id', [_SQL_TAG.format('a'), _SQL_TAG.format('a')])})")
+def filters_resolved(spark, sf_dir):
+    """Names come from a list as typed: unknown ones have no effect, a doubled one runs twice."""
+    filters = spans.resolve(spans.parse_names(" html_a, nothing ,html_a"))
+    df = spans.protect(table(spark, sf_dir, "pages").select("page_id", "html"), "html", filters)
+    return df.select("page_id", "prepared", *[F.size(F.col("spans")[k]["found"]).cast("bigint").alias(f"n_{k}") for k in range(len(filters))])
+
+
+@query("SELECT doc_id, regexp_matches(text, '@@[0-9]+@@') AS holds_marks FROM documents")
+def marks_in_texts(spark, sf_dir):
+    """Texts that hold something like a placeholder already."""
+    return table(spark, sf_dir, "documents").select("doc_id", spans.holds_marks(F.col("text")).alias("holds_marks"))
+
+
+# --- sources and small functions ---------------------------------------------
+
+
+@query(r"SELECT conv_id, turn, trim(text, E' \t\n\r\x0b' || chr(0)) <> '' AS has_text FROM conversations".replace(r"E' \t\n\r\x0b' || chr(0)", "' ' || chr(9) || chr(10) || chr(13) || chr(11)"))
+def non_empty(spark, sf_dir):
+    """Turns with more than white space."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", (~tx.is_blank(F.col("text"))).alias("has_text"))
+
+
+@query("SELECT count(*)::BIGINT AS n_docs, sum(length(text))::BIGINT AS chars, count(DISTINCT doc_id)::BIGINT AS n_ids FROM documents")
+def source_table(spark, sf_dir):
+    """Documents from a table, blank ones apart."""
+    docs, blank = src.split_blank(src.from_table(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    every = docs.unionByName(blank)
+    return every.agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.length("text")).cast("bigint").alias("chars"), F.countDistinct("doc_id").alias("n_ids"))
+
+
+@query(f"SELECT doc_id, '{tx.START}' || chr(10) || text || chr(10) || '{tx.END}' AS wrapped FROM documents")
+def wrap_marks(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.wrap(F.col("text")).alias("wrapped"))
+
+
+_TRIM = "trim({}, ' ' || chr(9) || chr(10) || chr(13) || chr(11))"
+_ODD = "CASE WHEN doc_id % 4 = 0 THEN text WHEN doc_id % 4 = 1 THEN 'x ' || '{s}' || text WHEN doc_id % 4 = 2 THEN 'Here: ' || '{s}' || chr(10) || text || chr(10) || '{e}' || ' and ' || '{s}' || 'b' || '{e}' ELSE '{s}' || text || '{e}' END".format(s=tx.START, e=tx.END)
+
+
+@query(f"SELECT doc_id, CASE WHEN regexp_matches(c, '(?s){tx.START}.*?{tx.END}') THEN {_TRIM.format(f'''regexp_extract(c, '(?s){tx.START}(.*?){tx.END}', 1)''')} END AS unwrapped FROM (SELECT doc_id, {_ODD} AS c FROM documents)")
+def extract_marks(spark, sf_dir):
+    """Whole, missing and doubled marks."""
+    k, text = F.col("doc_id") % 4, F.col("text")
+    content = F.when(k == 0, text).when(k == 1, F.concat(F.lit("x " + tx.START), text)).when(k == 2, F.concat(F.lit("Here: " + tx.START + "\n"), text, F.lit("\n" + tx.END + " and " + tx.START + "b" + tx.END))).otherwise(F.concat(F.lit(tx.START), text, F.lit(tx.END)))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.unwrap(content).alias("unwrapped"))
+
+
+def _sql_replace(text: str, pairs) -> str:
+    for a, b in pairs:
+        text = f"replace({text}, {sql_str(a)}, {sql_str(b)})"
+    return text
+
+
+@query(f"SELECT event_id, {_sql_replace('props', tx.JSON_TAGS.items())} AS tagged, props AS untagged FROM events")
+def json_punctuation(spark, sf_dir):
+    """JSON punctuation as tags, and back."""
+    df = table(spark, sf_dir, "events").select("event_id", tx.tag_json(F.col("props")).alias("tagged"))
+    return df.withColumn("untagged", tx.untag_json(F.col("tagged")))
+
+
+@query("SELECT doc_id, replace(replace(url_encode(text), '%20', '+'), '~', '%7E') AS encoded FROM documents")
+def form_encode(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.form_encoded(F.col("text")).alias("encoded"))
+
+
+@query("SELECT doc_id, replace(replace(text, 'the', '***'), 'secret', '***') AS masked FROM documents")
+def mask_secrets(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.masked(F.col("text"), ["the", "", "secret"]).alias("masked"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 4 THEN NULL ELSE map_extract(m, 'user')[1] END AS user_value, CASE WHEN event_id % 5 = 4 THEN NULL ELSE map_extract(m, 'a')[1] END AS a_value FROM (
+SELECT event_id, MAP {'user': user_id::VARCHAR, 'a': CASE WHEN event_id % 3 = 0 THEN event_type || '=1' ELSE event_type END} AS m FROM events)""")
+def parse_variables(spark, sf_dir):
+    """Lists of name=value: spaces, a value with =, a name given twice, a pair without =."""
+    value = F.when(F.col("event_id") % 3 == 0, F.concat("event_type", F.lit("=1"))).otherwise(F.col("event_type"))
+    listed = F.concat(F.lit(" a =old, user= "), F.col("user_id").cast("string"), F.lit(" , a="), value, F.when(F.col("event_id") % 5 == 4, F.lit(",b")).otherwise(F.lit("")))
+    df = table(spark, sf_dir, "events").select("event_id", tx.pairs(listed).alias("m"))
+    return df.select("event_id", F.element_at("m", "user").alias("user_value"), F.element_at("m", "a").alias("a_value"))
+
+
+@query("SELECT event_id, 2::BIGINT + 1 AS n, event_type AS second FROM events")
+def parse_filters(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select("event_id", tx.names(F.concat(F.lit("url ,  "), "event_type", F.lit("\t, html_a"))).alias("x"))
+    return df.select("event_id", F.size("x").cast("bigint").alias("n"), F.element_at("x", 2).alias("second"))
+
+
+# --- models and limits -------------------------------------------------------
+
+_REGISTRY = models.Registry()
+
+
+def _sql_values(rows: list[tuple[str, ...]], name: str, columns: str) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join(r) + ")" for r in rows) + f") AS {name}({columns})"
+
+
+def _own(vendor: str, model: str) -> dict:
+    return models.builtin()[vendor]["models"][model]
+
+
+def _sql_settings() -> tuple[str, str]:
+    """The nested settings as two tables: vendors, and what models say themselves."""
+    nested = models.builtin()
+    held = lambda x, *path: None if x is None else held(x.get(path[0]), *path[1:]) if path else x
+    cells = lambda x: (sql_str(x.get("endpoint")), sql_str(x.get("format")), sql_str(held(x, "requirements", "auth", "env")), sql_str(held(x, "requirements", "auth", "help_url")), sql_str(held(x, "defaults", "model")), sql_num(held(x, "limits", "estimated_max_chars")), sql_num(held(x, "limits", "max_tokens")), sql_num(held(x, "limits", "max_output_tokens")))
+    vendors = [(sql_str(v), *cells(x)) for v, x in nested.items()]
+    own = [(sql_str(v), sql_str(m), *cells(y)) for v, x in nested.items() for m, y in x["models"].items()]
+    columns = "endpoint, format, env, help_url, api_model, chars, tokens, answer"
+    return _sql_values(vendors, "v", f"vendor, {columns}"), _sql_values(own, "m", f"vendor, model, {columns}")
+
+
+_SQL_VENDORS, _SQL_OWN = _sql_settings()
+_SQL_FLAT = f"SELECT m.vendor || ':' || m.model AS model_key, m.vendor, " + ", ".join(f"coalesce(m.{c}, v.{c}) AS {c}" for c in ("endpoint", "format", "env", "help_url", "api_model", "chars", "tokens", "answer")) + f" FROM {_SQL_OWN} LEFT JOIN {_SQL_VENDORS} ON m.vendor = v.vendor"
+_SQL_GROSS = "CASE WHEN coalesce(tokens, 0) > 0 THEN CASE WHEN coalesce(chars, 0) > 0 THEN least(chars, by_tokens) ELSE by_tokens END ELSE coalesce(chars, 0) END"
+_SQL_LIMITS = f"SELECT *, {_SQL_GROSS} AS gross_limit, greatest(0, {_SQL_GROSS} - 2000) AS net_limit FROM (SELECT *, greatest(0, coalesce(tokens, 0) - CASE WHEN coalesce(answer, 0) > 0 THEN answer ELSE greatest(1, floor(0.2 * coalesce(tokens, 0))::BIGINT) END) * 4 AS by_tokens FROM ({_SQL_FLAT}))"
+
+
+def model_table(spark: SparkSession) -> DataFrame:
+    """The registry with limits."""
+    df = _REGISTRY.frame(spark)
+    gross = limits.gross_limit(F.col("limits.estimated_max_chars"), F.col("limits.max_tokens"), F.col("limits.max_output_tokens"))
+    return df.withColumn("gross_limit", gross).withColumn("net_limit", limits.net_limit(F.col("gross_limit")))
+
+
+@query(f"SELECT model_key, vendor, endpoint, format, env, help_url, api_model FROM ({_SQL_FLAT})")
+def registry_flatten(spark, sf_dir):
+    """Settings of each model, the vendor's where it has none."""
+    return _REGISTRY.frame(spark).select("model_key", "vendor", "endpoint", "format", F.col("auth.env").alias("env"), F.col("auth.help_url").alias("help_url"), F.element_at("defaults", "model").alias("api_model"))
+
+
+@query(f"SELECT model_key, gross_limit::BIGINT AS gross_limit, net_limit::BIGINT AS net_limit FROM ({_SQL_LIMITS})")
+def model_limits(spark, sf_dir):
+    return model_table(spark).select("model_key", "gross_limit", "net_limit")
+
+
+@query(f"SELECT vendor, count(*)::BIGINT AS n, string_agg(model_key, ',' ORDER BY model_key) AS model_keys FROM ({_SQL_FLAT}) GROUP BY vendor")
+def models_by_vendor(spark, sf_dir):
+    df = _REGISTRY.frame(spark).groupBy(F.coalesce("vendor", F.lit("other")).alias("vendor"))
+    return df.agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list("model_key")), ",").alias("model_keys"))
+
+
+_KEYS = ["openai:gpt-4o", "foo:bar", "google:gemini-1.5-pro", "deepl:pro", "xai:grok-4"]
+
+
+def _asked(df: DataFrame) -> DataFrame:
+    key = F.element_at(F.array(*map(F.lit, _KEYS)), (F.col("doc_id") % len(_KEYS)).cast("int") + 1)
+    return df.withColumn("model_key", key)
+
+
+_SQL_ASKED = "(SELECT *, [" + ", ".join(map(sql_str, _KEYS)) + f"][doc_id % {len(_KEYS)} + 1] AS model_key FROM documents)"
+
+
+@query(f"SELECT doc_id, model_key FROM {_SQL_ASKED} a WHERE NOT EXISTS (SELECT 1 FROM ({_SQL_FLAT}) r WHERE r.model_key = a.model_key)")
+def unknown_models(spark, sf_dir):
+    """Documents for a model that isn't registered."""
+    return _asked(table(spark, sf_dir, "documents")).join(F.broadcast(_REGISTRY.frame(spark)), "model_key", "left_anti").select("doc_id", "model_key")
+
+
+@query(f"SELECT a.doc_id, r.model_key, r.endpoint, r.env FROM {_SQL_ASKED} a JOIN ({_SQL_FLAT}) r ON r.model_key = a.model_key")
+def model_lookup(spark, sf_dir):
+    """The settings of each document's model."""
+    return _asked(table(spark, sf_dir, "documents")).join(F.broadcast(_REGISTRY.frame(spark)), "model_key").select("doc_id", "model_key", "endpoint", F.col("auth.env").alias("env"))
+
+
+@query(f"SELECT a.doc_id FROM {_SQL_ASKED} a SEMI JOIN ({_SQL_FLAT}) r ON r.model_key = a.model_key AND r.endpoint IS NOT NULL AND r.env IS NOT NULL")
+def required_settings(spark, sf_dir):
+    """Documents whose model is registered with an address and a key's name."""
+    ready = _REGISTRY.frame(spark).where("endpoint is not null and auth.env is not null")
+    return _asked(table(spark, sf_dir, "documents")).join(F.broadcast(ready), "model_key", "left_semi").select("doc_id")
+
+
+_SQL_GUARD = "SELECT d.doc_id, m.model_key, length(d.text)::BIGINT AS chars, (m.net_limit = 0 OR length(d.text) <= m.net_limit) AS fits, CASE WHEN m.net_limit = 0 OR length(d.text) <= m.net_limit THEN 0 ELSE length(d.text) - m.net_limit END::BIGINT AS excess FROM documents d JOIN ({m}) m ON m.pos = d.doc_id % {n}"
+
+
+def _guard(docs: DataFrame, dimension: DataFrame, n: int) -> DataFrame:
+    joined = docs.join(F.broadcast(dimension), F.col("pos") == F.col("doc_id") % n)
+    return joined.select("doc_id", "model_key", F.length("text").cast("bigint").alias("chars"), limits.fits(F.col("text"), F.col("net_limit")).alias("fits"), limits.excess(F.col("text"), F.col("net_limit")).cast("bigint").alias("excess"))
+
+
+@query(_SQL_GUARD.format(m=f"SELECT *, row_number() OVER (ORDER BY model_key) - 1 AS pos FROM ({_SQL_LIMITS})", n=len(_REGISTRY.keys())))
+def length_guard_per_model(spark, sf_dir):
+    """Each document against the limit of one of the models in turn."""
+    order = {k: i for i, k in enumerate(sorted(_REGISTRY.keys()))}
+    pos = F.element_at(F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), F.col("model_key"))
+    return _guard(table(spark, sf_dir, "documents"), model_table(spark).select("model_key", "net_limit", pos.alias("pos")), len(order))
+
+
+_SMALL = [("none", None, None, None), ("tiny", 1500, None, None), ("tokens", None, 1000, None), ("answer", None, 1000, 250), ("both", 2600, 1000, 100), ("less", None, 100, 500)]
+
+
+@query(_SQL_GUARD.format(m=f"SELECT * FROM (SELECT *, {_SQL_GROSS} AS gross_limit, greatest(0, {_SQL_GROSS} - 2000) AS net_limit FROM (SELECT *, greatest(0, coalesce(tokens, 0) - CASE WHEN coalesce(answer, 0) > 0 THEN answer ELSE greatest(1, floor(0.2 * coalesce(tokens, 0))::BIGINT) END) * 4 AS by_tokens FROM {_sql_values([(str(i), sql_str(k), sql_num(a), sql_num(b), sql_num(c)) for i, (k, a, b, c) in enumerate(_SMALL)], 's', 'pos, model_key, chars, tokens, answer')}))", n=len(_SMALL)))
+def length_guard_small(spark, sf_dir):
+    """Small limits; what nets to nothing checks nothing."""
+    small = spark.createDataFrame([(i, *x) for i, x in enumerate(_SMALL)], "pos int, model_key string, chars long, tokens long, answer long")
+    small = small.withColumn("net_limit", limits.net_limit(limits.gross_limit(F.col("chars"), F.col("tokens"), F.col("answer"))))
+    return _guard(table(spark, sf_dir, "documents"), small.select("pos", "model_key", "net_limit"), len(_SMALL))
+
+
+@query(f"SELECT d.doc_id, coalesce(CASE WHEN d.doc_id % 3 = 0 THEN d.lang END, r.t, 'EN') AS target_lang, coalesce(CASE WHEN d.doc_id % 2 = 0 THEN 'de' END, r.s, 'auto') AS source_lang FROM {_SQL_ASKED} d LEFT JOIN {_sql_values([(sql_str(k), sql_str((_REGISTRY.get(k).get('defaults') or {}).get('target_lang')), sql_str((_REGISTRY.get(k).get('defaults') or {}).get('source_lang'))) for k in _REGISTRY.keys()], 'r', 'model_key, t, s')} ON r.model_key = d.model_key")
+def defaults_overridden(spark, sf_dir):
+    """Languages: the document's own, else the model's, else the general ones."""
+    df = _asked(table(spark, sf_dir, "documents")).join(F.broadcast(_REGISTRY.frame(spark).select("model_key", "defaults")), "model_key", "left")
+    target = F.coalesce(F.when(F.col("doc_id") % 3 == 0, F.col("lang")), F.element_at("defaults", "target_lang"), F.lit("EN"))
+    source = F.coalesce(F.when(F.col("doc_id") % 2 == 0, F.lit("de")), F.element_at("defaults", "source_lang"), F.lit("auto"))
+    return df.select("doc_id", target.alias("target_lang"), source.alias("source_lang"))
+
+
+# --- prompts -----------------------------------------------------------------
+
+_PROMPTS = Prompts()
+_SQL_PROMPTS = _sql_values([(sql_str(k), str(i), sql_str(f), sql_str(t), sql_str(held.get("notes"))) for k, held in _PROMPTS.templates.items() for i, (f, t) in enumerate((f, t) for f, t in held.items() if f != "notes")], "p", "prompt_key, pos, format, template, notes")
+
+
+@query(f"SELECT prompt_key, string_agg(format, ',' ORDER BY pos) AS formats, any_value(notes) AS notes FROM {_SQL_PROMPTS} GROUP BY prompt_key")
+def prompts_catalog(spark, sf_dir):
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("pos", "format"))), lambda x: x["format"])
+    return _PROMPTS.frame(spark).groupBy("prompt_key").agg(F.array_join(listed, ",").alias("formats"), F.first("notes").alias("notes"))
+
+
+_CONTEXT = F.concat(F.lit("source {end} "), "source")
+
+
+def _sql_render(template: str) -> str:
+    out = sql_str(template)
+    # variables in the order in which no value brings in a later one: the context comes last
+    for name, value in (("source", "lang"), ("target", "'EN'"), ("start", sql_str(tx.START)), ("end", sql_str(tx.END)), ("context", "'Context: ' || 'source {end} ' || source")):
+        out = f"replace({out}, '{{{name}}}', {value})"
+    return out
+
+
+@query("SELECT doc_id, CASE doc_id % 3 " + " ".join(f"WHEN {i} THEN {_sql_render(_PROMPTS.template('translator', f))}" for i, f in enumerate(("text", "html", "json"))) + " END AS prompt FROM documents")
+def render_prompt(spark, sf_dir):
+    """Each template with a document's language and a context that looks like a variable."""
+    values = {"source": F.col("lang"), "target": F.lit("EN"), "start": F.lit(tx.START), "end": F.lit(tx.END), "context": F.concat(F.lit("Context: "), _CONTEXT)}
+    made = [_PROMPTS.render("translator", f, values) for f in ("text", "html", "json")]
+    k = F.col("doc_id") % 3
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(k == 0, made[0]).when(k == 1, made[1]).otherwise(made[2]).alias("prompt"))
+
+
+@query(f"SELECT d.doc_id, p.template FROM documents d JOIN {_SQL_PROMPTS} ON p.prompt_key = 'translator' AND p.format = CASE WHEN d.doc_id % 2 = 0 THEN 'html' ELSE 'markdown' END")
+def prompt_lookup(spark, sf_dir):
+    """Templates by key and format; a format without one finds none."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("translator").alias("prompt_key"), F.when(F.col("doc_id") % 2 == 0, F.lit("html")).otherwise(F.lit("markdown")).alias("format"))
+    return docs.join(F.broadcast(_PROMPTS.frame(spark)), ["prompt_key", "format"]).select("doc_id", "template")
+
+
+# --- requests ----------------------------------------------------------------
+
+
+def _request(key: str, spark: SparkSession, sf_dir: str, options: dict | None = None) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", requests.build(_REGISTRY.get(key), F.col("text"), {"format": "text", "folder_id": "folder", **(options or {})}, _PROMPTS).alias("r"))
+
+
+def _json_at(path: str) -> Column:
+    return F.get_json_object("r.body", path)
+
+
+_SQL_WRAPPED = f"'{tx.START}' || chr(10) || text || chr(10) || '{tx.END}'"
+
+
+def _sql_prompt(key: str) -> str:
+    defaults = _REGISTRY.get(key).get("defaults") or {}
+    out = _PROMPTS.template("translator", "text")
+    for name, value in (("source", defaults.get("source_lang") or "auto"), ("target", defaults.get("target_lang") or "EN"), ("start", tx.START), ("end", tx.END), ("context", "")):
+        out = out.replace("{" + name + "}", value)
+    return sql_str(out)
+
+
+def _chat_request(key: str, said: str = "content", extra: dict[str, str] | None = None, model_path: str = "$.model", model: str | None = None, temperature: str = "$.temperature"):
+    """A query over the parts of a chat request, and its SQL."""
+    settings = _REGISTRY.get(key)
+    model = model or settings["defaults"]["model"]
+    warmth = float(settings["defaults"].get("temperature") or 0.0)
+
+    def run(spark, sf_dir):
+        df = _request(key, spark, sf_dir)
+        parts = {"model": _json_at(model_path), "system_text": _json_at(f"$.messages[0].{said}"), "user_role": _json_at("$.messages[1].role"), "user_text": _json_at(f"$.messages[1].{said}"), "temperature": _json_at(temperature).cast("double")}
+        parts |= {k: _json_at(p) for k, p in (extra or {}).items()}
+        return df.select("doc_id", F.col("r.url").alias("url"), F.array_join("r.headers", "|").alias("headers"), *[c.alias(k) for k, c in parts.items()])
+
+    more = {"max_tokens": str(settings["defaults"].get("max_tokens")), "stream": "false"}
+    sql = f"SELECT doc_id, {sql_str(settings['endpoint'])} AS url, {sql_str('|'.join(settings['requirements']['headers']))} AS headers, {sql_str(model)} AS model, {_sql_prompt(key)} AS system_text, 'user' AS user_role, {_SQL_WRAPPED} AS user_text, {warmth}::DOUBLE AS temperature" + "".join(f", {sql_str(more[k])} AS {k}" for k in extra or {}) + " FROM documents"
+    return run, sql
+
+
+for _vendor, (_run, _sql) in {
+    "anthropic": _chat_request("anthropic:claude-sonnet-4", extra={"max_tokens": "$.max_tokens"}),
+    "openai": _chat_request("openai:gpt-5"),
+    "xai": _chat_request("xai:grok-4", extra={"stream": "$.stream"}),
+    "yandex": _chat_request("yandex:gpt-32k", "text", {"max_tokens": "$.completionOptions.maxTokens", "stream": "$.completionOptions.stream"}, "$.modelUri", "gpt://folder/yandexgpt-32k/latest", "$.completionOptions.temperature"),
+}.items():
+    QUERIES[f"request_{_vendor}"], ORACLES[f"request_{_vendor}"] = _run, _sql
+
+
+@query(f"SELECT doc_id, {sql_str(_REGISTRY.endpoint('google:gemini-2.5-pro'))} AS url, {_sql_prompt('google:gemini-2.5-pro')} AS system_text, {_SQL_WRAPPED} AS user_text, 0.0::DOUBLE AS temperature, '1' AS candidates, NULL::VARCHAR AS most, '64' AS thinking FROM documents")
+def request_google(spark, sf_dir):
+    """Parts that are null are not in the body; thoughts are asked for by options only."""
+    df = _request("google:gemini-2.5-pro", spark, sf_dir, {"thinkingBudget": 64})
+    g = "$.generationConfig."
+    return df.select("doc_id", F.col("r.url").alias("url"), _json_at("$.system_instruction.parts[0].text").alias("system_text"), _json_at("$.contents[0].parts[0].text").alias("user_text"), _json_at(g + "temperature").cast("double").alias("temperature"), _json_at(g + "candidateCount").alias("candidates"), _json_at(g + "maxOutputTokens").alias("most"), _json_at(g + "thinkingConfig.thinkingBudget").alias("thinking"))
+
+
+@query(f"SELECT event_id, 'text=' || replace(replace(url_encode({_sql_replace('props', tx.JSON_TAGS.items())}), '%20', '+'), '~', '%7E') || '&target_lang=EN&formality=prefer_more&tag_handling=html&preserve_formatting=1&outline_detection=1' AS body FROM events")
+def request_deepl(spark, sf_dir):
+    """A form; JSON goes as tags."""
+    made = requests.build(_REGISTRY.get("deepl:free"), F.col("props"), {"format": "json"}, _PROMPTS)
+    return table(spark, sf_dir, "events").select("event_id", made["body"].alias("body"))
+
+
+@query("SELECT doc_id, 'request not sent' || chr(10) || 'POST u' || chr(10) || chr(10) || 'Headers:' || chr(10) || '  a: ***' || chr(10) || CASE WHEN text = '' THEN '' ELSE chr(10) || 'Body:' || chr(10) || replace(text, 'the', '***') || chr(10) END AS preview FROM documents")
+def request_preview(spark, sf_dir):
+    """What a log says of a request, without the secret."""
+    r = F.struct(F.lit("u").alias("url"), F.array(F.lit("a: the")).alias("headers"), F.col("text").alias("body"))
+    return table(spark, sf_dir, "documents").select("doc_id", requests.preview(r, ["the"]).alias("preview"))
+
+
+# --- responses ---------------------------------------------------------------
+
+# bodies of eight kinds in turn; both sides make them from the same parts
+_K = F.col("doc_id") % 8
+
+
+def _body(parts: list[Column]) -> Column:
+    out = F.when(_K == 0, parts[0])
+    for i, p in enumerate(parts[1:], 1):
+        out = out.when(_K == i, p)
+    return out
+
+
+def _sql_body(parts: list[str]) -> str:
+    return "CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN {p}" for i, p in enumerate(parts)) + " END"
+
+
+def _quoted(value: Column) -> Column:
+    """A text as a JSON string."""
+    return F.substring(F.to_json(F.struct(value.alias("t"))), F.lit(6), F.length(F.to_json(F.struct(value.alias("t")))) - 6)
+
+
+def _both(template: str) -> tuple[Column, str]:
+    """A template of a body with @W (the text between marks), @T (the text) and @N (its length)."""
+    col, sql = [], []
+    for piece in __import__("re").split("(@[WTN])", template):
+        if piece == "@W":
+            col.append(_quoted(tx.wrap(F.col("text"))))
+            sql.append(f"to_json({_SQL_WRAPPED})::VARCHAR")
+        elif piece == "@T":
+            col.append(_quoted(F.col("text")))
+            sql.append("to_json(text)::VARCHAR")
+        elif piece == "@N":
+            col.append(F.length("text").cast("string"))
+            sql.append("length(text)::VARCHAR")
+        elif piece:
+            col.append(F.lit(piece))
+            sql.append(sql_str(piece))
+    return F.concat(*col), " || ".join(sql)
+
+
+_CHAT = '{"choices":[{"message":{"content":%s},"finish_reason":"%s"}],"usage":{"total_tokens":@N,"prompt_tokens":"7"}}'
+_BODIES = {
+    "openai": [_CHAT % ("@W", "stop"), _CHAT % ("@W", "length"), _CHAT % ("@T", "stop"), _CHAT % ('""', "stop"), "no json", '"text"', '{"choices":[]}', _CHAT % ("5", "stop")],
+    "anthropic": [_CHAT % ("@W", "stop"), _CHAT % ("@W", "length"), _CHAT % ("@T", "stop"), '{"error":{"message":"max_tokens is too large"}}', "no json", '{"error":{"message":"busy"}}', '{"error":"odd"}', _CHAT % ("null", "stop")],
+    "xai": [_CHAT % ("@W", "stop"), _CHAT % ("@W", "length"), _CHAT % ("@T", "stop"), '{"error":"no such model","code":"404"}', "no json", '{"error":"busy"}', '{"choices":[]}', _CHAT % ("5", "stop")],
+    "google": [
+        '{"candidates":[{"content":{"parts":[{"text":@W}]},"finishReason":"STOP"}],"usageMetadata":{"totalTokenCount":@N}}',
+        '{"candidates":[{"content":{"parts":[{"text":"' + tx.START + '"},{"thought":true},{"text":@T},{"text":"' + tx.END + '"}]},"finishReason":"STOP"}]}',
+        '{"candidates":[{"content":{"parts":[{"text":@W}]},"finishReason":"MAX_TOKENS"}]}',
+        '{"candidates":[{"content":{"parts":[{"text":@W}]},"finishReason":"SAFETY"}]}',
+        "no json",
+        '{"candidates":[]}',
+        '{"candidates":[{"content":{},"finishReason":"STOP"}]}',
+        '{"candidates":[{"content":{"parts":[{"text":@T}]},"finishReason":"STOP"}]}',
+    ],
+    "yandex": [
+        '{"result":{"alternatives":[{"message":{"text":@W}}],"usage":{"totalTokens":"@N"}}}',
+        '{"completions":[{"text":@W}]}',
+        '{"error":{"message":"wrong folder ID given","httpCode":400}}',
+        '{"error":{"message":"no","httpCode":401}}',
+        "no json",
+        '{"error":{"message":"oh","httpCode":500}}',
+        '{"error":{"message":"no","httpStatus":"Unauthorized"}}',
+        '{"error":{"message":"what","httpCode":418}}',
+    ],
+    "deepl": ['{"translations":[{"text":@T}]}', '{"translations":[{"text":"<jlc/><jqt/>a<jqt/><jcol/>1<jrc/>"}]}', '{"translations":[]}', "no json", '{"translations":null}', '{"message":"quota"}', '{"translations":[{"text":""}]}', "[]"],
+}
+# expected text and error of each kind, as SQL
+_W, _T = _TRIM.format("text"), "text"
+_EXPECTED = {
+    "openai": [(_W, None), (None, "truncated"), (None, "no_marks"), (None, "empty"), (None, "invalid_json"), (None, "invalid_json"), (None, "empty"), (None, "empty")],
+    "anthropic": [(_W, None), (None, "truncated"), (None, "no_marks"), (None, "too_many_tokens"), (None, "invalid_json"), (None, "api_error"), (None, "api_error"), (None, "empty")],
+    "xai": [(_W, None), (_W, None), (None, "no_marks"), (None, "api_error"), (None, "invalid_json"), (None, "api_error"), (None, "empty"), (None, "empty")],
+    "google": [(_W, None), (_W, None), (None, "truncated"), (None, "unexpected_finish"), (None, "invalid_json"), (None, "unexpected_finish"), (None, "empty"), (None, "no_marks")],
+    "yandex": [(_W, None), (_W, None), (None, "wrong_folder"), (None, "unauthorized"), (None, "invalid_json"), (None, "server_error"), (None, "unauthorized"), (None, "api_error")],
+    "deepl": [(_T, None), ("""'{"a":1}'""", None), (None, "empty"), (None, "empty"), (None, "empty"), (None, "empty"), ("''", None), (None, "empty")],
+}
+_MODEL_OF = {"openai": "openai:gpt-4o", "anthropic": "anthropic:claude-opus-4", "xai": "xai:grok-3", "google": "google:gemini-2.0-flash", "yandex": "yandex:llama", "deepl": "deepl:free"}
+_TOTAL = {"openai": "total_tokens", "anthropic": "total_tokens", "xai": "total_tokens", "google": "totalTokenCount", "yandex": "totalTokens", "deepl": None}
+
+
+def _parse_query(vendor: str):
+    settings = _REGISTRY.get(_MODEL_OF[vendor])
+    columns = [_both(x) for x in _BODIES[vendor]]
+
+    def run(spark, sf_dir):
+        df = table(spark, sf_dir, "documents").select("doc_id", "text", _body([c for c, _ in columns]).alias("body"))
+        df = df.select("doc_id", responses.parse(F.col("body"), settings).alias("p"))
+        total = F.element_at(usage.consumed(F.col("p.usage"), settings.get("usage") or {}), "tokens")["total"]
+        return df.select("doc_id", F.col("p.text").alias("text"), F.col("p.error.code").alias("error"), total.alias("n_tokens"))
+
+    case = lambda i: "CASE doc_id % 8 " + " ".join(f"WHEN {k} THEN {(x[0] if i == 0 else sql_str(x[1])) if x[i] else 'NULL'}" for k, x in enumerate(_EXPECTED[vendor])) + " END"
+    path = {"google": "$.usageMetadata.totalTokenCount", "yandex": "$.result.usage.totalTokens"}.get(vendor, "$.usage.total_tokens")
+    body = _sql_body([s for _, s in columns])
+    total = f"CASE WHEN error IS NULL THEN TRY_CAST(json_extract_string(CASE WHEN json_valid(body) THEN body END, '{path}') AS BIGINT) END" if _TOTAL[vendor] else "NULL"
+    return run, f"SELECT doc_id, text, error, ({total})::BIGINT AS n_tokens FROM (SELECT doc_id, {case(0)} AS text, {case(1)} AS error, {body} AS body FROM documents)"
+
+
+for _vendor in _BODIES:
+    QUERIES[f"parse_{_vendor}"], ORACLES[f"parse_{_vendor}"] = _parse_query(_vendor)
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 > 0 AND event_id % 700 >= 400 THEN 'http_error' END AS code, CASE WHEN event_id % 3 > 0 AND event_id % 700 >= 400 THEN 'HTTP ' || (event_id % 700) || ': ' || props END AS message FROM events")
+def http_status_gate(spark, sf_dir):
+    """Statuses of 400 and more are errors, unless the service says more itself."""
+    status = (F.col("event_id") % 700).cast("int")
+    made = [responses.http_error(status, F.col("props"), {"http_error_handling": x}) for x in (True, False)]
+    return table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, made[0]).otherwise(made[1]).alias("e")).select("event_id", "e.code", "e.message")
+
+
+# --- usage -------------------------------------------------------------------
+
+_USAGES = ['{"a":{"b":@},"t":@}', '{"a":{"b":"@"},"t":"@.7"}', '{"a":5,"t":"x"}', '{"a":{"b":true},"t":null}', "null", '{"t":"1e3"}', '{"a":{"b":[@]},"t":@.9}', '{"t":9007199254740993}']
+_SPEC = {"tokens": {"total": "t", "breakdown": {"part": "a.b"}}}
+
+
+def _usage_columns() -> tuple[Column, str]:
+    k, sql = F.col("event_id") % len(_USAGES), []
+    out = None
+    for i, template in enumerate(_USAGES):
+        pieces = template.split("@")
+        made = F.concat(*[x for j, p in enumerate(pieces) for x in ([F.col("user_id").cast("string")] if j else []) + ([F.lit(p)] if p else [])])
+        out = F.when(k == i, made) if out is None else out.when(k == i, made)
+        sql.append(f"WHEN {i} THEN " + " || user_id || ".join(map(sql_str, pieces)))
+    return out, f"CASE event_id % {len(_USAGES)} {' '.join(sql)} END"
+
+
+_USAGE_COL, _USAGE_SQL = _usage_columns()
+
+
+def _sql_int(path: str) -> str:
+    s = f"json_extract_string(u, '{path}')"
+    return rf"CASE WHEN json_type(u, '{path}') IN ('BOOLEAN', 'ARRAY', 'OBJECT') THEN 0 WHEN regexp_matches({s}, '^\s*[+-]?[0-9]+\s*$') THEN TRY_CAST({s} AS BIGINT) WHEN regexp_matches({s}, '^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$') THEN trunc(TRY_CAST({s} AS DOUBLE))::BIGINT ELSE 0 END"
+
+
+@query(f"SELECT event_id, CASE WHEN u = 'null' THEN NULL ELSE coalesce({_sql_int('$.t')}, 0) END::BIGINT AS total, CASE WHEN u = 'null' THEN NULL ELSE coalesce({_sql_int('$.a.b')}, 0) END::BIGINT AS part FROM (SELECT event_id, {_USAGE_SQL} AS u FROM events)")
+def usage_normalise(spark, sf_dir):
+    """Numbers, numeric strings, what is none, and what is missing."""
+    data = F.try_parse_json(_USAGE_COL)
+    used = usage.consumed(F.when(~F.is_variant_null(data), data), _SPEC)
+    df = table(spark, sf_dir, "events").select("event_id", F.element_at(used, "tokens").alias("x"))
+    return df.select("event_id", F.col("x.total").alias("total"), F.element_at("x.breakdown", "part").alias("part"))
+
+
+# --- validation --------------------------------------------------------------
+
+_JSON_KINDS = F.col("event_id") % 4
+_JSON_TEXT = F.when(_JSON_KINDS == 0, F.col("props")).when(_JSON_KINDS == 1, F.substring("props", 2, 1_000_000)).when(_JSON_KINDS == 2, F.concat("props", F.lit(" x"))).otherwise(F.concat(F.lit(" ["), "props", F.lit(",1.5,null,{}]\n")))
+_JSON_SQL = "CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN substr(props, 2) WHEN 2 THEN props || ' x' ELSE ' [' || props || ',1.5,null,{}]' || chr(10) END"
+
+
+@query(f"SELECT event_id, json_valid({_JSON_SQL}) AS valid FROM events")
+def json_valid(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select("event_id", validation.json_result(_JSON_TEXT).alias("r"))
+    return df.select("event_id", "r.valid")
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{' || s || '}' WHEN 3 THEN '[{' || s || '},double,NULL,[]]' END AS signature FROM (
+SELECT event_id, list_aggregate(list_transform(json_keys(props), lambda k: '"' || k || '":' || CASE json_type(props, '$.' || k) WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'NULL' END), 'string_agg', ',') AS s FROM events)""")
+def json_structure(spark, sf_dir):
+    """Names and kinds of values; null where a text is no JSON."""
+    return table(spark, sf_dir, "events").select("event_id", validation.json_signature(_JSON_TEXT).alias("signature"))
+
+
+@query("SELECT event_id, event_id % 3 = 0 AS valid FROM events")
+def json_structure_kept(spark, sf_dir):
+    """A changed value keeps the structure, another name or kind does not."""
+    after = F.when(F.col("event_id") % 3 == 0, F.regexp_replace("props", "[0-9]+", "7")).when(F.col("event_id") % 3 == 1, F.regexp_replace("props", '"k"|"[a-z]+":', '"other":')).otherwise(F.concat(F.lit("["), "props", F.lit("]")))
+    df = table(spark, sf_dir, "events").select("event_id", validation.json_signature(F.col("props")).alias("a"), validation.json_signature(after).alias("b"))
+    return df.select("event_id", validation.same_structure(F.col("a"), F.col("b"))["valid"].alias("valid"))
+
+
+@query(r"SELECT page_id, regexp_matches(t, '(?i)^\s*<(?:!DOCTYPE|html)(\s|>)') AS is_full FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN html ELSE substr(html, 10) END AS t FROM pages)")
+def html_is_full_document(spark, sf_dir):
+    text = F.when(F.col("page_id") % 2 == 0, F.col("html")).otherwise(F.substring("html", 10, 10_000_000))
+    return table(spark, sf_dir, "pages").select("page_id", validation.is_full_document(text).alias("is_full"))
+
+
+@query("SELECT item_id, item_id % 3 = 0 AS valid, CASE item_id % 3 WHEN 0 THEN 0 ELSE 1 END::BIGINT AS n_errors FROM benchmark")
+def html_valid(spark, sf_dir):
+    """Whole fragments, such with a broken tag, and such with an element that is not ended."""
+    text = F.regexp_replace("text", "[<>&]", " ")
+    made = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("<p>"), text, F.lit("<br><section><b>x</b></section>"))).when(F.col("item_id") % 3 == 1, F.concat(F.lit('<p class="a" <b>'), text, F.lit("</p>"))).otherwise(F.concat(F.lit("<em>"), text))
+    df = table(spark, sf_dir, "benchmark").select("item_id", validation.html_result(made).alias("r"))
+    return df.select("item_id", "r.valid", F.size("r.errors").cast("bigint").alias("n_errors"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN true ELSE json_valid(substr(props, 2)) END AS valid FROM events")
+def validation_by_format(spark, sf_dir):
+    """Texts pass unseen, JSON is parsed."""
+    text = F.substring("props", 2, 1_000_000)
+    made = [validation.container_result(text, f) for f in ("text", "json")]
+    return table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, made[0]["valid"]).otherwise(made[1]["valid"]).alias("valid"))
+
+
+# --- whole jobs --------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, {_TRIM.format('text')} AS result, length(text)::BIGINT AS original, length({_TRIM.format('text')})::BIGINT AS translated, NULL::VARCHAR AS error FROM documents")
+def pipeline_echo(spark, sf_dir):
+    """A job whose service answers with the text itself."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = translate(docs, Job("openai:gpt-5", filters=["url"]), tp.Echo("openai"))
+    return out.select("doc_id", "result", F.col("lengths.original").alias("original"), F.col("lengths.translated").alias("translated"), F.col("error.code").alias("error"))
+
+
+@query("SELECT event_id, props AS result, 200::BIGINT AS status, NULL::VARCHAR AS error FROM events")
+def pipeline_json(spark, sf_dir):
+    """JSON through a form service: tags out and back, structure compared."""
+    docs = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("props").alias("text"))
+    out = translate(docs, Job("deepl:free", "json"), tp.Echo("deepl"))
+    return out.select(F.col("doc_id").alias("event_id"), "result", F.col("http_status").cast("bigint").alias("status"), F.col("error.code").alias("error"))
+
+
+@query("SELECT stage, code, count(*)::BIGINT AS n_docs FROM (SELECT CASE event_id % 4 WHEN 1 THEN 'validate' WHEN 2 THEN 'validate' ELSE 'parse' END AS stage, CASE event_id % 4 WHEN 1 THEN 'invalid_json' WHEN 2 THEN 'invalid_json' ELSE 'no_marks' END AS code FROM events) GROUP BY ALL")
+def pipeline_errors(spark, sf_dir):
+    """Documents that are no JSON are never sent; the others come back without marks."""
+    docs = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), _JSON_TEXT.alias("text"))
+    return reports.error_totals(translate(docs, Job("openai:gpt-4o", "json"), tp.Echo("openai", "marks"))).select("stage", "code", "n_docs")
+
+
+@query(f"SELECT page_id, t3 AS prepared, url || ' ' || html AS result, 0::BIGINT AS status FROM ({_SQL_CHAIN}) JOIN (SELECT page_id, url, html FROM pages) USING (page_id)")
+def pipeline_dry_run(spark, sf_dir):
+    """Nothing is sent; the spans come back into the prepared text."""
+    docs = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), _PAGE_TEXT.alias("text"))
+    out = translate(docs, Job("google:gemini-2.5-pro", filters=_CHAIN, dry_run=True, validate=False), tp.DryRun())
+    return out.select(F.col("doc_id").alias("page_id"), "prepared", "result", F.col("http_status").cast("bigint").alias("status"))
+
+
+@query(f"SELECT lang, count(*)::BIGINT AS n_docs, sum(length(text))::BIGINT AS original, sum(length(text))::BIGINT AS prepared, sum(length({_TRIM.format('text')}))::BIGINT AS translated FROM documents GROUP BY ROLLUP (lang)")
+def length_stats(spark, sf_dir):
+    """Characters before and after, by language and in all."""
+    docs = table(spark, sf_dir, "documents")
+    out = translate(docs.select("doc_id", "text"), Job("openai:gpt-5"), tp.Echo("openai")).join(docs.select("doc_id", "lang"), "doc_id")
+    return reports.length_totals(out, "lang")
+
+
+_CALLED = "length(text) + 1"
+
+
+@query("SELECT lang, part, sum(n)::BIGINT AS n FROM (SELECT lang, '' AS part, 3 * length(text) AS n FROM documents UNION ALL SELECT lang, 'prompt', 2 * length(text) FROM documents UNION ALL SELECT lang, 'candidates', length(text) FROM documents UNION ALL SELECT lang, 'thoughts', 0 FROM documents) GROUP BY lang, part")
+def usage_by_lang(spark, sf_dir):
+    """Usage of a service that counts characters, by language."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.length("text").alias("n"))
+    body = F.to_json(F.struct((3 * F.col("n")).alias("totalTokenCount"), (2 * F.col("n")).alias("promptTokenCount"), F.col("n").cast("string").alias("candidatesTokenCount")))
+    used = docs.withColumn("consumed", usage.consumed(F.try_parse_json(body), _REGISTRY.get("google:gemini-2.5-pro")["usage"]))
+    return reports.usage_totals(used, "lang").select("lang", "part", "n")
+
+
+@query(f"SELECT page_id, t1 AS prepared FROM ({_sql_chain('html AS t0 FROM pages', 'page_id', [_SQL_TAG.format('a')])})")
+def stream_protect(spark, sf_dir):
+    """The same steps over a stream of the pages, until there are no more."""
+    import uuid
+
+    name = f"pages_{uuid.uuid4().hex}"
+    pages = spark.readStream.schema(table(spark, sf_dir, "pages").schema).option("pathGlobFilter", "pages.parquet").parquet(sf_dir)
+    made = stream.protected(pages.select("page_id", "html"), ["html_a"], "html").select("page_id", "prepared")
+    made.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 444464 THEN 'too_long' END AS error, length(text) <= 444464 AS is_asked FROM documents")
+def pipeline_prepared(spark, sf_dir):
+    """Which documents become a request."""
+    made = prepare(table(spark, sf_dir, "documents").select("doc_id", "text"), Job("openai:gpt-4o", filters=["url"]))
+    return made.select("doc_id", F.col("error.code").alias("error"), F.col("request").isNotNull().alias("is_asked"))

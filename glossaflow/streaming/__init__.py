@@ -1 +1 @@
-
+"""The same plans over streams; every column operator is stateless."""
