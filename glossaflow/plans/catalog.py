@@ -6,6 +6,8 @@ and the SQL states them as VALUES and does its own overlay.
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,14 +71,19 @@ def _sql_chain(source: str, key: str, patterns: list[str]) -> str:
     return out
 
 
-_PAGE_TEXT = F.concat("url", F.lit(" "), "html")
+
+
+def _page_text() -> Column:
+    return F.concat("url", F.lit(" "), "html")
+
+
 _CHAIN = ["html_script", "html_a", "url"]
 _SQL_CHAIN = _sql_chain("url || ' ' || html AS t0 FROM pages", "page_id", [_SQL_TAG.format("script"), _SQL_TAG.format("a"), _SQL_URL])
 
 
 def _chain(spark: SparkSession, sf_dir: str, names: list[str] = _CHAIN) -> tuple[DataFrame, list[spans.SpanFilter]]:
     filters = spans.resolve(names)
-    return spans.protect(table(spark, sf_dir, "pages").select("page_id", _PAGE_TEXT.alias("text")), "text", filters), filters
+    return spans.protect(table(spark, sf_dir, "pages").select("page_id", _page_text().alias("text")), "text", filters), filters
 
 
 @query(f"SELECT page_id, t1 AS prepared, len(m0)::BIGINT AS n FROM ({_sql_chain('url AS t0 FROM pages', 'page_id', [_SQL_URL])})")
@@ -347,7 +354,6 @@ def prompts_catalog(spark, sf_dir):
     return _PROMPTS.frame(spark).groupBy("prompt_key").agg(F.array_join(listed, ",").alias("formats"), F.first("notes").alias("notes"))
 
 
-_CONTEXT = F.concat(F.lit("source {end} "), "source")
 
 
 def _sql_render(template: str) -> str:
@@ -361,7 +367,7 @@ def _sql_render(template: str) -> str:
 @query("SELECT doc_id, CASE doc_id % 3 " + " ".join(f"WHEN {i} THEN {_sql_render(_PROMPTS.template('translator', f))}" for i, f in enumerate(("text", "html", "json"))) + " END AS prompt FROM documents")
 def render_prompt(spark, sf_dir):
     """Each template with a document's language and a context that looks like a variable."""
-    values = {"source": F.col("lang"), "target": F.lit("EN"), "start": F.lit(tx.START), "end": F.lit(tx.END), "context": F.concat(F.lit("Context: "), _CONTEXT)}
+    values = {"source": F.col("lang"), "target": F.lit("EN"), "start": F.lit(tx.START), "end": F.lit(tx.END), "context": F.concat(F.lit("Context: source {end} "), "source")}
     made = [_PROMPTS.render("translator", f, values) for f in ("text", "html", "json")]
     k = F.col("doc_id") % 3
     return table(spark, sf_dir, "documents").select("doc_id", F.when(k == 0, made[0]).when(k == 1, made[1]).otherwise(made[2]).alias("prompt"))
@@ -448,13 +454,11 @@ def request_preview(spark, sf_dir):
 # --- responses ---------------------------------------------------------------
 
 # bodies of eight kinds in turn; both sides make them from the same parts
-_K = F.col("doc_id") % 8
-
-
 def _body(parts: list[Column]) -> Column:
-    out = F.when(_K == 0, parts[0])
+    k = F.col("doc_id") % 8
+    out = F.when(k == 0, parts[0])
     for i, p in enumerate(parts[1:], 1):
-        out = out.when(_K == i, p)
+        out = out.when(k == i, p)
     return out
 
 
@@ -467,23 +471,19 @@ def _quoted(value: Column) -> Column:
     return F.substring(F.to_json(F.struct(value.alias("t"))), F.lit(6), F.length(F.to_json(F.struct(value.alias("t")))) - 6)
 
 
-def _both(template: str) -> tuple[Column, str]:
-    """A template of a body with @W (the text between marks), @T (the text) and @N (its length)."""
-    col, sql = [], []
-    for piece in __import__("re").split("(@[WTN])", template):
-        if piece == "@W":
-            col.append(_quoted(tx.wrap(F.col("text"))))
-            sql.append(f"to_json({_SQL_WRAPPED})::VARCHAR")
-        elif piece == "@T":
-            col.append(_quoted(F.col("text")))
-            sql.append("to_json(text)::VARCHAR")
-        elif piece == "@N":
-            col.append(F.length("text").cast("string"))
-            sql.append("length(text)::VARCHAR")
-        elif piece:
-            col.append(F.lit(piece))
-            sql.append(sql_str(piece))
-    return F.concat(*col), " || ".join(sql)
+def _pieces(template: str) -> list[str]:
+    """A template of a body cut at @W (the text between marks), @T (the text) and @N (its length)."""
+    return [x for x in re.split("(@[WTN])", template) if x]
+
+
+def _made(template: str) -> Column:
+    known = {"@W": lambda: _quoted(tx.wrap(F.col("text"))), "@T": lambda: _quoted(F.col("text")), "@N": lambda: F.length("text").cast("string")}
+    return F.concat(*[known[x]() if x in known else F.lit(x) for x in _pieces(template)])
+
+
+def _sql_made(template: str) -> str:
+    known = {"@W": f"to_json({_SQL_WRAPPED})::VARCHAR", "@T": "to_json(text)::VARCHAR", "@N": "length(text)::VARCHAR"}
+    return " || ".join(known.get(x) or sql_str(x) for x in _pieces(template))
 
 
 _CHAT = '{"choices":[{"message":{"content":%s},"finish_reason":"%s"}],"usage":{"total_tokens":@N,"prompt_tokens":"7"}}'
@@ -529,17 +529,15 @@ _TOTAL = {"openai": "total_tokens", "anthropic": "total_tokens", "xai": "total_t
 
 def _parse_query(vendor: str):
     settings = _REGISTRY.get(_MODEL_OF[vendor])
-    columns = [_both(x) for x in _BODIES[vendor]]
-
     def run(spark, sf_dir):
-        df = table(spark, sf_dir, "documents").select("doc_id", "text", _body([c for c, _ in columns]).alias("body"))
+        df = table(spark, sf_dir, "documents").select("doc_id", "text", _body([_made(x) for x in _BODIES[vendor]]).alias("body"))
         df = df.select("doc_id", responses.parse(F.col("body"), settings).alias("p"))
         total = F.element_at(usage.consumed(F.col("p.usage"), settings.get("usage") or {}), "tokens")["total"]
         return df.select("doc_id", F.col("p.text").alias("text"), F.col("p.error.code").alias("error"), total.alias("n_tokens"))
 
     case = lambda i: "CASE doc_id % 8 " + " ".join(f"WHEN {k} THEN {(x[0] if i == 0 else sql_str(x[1])) if x[i] else 'NULL'}" for k, x in enumerate(_EXPECTED[vendor])) + " END"
     path = {"google": "$.usageMetadata.totalTokenCount", "yandex": "$.result.usage.totalTokens"}.get(vendor, "$.usage.total_tokens")
-    body = _sql_body([s for _, s in columns])
+    body = _sql_body([_sql_made(x) for x in _BODIES[vendor]])
     total = f"CASE WHEN error IS NULL THEN TRY_CAST(json_extract_string(CASE WHEN json_valid(body) THEN body END, '{path}') AS BIGINT) END" if _TOTAL[vendor] else "NULL"
     return run, f"SELECT doc_id, text, error, ({total})::BIGINT AS n_tokens FROM (SELECT doc_id, {case(0)} AS text, {case(1)} AS error, {body} AS body FROM documents)"
 
@@ -562,18 +560,14 @@ _USAGES = ['{"a":{"b":@},"t":@}', '{"a":{"b":"@"},"t":"@.7"}', '{"a":5,"t":"x"}'
 _SPEC = {"tokens": {"total": "t", "breakdown": {"part": "a.b"}}}
 
 
-def _usage_columns() -> tuple[Column, str]:
-    k, sql = F.col("event_id") % len(_USAGES), []
-    out = None
+def _usage_text() -> Column:
+    k, out = F.col("event_id") % len(_USAGES), F.lit(None).cast("string")
     for i, template in enumerate(_USAGES):
-        pieces = template.split("@")
-        made = F.concat(*[x for j, p in enumerate(pieces) for x in ([F.col("user_id").cast("string")] if j else []) + ([F.lit(p)] if p else [])])
-        out = F.when(k == i, made) if out is None else out.when(k == i, made)
-        sql.append(f"WHEN {i} THEN " + " || user_id || ".join(map(sql_str, pieces)))
-    return out, f"CASE event_id % {len(_USAGES)} {' '.join(sql)} END"
+        out = F.when(k == i, F.replace(F.lit(template), F.lit("@"), F.col("user_id").cast("string"))).otherwise(out)
+    return out
 
 
-_USAGE_COL, _USAGE_SQL = _usage_columns()
+_USAGE_SQL = f"replace(CASE event_id % {len(_USAGES)} " + " ".join(f"WHEN {i} THEN {sql_str(t)}" for i, t in enumerate(_USAGES)) + " END, '@', user_id::VARCHAR)"
 
 
 def _sql_int(path: str) -> str:
@@ -584,7 +578,7 @@ def _sql_int(path: str) -> str:
 @query(f"SELECT event_id, CASE WHEN u = 'null' THEN NULL ELSE coalesce({_sql_int('$.t')}, 0) END::BIGINT AS total, CASE WHEN u = 'null' THEN NULL ELSE coalesce({_sql_int('$.a.b')}, 0) END::BIGINT AS part FROM (SELECT event_id, {_USAGE_SQL} AS u FROM events)")
 def usage_normalise(spark, sf_dir):
     """Numbers, numeric strings, what is none, and what is missing."""
-    data = F.try_parse_json(_USAGE_COL)
+    data = F.try_parse_json(_usage_text())
     used = usage.consumed(F.when(~F.is_variant_null(data), data), _SPEC)
     df = table(spark, sf_dir, "events").select("event_id", F.element_at(used, "tokens").alias("x"))
     return df.select("event_id", F.col("x.total").alias("total"), F.element_at("x.breakdown", "part").alias("part"))
@@ -592,14 +586,18 @@ def usage_normalise(spark, sf_dir):
 
 # --- validation --------------------------------------------------------------
 
-_JSON_KINDS = F.col("event_id") % 4
-_JSON_TEXT = F.when(_JSON_KINDS == 0, F.col("props")).when(_JSON_KINDS == 1, F.substring("props", 2, 1_000_000)).when(_JSON_KINDS == 2, F.concat("props", F.lit(" x"))).otherwise(F.concat(F.lit(" ["), "props", F.lit(",1.5,null,{}]\n")))
+def _json_text() -> Column:
+    """A quarter each: whole, without its begin, with something behind it, within a list."""
+    k = F.col("event_id") % 4
+    return F.when(k == 0, F.col("props")).when(k == 1, F.substring("props", 2, 1_000_000)).when(k == 2, F.concat("props", F.lit(" x"))).otherwise(F.concat(F.lit(" ["), "props", F.lit(",1.5,null,{}]\n")))
+
+
 _JSON_SQL = "CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN substr(props, 2) WHEN 2 THEN props || ' x' ELSE ' [' || props || ',1.5,null,{}]' || chr(10) END"
 
 
 @query(f"SELECT event_id, json_valid({_JSON_SQL}) AS valid FROM events")
 def json_valid(spark, sf_dir):
-    df = table(spark, sf_dir, "events").select("event_id", validation.json_result(_JSON_TEXT).alias("r"))
+    df = table(spark, sf_dir, "events").select("event_id", validation.json_result(_json_text()).alias("r"))
     return df.select("event_id", "r.valid")
 
 
@@ -607,7 +605,7 @@ def json_valid(spark, sf_dir):
 SELECT event_id, list_aggregate(list_transform(json_keys(props), lambda k: '"' || k || '":' || CASE json_type(props, '$.' || k) WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'NULL' END), 'string_agg', ',') AS s FROM events)""")
 def json_structure(spark, sf_dir):
     """Names and kinds of values; null where a text is no JSON."""
-    return table(spark, sf_dir, "events").select("event_id", validation.json_signature(_JSON_TEXT).alias("signature"))
+    return table(spark, sf_dir, "events").select("event_id", validation.json_signature(_json_text()).alias("signature"))
 
 
 @query("SELECT event_id, event_id % 3 = 0 AS valid FROM events")
@@ -663,14 +661,14 @@ def pipeline_json(spark, sf_dir):
 @query("SELECT stage, code, count(*)::BIGINT AS n_docs FROM (SELECT CASE event_id % 4 WHEN 1 THEN 'validate' WHEN 2 THEN 'validate' ELSE 'parse' END AS stage, CASE event_id % 4 WHEN 1 THEN 'invalid_json' WHEN 2 THEN 'invalid_json' ELSE 'no_marks' END AS code FROM events) GROUP BY ALL")
 def pipeline_errors(spark, sf_dir):
     """Documents that are no JSON are never sent; the others come back without marks."""
-    docs = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), _JSON_TEXT.alias("text"))
+    docs = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), _json_text().alias("text"))
     return reports.error_totals(translate(docs, Job("openai:gpt-4o", "json"), tp.Echo("openai", "marks"))).select("stage", "code", "n_docs")
 
 
 @query(f"SELECT page_id, t3 AS prepared, url || ' ' || html AS result, 0::BIGINT AS status FROM ({_SQL_CHAIN}) JOIN (SELECT page_id, url, html FROM pages) USING (page_id)")
 def pipeline_dry_run(spark, sf_dir):
     """Nothing is sent; the spans come back into the prepared text."""
-    docs = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), _PAGE_TEXT.alias("text"))
+    docs = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), _page_text().alias("text"))
     out = translate(docs, Job("google:gemini-2.5-pro", filters=_CHAIN, dry_run=True, validate=False), tp.DryRun())
     return out.select(F.col("doc_id").alias("page_id"), "prepared", "result", F.col("http_status").cast("bigint").alias("status"))
 
@@ -683,9 +681,6 @@ def length_stats(spark, sf_dir):
     return reports.length_totals(out, "lang")
 
 
-_CALLED = "length(text) + 1"
-
-
 @query("SELECT lang, part, sum(n)::BIGINT AS n FROM (SELECT lang, '' AS part, 3 * length(text) AS n FROM documents UNION ALL SELECT lang, 'prompt', 2 * length(text) FROM documents UNION ALL SELECT lang, 'candidates', length(text) FROM documents UNION ALL SELECT lang, 'thoughts', 0 FROM documents) GROUP BY lang, part")
 def usage_by_lang(spark, sf_dir):
     """Usage of a service that counts characters, by language."""
@@ -698,8 +693,6 @@ def usage_by_lang(spark, sf_dir):
 @query(f"SELECT page_id, t1 AS prepared FROM ({_sql_chain('html AS t0 FROM pages', 'page_id', [_SQL_TAG.format('a')])})")
 def stream_protect(spark, sf_dir):
     """The same steps over a stream of the pages, until there are no more."""
-    import uuid
-
     name = f"pages_{uuid.uuid4().hex}"
     pages = spark.readStream.schema(table(spark, sf_dir, "pages").schema).option("pathGlobFilter", "pages.parquet").parquet(sf_dir)
     made = stream.protected(pages.select("page_id", "html"), ["html_a"], "html").select("page_id", "prepared")
