@@ -122,7 +122,7 @@ def _translate(args, registry: Registry, prompts: Prompts, spark, sender, stdin)
         sender = transport.Http(auth, transport.proxy_from(args.proxy))
     row = translate(docs, job, sender).first()
     if args.verbose:
-        print(row["debug_request"], file=sys.stderr)
+        print(row["debug_request"], row["debug_response"], sep="\n", file=sys.stderr)
     if row["error"]:
         raise ValueError(f"{row['error']['stage']}: {row['error']['code']}: {row['error']['message']}")
     if (row["http_status"] or 0) >= 400:

@@ -170,3 +170,9 @@ def http_error(status: Column, body: Column, settings: dict) -> Column:
     """struct(code, message) for a status of 400 or more, unless the service's own errors say more."""
     failed = (status >= 400) & F.lit(not settings.get("http_error_handling"))
     return F.when(failed, F.struct(F.lit("http_error").alias("code"), F.concat(F.lit("HTTP "), status.cast("string"), F.lit(": "), F.coalesce(body, F.lit(""))).alias("message")))
+
+
+def preview(response: Column, secrets: list[str]) -> Column:
+    """What a log says of a response: status, each value of each header, body, without secrets."""
+    lines = F.transform(F.map_entries(response["headers"]), lambda h: F.array_join(F.transform(h["value"], lambda v: F.concat(F.lit("  "), h["key"], F.lit(": "), tx.masked(v, secrets), F.lit("\n"))), ""))
+    return F.concat(F.lit("response "), response["status"].cast("string"), F.lit("\nHeaders:\n"), F.coalesce(F.array_join(lines, ""), F.lit("")), F.lit("\nBody:\n"), F.coalesce(tx.masked(response["body"], secrets), F.lit("")), F.lit("\n"))

@@ -101,11 +101,11 @@ def prepare(docs: DataFrame, job: Job) -> DataFrame:
 
 
 def translate(docs: DataFrame, job: Job, transport: tp.Transport, store: str | None = None, callers: int | None = None) -> DataFrame:
-    """docs (doc_id unique, text) to: doc_id, original, prepared, result, http_status, debug_request, raw_response, consumed, lengths, filter_stats, error."""
+    """docs (doc_id unique, text) to: doc_id, original, prepared, result, http_status, debug_request, debug_response, raw_response, consumed, lengths, filter_stats, error."""
     settings, n = job.settings(), len(spans.resolve(job.filters))
     df = prepare(docs.select("doc_id", "text"), job)
     if job.dry_run:
-        df = df.withColumns({"http_status": F.lit(0), "raw_response": F.lit("[dry-run]"), "_text": F.when(F.col("error").isNull(), F.col("prepared")), "_usage": F.lit(None).cast("variant")})
+        df = df.withColumns({"http_status": F.lit(0), "raw_response": F.lit("[dry-run]"), "_text": F.when(F.col("error").isNull(), F.col("prepared")), "_usage": F.lit(None).cast("variant"), "response": F.lit(None).cast(tp.RESPONSE_TYPE)})
     else:
         asked = df.where("request is not null").select("doc_id", "request")
         got = tp.call_once(asked, transport, store, callers) if store else tp.call(asked, transport, callers)
@@ -124,7 +124,12 @@ def translate(docs: DataFrame, job: Job, transport: tp.Transport, store: str | N
         same = validation.same_structure(F.col("signature"), validation.json_signature(F.col("result")))
         df = df.withColumn("_same", same).withColumn("error", _add(F.col("error"), F.col("result").isNotNull() & ~F.col("_same.valid"), problem("revalidate", F.lit("structure"), F.array_join("_same.errors", "; "))))
     debug = requests.preview(F.col("request"), [], sent=not job.dry_run) if job.verbose or job.dry_run else F.lit("")
+    answer = F.coalesce(responses.preview(F.col("response"), []), F.lit("")) if job.verbose else F.lit("")
+    if job.verbose and job.validate and job.format in ("json", "html"):
+        # what the checks before and after had to say
+        debug = F.concat(F.when(F.col("error.stage") == "validate", F.lit("")).otherwise(F.lit(f"{job.format} checked before\n")), F.coalesce(debug, F.lit("")))
+        answer = F.concat(answer, F.when(F.col("error").isNull(), F.lit(f"{job.format} checked after\n")).otherwise(F.lit("")))
     lengths = F.struct(*[F.length(c).cast("bigint").alias(name) for c, name in (("text", "original"), ("prepared", "prepared"), ("result", "translated"))])
     if job.strict:
         df = df.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error(F.concat_ws(": ", F.col("error.stage"), F.col("error.code"), F.col("error.message"))).cast(ERROR_TYPE)))
-    return df.select("doc_id", F.col("text").alias("original"), "prepared", F.when(F.col("error").isNull(), F.col("result")).alias("result"), "http_status", debug.alias("debug_request"), "raw_response", "consumed", lengths.alias("lengths"), spans.stats(F.col("spans")).alias("filter_stats"), "error")
+    return df.select("doc_id", F.col("text").alias("original"), "prepared", F.when(F.col("error").isNull(), F.col("result")).alias("result"), "http_status", debug.alias("debug_request"), answer.alias("debug_response"), "raw_response", "consumed", lengths.alias("lengths"), spans.stats(F.col("spans")).alias("filter_stats"), "error")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from glossaflow import cli
 from glossaflow.functions import usage, validation
+from glossaflow.operators import responses
 from glossaflow.operators.models import Registry
 from glossaflow.plans import reports
 from glossaflow.plans.translate import Job, translate
@@ -155,7 +156,7 @@ def test_every_vendor(spark, model):
     assert [tuple(s) for s in got[0].filter_stats] == [("url", 1), ("html_a", 0)]
     assert got[0].lengths.original == len(texts[0]) and got[0].lengths.translated == len(texts[0])
     assert got[0].consumed.get("tokens") is None if vendor == "deepl" else got[0].consumed["tokens"].total > 0
-    assert "POST " in got[0].debug_request and got[0].http_status == 200
+    assert "POST " in got[0].debug_request and got[0].http_status == 200 and got[0].debug_response.startswith("response 200\n")
 
 
 def test_errors_of_each_step(spark):
@@ -191,6 +192,16 @@ def test_dry_run_sends_nothing(spark):
     assert "not sent" in got[0].debug_request
 
 
+def test_logs(spark):
+    sender = transport.Static(transport.Response(200, json.dumps({"choices": [{"message": {"content": '‹‹TRANSLATION››{"a":2}‹‹END››'}}]}), {"X-A": ["1", "key"], "Y": ["z"]}))
+    (row,) = rows(translate(frame(spark, ['{"a":1}']), Job("openai:gpt-4o", "json", verbose=True), sender))
+    assert row.debug_request.startswith("json checked before\n") and "  X-A: 1\n  X-A: key\n  Y: z\n" in row.debug_response and row.debug_response.endswith("json checked after\n")
+    (row,) = rows(translate(frame(spark, ['{"a":1}']), Job("openai:gpt-4o", "json"), sender))
+    assert row.debug_request == row.debug_response == ""
+    r = F.struct(F.lit(201).alias("status"), F.create_map(F.lit("A"), F.array(F.lit("x key y"))).alias("headers"), F.lit("key").alias("body"))
+    assert spark.range(1).select(responses.preview(r, ["key"])).first()[0] == "response 201\nHeaders:\n  A: x *** y\n\nBody:\n***\n"
+
+
 def test_reports(spark):
     got = translate(frame(spark, ["http://a", "b"]), Job("openai:gpt-4o", filters=["url"]), transport.Echo("openai"))
     assert [tuple(r) for r in reports.filter_totals(got).collect()] == [("url", 1, 1)]
