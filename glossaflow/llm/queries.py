@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extraction, language_id, mixing, ngram_join, packing, quality_rules, simhash, substring_dedup, suffix_dedup, token_counts
+from . import html_extraction, language_id, mixing, ngram_join, oracles, packing, quality_rules, simhash, substring_dedup, suffix_dedup, token_counts
 
 #: Fixed values of the vocabulary: its end-of-text string and id, and the id that ends a packed document.
 SPECIAL, END_ID = {"<|endoftext|>": 50256}, 2
@@ -71,4 +71,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_ngram_join, op3_simhash, op4_language_id, op5_html_extraction, op6_token_counts, op7_mixing, op8_quality_rules, op9_suffix_dedup, op10_substring_dedup)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_ngram_join": oracles.NGRAM_JOIN, "op8_quality_rules": oracles.QUALITY_RULES, "op9_suffix_dedup": oracles.SUFFIX_DEDUP, "op10_substring_dedup": oracles.SUBSTRING_DEDUP}
