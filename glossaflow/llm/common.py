@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -19,11 +22,11 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = "file://" + tempfile.mkdtemp(prefix="glossaflow-")
     spark.conf.set("spark.checkpoint.dir", own)
-    atexit.register(__import__("shutil").rmtree, own.removeprefix("file://"), True)
+    atexit.register(shutil.rmtree, own.removeprefix("file://"), True)
     return own
 
 
@@ -40,9 +43,11 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Only for tables of which no returned plan reads any more."""
+        """Only for tables of which no returned plan reads any more. Lets Spark remove the shuffle files of finished plans too, which it does when the driver collects its garbage."""
         for name in names:
             self._delete(f"{self.top}/{name}")
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm

@@ -4,12 +4,14 @@ The index is a list of runs: immutable tables of the fingerprints of batches,
 each sorted by fingerprint. A new batch is merge-joined with every run; what is
 found there, or twice in the batch, is a candidate; then the batch becomes a
 run of its own, and when there are more than ``most_runs`` they are compacted
-to one. The fingerprints are the grams of anchors (see ``windows``), so the
+to one before the next batch comes. The fingerprints are the grams of anchors (see ``windows``), so the
 index holds one for about every eight words and none of the texts.
 
 Candidates are verified on the texts: entries with a candidate gram are
 compared by their whole stretch, and where stretches differ, window by window,
-and the earliest window of each word sequence stays.
+and the earliest window of each word sequence stays. Groups of more than
+``most`` different stretches are not gathered in one task: their windows are
+compared in a shuffle.
 
 Defined results: null and empty texts, and texts of fewer words than a window,
 lose nothing; the order is by id, nulls first, then by the place in the
@@ -23,6 +25,7 @@ import hashlib
 from functools import reduce
 
 import numpy as np
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +39,7 @@ DEFAULT = Shape(20, 5, "word")
 class FingerprintIndex:
     """Runs of fingerprints in shared storage. add() takes a batch and gives the fingerprints that stand more than once so far and stand in the batch."""
 
-    def __init__(self, scratch: Scratch, shape: Shape = DEFAULT, most_runs: int = 2):
+    def __init__(self, scratch: Scratch, shape: Shape = DEFAULT, most_runs: int = 3):
         self.scratch, self.shape, self.most_runs = scratch, shape, most_runs
         self.runs: list[tuple[str, DataFrame]] = []
         self.made = 0
@@ -48,13 +51,17 @@ class FingerprintIndex:
 
     def add(self, batch: DataFrame) -> DataFrame:
         """batch: doc_id, th, text."""
+        if len(self.runs) >= self.most_runs:
+            self.compact()
         fresh = windows.grams(batch, self.shape).groupBy("gram").agg(F.sum("n").alias("n")).sortWithinPartitions("gram")
         name, run = self._run(fresh.select("gram", F.least("n", F.lit(2)).cast("int").alias("n")))
-        hits = [run.where("n > 1").select("gram")] + [run.join(old.select("gram"), "gram", "left_semi").select("gram") for _, old in self.runs]
-        found = self.scratch.table(f"hits{self.made}", reduce(DataFrame.unionByName, hits).distinct())
+        hits = [run.where("n > 1").select("gram")]
+        if self.runs:
+            older = reduce(DataFrame.unionByName, [old.select("gram") for _, old in self.runs])
+            hits.append(run.where("n = 1").select("gram").join(older, "gram", "left_semi"))
+        # of what stands once in the batch and again in a run; both kinds are disjoint
+        found = self.scratch.table(f"hits{self.made}", reduce(DataFrame.unionByName, hits))
         self.runs.append((name, run))
-        if len(self.runs) > self.most_runs:
-            self.compact()
         return found
 
     def compact(self) -> None:
@@ -79,38 +86,78 @@ def batches_by_id(docs: DataFrame, n: int) -> list[DataFrame]:
     return parts
 
 
-def repeated_spans(docs: DataFrame, candidates: DataFrame, shape: Shape, scratch: Scratch) -> DataFrame:
-    """(doc_id, th, a, b): words a to b of windows that stand earlier. docs: doc_id, th, text."""
-    spark = docs.sparkSession
-    bitmap = spark.sparkContext.broadcast(windows.bitmap_of(candidates, "gram"))
+def repeated_spans(docs: DataFrame, candidates: DataFrame, shape: Shape, scratch: Scratch, most: int = 20_000) -> tuple[DataFrame, Broadcast]:
+    """(doc_id, th, a, b): words a to b of windows that stand earlier. docs: doc_id, th, text. And the filter that they still need."""
+    bitmap = windows.filter_of(candidates, "gram")
     found = scratch.table("entries", windows.entries(docs, shape, bitmap))
+    bitmap.destroy()
     kinds = scratch.table("classes", windows.classes(found))
+    scratch.drop()
     # all members of a class but the first: each of their windows stands earlier
-    first = lambda c: F.col(f"first.{c}")
-    later = found.alias("f").join(kinds.where("n > 1").select(*CLASS, "first").alias("k"), CLASS)
-    later = later.where(~F.struct(*DOC, "place").eqNullSafe(F.col("first")))
-    whole = later.select(*DOC, (F.col("place") - F.col("hi")).alias("a"), (F.col("place") - F.col("lo") + shape.size).alias("b"))
+    later = found.join(kinds.where("n > 1").select(*CLASS, "first"), CLASS)
+    whole = windows.whole_spans(later.where(~F.struct(*DOC, "at").eqNullSafe(F.col("first"))), shape)
     # the first members, where other classes have the gram: window by window
-    wanted = kinds.where("not alone").select(*CLASS, *[first(c).alias(c) for c in [*DOC, "place"]])
+    wanted = kinds.where("not alone").select("gram", *[F.col(f"first.{c}").alias(c) for c in [*DOC, "at"]], "kinds")
 
     def window_hashes(e, ok, sums, values):
         import pyarrow as pa
 
-        n = (e.hi - e.lo + 1)[ok].astype(np.int64)
+        n = (e.hi - e.lo + 1)[ok]
         ends = np.cumsum(n)
-        starts = np.repeat(e.at[ok] - e.hi[ok] - (ends - n), n) + np.arange(n.sum())
+        starts = np.repeat(e.here[ok] - e.hi[ok] - (ends - n), n) + np.arange(n.sum())
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(windows.span_hash(sums, starts, starts + shape.size).view(np.int64)))
 
-    looked = windows.looked_up(docs, wanted, shape, spark, "array<long>", window_hashes)
+    looked, bitmap = windows.looked_up(docs, wanted, shape, "array<long>", window_hashes)
+    small, large = looked.where(F.col("kinds") <= most), looked.where(F.col("kinds") > most)
+    spans = whole.unionByName(_grouped_windows(small, shape))
+    # only where there is such a group: else the texts would be read once more for nothing
+    if not kinds.where(F.col("kinds") > most).isEmpty():
+        spans = spans.unionByName(_counted_windows(scratch.table("large", large), shape))
+    return spans, bitmap
+
+
+def _grouped_windows(looked: DataFrame, shape: Shape) -> DataFrame:
+    """Spans of windows that stand earlier in another row of their gram, all rows of a gram in one task. looked: gram, DOC, at, payload (hashes of the row's windows)."""
+    kind = looked.schema["doc_id"].dataType.simpleString()
+
+    def made(batches):
+        import pyarrow as pa
+
+        for table in windows.whole_groups(batches, 10_000):  # rows of a gram in their order
+            place, _, hi = windows.unpacked(table.column("at").to_numpy())
+            lists = table.column("payload").combine_chunks()
+            n = np.diff(lists.offsets.to_numpy())
+            hashes = lists.flatten().to_numpy()
+            row = np.repeat(np.arange(len(n)), n)
+            back = hi[row] - (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n))
+            grams = table.column("gram").to_numpy()[row]
+            order = np.lexsort((hashes, back, grams))  # stable: equal windows stay in the order of their rows
+            a, b = order[1:], order[:-1]
+            again = np.zeros(len(row) + 2, bool)
+            again[1 + a[(hashes[a] == hashes[b]) & (back[a] == back[b]) & (grams[a] == grams[b])]] = True
+            # runs within a row
+            fresh = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.zeros(0, bool)
+            starts = np.flatnonzero(again[1:-1] & (~again[:-2] | fresh))
+            ends = np.flatnonzero(again[1:-1] & (~again[2:] | np.append(fresh[1:], True)))
+            at = row[starts]
+            yield pa.RecordBatch.from_arrays([*(table.column(c).take(pa.array(at)).combine_chunks() for c in DOC), pa.array(place[at] - back[starts]), pa.array(place[at] - back[ends] + shape.size)], [*DOC, "a", "b"])
+
+    dealt = looked.select("gram", *DOC, "at", "payload").repartition("gram").sortWithinPartitions("gram", F.col("doc_id").asc_nulls_first(), "th", "at")
+    return dealt.mapInArrow(made, f"doc_id {kind}, th long, a long, b long")
+
+
+def _counted_windows(looked: DataFrame, shape: Shape) -> DataFrame:
+    """The same for groups of any size: window by window in shuffles with partial aggregation."""
+    place, _, hi = windows.unpacked(F.col("at"))
     # the i-th window begins hi - i units before the anchor
-    each = scratch.table("windows", looked.select("gram", *DOC, "place", "hi", F.posexplode("payload").alias("i", "w")).select("gram", *DOC, (F.col("place") - F.col("hi") + F.col("i")).alias("a"), (F.col("hi") - F.col("i")).alias("l"), "w"))
+    each = looked.select("gram", *DOC, "at", F.posexplode("payload").alias("i", "w")).select("gram", *DOC, (place - hi + F.col("i")).alias("a"), (hi - F.col("i")).cast("int").alias("l"), "w")
     key = ["gram", "l", "w"]
     firsts = each.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*DOC, "a")).alias("first")).where("n > 1")
     again = each.join(firsts.select(*key, "first"), key).where(~F.struct(*DOC, "a").eqNullSafe(F.col("first")))
-    return whole.unionByName(again.select(*DOC, "a", (F.col("a") + shape.size).alias("b")))
+    return again.select(*DOC, "a", (F.col("a") + shape.size).alias("b"))
 
 
-def remove_words(docs: DataFrame, spans: DataFrame, with_text: bool = False) -> DataFrame:
+def remove_words(docs: DataFrame, spans: tuple[DataFrame, Broadcast], scratch: Scratch, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and the kept words, joined by a space)."""
 
     def kept(batches):
@@ -132,13 +179,15 @@ def remove_words(docs: DataFrame, spans: DataFrame, with_text: bool = False) ->
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: 4 + with_text])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return windows.joined_spans(docs, spans).select("doc_id", "text", "spans").mapInArrow(kept, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
+    return windows.joined_spans(docs, spans, scratch).select("doc_id", "text", "spans").mapInArrow(kept, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
 
 
-def dedup(docs: DataFrame, shape: Shape = DEFAULT, batches: int = 3, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, shape: Shape = DEFAULT, batches: int = 3, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, most: int = 20_000) -> DataFrame:
     """The documents without words of windows that stand earlier, the index filled batch by batch in the order of ids."""
     scratch = Scratch(docs.sparkSession, "substrings")
     docs = windows.named(docs, id_col, text_col)
     index = FingerprintIndex(scratch, shape)
     candidates = reduce(DataFrame.unionByName, [index.add(b) for b in batches_by_id(docs, batches)])
-    return remove_words(docs, repeated_spans(docs, candidates, shape, scratch), with_text)
+    # the next batch would need the runs, but there is none
+    scratch.drop(*[name for name, _ in index.runs])
+    return remove_words(docs, repeated_spans(docs, candidates, shape, scratch, most), scratch, with_text)

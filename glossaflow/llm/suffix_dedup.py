@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -163,7 +164,7 @@ def repeated_windows(before: list[bytes], after: list[bytes], groups: list[list[
 
 
 def _sorted_groups(found: DataFrame, shape: Shape) -> DataFrame:
-    """found: CLASS, DOC, place, n, payload (the stretch of the entry). Spans of repeated windows of its rows with n = 1. All rows of a gram are in one task."""
+    """found: gram, DOC, at, n, payload (the stretch of the entry). Spans of repeated windows of its rows with n = 1. All rows of a gram are in one task."""
     kind = found.schema["doc_id"].dataType.simpleString()
 
     def made(batches):
@@ -173,31 +174,19 @@ def _sorted_groups(found: DataFrame, shape: Shape) -> DataFrame:
             grams = table.column("gram").to_numpy()
             cuts = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
             groups = [list(range(a, b)) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(grams)], strict=True)]
-            lo, hi = table.column("lo").to_numpy(), table.column("hi").to_numpy()
+            place, lo, hi = windows.unpacked(table.column("at").to_numpy())
             texts = table.column("payload").to_pylist()
             n = table.column("n").to_numpy()
             runs = repeated_windows([t[:h][::-1] for t, h in zip(texts, hi.tolist(), strict=True)], [t[h:] for t, h in zip(texts, hi.tolist(), strict=True)], groups, lo, hi, n > 1, shape.size)
             rows = [(i, l, m) for i, held in enumerate(runs) if n[i] == 1 for l, m in held]
             at, l, m = (np.array(x, np.int64) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64) for _ in range(3))  # noqa: E741
-            place = table.column("place").to_numpy()[at]
+            place = place[at]
             return pa.RecordBatch.from_arrays([*(table.column(c).take(pa.array(at)).combine_chunks() for c in DOC), pa.array(place - m), pa.array(place - l + shape.size)], [*DOC, "a", "b"])
 
-        held, rows = [], 0
-        for batch in batches:  # sorted by gram: whole groups are taken off once some have gathered
-            held.append(batch)
-            rows += len(batch)
-            if rows > 4000:
-                table = pa.Table.from_batches(held)
-                grams = table.column("gram").to_numpy()
-                end = int(np.searchsorted(grams, grams[-1]))
-                if end:
-                    yield portion(table.slice(0, end).combine_chunks())
-                    table = table.slice(end)
-                    held, rows = table.to_batches(), len(table)
-        if rows:
-            yield portion(pa.Table.from_batches(held).combine_chunks())
-
-    dealt = found.select("gram", "lo", "hi", *DOC, "place", "n", "payload").repartition("gram").sortWithinPartitions("gram")
+        for table in windows.whole_groups(batches, 4000):
+            yield portion(table)
+
+    dealt = found.select("gram", *DOC, "at", "n", "payload").repartition("gram").sortWithinPartitions("gram")
     return dealt.mapInArrow(made, f"doc_id {kind}, th long, a long, b long")
 
 
@@ -209,42 +198,44 @@ def _counted_windows(found: DataFrame, shape: Shape) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for i, (text, lo, hi) in enumerate(zip(batch.column("payload").to_pylist(), batch.column("lo").to_pylist(), batch.column("hi").to_pylist(), strict=True)):
+            place, los, his = windows.unpacked(batch.column("at").to_numpy())
+            for i, (text, lo, hi) in enumerate(zip(batch.column("payload").to_pylist(), los.tolist(), his.tolist(), strict=True)):
                 sums = prefix_hash(byte_values(np.frombuffer(text, np.uint8)))
                 starts = np.arange(hi - lo + 1)
                 n = pa.array(np.full(len(starts), i))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(n) for c in ["gram", *DOC, "place", "n"]), pa.array((hi - starts).astype(np.int32)), pa.array(span_hash(sums, starts, starts + shape.size).view(np.int64))], ["gram", *DOC, "place", "n", "l", "w"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(n) for c in ["gram", *DOC]), pa.array(np.full(len(starts), place[i])), batch.column("n").take(n), pa.array((hi - starts).astype(np.int32)), pa.array(span_hash(sums, starts, starts + shape.size).view(np.int64))], ["gram", *DOC, "place", "n", "l", "w"])
 
-    each = found.select("gram", *DOC, "place", "n", "lo", "hi", "payload").mapInArrow(hashed, f"gram long, doc_id {kind}, th long, place long, n long, l int, w long")
+    each = found.select("gram", *DOC, "at", "n", "payload").mapInArrow(hashed, f"gram long, doc_id {kind}, th long, place long, n long, l int, w long")
     key = ["gram", "l", "w"]
     again = each.groupBy(*key).agg(F.sum("n").alias("all")).where("all > 1").select(*key)
     return each.where("n = 1").join(again, key, "left_semi").select(*DOC, (F.col("place") - F.col("l")).alias("a"), (F.col("place") - F.col("l") + shape.size).alias("b"))
 
 
-def repeated_spans(docs: DataFrame, shape: Shape, scratch: Scratch, most: int = 5_000) -> DataFrame:
-    """(doc_id, th, a, b): bytes a to b of strings that also start elsewhere. docs: doc_id, th, text."""
-    spark = docs.sparkSession
+def repeated_spans(docs: DataFrame, shape: Shape, scratch: Scratch, most: int = 5_000) -> tuple[DataFrame, Broadcast]:
+    """(doc_id, th, a, b): bytes a to b of strings that also start elsewhere. docs: doc_id, th, text. And the filter that they still need."""
     several = windows.grams(docs, shape).groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
-    bitmap = spark.sparkContext.broadcast(windows.bitmap_of(several, "gram"))
+    bitmap = windows.filter_of(several, "gram")
     found = scratch.table("entries", windows.entries(docs, shape, bitmap))
+    bitmap.destroy()
     kinds = scratch.table("classes", windows.classes(found))
+    scratch.drop()
     # classes with several members repeat whole
     members = found.join(kinds.where("n > 1").select(*CLASS), CLASS, "left_semi")
-    whole = members.select(*DOC, (F.col("place") - F.col("hi")).alias("a"), (F.col("place") - F.col("lo") + shape.size).alias("b"))
-    wanted = kinds.where("not alone").select(*CLASS, *[F.col(f"first.{c}").alias(c) for c in [*DOC, "place"]], "n", "kinds")
+    whole = windows.whole_spans(members, shape)
+    wanted = kinds.where("not alone").select("gram", *[F.col(f"first.{c}").alias(c) for c in [*DOC, "at"]], "n", "kinds")
 
     def stretch(e, ok, sums, values):
         import pyarrow as pa
 
-        return pa.array([values_to_bytes(values[a:b]).tobytes() for a, b in zip((e.at - e.hi)[ok].tolist(), (e.at - e.lo + shape.size)[ok].tolist(), strict=True)], pa.binary())
+        return pa.array([values_to_bytes(values[a:b]).tobytes() for a, b in zip((e.here - e.hi)[ok].tolist(), (e.here - e.lo + shape.size)[ok].tolist(), strict=True)], pa.binary())
 
-    looked = windows.looked_up(docs, wanted, shape, spark, "binary", stretch)
+    looked, bitmap = windows.looked_up(docs, wanted, shape, "binary", stretch)
     small, large = looked.where(F.col("kinds") <= most), looked.where(F.col("kinds") > most)
     spans = whole.unionByName(_sorted_groups(small, shape))
     # only where there is such a group: else the texts would be read once more for nothing
     if not kinds.where(F.col("kinds") > most).isEmpty():
         spans = spans.unionByName(_counted_windows(large, shape))
-    return spans
+    return spans, bitmap
 
 
 _BYTE_OF = {int(v): i for i, v in enumerate(byte_values(np.arange(256, dtype=np.uint8)))}
@@ -257,7 +248,7 @@ def values_to_bytes(values: np.ndarray) -> np.ndarray:
     return _SORTED_BYTES[np.searchsorted(_SORTED_VALUES, values)]
 
 
-def remove_bytes(docs: DataFrame, spans: DataFrame, with_text: bool = False) -> DataFrame:
+def remove_bytes(docs: DataFrame, spans: tuple[DataFrame, Broadcast], scratch: Scratch, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes)."""
 
     def kept(batches):
@@ -276,7 +267,7 @@ def remove_bytes(docs: DataFrame, spans: DataFrame, with_text: bool = False) ->
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return windows.joined_spans(docs, spans).select("doc_id", "text", "spans").mapInArrow(kept, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    return windows.joined_spans(docs, spans, scratch).select("doc_id", "text", "spans").mapInArrow(kept, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
 
 
 def whole_characters(raw: bytes, a: int, b: int) -> tuple[int, int]:
@@ -292,9 +283,8 @@ def cut_rows(docs: DataFrame, shape: Shape = DEFAULT, id_col: str = "doc_id", te
     """The rows of docs with text_col cut, whole characters only, and n_chars_col, if there is one, counted anew. Rows that lose all their text go; rows that had none stay."""
     scratch = Scratch(docs.sparkSession, "suffixes")
     named = windows.named(docs, id_col, text_col)
-    spans = windows.spans_by_document(repeated_spans(named, shape, scratch, most)).alias("b")
-    packed = docs.select(F.struct(*docs.columns).alias("row")).select("row", F.col(f"row.{id_col}").alias("doc_id"), F.xxhash64(F.coalesce(f"row.{text_col}", F.lit(""))).alias("th"), F.col(f"row.{text_col}").alias("text")).alias("a")
-    joined = packed.join(spans, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in DOC], "left").select("a.row", "a.text", "b.spans")
+    packed = docs.select(F.struct(*docs.columns).alias("row")).select("row", F.col(f"row.{id_col}").alias("doc_id"), F.xxhash64(F.coalesce(f"row.{text_col}", F.lit(""))).alias("th"), F.col(f"row.{text_col}").alias("text"))
+    joined = windows.joined_spans(packed, repeated_spans(named, shape, scratch, most), scratch).select("row", "text", "spans")
 
     def kept(batches):
         import pyarrow as pa
@@ -321,4 +311,4 @@ def dedup(docs: DataFrame, shape: Shape = DEFAULT, id_col: str = "doc_id", text_
     """The documents without bytes of strings of shape.size bytes that also start elsewhere."""
     scratch = Scratch(docs.sparkSession, "suffixes")
     docs = windows.named(docs, id_col, text_col)
-    return remove_bytes(docs, repeated_spans(docs, shape, scratch, most), with_text)
+    return remove_bytes(docs, repeated_spans(docs, shape, scratch, most), scratch, with_text)

@@ -19,10 +19,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, mix64, prefix_hash, span_hash, text_buffer, word_spans
+from .common import Scratch, byte_values, mix64, prefix_hash, span_hash, text_buffer, word_spans
 
 #: Units handled at once; one document may have more, and is then cut into stretches that overlap by a window.
 STRETCH = 400_000
@@ -31,7 +32,10 @@ _PLACE_BITS = 21  # > log2(STRETCH + a window)
 FILTER_BITS = 27
 #: Columns that name a document: its id, and a hash of its text, as ids may repeat.
 DOC = ["doc_id", "th"]
-CLASS = ["gram", "stretch", "lo", "hi"]
+#: Columns that name a class: the gram, and a hash of all that its entries have in common.
+CLASS = ["gram", "kind"]
+#: at: place, hi and lo of an entry in one long.
+_FIELD = 16
 
 
 @dataclass(frozen=True)
@@ -42,6 +46,10 @@ class Shape:
     gram: int
     unit: str
 
+    def __post_init__(self):
+        if not 0 < self.gram <= self.size < 1 << _FIELD:
+            raise ValueError("a gram must fit a window, and a window 16 bits")
+
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """The least of each w consecutive values: block-wise running minima from both sides meet."""
@@ -59,7 +67,7 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 @dataclass
 class Entries:
-    """row: of the batch; place: of the anchor in its document; lo, hi: its windows begin at place - hi .. place - lo; at: place in the stretch at hand."""
+    """row: of the batch; place: of the anchor in its document; lo, hi: its windows begin at place - hi .. place - lo; stretch: hash of all they cover; here: place in the stretch at hand."""
 
     row: np.ndarray
     place: np.ndarray
@@ -67,7 +75,13 @@ class Entries:
     hi: np.ndarray
     gram: np.ndarray
     stretch: np.ndarray
-    at: np.ndarray
+    here: np.ndarray
+
+    def at(self) -> np.ndarray:
+        return self.place << 2 * _FIELD | self.hi << _FIELD | self.lo
+
+    def kind(self) -> np.ndarray:
+        return mix64(self.stretch.view(np.uint64) + mix64((self.hi << _FIELD | self.lo).astype(np.uint64))).view(np.int64)
 
 
 def entries_of(sums: np.ndarray, rows: np.ndarray, begins: np.ndarray, ends: np.ndarray, before: np.ndarray, shape: Shape) -> Entries | None:
@@ -88,7 +102,7 @@ def entries_of(sums: np.ndarray, rows: np.ndarray, begins: np.ndarray, ends: np.
     place, first, last = place[first], starts[first], starts[last]
     owner = np.searchsorted(begins, place, "right") - 1
     # empty stretches share their begin with the next one; searchsorted from the right takes the last, which is the one with units
-    return Entries(rows[owner], place - begins[owner] + before[owner], (place - last).astype(np.int32), (place - first).astype(np.int32), hashes[place].view(np.int64), span_hash(sums, first, last + size).view(np.int64), place)
+    return Entries(rows[owner], place - begins[owner] + before[owner], place - last, place - first, hashes[place].view(np.int64), span_hash(sums, first, last + size).view(np.int64), place)
 
 
 def stretches(column, shape: Shape) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -148,18 +162,38 @@ def word_hashes(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, most: int = 1_
         yield np.arange(a, b), span_hash(sums, starts - base, ends - base), firsts
 
 
-def allowed(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+class Filter:
+    """A bitmap of 2 ** FILTER_BITS bits; while few are set it travels as the words that are not zero."""
+
+    def __init__(self, at: np.ndarray, words: np.ndarray):
+        self._dense: np.ndarray | None = None
+        self._at, self._words = at.astype(np.uint32), words
+        if 12 * len(at) >= 8 << (FILTER_BITS - 6):
+            self._dense = self.dense()
+            self._at, self._words = self._at[:0], self._words[:0]
+        self._whole = self._dense is not None
+
+    def __getstate__(self):
+        return {**self.__dict__, "_dense": self._dense if self._whole else None}
+
+    def dense(self) -> np.ndarray:
+        if self._dense is None:
+            self._dense = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+            self._dense[self._at] = self._words
+        return self._dense
+
+
+def allowed(held: Filter, h: np.ndarray) -> np.ndarray:
+    """Which hashes the filter lets through."""
     x = h.view(np.uint64)
-    return (bitmap[(x >> np.uint64(70 - FILTER_BITS)).astype(np.intp)] >> ((x >> np.uint64(64 - FILTER_BITS)) & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return (held.dense()[(x >> np.uint64(70 - FILTER_BITS)).astype(np.intp)] >> ((x >> np.uint64(64 - FILTER_BITS)) & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def bitmap_of(hashes: DataFrame, column: str) -> np.ndarray:
-    """The filter that lets these hashes through; at most 2 ** (FILTER_BITS - 6) rows come to the driver."""
+def filter_of(hashes: DataFrame, column: str):
+    """A broadcast Filter that lets these hashes through; at most 2 ** (FILTER_BITS - 6) rows come to the driver. destroy() it once what it was used for is written."""
     words = hashes.select(F.shiftrightunsigned(column, 70 - FILTER_BITS).alias("w"), F.shiftrightunsigned(column, 64 - FILTER_BITS).bitwiseAND(F.lit(63)).cast("int").alias("b"))
     table = words.groupBy("w").agg(F.expr("bit_or(shiftleft(1L, b))").alias("v")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    out[table.column("w").to_numpy()] = table.column("v").to_numpy().view(np.uint64)
-    return out
+    return hashes.sparkSession.sparkContext.broadcast(Filter(table.column("w").to_numpy(), table.column("v").to_numpy().view(np.uint64)))
 
 
 def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -200,18 +234,18 @@ def entries(docs: DataFrame, shape: Shape, bitmap) -> DataFrame:
             for found, _, _ in _batch_entries(batch, shape):
                 ok = np.flatnonzero(allowed(bitmap.value, found.gram))
                 row = pa.array(found.row[ok])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("th").take(row), *(pa.array(x[ok]) for x in (found.place, found.lo, found.hi, found.gram, found.stretch))], [*DOC, "place", *["lo", "hi", "gram", "stretch"]])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("th").take(row), *(pa.array(x[ok]) for x in (found.at(), found.gram, found.kind()))], [*DOC, "at", *CLASS])
 
-    return docs.mapInArrow(made, f"doc_id {kind}, th long, place long, lo int, hi int, gram long, stretch long")
+    return docs.mapInArrow(made, f"doc_id {kind}, th long, at long, gram long, kind long")
 
 
-def member_hash(th: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """A hash of the place of an anchor, the same wherever it is made."""
-    return mix64(th.view(np.uint64) + mix64(place.astype(np.uint64))).view(np.int64)
+def member_hash(th: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of an entry's place, the same wherever it is made."""
+    return mix64(th.view(np.uint64) + mix64(at.astype(np.uint64))).view(np.int64)
 
 
 def member_hashes(members: DataFrame) -> DataFrame:
-    """h of each row with th and place."""
+    """h of each row with th and at."""
 
     def made(batches):
         import pyarrow as pa
@@ -219,19 +253,33 @@ def member_hashes(members: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(member_hash(batch.column(0).to_numpy(), batch.column(1).to_numpy()))], ["h"])
 
-    return members.select("th", "place").mapInArrow(made, "h long")
+    return members.select("th", "at").mapInArrow(made, "h long")
+
+
+def unpacked(at):
+    """place, lo and hi of at: of a column or an array."""
+    if isinstance(at, np.ndarray):
+        return at >> 2 * _FIELD, at & ((1 << _FIELD) - 1), at >> _FIELD & ((1 << _FIELD) - 1)
+    low = F.lit((1 << _FIELD) - 1)
+    return F.shiftright(at, 2 * _FIELD), at.bitwiseAND(low), F.shiftright(at, _FIELD).bitwiseAND(low)
+
+
+def whole_spans(members: DataFrame, shape: Shape) -> DataFrame:
+    """(doc_id, th, a, b) of all that the windows of entries cover."""
+    place, lo, hi = unpacked(F.col("at"))
+    return members.select(*DOC, (place - hi).alias("a"), (place - lo + shape.size).alias("b"))
 
 
 def classes(found: DataFrame) -> DataFrame:
     """Each class with its number of members and its first one (by id, then place), for grams that stand more than once; alone: no other class has the gram."""
-    per = found.groupBy(*CLASS).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*DOC, "place")).alias("first"))
+    per = found.groupBy(*CLASS).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*DOC, "at")).alias("first"))
     of_gram = per.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all")).where("all > 1")
     return per.join(of_gram, "gram").select(*CLASS, "n", "first", (F.col("kinds") == 1).alias("alone"), "kinds")
 
 
-def looked_up(docs: DataFrame, wanted: DataFrame, shape: Shape, spark, payload: str, take: Callable) -> DataFrame:
-    """wanted (CLASS, doc_id, th, place, ...) with payload: take(entries, indices, sums, values) gives an Arrow array. Texts are read again through a filter and not shuffled; the join removes what else it lets through."""
-    bitmap = spark.sparkContext.broadcast(bitmap_of(member_hashes(wanted), "h"))
+def looked_up(docs: DataFrame, wanted: DataFrame, shape: Shape, payload: str, take: Callable) -> tuple[DataFrame, Broadcast]:
+    """wanted (doc_id, th, at, ...) with payload: take(entries, indices, sums, values) gives an Arrow array. Texts are read again through a filter, which is returned too, and not shuffled; the join removes what else it lets through."""
+    bitmap = filter_of(member_hashes(wanted), "h")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def made(batches):
@@ -239,14 +287,35 @@ def looked_up(docs: DataFrame, wanted: DataFrame, shape: Shape, spark, payload:
 
         for batch in batches:
             for found, sums, values in _batch_entries(batch, shape):
-                ok = np.flatnonzero(allowed(bitmap.value, member_hash(batch.column("th").to_numpy()[found.row], found.place)))
+                at = found.at()
+                ok = np.flatnonzero(allowed(bitmap.value, member_hash(batch.column("th").to_numpy()[found.row], at)))
                 row = pa.array(found.row[ok])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("th").take(row), *(pa.array(x[ok]) for x in (found.place, found.lo, found.hi)), take(found, ok, sums, values)], [*DOC, "place", "lo", "hi", "payload"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("th").take(row), pa.array(at[ok]), take(found, ok, sums, values)], [*DOC, "at", "payload"])
 
-    got = docs.mapInArrow(made, f"doc_id {kind}, th long, place long, lo int, hi int, payload {payload}")
-    keys = [*DOC, "place", "lo", "hi"]
+    got = docs.mapInArrow(made, f"doc_id {kind}, th long, at long, payload {payload}")
+    keys = [*DOC, "at"]
     a, b = wanted.alias("a"), got.alias("b")
-    return a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]).select("a.*", "b.payload")
+    return a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]).select("a.*", "b.payload"), bitmap
+
+
+def whole_groups(batches, least: int):
+    """Batches sorted by gram to tables of whole groups of equal grams, with about so many rows or one group."""
+    import pyarrow as pa
+
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += len(batch)
+        if rows > least:
+            table = pa.Table.from_batches(held)
+            column = table.column("gram").to_numpy()
+            end = int(np.searchsorted(column, column[-1]))
+            if end:
+                yield table.slice(0, end).combine_chunks()
+                table = table.slice(end)
+                held, rows = table.to_batches(), len(table)
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def spans_by_document(spans: DataFrame) -> DataFrame:
@@ -254,8 +323,12 @@ def spans_by_document(spans: DataFrame) -> DataFrame:
     return spans.groupBy(*DOC).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
-def joined_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    a, b = docs.alias("a"), spans_by_document(spans).alias("b")
+def joined_spans(docs: DataFrame, found: tuple[DataFrame, Broadcast], scratch: Scratch) -> DataFrame:
+    """docs (doc_id, th, ...) with the spans of each; the spans are written, and what they were made from, with its filter, is dropped."""
+    held = scratch.table("spans", spans_by_document(found[0]))
+    found[1].destroy()
+    scratch.drop("entries", "classes", "large")
+    a, b = docs.alias("a"), held.alias("b")
     return a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in DOC], "left").select("a.*", "b.spans")
 
 
