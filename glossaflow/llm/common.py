@@ -8,6 +8,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -17,17 +18,21 @@ from pyspark.sql import functions as F
 WORD_BREAKS = " \t\n\x0b\x0c\r"
 
 
+@cache
+def _own_folder() -> str:
+    own = tempfile.mkdtemp(prefix="glossaflow-")
+    atexit.register(shutil.rmtree, own, True)
+    return f"file://{own}"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster (spark.checkpoint.dir); a folder of this machine only where none is set and the master is local."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="glossaflow-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    atexit.register(shutil.rmtree, own.removeprefix("file://"), True)
-    return own
+    return _own_folder()
 
 
 class Scratch:

@@ -86,14 +86,15 @@ def within(queries: DataFrame, index: DataFrame, radius: int, blocks: int | None
     return pairs.select("query", "found", "distance").distinct()
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells: int = 4096, rows_in_bucket: int = 20_000) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_in_bucket: int = 4_000, most_cells: int = 65_536) -> DataFrame:
     """doc_id, _t, _next of each row: its text and that of the next row in descending order of an integer id, after the last that of the first. _key is unique and _next_key the next row's.
 
-    Ids are dealt into buckets of consecutive ids, balanced by a histogram of a bounded number of cells, and texts are shuffled once, by bucket. The first row of each bucket also goes, as a copy, to the end of the bucket before it.
+    Ids are dealt into buckets of consecutive ids, balanced by a histogram of a bounded number of cells, some for each bucket, and texts are shuffled once, by bucket. The first row of each bucket also goes, as a copy, to the end of the bucket before it.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     lo, hi, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
     lo, hi = (lo, hi) if lo is not None else (0, 0)
+    cells = min(most_cells, 1 + 8 * n // rows_in_bucket)
     width = (hi - lo) // cells + 1
     cell = F.coalesce(F.floor((F.lit(hi) - F.col("doc_id")) / F.lit(width)), F.lit(cells)).cast("int")
     held = {r[0]: r[1] for r in rows.groupBy(cell.alias("c")).count().collect()}  # at most cells + 1 rows
