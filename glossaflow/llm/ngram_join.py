@@ -6,16 +6,18 @@ Equal sets are one class, so copies never meet. Of the classes,
   common, each of a fixed size: two of them that share such a subset are linked
   by their sizes alone;
 * heavy ones scan inverted lists over their rarest n-grams: an order by
-  approximate frequency, from a sketch of bounded size over all documents, puts
-  common n-grams last, and a linked pair must share one of the first
-  n - ceil(t * n) + 1.
+  the frequency of their words, from a sketch of bounded size over all
+  documents, puts the rarest first, and a linked pair must share k of the first
+  n - ceil(t * n) + k. So a set without k shared ones is out, and of the others
+  the k - 1 that stand in most lists are.
 
 The border between them is chosen by the cost of both from the histogram of
 sizes. Candidates of a list are not all pairs: first each member is compared
 with one hub of its list, links join components, and only members of different
 components are compared further; while those would be too many, another round
 of hubs follows. What is left is compared in full, so no link between
-components is lost.
+components is lost. Pairs are first held against parity bits of both sets,
+which bound from below by how much the sets differ.
 
 Defined results: a text without words (null, empty) has no n-grams and is
 linked with nothing; a text of fewer words than n is one n-gram; repeated rows
@@ -31,15 +33,20 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, byte_values, mix64, prefix_hash, span_hash, text_buffer, word_spans
 from .components import components
-from .windows import allowed, bitmap_of, row_runs
+from .windows import Filter, allowed, filter_of, row_runs
 
 #: Counters of the sketch: 2 ** 20 of 32 bits, 4 MB whatever the corpus.
 SKETCH_BITS, SKETCH_BLOCKS = 20, 64
+#: Linked sets share at least a token for so many n-grams within their prefixes, which are longer for it.
+SHARE = 16
+#: Longs of a set's parity bits.
+PARITY = 8
+_BITS = [f"s{i}" for i in range(PARITY)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -57,31 +64,63 @@ class Join:
         """Of a set of this size with any set that it is linked with."""
         return -(-self.num * size // self.den)
 
+    def least_shared(self, size: int) -> int:
+        """Of the prefixes of two linked sets, the smaller of this size."""
+        return 1 + size // SHARE
+
     def prefix(self, size: int) -> int:
-        return size - self.least_overlap(size) + 1
+        """So many of a set's n-grams in a common order that two linked sets share at least least_shared() of the smaller within their prefixes."""
+        return min(size, size - self.least_overlap(size) + self.least_shared(size))
 
 
-def batch_sets(column, how: Join):
-    """(row, sorted distinct n-gram hashes) of every row of an Arrow text column."""
+def _spelled(column, how: Join):
+    """(first row, row after the last, hashes of words, first word of each row and the end) of portions of an Arrow text column."""
     data, lo, hi = text_buffer(column)
     for a, b in row_runs(lo, hi, 1_000_000):
         base, end = int(lo[a]), int(hi[b - 1])
         part = data[base:end]
         starts, ends, firsts = word_spans(part, lo[a:b] - base, hi[a:b] - base)
         sums = prefix_hash(byte_values(_LOWER[part] if how.lower else part))
-        words = prefix_hash(span_hash(sums, starts, ends))
-        last = np.maximum(len(starts) - how.n + 1, 0)
-        grams = span_hash(words, np.arange(last), np.arange(last) + how.n)
-        for row in range(a, b):
-            first, stop = int(firsts[row - a]), int(firsts[row - a + 1])
-            n = stop - first
-            if n >= how.n:
-                got = np.sort(grams[first : stop - how.n + 1])
-                yield row, got[np.concatenate([[True], got[1:] != got[:-1]])]
-            elif n:
-                yield row, span_hash(words, np.array([first]), np.array([stop]))
-            else:
-                yield row, grams[:0]
+        yield a, b, span_hash(sums, starts, ends), firsts
+
+
+def _grams(words: np.ndarray, firsts: np.ndarray, n: int):
+    """(index of the row, first gram, gram after the last, hashes of all grams); a row of fewer words than n has its whole sequence."""
+    sums = prefix_hash(words)
+    last = np.arange(max(len(words) - n + 1, 0))
+    grams = span_hash(sums, last, last + n)
+    for i, (first, stop) in enumerate(zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True)):
+        if stop - first >= n:
+            yield i, first, stop - n + 1, grams
+        elif stop > first:
+            yield i, 0, 1, span_hash(sums, np.array([first]), np.array([stop]))
+        else:
+            yield i, 0, 0, grams
+
+
+def batch_sets(column, how: Join):
+    """(row, sorted distinct n-gram hashes) of every row of an Arrow text column."""
+    for a, _, words, firsts in _spelled(column, how):
+        for i, first, stop, grams in _grams(words, firsts, how.n):
+            got = np.sort(grams[first:stop])
+            yield a + i, got[np.concatenate([[True], got[1:] != got[:-1]])] if len(got) else got
+
+
+def ordered_sets(column, how: Join, counts: np.ndarray):
+    """(row, sorted distinct n-gram hashes, their places in the common order) of every row with words. The order is that of the product of their words' frequencies, which is how often chance would repeat an n-gram."""
+    for a, _, words, firsts in _spelled(column, how):
+        rarity = np.log2(1.0 + counts[(words >> np.uint64(64 - SKETCH_BITS)).astype(np.intp)])
+        sums = np.concatenate([[0.0], np.cumsum(rarity)])
+        last = max(len(words) - how.n + 1, 0)
+        chance = np.clip((sums[how.n : how.n + last] - sums[:last]) * 32, 0, (1 << 20) - 1).astype(np.uint64)
+        for i, first, stop, grams in _grams(words, firsts, how.n):
+            if stop == first:
+                continue
+            got, at = np.unique(grams[first:stop], return_index=True)
+            key = got & np.uint64((1 << 40) - 1)
+            if firsts[i + 1] - firsts[i] >= how.n:
+                key = key | chance[first + at] << np.uint64(40)
+            yield a + i, got, key
 
 
 def set_id(grams: np.ndarray) -> int:
@@ -91,7 +130,7 @@ def set_id(grams: np.ndarray) -> int:
 
 
 def described(docs: DataFrame, how: Join) -> DataFrame:
-    """A row for each document (doc_id, dh, n, sid) and, with null dh, the task's part of the sketch by block."""
+    """A row for each document (doc_id, dh, n, sid) and, with a block, the task's part of the sketch of word frequencies."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def made(batches):
@@ -102,17 +141,14 @@ def described(docs: DataFrame, how: Join) -> DataFrame:
         doc_type = pa.int64()
         for batch in batches:
             doc_type = batch.column("doc_id").type
-            n, sid, held, size = [], [], [], 0
-            for _, grams in batch_sets(batch.column("text"), how):
-                n.append(len(grams))
-                sid.append(set_id(grams) if len(grams) else 0)
-                held.append(grams)
-                size += len(grams)
-                if size > 1_000_000:
-                    sketch += np.bincount((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.intp), minlength=len(sketch)).astype(np.uint32)
-                    held, size = [], 0
-            if held:
-                sketch += np.bincount((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.intp), minlength=len(sketch)).astype(np.uint32)
+            n, sid = [], []
+            for _, _, words, firsts in _spelled(batch.column("text"), how):
+                sketch += np.bincount((words >> np.uint64(64 - SKETCH_BITS)).astype(np.intp), minlength=len(sketch)).astype(np.uint32)
+                for _, first, stop, grams in _grams(words, firsts, how.n):
+                    got = np.sort(grams[first:stop])
+                    got = got[np.concatenate([[True], got[1:] != got[:-1]])] if len(got) else got
+                    n.append(len(got))
+                    sid.append(set_id(got) if len(got) else 0)
             rows = len(batch)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("dh"), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
         if sketch.any():
@@ -157,46 +193,69 @@ def border(sizes: dict[int, int], how: Join, scan_cost: float = 8.0, most: int =
     return min(range(most + 1), key=cost)
 
 
-def postings(docs: DataFrame, how: Join, sketch, light: int) -> DataFrame:
-    """(token, heavy, c, sid, n, place): subsets of size c of light sets, and the rarest n-grams of all sets that a heavy one may meet."""
+def _postings(column, how: Join, counts: np.ndarray, light: int):
+    """(token, c, sid, n, place) arrays of portions of an Arrow text column, each set once: subsets of size c of light sets, and with c = 0 the first n-grams in the common order of all sets that a heavy one may meet."""
+    seen: set[int] = set()
+    for rows in _portions(ordered_sets(column, how, counts), 200_000):
+        held: list[tuple] = []
+        for _, grams, order in rows:
+            size, name = len(grams), set_id(grams)
+            if name in seen:
+                continue
+            seen.add(name)
+            if size <= light:
+                for k in range(how.least_overlap(size), size + 1):
+                    subsets = np.array([set_id(grams[list(x)]) for x in combinations(range(size), k)], np.int64)
+                    held.append((subsets, k, name, size, np.zeros(len(subsets), np.int32)))
+            if size > light or size >= how.least_overlap(light + 1):
+                p = how.prefix(size)
+                few = np.argpartition(order, p - 1)[:p] if p < size else np.arange(size)
+                few = few[np.argsort(order[few], kind="stable")]
+                held.append((grams[few].view(np.int64), 0, name, size, np.arange(p, dtype=np.int32)))
+        if held:
+            lengths = [len(x[0]) for x in held]
+            spread = lambda i, t: np.repeat(np.array([x[i] for x in held], t), lengths)
+            yield np.concatenate([x[0] for x in held]), spread(1, np.int32), spread(2, np.int64), spread(3, np.int32), np.concatenate([x[4] for x in held])
+
+
+def _firsts_only(batch, bitmap: Filter):
+    """The texts of the documents that a filter of dh lets through."""
+    import pyarrow as pa
+
+    return batch.column("text").take(pa.array(np.flatnonzero(allowed(bitmap, batch.column("dh").to_numpy()))))
+
+
+def tokens(docs: DataFrame, how: Join, sketch, light: int, firsts) -> DataFrame:
+    """(token, n): how many sets of a batch have the token, by batch. Only documents that the filter firsts lets through are looked at."""
 
     def made(batches):
         import pyarrow as pa
 
-        counts = sketch.value
         for batch in batches:
-            seen: set[int] = set()
-            for rows in _portions(batch_sets(batch.column("text"), how), 200_000):
-                token, c, sid, n, place = [], [], [], [], []
-                for _, grams in rows:
-                    size = len(grams)
-                    name = set_id(grams) if size else 0
-                    if not size or name in seen:
-                        continue
-                    seen.add(name)
-                    if size <= light:
-                        for k in range(how.least_overlap(size), size + 1):
-                            subsets = np.array([set_id(grams[list(x)]) for x in combinations(range(size), k)], np.int64)
-                            token.append(subsets)
-                            c.append(np.full(len(subsets), k))
-                            place.append(np.zeros(len(subsets), np.int64))
-                            sid.append(np.full(len(subsets), name))
-                            n.append(np.full(len(subsets), size))
-                    if size > light or size >= how.least_overlap(light + 1):
-                        order = np.minimum(counts[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.intp)], (1 << 24) - 1).astype(np.uint64) << np.uint64(40) | grams & np.uint64((1 << 40) - 1)
-                        p = how.prefix(size)
-                        few = np.argpartition(order, p - 1)[:p] if p < size else np.arange(size)
-                        few = few[np.argsort(order[few], kind="stable")]
-                        token.append(grams[few].view(np.int64))
-                        c.append(np.zeros(p, np.int64))
-                        place.append(np.arange(p))
-                        sid.append(np.full(p, name))
-                        n.append(np.full(p, size))
-                if token:
-                    token, c, sid, n, place = (np.concatenate(x) for x in (token, c, sid, n, place))
-                    yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(c.astype(np.int32)), pa.array(sid), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32))], ["token", "c", "sid", "n", "place"])
-
-    return docs.select("text").mapInArrow(made, "token long, c int, sid long, n int, place int")
+            for token, *_ in _postings(_firsts_only(batch, firsts.value), how, sketch.value, light):
+                t, n = np.unique(token, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(n.astype(np.int32))], ["token", "n"])
+
+    return docs.select("dh", "text").mapInArrow(made, "token long, n int").groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def postings(docs: DataFrame, how: Join, sketch, light: int, firsts, shared) -> DataFrame:
+    """(token, c, sid, n, place) of tokens that the filter shared lets through, for sets with enough of them."""
+
+    def made(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for token, *rest in _postings(_firsts_only(batch, firsts.value), how, sketch.value, light):
+                ok = allowed(shared.value, token)
+                # of a set that shares fewer tokens than any link has, nothing is dealt
+                c, name, size, _ = rest
+                starts = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (c[1:] != c[:-1])]))
+                enough = np.add.reduceat(ok, starts, dtype=np.int64) >= [1 if k else how.least_shared(how.least_overlap(n)) for k, n in zip(c[starts].tolist(), size[starts].tolist(), strict=True)]
+                ok &= np.repeat(enough, np.diff(np.append(starts, len(token))))
+                yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (token, *rest)], ["token", "c", "sid", "n", "place"])
+
+    return docs.select("dh", "text").mapInArrow(made, "token long, c int, sid long, n int, place int")
 
 
 def _portions(items, most: int):
@@ -218,20 +277,45 @@ def _may_link(a: str, b: str, how: Join) -> Column:
     return (how.den * F.least(na, nb) >= how.num * F.greatest(na, nb)) & (how.den * most >= how.num * (na + nb - most))
 
 
-def sets_of(docs: DataFrame, firsts: DataFrame, how: Join) -> DataFrame:
-    """(sid, grams) of the classes in firsts (sid, n, dh: of one of its documents). Texts are read through a filter and not shuffled."""
-    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(firsts, "dh"))
+def parity_bits(grams: np.ndarray) -> np.ndarray:
+    """Bit i of PARITY longs: whether an odd number of n-grams falls on it. Bits in which two sets differ are at most as many as n-grams that only one of them has."""
+    odd = np.bincount((grams & np.uint64(64 * PARITY - 1)).astype(np.intp), minlength=64 * PARITY).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
+def sets_of(docs: DataFrame, bitmap, how: Join) -> DataFrame:
+    """(sid, parity bits, grams) of the classes of which the filter lets a document through. Texts are read through a filter and not shuffled."""
 
     def made(batches):
         import pyarrow as pa
 
         for batch in batches:
-            ok = pa.array(np.flatnonzero(allowed(bitmap.value, batch.column("dh").to_numpy())))
-            few = batch.take(ok)
-            for part in _portions(batch_sets(few.column("text"), how), 500_000):
-                yield pa.RecordBatch.from_arrays([few.column("dh").take(pa.array([r for r, _ in part])), pa.array([g.tobytes() for _, g in part], pa.binary())], ["dh", "grams"])
+            for part in _portions(batch_sets(_firsts_only(batch, bitmap.value), how), 500_000):
+                part = [g for _, g in part if len(g)]
+                bits = np.array([parity_bits(g) for g in part], np.int64).reshape(-1, PARITY)
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(g) for g in part], pa.int64()), *(pa.array(bits[:, i].copy()) for i in range(PARITY)), pa.array([g.tobytes() for g in part], pa.binary())], ["sid", *_BITS, "grams"])
+
+    return docs.select("dh", "text").mapInArrow(made, "sid long, " + ", ".join(f"{c} long" for c in _BITS) + ", grams binary")
+
+
+def _bits_allow(how: Join) -> Column:
+    """Whether two sets a, b may be linked by their parity bits."""
+    differ = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in _BITS), F.lit(0))
+    return differ * (how.den + how.num) <= (F.col("an") + F.col("bn")) * (how.den - how.num)
+
+
+def _least_shared(size: Column) -> Column:
+    """Join.least_shared() of a column."""
+    return 1 + F.floor(size / SHARE)
+
 
-    return docs.select("dh", "text").mapInArrow(made, "dh long, grams binary").join(firsts.select("sid", "dh"), "dh").select("sid", "grams")
+def pruned(heavy: DataFrame, how: Join) -> DataFrame:
+    """Postings (a written table) without those that link nothing: tokens of one set, sets that share fewer tokens with all others than any link has, and of each set its most common tokens, as many as that minimum less one: a linked pair still has a token left. shared: how many of a set's tokens others have."""
+    in_lists = heavy.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    of_set = Window.partitionBy("sid")  # at most a set's prefix
+    ranked = heavy.join(in_lists, "token").select("*", F.row_number().over(of_set.orderBy("m", "token")).alias("rank"), F.count(F.lit(1)).over(of_set).cast("int").alias("shared"))
+    least = _least_shared(F.ceil(F.col("n") * how.num / how.den))
+    return ranked.where(F.col("rank") <= F.col("shared") - least + 1).drop("m", "rank")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, how: Join, hub_rows: int = 2_000) -> DataFrame:
@@ -265,7 +349,7 @@ def verified(pairs: DataFrame, sets: DataFrame, how: Join, hub_rows: int = 2_000
     return dealt.mapInArrow(compared, "u long, v long")
 
 
-def linked(docs: DataFrame, how: Join, scratch: Scratch, most_rounds: int = 6, pair_budget: int = 20) -> tuple[DataFrame, DataFrame]:
+def linked(docs: DataFrame, how: Join, scratch: Scratch, most_rounds: int = 4, pair_budget: int = 64) -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, dh, n, sid; links: u, v between classes, enough to connect all that are linked). docs: doc_id, dh, text."""
     spark = docs.sparkSession
     table = scratch.table("described", described(docs, how))
@@ -274,50 +358,72 @@ def linked(docs: DataFrame, how: Join, scratch: Scratch, most_rounds: int = 6, p
     sizes = {r[0]: r[1] for r in per_class.where("n <= 64").groupBy("n").count().collect()}  # at most 64 rows
     light = border(sizes, how)
     sketch = spark.sparkContext.broadcast(sketch_of(table))
-    # lists of one member link nothing
-    every = postings(docs, how, sketch, light).groupBy("token", "c", "sid").agg(F.min("n").alias("n"), F.min("place").alias("place"))
-    every = every.repartition("token")
-    in_list = every.groupBy("token", "c").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    lists = scratch.table("lists", every.join(in_list.select("token", "c"), ["token", "c"]))
+    # one document of each class stands for it; tokens of one class link nothing and are left out before anything is dealt
+    stand = filter_of(per_class, "dh")
+    several = filter_of(tokens(docs, how, sketch, light, stand).where("n > 1"), "token")
+    scratch.drop()
+    every = postings(docs, how, sketch, light, stand, several)
+    lists = scratch.table("lists", every.groupBy("token", "sid").agg(F.min("c").alias("c"), F.min("n").alias("n"), F.min("place").alias("place")))
+    for held in (sketch, stand, several):
+        held.destroy()
     # light: the smallest set of a list is linked with every other that any member could be linked with
     small = lists.where("c > 0")
-    hub = small.groupBy("token", "c").agg(F.min(F.struct("n", "sid")).alias("hub"))
-    links = [small.join(hub, ["token", "c"]).where((F.col("sid") != F.col("hub.sid")) & (how.den * F.col("c") >= how.num * (F.col("n") + F.col("hub.n") - F.col("c")))).select(F.col("hub.sid").alias("u"), F.col("sid").alias("v")).distinct()]
+    hub = small.groupBy("token").agg(F.min(F.struct("n", "sid")).alias("hub"))
+    links = [small.join(hub, "token").where((F.col("sid") != F.col("hub.sid")) & (how.den * F.col("c") >= how.num * (F.col("n") + F.col("hub.n") - F.col("c")))).select(F.col("hub.sid").alias("u"), F.col("sid").alias("v")).distinct()]
     links = [scratch.table("links-light", links[0])]
     # heavy
-    heavy = lists.where("c = 0").select("token", "sid", "n", "place")
-    members = heavy.select("sid").distinct()
-    firsts = per_class.join(members, "sid").select("sid", "n", "dh")
-    sets = scratch.table("sets", sets_of(docs, firsts, how))
+    heavy = scratch.table("heavy", pruned(lists.where("c = 0").select("token", "sid", "n", "place"), how))
+    scratch.drop("lists")
+    firsts = per_class.join(heavy.select("sid").distinct(), "sid").select("sid", "n", "dh")
+    wanted = filter_of(firsts, "dh")
+    sets = scratch.table("sets", sets_of(docs, wanted, how))
+    wanted.destroy()
+    # an own table, as it is read often and the sets are large
+    bits = scratch.table("bits", sets.select("sid", *_BITS).dropDuplicates(["sid"]))
     tested: list[DataFrame] = []
-    state = heavy.withColumn("comp", F.col("sid"))
+    state, before = heavy.withColumn("comp", F.col("sid")), 0
     for r in range(most_rounds + 1):
-        if r:
-            known = components(reduce(DataFrame.unionByName, links), scratch, f"round{r}")
-            state = scratch.table(f"state{r}", heavy.join(known.select(F.col("node").alias("sid"), "component"), "sid", "left").select("token", "sid", "n", "place", F.coalesce("component", "sid").alias("comp")))
         # members that are still in lists with several components, and what comparing all of them would cost
         per = state.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
         open_lists = per.groupBy("token").agg(F.count(F.lit(1)).alias("comps"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("cost"), F.sum("k").alias("all")).where("comps > 1")
+        open_lists = scratch.table(f"open{r}", open_lists)
         cost, rows = open_lists.agg(F.sum("cost"), F.sum("all")).first()
         if not cost:
             break
-        left = state.join(open_lists.select("token"), "token")
-        full = r == most_rounds or r > 0 and cost <= pair_budget * rows
+        left = scratch.table(f"left{r}", state.join(open_lists.select("token"), "token").join(bits, "sid"))
+        # in full where that is little, or where the last round of hubs has not made it much less
+        full = r == most_rounds or r > 0 and cost <= pair_budget * rows or r > 1 and cost > 0.7 * before
+        before = cost
+        parts = ("sid", "n", "place", "comp", *_BITS)
+        b = left.select("token", *[F.col(c).alias(f"b{c}") for c in parts])
         if full:
-            a, b = (left.select("token", *[F.col(c).alias(f"{x}{c}") for c in ("sid", "n", "place", "comp")]) for x in "ab")
-            pairs = a.join(b, (a["token"] == b["token"]) & (F.col("asid") < F.col("bsid")) & (F.col("acomp") != F.col("bcomp")) & _may_link("a", "b", how))
+            a = left.select("token", *[F.col(c).alias(f"a{c}") for c in parts])
+            met = a.join(b, (a["token"] == b["token"]) & (F.col("asid") < F.col("bsid")) & (F.col("acomp") != F.col("bcomp")) & _may_link("a", "b", how) & _bits_allow(how))
+            pairs = met.select(F.col("asid").alias("u"), F.col("bsid").alias("v")).distinct()
         else:
-            order = F.struct(F.xxhash64("sid", F.lit(r)), "sid", "n", "place", "comp")
-            hubs = left.groupBy("token").agg(F.min(order).alias("h")).select("token", *[F.col(f"h.{c}").alias(f"a{c}") for c in ("sid", "n", "place", "comp")])
-            pairs = left.select("token", *[F.col(c).alias(f"b{c}") for c in ("sid", "n", "place", "comp")]).join(hubs, "token").where((F.col("asid") != F.col("bsid")) & (F.col("acomp") != F.col("bcomp")) & _may_link("a", "b", how))
-        pairs = pairs.select(F.col("asid").alias("u"), F.col("bsid").alias("v")).distinct()
+            # each list has a hub, in even rounds the set that shares most of its tokens; each member meets the one hub that it shares most lists with
+            order = F.struct((-F.col("shared") / F.col("n") if r % 2 == 0 else F.lit(0.0)).alias("o"), F.xxhash64("sid", F.lit(r)).alias("h"), *parts)
+            hubs = left.groupBy("token").agg(F.min(order).alias("h")).select("token", *[F.col(f"h.{c}").alias(f"a{c}") for c in parts])
+            met = b.join(hubs, "token").where((F.col("asid") != F.col("bsid")) & (F.col("acomp") != F.col("bcomp")) & _may_link("a", "b", how) & _bits_allow(how))
+            best = met.groupBy("asid", "bsid").agg(F.count(F.lit(1)).alias("k")).groupBy("bsid").agg(F.max(F.struct("k", "asid")).alias("x"))
+            pairs = best.select(F.col("x.asid").alias("u"), F.col("bsid").alias("v"))
         for old in tested:
             pairs = pairs.join(old, ["u", "v"], "left_anti").join(old.select(F.col("u").alias("v"), F.col("v").alias("u")), ["u", "v"], "left_anti")
         pairs = scratch.table(f"pairs{r}", pairs)
+        scratch.drop(f"left{r}", f"open{r}")
         tested.append(pairs)
-        links.append(scratch.table(f"links{r}", verified(pairs, sets, how)))
+        links.append(scratch.table(f"links{r}", verified(pairs, sets.select("sid", "grams"), how)))
         if full:
             break
+        # labels need not be whole components here: each goes to the least one that it is linked with, and that one's
+        label = state.select("sid", "comp").distinct()
+        ends = links[-1].join(label.select(F.col("sid").alias("u"), F.col("comp").alias("cu")), "u").join(label.select(F.col("sid").alias("v"), F.col("comp").alias("cv")), "v").where("cu <> cv")
+        step = ends.select(F.greatest("cu", "cv").alias("comp"), F.least("cu", "cv").alias("to")).groupBy("comp").agg(F.min("to").alias("to"))
+        step = scratch.table(f"step{r}", step)
+        jump = step.join(step.select(F.col("comp").alias("to"), F.col("to").alias("on")), "to", "left").select("comp", F.coalesce("on", "to").alias("to"))
+        state = scratch.table(f"state{r + 1}", state.join(jump, "comp", "left").select("token", "sid", "n", "place", "shared", F.coalesce("to", "comp").alias("comp")))
+        scratch.drop(f"state{r}")
+    scratch.drop("sets", "bits", "heavy", *[f"pairs{r}" for r in range(len(tested))])
     return of_docs, reduce(DataFrame.unionByName, links)
 
 
@@ -328,6 +434,7 @@ def with_components(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id",
     named = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("dh"), text.alias("text"))
     of_docs, links = linked(named, how, scratch, **limits)
     nodes = components(links, scratch, "last")
+    scratch.drop("links-light")
     classes = of_docs.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
     classes = classes.join(nodes.select(F.col("node").alias("sid"), "component"), "sid", "left").select("sid", "least", F.coalesce("component", "sid").alias("component"))
     groups = classes.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -28,6 +28,7 @@ import numpy as np
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from . import windows
 from .common import WORD_BREAKS, Scratch
@@ -73,8 +74,10 @@ class FingerprintIndex:
 
 
 def batches_by_id(docs: DataFrame, n: int) -> list[DataFrame]:
-    """docs in n parts of consecutive ids (null ids in the first), with about as many rows each."""
-    cuts = docs.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.01) if n > 1 else []
+    """docs in n parts of consecutive ids (null ids in the first), with about as many rows each; in one part if ids are no numbers."""
+    if n < 2 or not isinstance(docs.schema["doc_id"].dataType, NumericType):
+        return [docs]
+    cuts = docs.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.01)
     if not cuts:
         return [docs]
     edges = [None, *sorted(set(cuts)), None]
