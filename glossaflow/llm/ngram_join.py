@@ -13,7 +13,7 @@ Equal sets are one class, so copies never meet. Of the classes,
 
 The border between them is chosen by the cost of both from the histogram of
 sizes. Candidates of a list are not all pairs: first each member is compared
-with one hub of its list, links join components, and only members of different
+with one of its list's hubs, links join components, and only members of different
 components are compared further; while those would be too many, another round
 of hubs follows. What is left is compared in full, so no link between
 components is lost. Pairs are first held against parity bits of both sets,
@@ -46,6 +46,8 @@ SKETCH_BITS, SKETCH_BLOCKS = 20, 64
 SHARE = 16
 #: Longs of a set's parity bits.
 PARITY = 8
+#: Hubs of a list in a round.
+HUBS = 32
 _BITS = [f"s{i}" for i in range(PARITY)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -298,10 +300,14 @@ def sets_of(docs: DataFrame, bitmap, how: Join) -> DataFrame:
     return docs.select("dh", "text").mapInArrow(made, "sid long, " + ", ".join(f"{c} long" for c in _BITS) + ", grams binary")
 
 
+def _differ() -> Column:
+    """In how many parity bits two sets a, b differ."""
+    return sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in _BITS), F.lit(0))
+
+
 def _bits_allow(how: Join) -> Column:
     """Whether two sets a, b may be linked by their parity bits."""
-    differ = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in _BITS), F.lit(0))
-    return differ * (how.den + how.num) <= (F.col("an") + F.col("bn")) * (how.den - how.num)
+    return _differ() * (how.den + how.num) <= (F.col("an") + F.col("bn")) * (how.den - how.num)
 
 
 def _least_shared(size: Column) -> Column:
@@ -349,7 +355,7 @@ def verified(pairs: DataFrame, sets: DataFrame, how: Join, hub_rows: int = 2_000
     return dealt.mapInArrow(compared, "u long, v long")
 
 
-def linked(docs: DataFrame, how: Join, scratch: Scratch, most_rounds: int = 4, pair_budget: int = 64) -> tuple[DataFrame, DataFrame]:
+def linked(docs: DataFrame, how: Join, scratch: Scratch, most_rounds: int = 6, pair_budget: int = 16) -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, dh, n, sid; links: u, v between classes, enough to connect all that are linked). docs: doc_id, dh, text."""
     spark = docs.sparkSession
     table = scratch.table("described", described(docs, how))
@@ -392,7 +398,7 @@ def linked(docs: DataFrame, how: Join, scratch: Scratch, most_rounds: int = 4, p
             break
         left = scratch.table(f"left{r}", state.join(open_lists.select("token"), "token").join(bits, "sid"))
         # in full where that is little, or where the last round of hubs has not made it much less
-        full = r == most_rounds or r > 0 and cost <= pair_budget * rows or r > 1 and cost > 0.7 * before
+        full = r == most_rounds or r > 0 and cost <= pair_budget * rows or r > 1 and cost > 0.9 * before
         before = cost
         parts = ("sid", "n", "place", "comp", *_BITS)
         b = left.select("token", *[F.col(c).alias(f"b{c}") for c in parts])
@@ -401,11 +407,12 @@ def linked(docs: DataFrame, how: Join, scratch: Scratch, most_rounds: int = 4, p
             met = a.join(b, (a["token"] == b["token"]) & (F.col("asid") < F.col("bsid")) & (F.col("acomp") != F.col("bcomp")) & _may_link("a", "b", how) & _bits_allow(how))
             pairs = met.select(F.col("asid").alias("u"), F.col("bsid").alias("v")).distinct()
         else:
-            # each list has a hub, in even rounds the set that shares most of its tokens; each member meets the one hub that it shares most lists with
-            order = F.struct((-F.col("shared") / F.col("n") if r % 2 == 0 else F.lit(0.0)).alias("o"), F.xxhash64("sid", F.lit(r)).alias("h"), *parts)
-            hubs = left.groupBy("token").agg(F.min(order).alias("h")).select("token", *[F.col(f"h.{c}").alias(f"a{c}") for c in parts])
+            # each list has some hubs, in the first round the sets that share most of their tokens; each member meets the one hub that its parity bits are nearest to
+            order = [(-F.col("shared") / F.col("n") if r == 0 else F.lit(0.0)), F.xxhash64("sid", F.lit(r)), F.col("sid")]
+            hubs = left.withColumn("hub", F.row_number().over(Window.partitionBy("token").orderBy(*order))).where(F.col("hub") <= HUBS)
+            hubs = hubs.select("token", *[F.col(c).alias(f"a{c}") for c in parts])
             met = b.join(hubs, "token").where((F.col("asid") != F.col("bsid")) & (F.col("acomp") != F.col("bcomp")) & _may_link("a", "b", how) & _bits_allow(how))
-            best = met.groupBy("asid", "bsid").agg(F.count(F.lit(1)).alias("k")).groupBy("bsid").agg(F.max(F.struct("k", "asid")).alias("x"))
+            best = met.groupBy("bsid").agg(F.min(F.struct(_differ().alias("d"), "asid")).alias("x"))
             pairs = best.select(F.col("x.asid").alias("u"), F.col("bsid").alias("v"))
         for old in tested:
             pairs = pairs.join(old, ["u", "v"], "left_anti").join(old.select(F.col("u").alias("v"), F.col("v").alias("u")), ["u", "v"], "left_anti")
