@@ -46,7 +46,7 @@ SKETCH_BITS, SKETCH_BLOCKS = 20, 64
 SHARE = 16
 #: Longs of a set's parity bits.
 PARITY = 8
-#: Hubs of a list in a round.
+#: Hubs of a list in a round after the first.
 HUBS = 32
 _BITS = [f"s{i}" for i in range(PARITY)]
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -407,9 +407,9 @@ def linked(docs: DataFrame, how: Join, scratch: Scratch, most_rounds: int = 6, p
             met = a.join(b, (a["token"] == b["token"]) & (F.col("asid") < F.col("bsid")) & (F.col("acomp") != F.col("bcomp")) & _may_link("a", "b", how) & _bits_allow(how))
             pairs = met.select(F.col("asid").alias("u"), F.col("bsid").alias("v")).distinct()
         else:
-            # each list has some hubs, in the first round the sets that share most of their tokens; each member meets the one hub that its parity bits are nearest to
+            # each list has some hubs, in the first round over all lists one, the set that shares most of its tokens; each member meets the one hub that its parity bits are nearest to
             order = [(-F.col("shared") / F.col("n") if r == 0 else F.lit(0.0)), F.xxhash64("sid", F.lit(r)), F.col("sid")]
-            hubs = left.withColumn("hub", F.row_number().over(Window.partitionBy("token").orderBy(*order))).where(F.col("hub") <= HUBS)
+            hubs = left.withColumn("hub", F.row_number().over(Window.partitionBy("token").orderBy(*order))).where(F.col("hub") <= (1 if r == 0 else HUBS))
             hubs = hubs.select("token", *[F.col(c).alias(f"a{c}") for c in parts])
             met = b.join(hubs, "token").where((F.col("asid") != F.col("bsid")) & (F.col("acomp") != F.col("bcomp")) & _may_link("a", "b", how) & _bits_allow(how))
             best = met.groupBy("bsid").agg(F.min(F.struct(_differ().alias("d"), "asid")).alias("x"))
