@@ -27,6 +27,7 @@ ids in it are null; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
@@ -434,8 +435,8 @@ def linked(docs: DataFrame, how: Join, scratch: Scratch, most_rounds: int = 6, p
     return of_docs, reduce(DataFrame.unionByName, links)
 
 
-def with_components(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row, and dh, a hash of id and text that names the row."""
+def _found(docs: DataFrame, how: Join, id_col: str, text_col: str, **limits) -> DataFrame:
+    """doc_id, n, dh of every row, the component of its class (null without words) and the least id in it."""
     scratch = Scratch(docs.sparkSession, "ngrams")
     text = F.coalesce(F.col(text_col), F.lit(""))
     named = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("dh"), text.alias("text"))
@@ -445,14 +446,29 @@ def with_components(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id",
     classes = of_docs.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
     classes = classes.join(nodes.select(F.col("node").alias("sid"), "component"), "sid", "left").select("sid", "least", F.coalesce("component", "sid").alias("component"))
     groups = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_class = classes.join(groups, "component").select("sid", "component_id")
-    out = of_docs.join(of_class, "sid", "left")
+    of_class = classes.join(groups, "component").select("sid", "component", "component_id")
+    return of_docs.join(of_class, "sid", "left").withColumn("component", F.when(F.col("n") > 0, F.col("component")))
+
+
+def with_components(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row, and dh, a hash of id and text that names the row."""
+    out = _found(docs, how, id_col, text_col, **limits)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "dh")
 
 
+def _comparable(docs: DataFrame) -> list[Column]:
+    """The columns in an order that Spark can compare: maps and the like as strings."""
+    return [F.col(f"`{f.name}`").cast("string") if re.search(r"map<|variant|interval", f.dataType.simpleString()) else F.col(f"`{f.name}`") for f in docs.schema]
+
+
 def one_of_each(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
-    """The rows of docs, whole, without those that are linked to one with a smaller id, directly or not. Of rows that agree in id and text the first in order of all columns stays."""
-    found = with_components(docs, how, id_col, text_col, **limits)
-    keep = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("dh").alias("_dh")).distinct()
-    rows = docs.withColumn("_dh", F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
-    return rows.join(keep, "_dh", "left_semi").drop("_dh")
+    """One row of docs, whole, for each component: of its least id (null only if all are), and of that id's texts the one with the least hash. Of rows without words those that agree in id and text (null: empty) are one. Of rows that agree in id and text the first in order of all columns stays."""
+    found = _found(docs, how, id_col, text_col, **limits)
+    single = F.when(F.col("n") == 0, F.col("dh"))
+    keep = found.groupBy("component", single.alias("single")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "dh")).alias("x")).select(F.col("x.dh").alias("_dh")).distinct()
+    # repeated rows become one where they are read, so that however many they are none of them gather
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).alias("_dh"), row.alias("_row"), F.struct(*_comparable(docs)).alias("_order"))
+    plain = rows.schema["_row"].dataType == rows.schema["_order"].dataType
+    rows = rows.groupBy("_dh").agg((F.min("_row") if plain else F.min_by("_row", "_order")).alias("_row"))
+    return rows.join(keep, "_dh", "left_semi").select("_row.*")

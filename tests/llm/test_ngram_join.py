@@ -102,6 +102,17 @@ def test_one_of_each(spark):
     assert {r.doc_id for r in kept.collect()} == {a for a, b in found if a == b}
 
 
+def test_one_row_of_each(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, "y"), (1, a, "x"), (1, a, "x"), (2, a, "x"), (3, b + " m", "x"), (3, b + " n", "x"), (None, c, "x"), (None, c + " z", "x"), (None, c, "w"), (None, "u v w", "x"), (5, None, "x"), (5, "", "x"), (6, "", "x"), (None, a, "x")]
+    for schema in ("doc_id long, text string, k string", "doc_id long, text string, k map<string,string>"):
+        df = spark.createDataFrame([(i, t, {"k": k} if "map" in schema else k) for i, t, k in rows], schema).repartition(3)
+        kept = ngram_join.one_of_each(df).collect()
+        key = lambda r: r.k["k"] if "map" in schema else r.k
+        assert Counter((r.doc_id, (r.text or "")[:1]) for r in kept) == Counter([(1, "a"), (3, "b"), (None, "c"), (None, "u"), (5, ""), (6, "")])
+        assert [key(r) for r in kept if r.doc_id == 1] == ["x"]
+
+
 def test_components(spark):
     rnd = random.Random(4)
     pairs = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(60)]
