@@ -4,9 +4,12 @@ A page is read once into blocks of text, each with the path of tags (and
 classes) from the root to it. For each path the mean text length and the mean
 number of punctuation marks of its blocks are its ratios. Both are smoothed
 over neighbouring blocks, fused to one score, and paths whose score is over a
-threshold are content. The deepest element that holds nearly all of their text
-is the article; its blocks are the result, without those inside menus, forms,
-notices and the like, and without blocks that are links only.
+threshold are content. The deepest element that holds all of them, or the
+outermost article or main around it, is the article; all its blocks are the
+result, those of links too, without those inside menus, forms, notices and the
+like. Where that element is only the body, blocks of links before or after all
+content that share no element with any are an unmarked menu and left out, but
+for headings.
 
 Defined results: a null, empty or textless page gives an empty text; broken
 markup is read as browsers do (unclosed tags end with their parent, stray end
@@ -48,6 +51,8 @@ class Block:
     #: Elements that hold the block, from the root, by number.
     inside: tuple[int, ...]
     linked: int
+    #: The outermost article or main that holds the block, by number.
+    article: int | None = None
 
 
 @dataclass
@@ -83,7 +88,7 @@ class _Reader:
             text = " ".join("".join(self.held).split())
             if text:
                 at = [e for e in self.stack if e.tag in _BLOCK]
-                self.blocks.append(Block(text, tuple(e.key for e in at), tuple(e.number for e in at), self.linked))
+                self.blocks.append(Block(text, tuple(e.key for e in at), tuple(e.number for e in at), self.linked, next((e.number for e in at if e.tag in ("article", "main")), None)))
             self.held, self.linked = [], 0
 
     def end_to(self, i: int) -> None:
@@ -175,25 +180,27 @@ def path_scores(blocks: list[Block]) -> np.ndarray:
     return np.sqrt(np.maximum(length[which], 0) * smooth(length[which])) * (1 + np.sqrt(marks[which] * smooth(marks[which])))
 
 
-def content(blocks: list[Block], threshold: float = 0.2, share: float = 0.85) -> list[Block]:
+def content(blocks: list[Block], threshold: float = 0.2) -> list[Block]:
     """The article's blocks."""
     if not blocks:
         return []
     scores = path_scores(blocks)
     size = np.array([len(b.text) for b in blocks])
-    chosen = scores >= threshold * np.average(scores, weights=size)
-    if not chosen.any():
+    chosen = np.flatnonzero(scores >= threshold * np.average(scores, weights=size))
+    if not len(chosen):
         return []
-    weight: dict[int, int] = {}
-    for b, ok, n in zip(blocks, chosen, size.tolist(), strict=True):
-        if ok:
-            for e in b.inside[:-1] or b.inside:
-                weight[e] = weight.get(e, 0) + n
-    total = int(size[chosen].sum())
-    held = [e for e, n in weight.items() if n >= share * total]
-    root = max(held, default=None)  # numbers grow inwards
-    # of several blocks that stand in no common element all chosen ones are content
-    return [b for b, ok in zip(blocks, chosen, strict=True) if (root in b.inside if root is not None else ok) and b.linked <= 0.6 * len(b.text.replace(" ", ""))]
+    # the elements that hold all chosen blocks, without a block's own
+    common = [e for e, *others in zip(*(blocks[i].inside[:-1] for i in chosen), strict=False) if all(e == x for x in others)]
+    article = blocks[chosen[0]].article
+    depth = common.index(article) + 1 if article in common else len(common)
+    held = [(i, b) for i, b in enumerate(blocks) if b.inside[:depth] == tuple(common[:depth])]
+    names = [key.split(".")[0] for key in blocks[chosen[0]].path[:depth]]
+    if set(names) - {"html", "body"}:
+        return [b for _, b in held]
+    # no element says where the article is
+    beside = {e for i in chosen for e in blocks[i].inside[depth:]}
+    menu = lambda i, b: b.linked > 0.6 * len(b.text.replace(" ", "")) and not chosen[0] <= i <= chosen[-1] and not beside.intersection(b.inside) and not any(re.match(r"h[1-6]\b", key) for key in b.path)
+    return [b for i, b in held if not menu(i, b)]
 
 
 def main_text(page: str | None) -> str:

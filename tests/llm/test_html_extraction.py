@@ -26,6 +26,24 @@ def test_article_blocks(wrap):
     assert H.main_text(page(wrap.format(inner()))) == "\n\n".join(ARTICLE)
 
 
+LONG = [f"Paragraph {i}, of the long part, with so many words that most of the text is here; it goes on, and on." for i in range(12)]
+
+
+def test_all_of_the_article():
+    body = "".join(f"<p>{x}</p>" for x in LONG)
+    lead, end = "A lead, which says in short what follows, and why.", "The end."
+    tail = '<h2>Sources</h2><ol><li><a href="/1">First source</a></li><li><a href="/2">Second source, of two</a></li></ol>'
+    want = ["T", lead, *LONG, end, "Sources", "First source", "Second source, of two"]
+    for kind in ("div class=body", "section", "blockquote"):
+        article = f'<h1><a href="/">T</a></h1><p class=lead>{lead}</p><{kind}>{body}</{kind.split()[0]}><p>{end}</p>{tail}'
+        for wrap in ("<article>{}</article>", "<main><article>{}</article></main>", "<div><main>{}</main></div>"):
+            assert H.main_text(page(wrap.format(article))) == "\n\n".join(want)
+    # an element without a name that says so, and none at all
+    held = f"<div class=post><h1>T</h1><p class=lead>{lead}</p>{LONG[0]}<div class=body>{body}</div><p>{lead}</p></div>"
+    assert H.main_text(page(held)).split("\n\n") == ["T", lead, LONG[0], *LONG, lead]
+    assert H.main_text(page(f'<div><a href="/x">Elsewhere</a></div><h1><a href="/">T</a></h1>{body}')).split("\n\n") == ["T", *LONG]
+
+
 def test_broken_and_empty_pages():
     for text in (None, "", "   ", "<html></html>", "<script>never ends", "<!-- never ends", "<p", "<div class='ad'>Buy.</div>"):
         assert H.main_text(text) == ""
