@@ -10,6 +10,10 @@ The cells are few whatever the corpus: values of a margin without a target of
 their own fall together, so their number is bounded by the targets given, and
 without targets by ``most_values`` for each margin (the rest falls together).
 
+A share to keep bounds the probabilities at 1 while raking: a value whose target
+is more than all of its tokens is kept whole, and what it lacks is shared among
+the others of its margin in proportion to their targets.
+
 Topics are what a document's words say: each topic has a list of words, and the
 topic with the most hits in the text wins (ties: the first; no hit: ``other``).
 
@@ -100,6 +104,47 @@ def _targets(margin: Margin, shares: dict[str, float]) -> dict[str, float]:
     return {v: n**margin.power for v, n in shares.items()}
 
 
+def attainable(tokens: np.ndarray, target: np.ndarray, most: float) -> np.ndarray:
+    """Tokens to keep of each value: in proportion to the targets, at most all of a value's, as many as most together where the values with targets have them."""
+    out, free = np.zeros(len(tokens)), (tokens > 0) & (target > 0)
+    left = min(most, tokens[free].sum())
+    while free.any():
+        want = target * (left / target[free].sum())
+        whole = free & (want >= tokens)
+        if not whole.any():
+            out[free] = want[free]
+            break
+        out[whole] = tokens[whole]
+        left = max(left - tokens[whole].sum(), 0.0)
+        free &= ~whole
+    return out
+
+
+def rake_within(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], keep: float, rounds: int = 200, tolerance: float = 1e-9) -> np.ndarray:
+    """Probabilities of cells, at most 1, that keep this share of the tokens such that the kept tokens of every margin are the attainable() ones."""
+    total = tokens.sum()
+    if not total:
+        return np.ones(len(tokens))
+    sums = [np.bincount(code, tokens, len(target)) for code, target in zip(codes, targets, strict=True)]
+    most = min([keep * total, *(x[target > 0].sum() for x, target in zip(sums, targets, strict=True))])
+    goals = [attainable(x, target, most) for x, target in zip(sums, targets, strict=True)]
+    p = np.full(len(tokens), min(most / total, 1.0))
+    for _ in range(rounds):
+        worst = 0.0
+        for code, goal in zip(codes, goals, strict=True):
+            now = np.bincount(code, tokens * p, len(goal))
+            whole = np.bincount(code, np.where(p >= 1, tokens, 0), len(goal))
+            worst = max(worst, float(np.abs(now - goal).max() / total))
+            # down: all cells of the value; up: those that are not kept whole yet
+            up, rest = now < goal, now - whole
+            down = np.divide(goal, now, out=np.zeros(len(goal)), where=now > 0)
+            lift = np.divide(goal - whole, rest, out=np.ones(len(goal)), where=rest > 1e-12 * total)
+            p = np.minimum(np.where(up[code] & (p >= 1), 1.0, p * np.where(up, lift, down)[code]), 1.0)
+        if worst < tolerance:
+            break
+    return p
+
+
 @dataclass
 class Mixture:
     """Calibrated probabilities by cell; values says how each margin's values fall together."""
@@ -121,22 +166,14 @@ class Mixture:
         return F.coalesce(F.element_at(F.create_map(*pairs), F.concat_ws("\x1f", *self.folded())), F.lit(0.0))
 
 
-def scale_for(tokens: np.ndarray, weight: np.ndarray, keep: float | None) -> float:
-    """What the weights are multiplied by, so that probabilities, at most 1, keep this share of the tokens. None: the most at which none is cut at 1."""
+def scale_for(tokens: np.ndarray, weight: np.ndarray) -> float:
+    """What the weights are multiplied by to be probabilities: the most at which none is cut at 1."""
     held = weight[(tokens > 0) & (weight > 0)]
-    if not len(held):
-        return 1.0
-    if keep is None:
-        return float(1 / held.max())
-    lo, hi = 0.0, float(1 / held.min())
-    for _ in range(100):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if (tokens * np.minimum(weight * mid, 1)).sum() < keep * tokens.sum() else (lo, mid)
-    return hi
+    return float(1 / held.max()) if len(held) else 1.0
 
 
 def fit(celled: DataFrame, margins: list[Margin], keep: float | None = None) -> Mixture:
-    """Rakes the tokens of the cells. keep: the share of all tokens to keep in expectation, where cells that would need a probability over 1 are kept whole; None: the most at which no cell would."""
+    """Rakes the tokens of the cells. keep: the share of all tokens to keep in expectation; None: the most at which no cell would need a probability over 1."""
     columns = [f"_{m.name}" for m in margins]
     # one look at the texts; margins and cells of folded values come from its table
     celled = Scratch(celled.sparkSession, "mixing").table("cells", celled.groupBy(*columns).agg(F.sum("_tokens").alias("_tokens")))
@@ -162,8 +199,11 @@ def fit(celled: DataFrame, margins: list[Margin], keep: float | None = None) ->
     names = [sorted({r[i] for r in rows}) for i in range(len(margins))]
     codes = [np.array([names[i].index(r[i]) for r in rows]) for i in range(len(margins))]
     goals = [np.array([targets[i].get(v, 0.0) for v in names[i]]) for i in range(len(margins))]
-    weight = rake(tokens, codes, goals)
-    p = np.minimum(weight * scale_for(tokens, weight, keep), 1.0)
+    if keep is None:
+        weight = rake(tokens, codes, goals)
+        p = np.minimum(weight * scale_for(tokens, weight), 1.0)
+    else:
+        p = rake_within(tokens, codes, goals, keep)
     mixture.probabilities = {tuple(r[i] for i in range(len(margins))): float(x) for r, x in zip(rows, p, strict=True)}
     after, before = (tokens * p).sum() or 1.0, tokens.sum() or 1.0
     for i in range(len(margins)):

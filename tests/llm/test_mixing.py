@@ -61,6 +61,21 @@ def test_rest_falls_together(spark):
     assert set(mixture.shares[0]) == {"s0", "s1", "other"}
 
 
+def test_bounded_raking_meets_what_can_be_met():
+    # by weight times scale and a cut at 1, c would get less than its target here, though it has the tokens
+    tokens = np.array([50.0, 2, 20, 6, 10, 12])
+    codes = [np.array([0, 0, 1, 1, 2, 2]), np.array([0, 1, 0, 1, 0, 1])]
+    targets = [np.array([0.4, 0.29, 0.31]), np.array([0.73, 0.27])]
+    p = mixing.rake_within(tokens, codes, targets, 0.7)
+    for c, t in zip(codes, targets, strict=True):
+        assert np.allclose(np.bincount(c, tokens * p) / (tokens * p).sum(), t, atol=1e-6)
+    assert abs((tokens * p).sum() - 70) < 1e-6 and p.max() <= 1
+    cut = tokens * np.minimum(mixing.rake(tokens, codes, targets) * 0.7, 1)
+    assert np.bincount(codes[0], cut)[2] / cut.sum() < 0.309
+    # out of reach: whole, and the rest in proportion
+    assert np.allclose(mixing.attainable(np.array([60.0, 30, 10]), np.array([0.4, 0.3, 0.3]), 70), [240 / 7, 180 / 7, 10])
+
+
 def test_edges(spark):
     df = edges.frame(spark)
     margins = [Margin("source", power=0.5), Margin("lang", power=0.5), Margin("topic")]
