@@ -6,9 +6,10 @@ shares of each margin are the targets, and each document is then kept with its
 cell's calibrated probability, by a hash of its id and text: the same documents
 at every run, in any order, without a shuffle of texts.
 
-The cells are few whatever the corpus: values of a margin without a target of
-their own fall together, so their number is bounded by the targets given, and
-without targets by ``most_values`` for each margin (the rest falls together).
+Every value of a margin is a cell's own, but for margins with given targets,
+where values without one fall together. Up to ``most_cells`` cells are raked as
+arrays on the driver, more as tables, joined with the factors of each margin;
+both take the same steps. Probabilities are joined to the documents.
 
 A share to keep bounds the probabilities at 1 while raking: a value whose target
 is more than all of its tokens is kept whole, and what it lacks is shared among
@@ -27,6 +28,7 @@ or dropped together; an empty table gives an empty result.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -39,12 +41,12 @@ OTHER = "other"
 
 @dataclass(frozen=True)
 class Margin:
-    """name: of a column of cells(), without its underscore. targets: share of the tokens by value; empty: the power-th roots of the present shares, which lifts rare values, for the most_values largest."""
+    """name: of a column of cells(), without its underscore. targets: share of the tokens by value; empty: the power-th roots of the present shares, which lifts rare values. most_values: without targets, all but so many largest values fall together; None: none do."""
 
     name: str
     targets: dict[str, float] = field(default_factory=dict)
     power: float = 1.0
-    most_values: int = 200
+    most_values: int | None = None
 
 
 def with_topic(docs: DataFrame, text_col: str, topics: dict[str, list[str]], name: str = "_topic") -> DataFrame:
@@ -145,25 +147,93 @@ def rake_within(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.nd
     return p
 
 
+def _table_goals(sums: DataFrame, most: float) -> DataFrame:
+    """attainable() of a table (v, n, target): v, goal."""
+    left, at = most, 0.0
+    while True:
+        # values whose target is at least their tokens at the ratio of the round before are whole
+        row = sums.agg(F.sum(F.when(F.col("target") * at >= F.col("n"), F.col("n"))), F.sum(F.when(F.col("target") * at < F.col("n"), F.col("target")))).first()
+        left = max(most - (row[0] or 0.0), 0.0)
+        now = left / row[1] if row[1] else float("inf")
+        if now <= at * (1 + 1e-12) or not row[1]:
+            break
+        at = now
+    return sums.select("v", F.when(F.col("target") <= 0, 0.0).otherwise(F.least(F.col("n"), F.col("target") * F.lit(at))).alias("goal"))
+
+
+def rake_table(cells: DataFrame, names: list[str], targets: list[DataFrame], keep: float | None, scratch: Scratch, rounds: int = 200, tolerance: float = 1e-9) -> DataFrame:
+    """rake_within(), or without a share to keep rake() and scale_for(), of a table of cells (names, n) with tables (v, n, target) of each margin: names, n, p."""
+    total = cells.agg(F.sum("n")).first()[0] or 0.0
+    if not total:
+        return cells.withColumn("p", F.lit(1.0))
+    reach = [t.where("target > 0").agg(F.sum("n")).first()[0] or 0.0 for t in targets]
+    most = min([keep * total, *reach]) if keep is not None else total
+    goals = []
+    for i, t in enumerate(targets):
+        if keep is None:
+            whole = t.where("n > 0").agg(F.sum("target")).first()[0] or 0.0
+            goal = t.select("v", F.when(F.col("n") > 0, F.col("target") / F.lit(whole) * total).otherwise(0.0).alias("goal")) if whole else t.select("v", F.col("n").alias("goal"))
+        else:
+            goal = _table_goals(t, most)
+        goals.append(scratch.table(f"goal{i}", goal))
+    state, last = scratch.table("state", cells.withColumn("p", F.lit(min(most / total, 1.0)))), "state"
+    for r in range(rounds):
+        worst = 0.0
+        for i, (c, goal) in enumerate(zip(names, goals, strict=True)):
+            whole = F.when(F.col("p") >= 1, F.col("n")).otherwise(0.0) if keep is not None else F.lit(0.0)
+            step = state.groupBy(F.col(c).alias("v")).agg(F.sum(F.col("n") * F.col("p")).alias("now"), F.sum(whole).alias("whole")).join(goal, "v")
+            step = scratch.table(f"step{r}-{i}", step.withColumn("up", F.col("now") < F.col("goal")))
+            worst = max(worst, step.agg(F.max(F.abs(F.col("now") - F.col("goal")))).first()[0] / total)
+            rest = F.col("now") - F.col("whole")
+            lift = F.when(rest > 1e-12 * total, (F.col("goal") - F.col("whole")) / rest).otherwise(1.0)
+            down = F.when(F.col("now") > 0, F.col("goal") / F.col("now")).otherwise(0.0)
+            ratio = step.select(F.col("v").alias(c), "up", (F.when(F.col("up"), lift).otherwise(down) if keep is not None else down).alias("ratio"))
+            p = F.col("p") * F.col("ratio")
+            if keep is not None:
+                p = F.when(F.col("up") & (F.col("p") >= 1), 1.0).otherwise(F.least(p, F.lit(1.0)))
+            state = scratch.table(f"state{r}-{i}", state.join(ratio, c).select(*names, "n", p.alias("p")))
+            scratch.drop(last, f"step{r}-{i}")
+            last = f"state{r}-{i}"
+        if worst < tolerance:
+            break
+    if keep is None:
+        highest = state.where("n > 0").agg(F.max("p")).first()[0] or 1.0
+        state = state.withColumn("p", F.least(F.col("p") / F.lit(highest), F.lit(1.0)))
+    return state
+
+
 @dataclass
 class Mixture:
-    """Calibrated probabilities by cell; values says how each margin's values fall together."""
+    """Calibrated probabilities by cell, a table (_cell0, .., n, p); values says how each margin's values fall together, None: they don't."""
 
     margins: list[Margin]
-    values: list[list[str]]
-    probabilities: dict[tuple[str, ...], float]
-    #: For each margin, value: (share before, target, share in expectation).
-    shares: list[dict[str, tuple[float, float, float]]]
+    values: list[list[str] | None]
+    #: None: of every value the power-th root of its share.
+    targets: list[dict[str, float] | None]
+    fitted: DataFrame
+    few: bool
 
     def folded(self) -> list[Column]:
-        return [F.when(F.col(f"_{m.name}").isin(*v), F.col(f"_{m.name}")).otherwise(F.lit(OTHER)) if v else F.lit(OTHER) for m, v in zip(self.margins, self.values, strict=True)]
-
-    def probability(self) -> Column:
-        """Over cells(): the probability that a document is kept, from a literal map with an entry a cell."""
-        if not self.probabilities:
-            return F.lit(1.0)
-        pairs = [x for k, p in sorted(self.probabilities.items()) for x in (F.lit("\x1f".join(k)), F.lit(float(p)))]
-        return F.coalesce(F.element_at(F.create_map(*pairs), F.concat_ws("\x1f", *self.folded())), F.lit(0.0))
+        return [F.col(f"_{m.name}") if v is None else F.when(F.col(f"_{m.name}").isin(*v), F.col(f"_{m.name}")).otherwise(F.lit(OTHER)) if v else F.lit(OTHER) for m, v in zip(self.margins, self.values, strict=True)]
+
+    def with_probability(self, celled: DataFrame) -> DataFrame:
+        """cells() with _probability: that a document is kept."""
+        names = [f"_cell{i}" for i in range(len(self.margins))]
+        table = self.fitted.select(*names, F.col("p").alias("_p"))
+        out = celled.withColumns(dict(zip(names, self.folded(), strict=True))).join(F.broadcast(table) if self.few else table, names, "left")
+        return out.withColumn("_probability", F.coalesce("_p", F.lit(0.0))).drop("_p", *names)
+
+    @cached_property
+    def shares(self) -> list[dict[str, tuple[float, float, float]]]:
+        """For each margin, value: (share before, target, share in expectation). Gathers the values of the margins."""
+        out = []
+        for i, m in enumerate(self.margins):
+            rows = self.fitted.groupBy(f"_cell{i}").agg(F.sum("n"), F.sum(F.col("n") * F.col("p"))).collect()
+            before, after = sum(r[1] for r in rows) or 1.0, sum(r[2] for r in rows) or 1.0
+            goal = {r[0]: (r[1] / before) ** m.power if self.targets[i] is None else self.targets[i].get(r[0], 0.0) for r in rows}
+            whole = sum(goal.values()) or 1.0
+            out.append({r[0]: (r[1] / before, goal[r[0]] / whole, r[2] / after) for r in rows})
+        return out
 
 
 def scale_for(tokens: np.ndarray, weight: np.ndarray) -> float:
@@ -172,14 +242,19 @@ def scale_for(tokens: np.ndarray, weight: np.ndarray) -> float:
     return float(1 / held.max()) if len(held) else 1.0
 
 
-def fit(celled: DataFrame, margins: list[Margin], keep: float | None = None) -> Mixture:
+def fit(celled: DataFrame, margins: list[Margin], keep: float | None = None, most_cells: int = 500_000) -> Mixture:
     """Rakes the tokens of the cells. keep: the share of all tokens to keep in expectation; None: the most at which no cell would need a probability over 1."""
-    columns = [f"_{m.name}" for m in margins]
+    columns, names = [f"_{m.name}" for m in margins], [f"_cell{i}" for i in range(len(margins))]
     # one look at the texts; margins and cells of folded values come from its table
-    celled = Scratch(celled.sparkSession, "mixing").table("cells", celled.groupBy(*columns).agg(F.sum("_tokens").alias("_tokens")))
+    scratch = Scratch(celled.sparkSession, "mixing")
+    celled = scratch.table("cells", celled.groupBy(*columns).agg(F.sum("_tokens").alias("_tokens")))
     total = celled.agg(F.sum("_tokens")).first()[0] or 0.0
     values, targets = [], []
     for m, c in zip(margins, columns, strict=True):
+        if not m.targets and m.most_values is None:
+            values.append(None)
+            targets.append(None)
+            continue
         wanted = F.col(c).isin(*m.targets) if m.targets else F.lit(True)
         top = celled.groupBy(c).agg(F.sum("_tokens").alias("n")).where(wanted).orderBy(F.desc("n"), c).limit(len(m.targets) or m.most_values).collect()  # bounded by the margin
         shares = {r[0]: r[1] / total if total else 0.0 for r in top}
@@ -191,24 +266,32 @@ def fit(celled: DataFrame, margins: list[Margin], keep: float | None = None) ->
             out[OTHER] = out.get(OTHER, 0) + out.pop("\0rest")
         values.append([v for v in out if v != OTHER or v in shares])
         targets.append(out)
-    mixture = Mixture(margins, values, {}, [])
-    rows = celled.groupBy(*[f.alias(f"m{i}") for i, f in enumerate(mixture.folded())]).agg(F.sum("_tokens").alias("n")).collect()  # at most the product of the values
-    if not rows:
-        return mixture
-    tokens = np.array([r["n"] for r in rows])
-    names = [sorted({r[i] for r in rows}) for i in range(len(margins))]
-    codes = [np.array([names[i].index(r[i]) for r in rows]) for i in range(len(margins))]
-    goals = [np.array([targets[i].get(v, 0.0) for v in names[i]]) for i in range(len(margins))]
-    if keep is None:
-        weight = rake(tokens, codes, goals)
-        p = np.minimum(weight * scale_for(tokens, weight), 1.0)
+    mixture = Mixture(margins, values, targets, celled, True)
+    folded = scratch.table("folded", celled.groupBy(*[f.alias(n) for n, f in zip(names, mixture.folded(), strict=True)]).agg(F.sum("_tokens").alias("n")))
+    mixture.few = folded.count() <= most_cells
+    if mixture.few:
+        rows = folded.toPandas()  # at most most_cells
+        tokens = rows["n"].to_numpy(float)
+        coded = [np.unique(rows[n].to_numpy(str), return_inverse=True) for n in names]
+        codes = [c for _, c in coded]
+        goals = [(np.bincount(c, tokens, len(v)) / (total or 1.0)) ** m.power if t is None else np.array([t.get(x, 0.0) for x in v.tolist()]) for m, t, (v, c) in zip(margins, targets, coded, strict=True)]
+        if keep is None:
+            weight = rake(tokens, codes, goals)
+            p = np.minimum(weight * scale_for(tokens, weight), 1.0)
+        else:
+            p = rake_within(tokens, codes, goals, keep)
+        fitted = celled.sparkSession.createDataFrame(rows.assign(p=p), f"{', '.join(f'{n} string' for n in names)}, n double, p double")
     else:
-        p = rake_within(tokens, codes, goals, keep)
-    mixture.probabilities = {tuple(r[i] for i in range(len(margins))): float(x) for r, x in zip(rows, p, strict=True)}
-    after, before = (tokens * p).sum() or 1.0, tokens.sum() or 1.0
-    for i in range(len(margins)):
-        goal = goals[i] / (goals[i].sum() or 1.0)
-        mixture.shares.append({v: (float(tokens[codes[i] == k].sum() / before), float(goal[k]), float((tokens * p)[codes[i] == k].sum() / after)) for k, v in enumerate(names[i])})
+        goals = []
+        for i, (m, t, n) in enumerate(zip(margins, targets, names, strict=True)):
+            sums = folded.groupBy(F.col(n).alias("v")).agg(F.sum("n").alias("n"))
+            if t is None:
+                target = F.pow(F.col("n") / F.lit(total or 1.0), F.lit(m.power))
+            else:
+                target = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in t.items() for x in (pair[0], float(pair[1]))]), F.col("v")), F.lit(0.0))
+            goals.append(scratch.table(f"margin{i}", sums.withColumn("target", target)))
+        fitted = rake_table(folded, names, goals, keep, scratch)
+    mixture.fitted = scratch.table("fitted", fitted)
     return mixture
 
 
@@ -217,11 +300,11 @@ def uniform(id_col: str, text_col: str, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)), 11) / F.lit(float(1 << 53))
 
 
-def mix(docs: DataFrame, margins: list[Margin], topics: dict[str, list[str]], keep: float | None = None, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", tokens: Column | None = None) -> tuple[DataFrame, Mixture]:
+def mix(docs: DataFrame, margins: list[Margin], topics: dict[str, list[str]], keep: float | None = None, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", tokens: Column | None = None, most_cells: int = 500_000) -> tuple[DataFrame, Mixture]:
     """docs with _probability and _kept beside the columns of cells(), and the mixture."""
     celled = cells(docs, text_col, source_col, lang_col, topics, tokens)
-    mixture = fit(celled, margins, keep)
-    return celled.withColumn("_probability", mixture.probability()).withColumn("_kept", uniform(id_col, text_col, seed) < F.col("_probability")), mixture
+    mixture = fit(celled, margins, keep, most_cells)
+    return mixture.with_probability(celled).withColumn("_kept", uniform(id_col, text_col, seed) < F.col("_probability")), mixture
 
 
 def sample(docs: DataFrame, margins: list[Margin], topics: dict[str, list[str]], keep: float | None = None, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:

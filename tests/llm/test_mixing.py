@@ -1,6 +1,7 @@
 """Mixing: raked margins, calibrated probabilities, and samples that come out near them."""
 
 from collections import Counter, defaultdict
+from functools import partial
 
 import numpy as np
 import pytest
@@ -61,6 +62,16 @@ def test_rest_falls_together(spark):
     assert set(mixture.shares[0]) == {"s0", "s1", "other"}
 
 
+def test_every_value_has_its_target(spark):
+    n = 230
+    df = spark.createDataFrame([(i * 10 + j, "x " * (2 * (i + 1)), f"s{i}", "en") for i in range(n) for j in range(3)], "doc_id long, text string, source string, lang string")
+    _, mixture = mixing.mix(df, [Margin("source", power=0.5), Margin("lang"), Margin("topic")], TOPICS)
+    whole = sum((i + 1) ** 0.5 for i in range(n))
+    assert len(mixture.shares[0]) == n
+    for i in range(n):
+        assert abs(mixture.shares[0][f"s{i}"][2] - (i + 1) ** 0.5 / whole) < 1e-6
+
+
 def test_bounded_raking_meets_what_can_be_met():
     # by weight times scale and a cut at 1, c would get less than its target here, though it has the tokens
     tokens = np.array([50.0, 2, 20, 6, 10, 12])
@@ -76,6 +87,18 @@ def test_bounded_raking_meets_what_can_be_met():
     assert np.allclose(mixing.attainable(np.array([60.0, 30, 10]), np.array([0.4, 0.3, 0.3]), 70), [240 / 7, 180 / 7, 10])
 
 
+@pytest.mark.parametrize("keep", [None, 0.7])
+def test_tables_and_arrays_agree(spark, monkeypatch, keep):
+    rows = [(i, "alpha " * n if i % 3 else "words " * n, f"s{i % 4}", "en" if i % 5 else None) for i, n in enumerate([40, 3, 25, 7, 1, 60, 9, 12, 30, 2, 5, 80])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    margins = [Margin("source", power=0.5), Margin("lang", {"en": 0.8}), Margin("topic")]
+    # the same steps: equal after any number of rounds
+    for name in ("rake", "rake_within", "rake_table"):
+        monkeypatch.setattr(mixing, name, partial(getattr(mixing, name), rounds=3))
+    got = [{r.doc_id: r._probability for r in mixing.mix(df, margins, TOPICS, keep, most_cells=k)[0].collect()} for k in (0, 100)]
+    assert got[0] == pytest.approx(got[1], abs=1e-9) and min(got[0].values()) > 0
+
+
 def test_edges(spark):
     df = edges.frame(spark)
     margins = [Margin("source", power=0.5), Margin("lang", power=0.5), Margin("topic")]
