@@ -12,12 +12,13 @@ Equal sets are one class, so copies never meet. Of the classes,
   the k - 1 that stand in most lists are.
 
 The border between them is chosen by the cost of both from the histogram of
-sizes. Candidates of a list are not all pairs: first each member is compared
-with one of its list's hubs, links join components, and only members of different
-components are compared further; while those would be too many, another round
-of hubs follows. What is left is compared in full, so no link between
-components is lost. Pairs are first held against parity bits of both sets,
-which bound from below by how much the sets differ.
+sizes. Candidates of a list are not all pairs: first each set is compared with
+one of its lists' hubs, links join components, and only lists with members of
+different components go on. Of those the short ones are compared in full and
+are done; in long ones each member meets the nearest of some hubs, round by
+round, while that joins many. What is left then is compared in full, so no link
+between components is lost. Pairs are first held against parity bits of both
+sets, which bound from below by how much the sets differ.
 
 Defined results: a text without words (null, empty) has no n-grams and is
 linked with nothing; a text of fewer words than n is one n-gram; repeated rows
@@ -42,12 +43,12 @@ from .components import components
 from .windows import Filter, allowed, filter_of, row_runs
 
 #: Counters of the sketch: 2 ** 20 of 32 bits, 4 MB whatever the corpus.
-SKETCH_BITS, SKETCH_BLOCKS = 20, 64
+SKETCH_BITS = 20
 #: Linked sets share at least a token for so many n-grams within their prefixes, which are longer for it.
 SHARE = 16
 #: Longs of a set's parity bits.
 PARITY = 8
-#: Hubs of a list in a round after the first.
+#: Hubs of a list in a round after the first; lists of no more members are compared in full.
 HUBS = 32
 _BITS = [f"s{i}" for i in range(PARITY)]
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -133,55 +134,40 @@ def set_id(grams: np.ndarray) -> int:
 
 
 def described(docs: DataFrame, how: Join) -> DataFrame:
-    """A row for each document (doc_id, dh, n, sid) and, with a block, the task's part of the sketch of word frequencies."""
+    """A row for each document (doc_id, dh, n, sid) and, with a bucket, how many of the task's words fall on that counter of the sketch of word frequencies."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def made(batches):
         import pyarrow as pa
 
-        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-        names = ["doc_id", "dh", "n", "sid", "block", "counts"]
+        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        names = ["doc_id", "dh", "n", "sid", "bucket", "words"]
         doc_type = pa.int64()
         for batch in batches:
             doc_type = batch.column("doc_id").type
             n, sid = [], []
             for _, _, words, firsts in _spelled(batch.column("text"), how):
-                sketch += np.bincount((words >> np.uint64(64 - SKETCH_BITS)).astype(np.intp), minlength=len(sketch)).astype(np.uint32)
+                sketch += np.bincount((words >> np.uint64(64 - SKETCH_BITS)).astype(np.intp), minlength=len(sketch))
                 for _, first, stop, grams in _grams(words, firsts, how.n):
                     got = np.sort(grams[first:stop])
                     got = got[np.concatenate([[True], got[1:] != got[:-1]])] if len(got) else got
                     n.append(len(got))
                     sid.append(set_id(got) if len(got) else 0)
             rows = len(batch)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("dh"), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
-        if sketch.any():
-            parts = [x.tobytes() for x in sketch.reshape(SKETCH_BLOCKS, -1)]
-            rows = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.nulls(rows, doc_type), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.array(np.arange(rows, dtype=np.int32)), pa.array(parts, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("dh"), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64())], names)
+        held = np.flatnonzero(sketch)
+        rows = len(held)
+        yield pa.RecordBatch.from_arrays([pa.nulls(rows, doc_type), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.array(held.astype(np.int32)), pa.array(sketch[held])], names)
 
-    return docs.select("doc_id", "dh", "text").mapInArrow(made, f"doc_id {kind}, dh long, n long, sid long, block int, counts binary")
+    return docs.select("doc_id", "dh", "text").mapInArrow(made, f"doc_id {kind}, dh long, n long, sid long, bucket int, words long")
 
 
 def sketch_of(table: DataFrame) -> np.ndarray:
-    """The tasks' counts added up by block; the driver gets SKETCH_BLOCKS rows."""
-
-    def added(batches):
-        import pyarrow as pa
-
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = np.frombuffer(counts.as_buffer(), np.uint32).astype(np.uint64)
-                total[block] = total[block] + x if block in total else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes() for x in total.values()], pa.binary())], ["block", "counts"])
-
-    # task by task first, then by block
-    parts = table.where("block is not null").select("block", "counts")
-    rows = parts.repartition(SKETCH_BLOCKS, "block").mapInArrow(added, "block int, counts binary").collect()
-    out = np.zeros((SKETCH_BLOCKS, (1 << SKETCH_BITS) // SKETCH_BLOCKS), np.uint32)
-    for block, counts in rows:
-        out[block] = np.frombuffer(counts, np.uint32)
-    return out.reshape(-1)
+    """The tasks' counts added up by counter; the driver gets a row for each, at most 2 ** SKETCH_BITS."""
+    sums = table.where("bucket is not null").groupBy("bucket").agg(F.sum("words").alias("words")).toArrow()
+    out = np.zeros(1 << SKETCH_BITS, np.uint32)
+    out[sums.column("bucket").to_numpy()] = np.minimum(sums.column("words").to_numpy(), 2**32 - 1)
+    return out
 
 
 def border(sizes: dict[int, int], how: Join, scan_cost: float = 8.0, most: int = 40) -> int:
@@ -356,11 +342,44 @@ def verified(pairs: DataFrame, sets: DataFrame, how: Join, hub_rows: int = 2_000
     return dealt.mapInArrow(compared, "u long, v long")
 
 
+def _sides(left: DataFrame, hubs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of lists as the members a and b of pairs."""
+    parts = ("sid", "n", "place", "comp", *_BITS)
+    return hubs.select("token", *[F.col(c).alias(f"a{c}") for c in parts]), left.select("token", *[F.col(c).alias(f"b{c}") for c in parts])
+
+
+def _all_pairs(left: DataFrame, how: Join) -> DataFrame:
+    """(u, v): what may be linked of any two members of a list that are in different components."""
+    a, b = _sides(left, left)
+    met = a.join(b, (a["token"] == b["token"]) & (F.col("asid") < F.col("bsid")) & (F.col("acomp") != F.col("bcomp")) & _may_link("a", "b", how) & _bits_allow(how))
+    return met.select(F.col("asid").alias("u"), F.col("bsid").alias("v")).distinct()
+
+
+def _hub_pairs(left: DataFrame, how: Join, r: int) -> DataFrame:
+    """(u, v): each member v with that one of its lists' HUBS hubs in other components that its parity bits are nearest to."""
+    hubs = left.withColumn("hub", F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("sid", F.lit(r)), "sid"))).where(F.col("hub") <= HUBS)
+    a, b = _sides(left, hubs)
+    met = b.join(a, "token").where((F.col("asid") != F.col("bsid")) & (F.col("acomp") != F.col("bcomp")) & _may_link("a", "b", how) & _bits_allow(how))
+    best = met.groupBy("bsid").agg(F.min(F.struct(_differ().alias("d"), "asid")).alias("x"))
+    return best.select(F.col("x.asid").alias("u"), F.col("bsid").alias("v"))
+
+
+def _first_pairs(heavy: DataFrame, bits: DataFrame, how: Join) -> DataFrame:
+    """(u, v): each set v with that one of its lists' hubs that it shares most lists with. The hub of a list is the set that shares most of its tokens."""
+    hubs = heavy.groupBy("token").agg(F.min(F.struct((-F.col("shared") / F.col("n")).alias("o"), F.xxhash64("sid").alias("h"), F.col("sid").alias("asid"), F.col("n").alias("an"), F.col("place").alias("aplace"))).alias("hub"))
+    met = heavy.select("token", F.col("sid").alias("bsid"), F.col("n").alias("bn"), F.col("place").alias("bplace")).join(hubs, "token").select("*", "hub.*")
+    met = met.where((F.col("asid") != F.col("bsid")) & _may_link("a", "b", how)).groupBy("bsid", "bn", "asid", "an").agg(F.count(F.lit(1)).alias("lists"))
+    best = met.groupBy("bsid", "bn").agg(F.max(F.struct("lists", "asid", "an")).alias("x")).select("bsid", "bn", F.col("x.asid").alias("asid"), F.col("x.an").alias("an"))
+    for side in "ab":
+        best = best.join(bits.select(F.col("sid").alias(f"{side}sid"), *[F.col(c).alias(f"{side}{c}") for c in _BITS]), f"{side}sid")
+    return best.where(_bits_allow(how)).select(F.col("asid").alias("u"), F.col("bsid").alias("v"))
+
+
 def linked(docs: DataFrame, how: Join, scratch: Scratch, most_rounds: int = 6, pair_budget: int = 16) -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, dh, n, sid; links: u, v between classes, enough to connect all that are linked). docs: doc_id, dh, text."""
     spark = docs.sparkSession
     table = scratch.table("described", described(docs, how))
-    of_docs = table.where("block is null").select("doc_id", "dh", "n", "sid")
+    of_docs = table.where("bucket is null").select("doc_id", "dh", "n", "sid")
     per_class = of_docs.where("n > 0").groupBy("sid", "n").agg(F.min("dh").alias("dh"))
     sizes = {r[0]: r[1] for r in per_class.where("n <= 64").groupBy("n").count().collect()}  # at most 64 rows
     light = border(sizes, how)
@@ -387,51 +406,39 @@ def linked(docs: DataFrame, how: Join, scratch: Scratch, most_rounds: int = 6, p
     wanted.destroy()
     # an own table, as it is read often and the sets are large
     bits = scratch.table("bits", sets.select("sid", *_BITS).dropDuplicates(["sid"]))
-    tested: list[DataFrame] = []
-    state, before = heavy.withColumn("comp", F.col("sid")), 0
-    for r in range(most_rounds + 1):
-        # members that are still in lists with several components, and what comparing all of them would cost
-        per = state.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
-        open_lists = per.groupBy("token").agg(F.count(F.lit(1)).alias("comps"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("cost"), F.sum("k").alias("all")).where("comps > 1")
-        open_lists = scratch.table(f"open{r}", open_lists)
-        cost, rows = open_lists.agg(F.sum("cost"), F.sum("all")).first()
-        if not cost:
-            break
-        left = scratch.table(f"left{r}", state.join(open_lists.select("token"), "token").join(bits, "sid"))
-        # in full where that is little, or where the last round of hubs has not made it much less
-        full = r == most_rounds or r > 0 and cost <= pair_budget * rows or r > 1 and cost > 0.9 * before
+
+    def link(r: int, pairs: DataFrame) -> DataFrame:
+        links.append(scratch.table(f"links{r}", verified(scratch.table(f"pairs{r}", pairs), sets.select("sid", "grams"), how)))
+        scratch.drop(f"pairs{r}")
+        return links[-1]
+
+    found = link(0, _first_pairs(heavy, bits, how))
+    joined = components(found, scratch, "joined0")
+    state = heavy.join(joined.select(F.col("node").alias("sid"), "component"), "sid", "left").select("token", "sid", "n", "place", F.coalesce("component", "sid").alias("comp"))
+    written, before = ["heavy", "joined0"], None
+    for r in range(1, most_rounds + 2):
+        # only lists with several components go on; a closed list never opens again
+        ends = F.min("comp").alias("lo"), F.max("comp").alias("hi")
+        still_open = state.groupBy("token").agg(F.count(F.lit(1)).alias("members"), *ends).where("lo <> hi").select("token", "members")
+        left = state.join(still_open, "token")
+        left = scratch.table(f"left{r}", left.join(bits, "sid") if r == 1 else left)
+        scratch.drop(*written)
+        written = [f"left{r}"]
+        few, many = left.where(F.col("members") <= HUBS), left.where(F.col("members") > HUBS)
+        per = many.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.sum("k").alias("all"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("cost"))
+        cost, rows = per.agg(F.sum("cost"), F.sum("all")).first()
+        # short lists are compared in full, and long ones where that is little or hubs no longer join much
+        full = not cost or cost <= pair_budget * rows or r > most_rounds or before is not None and cost > 0.7 * before
         before = cost
-        parts = ("sid", "n", "place", "comp", *_BITS)
-        b = left.select("token", *[F.col(c).alias(f"b{c}") for c in parts])
-        if full:
-            a = left.select("token", *[F.col(c).alias(f"a{c}") for c in parts])
-            met = a.join(b, (a["token"] == b["token"]) & (F.col("asid") < F.col("bsid")) & (F.col("acomp") != F.col("bcomp")) & _may_link("a", "b", how) & _bits_allow(how))
-            pairs = met.select(F.col("asid").alias("u"), F.col("bsid").alias("v")).distinct()
-        else:
-            # each list has some hubs, in the first round over all lists one, the set that shares most of its tokens; each member meets the one hub that its parity bits are nearest to
-            order = [(-F.col("shared") / F.col("n") if r == 0 else F.lit(0.0)), F.xxhash64("sid", F.lit(r)), F.col("sid")]
-            hubs = left.withColumn("hub", F.row_number().over(Window.partitionBy("token").orderBy(*order))).where(F.col("hub") <= (1 if r == 0 else HUBS))
-            hubs = hubs.select("token", *[F.col(c).alias(f"a{c}") for c in parts])
-            met = b.join(hubs, "token").where((F.col("asid") != F.col("bsid")) & (F.col("acomp") != F.col("bcomp")) & _may_link("a", "b", how) & _bits_allow(how))
-            best = met.groupBy("bsid").agg(F.min(F.struct(_differ().alias("d"), "asid")).alias("x"))
-            pairs = best.select(F.col("x.asid").alias("u"), F.col("bsid").alias("v"))
-        for old in tested:
-            pairs = pairs.join(old, ["u", "v"], "left_anti").join(old.select(F.col("u").alias("v"), F.col("v").alias("u")), ["u", "v"], "left_anti")
-        pairs = scratch.table(f"pairs{r}", pairs)
-        scratch.drop(f"left{r}", f"open{r}")
-        tested.append(pairs)
-        links.append(scratch.table(f"links{r}", verified(pairs, sets.select("sid", "grams"), how)))
+        found = link(r, _all_pairs(left, how) if full else _all_pairs(few, how).unionByName(_hub_pairs(many, how, r)))
         if full:
             break
-        # labels need not be whole components here: each goes to the least one that it is linked with, and that one's
-        label = state.select("sid", "comp").distinct()
-        ends = links[-1].join(label.select(F.col("sid").alias("u"), F.col("comp").alias("cu")), "u").join(label.select(F.col("sid").alias("v"), F.col("comp").alias("cv")), "v").where("cu <> cv")
-        step = ends.select(F.greatest("cu", "cv").alias("comp"), F.least("cu", "cv").alias("to")).groupBy("comp").agg(F.min("to").alias("to"))
-        step = scratch.table(f"step{r}", step)
-        jump = step.join(step.select(F.col("comp").alias("to"), F.col("to").alias("on")), "to", "left").select("comp", F.coalesce("on", "to").alias("to"))
-        state = scratch.table(f"state{r + 1}", state.join(jump, "comp", "left").select("token", "sid", "n", "place", "shared", F.coalesce("to", "comp").alias("comp")))
-        scratch.drop(f"state{r}")
-    scratch.drop("sets", "bits", "heavy", *[f"pairs{r}" for r in range(len(tested))])
+        label = left.select("sid", "comp").distinct()
+        between = found.join(label.select(F.col("sid").alias("u"), F.col("comp").alias("cu")), "u").join(label.select(F.col("sid").alias("v"), F.col("comp").alias("cv")), "v")
+        joined = components(between.select(F.col("cu").alias("u"), F.col("cv").alias("v")), scratch, f"joined{r}")
+        written.append(f"joined{r}")
+        state = many.drop("members").join(joined.withColumnRenamed("node", "comp"), "comp", "left").withColumn("comp", F.coalesce("component", "comp")).drop("component")
+    scratch.drop("sets", "bits", *written)
     return of_docs, reduce(DataFrame.unionByName, links)
 
 
