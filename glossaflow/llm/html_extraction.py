@@ -27,7 +27,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]{0,4096}"|'[^']{0,4096}')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
+#: Attributes with their values, quoted ones of any length; a quote that is never closed is part of a name.
+_ATTRIBUTES = r"""(?:[\s/]+|=?[^\s/>=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|(?!["'])[^\s>]*+))?)*+"""
+_TOKEN = re.compile(rf"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _RAW_END = {t: re.compile(rf"</{t}[\s/>]", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
@@ -37,13 +39,28 @@ _ENDS = {"li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl
 #: Elements that are never part of an article's text.
 _NEVER = frozenset("script style noscript template nav aside footer form button select textarea iframe object svg canvas audio video dialog menu head title input datalist map noembed noframes xmp".split())
 #: Words in class, id or role that say what an element is.
-_BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus reply replies respond share sharing social related recommended recommendations footer masthead toolbar pagination pager widget alert search skip contentinfo complementary".split())
-_ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?(?:false|until))|display\s*:\s*none""", re.I)
+_COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
+_BOILERPLATE = _COMMENTS | frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login footer masthead toolbar pagination pager widget widgets alert search skip contentinfo complementary sharing social related recommended recommendations share".split())
+#: Words that only say where or what kind of box an element is. A name is boilerplate if it has a word of the list above and else only such ones.
+_NEUTRAL = frozenset("a area bar block body bottom box btn button buttons card cards cell col column container content data desktop div el element fixed floating form global group header heading holder icons id in inner item items js large layout left line link links list main media mobile module nav on out outer panel part pane post posts primary region right row rows secondary section site slot small sticky story stories strip tab text thread title top ui ul unit user view wrap wrapper zone page pages".split())
+_ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
+#: Characters that a notice or an advert may have alone on a page.
+NOTICE = 100
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 _WORDS = re.compile(r"[a-z]+")
 
 
+def _names(said: str) -> set[str]:
+    """The words of those names of an element that are boilerplate. has-sidebar or no-comments say something else of an element."""
+    out: set[str] = set()
+    for name in said.split():
+        words = _WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
+        if not set(words).isdisjoint(_BOILERPLATE) and all(w in _BOILERPLATE or w in _NEUTRAL for w in words):
+            out |= set(words) & _BOILERPLATE
+    return out
+
+
 @dataclass
 class Block:
     text: str
@@ -53,6 +70,8 @@ class Block:
     linked: int
     #: The outermost article or main that holds the block, by number.
     article: int | None = None
+    #: Elements that hold the block and whose names say that they are boilerplate, by number.
+    named: frozenset[int] = frozenset()
 
 
 @dataclass
@@ -63,6 +82,7 @@ class _Element:
     #: Why its text is left out, if it is.
     out: bool
     article: bool
+    named: frozenset[int]
 
 
 @dataclass
@@ -88,7 +108,7 @@ class _Reader:
             text = " ".join("".join(self.held).split())
             if text:
                 at = [e for e in self.stack if e.tag in _BLOCK]
-                self.blocks.append(Block(text, tuple(e.key for e in at), tuple(e.number for e in at), self.linked, next((e.number for e in at if e.tag in ("article", "main")), None)))
+                self.blocks.append(Block(text, tuple(e.key for e in at), tuple(e.number for e in at), self.linked, next((e.number for e in at if e.tag in ("article", "main")), None), self.stack[-1].named if self.stack else frozenset()))
             self.held, self.linked = [], 0
 
     def end_to(self, i: int) -> None:
@@ -121,17 +141,26 @@ class _Reader:
             if tag in ("br", "wbr") and self.held:
                 self.held.append(" " if tag == "br" else "")
             return
-        said = " ".join(sorted(m[2].strip("\"'").lower() for m in _ATTRIBUTE.finditer(attributes))) if attributes.strip() else ""
+        held: dict[str, str] = {}
+        if attributes.strip():
+            for m in _ATTRIBUTE.finditer(attributes):
+                held.setdefault(m[1].lower(), (m[2] or "").strip("\"'"))
+        names = " ".join(held[k] for k in ("class", "id", "role") if k in held)
+        said = " ".join(sorted(names.lower().split()))
         up = self.stack[-1] if self.stack else None
         article = tag in ("article", "main") or bool(up and up.article)
-        names = set(_WORDS.findall(said))
         out = bool(up and up.out) or tag in _NEVER or tag == "header" and not article
-        if said and tag not in ("html", "body", "article", "main"):
-            out |= bool(names & _BOILERPLATE) or "header" in names and not article
-        if attributes and _HIDDEN.search(attributes) and tag not in ("html", "body"):
+        if tag not in ("html", "body") and (held.get("hidden", "false").lower() not in ("false", "until-found") or _NO_DISPLAY.search(held.get("style", ""))):
             out = True
+        named = up.named if up else frozenset()
         self.made += 1
-        self.stack.append(_Element(tag, self.made, f"{tag}.{said}" if said else tag, out, article))
+        if names and tag not in ("html", "body", "article", "main"):
+            found = _names(names)
+            if found & _COMMENTS:
+                out = True
+            elif found or not article and "header" in names.lower().split():
+                named |= {self.made}
+        self.stack.append(_Element(tag, self.made, f"{tag}.{said}" if said else tag, out, article, named))
 
     def end(self, tag: str) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
@@ -143,7 +172,7 @@ class _Reader:
 
 
 def read(page: str) -> list[Block]:
-    """The blocks of text outside of what is never content, in page order."""
+    """The blocks of text outside of what is never content, in page order. An element that its name calls boilerplate is left out too, unless next to nothing of the page's text is outside of such elements: then the names of those that hold nearly all of it mean something else."""
     reader, at = _Reader(), 0
     while True:
         m = _TOKEN.search(page, at)
@@ -163,7 +192,17 @@ def read(page: str) -> list[Block]:
             end = _RAW_END[tag].search(page, at)
             at = end.start() if end else len(page)
     reader.flush()
-    return reader.blocks
+    blocks = reader.blocks
+    own = [len(b.text) - b.linked for b in blocks]
+    whole = sum(own)
+    if sum(n for b, n in zip(blocks, own, strict=True) if not b.named) < 0.1 * whole:
+        of: dict[int, int] = {}
+        for b, n in zip(blocks, own, strict=True):
+            for e in b.named:
+                of[e] = of.get(e, 0) + n
+        wrong = {e for e, n in of.items() if n > max(0.5 * whole, NOTICE)}
+        return [b for b in blocks if b.named <= wrong]
+    return [b for b in blocks if not b.named]
 
 
 def path_scores(blocks: list[Block]) -> np.ndarray:

@@ -44,6 +44,27 @@ def test_all_of_the_article():
     assert H.main_text(page(f'<div><a href="/x">Elsewhere</a></div><h1><a href="/">T</a></h1>{body}')).split("\n\n") == ["T", *LONG]
 
 
+@pytest.mark.parametrize("said", ['class="overflow-hidden"', 'class="content has-sidebar"', 'class="post no-comments"', 'class="col share-enabled"', 'class="search-result-article"', 'class="widget-free"', 'id="skip-target"', 'class="page"', 'class="widget"', 'class="sidebar main"', "class=notice", "data-x='hidden class=ad'", "title='display:none'"])
+def test_names_that_only_hold_a_listed_word(said):
+    body = "".join(f"<p>{x}</p>" for x in LONG)
+    assert H.main_text(page(f"<div {said}><h1>T</h1>{body}</div>")).split("\n\n") == ["T", *LONG]
+    assert H.main_text(page(f"<div {said}><div class='related-posts'><p>Others, too.</p></div><article><h1>T</h1>{body}</article></div>")).split("\n\n") == ["T", *LONG]
+
+
+@pytest.mark.parametrize("said", ["class=sidebar", "class='site-footer'", "id='cookieBanner'", "class='ad-slot large'", "id=comments", "class='comment-list'", "role=navigation", "hidden", "style='display: none'", "class='newsletter-signup'", "class='share-buttons'"])
+def test_names_of_boilerplate(said):
+    body = "".join(f"<p>{x}</p>" for x in LONG)
+    for held in (f"<div {said}><p>Something else, quite, long.</p></div>", f"<p {said}>Something, else.</p>"):
+        assert H.main_text(page(f"<div><h1>T</h1>{body}{held}</div>")).split("\n\n") == ["T", *LONG]
+
+
+@pytest.mark.parametrize("n", [100, 3000, 5000, 200_000])
+def test_attributes_of_any_length(n):
+    for value in (f'title="{"a" * n} > leaked, text, here"', f"data-x='{'{' * n}\"<p>leaked, text.</p>\"'", f'a b = "{"<i>x, y</i>" * n}" c=\'>\''):
+        assert H.main_text(f"<p {value}>one, two, three.</p>") == "one, two, three."
+    assert H.main_text("<p title=it's>one, two.</p><p title=\"never closed>three, four.</p>") == "one, two.\n\nthree, four."
+
+
 def test_broken_and_empty_pages():
     for text in (None, "", "   ", "<html></html>", "<script>never ends", "<!-- never ends", "<p", "<div class='ad'>Buy.</div>"):
         assert H.main_text(text) == ""
