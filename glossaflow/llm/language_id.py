@@ -2,10 +2,12 @@
 
 The pieces are those of a fixed public vocabulary. For each language their
 probabilities are fitted by expectation maximisation to words of a bounded,
-documented sample of labelled rows. A word's probability in a language is the
-sum over all its segmentations into pieces, by the forward algorithm; a text is
-scored by all of its words, and each worker keeps the words it has seen, up to
-a bound.
+documented sample of labelled rows; there, and only there, longer words count
+as parts of RUN letters. A word's probability in a language is the sum over all
+its segmentations into pieces, by the forward algorithm; long words are summed
+by parts, each a linear map of the state, which compose to the same sum. A text
+is scored by all of its words, and each worker keeps the words it has seen, up
+to a bound.
 
 Defined results: ``und`` with score 0 for a null text or one without letters;
 empty labels table or no labelled row: everything is ``und``; ties go to the
@@ -29,8 +31,8 @@ from .common import POWERS, mix64
 from .token_counts import slices
 
 WORD = regex.compile(r"\p{L}+")
-#: A word is scored in runs of so many letters, pieces are at most so long, and a letter that no piece holds has this probability.
-RUN, LONGEST, FLOOR = 40, 12, 1e-7
+#: Letters of a part of a long word, and the probability of a letter that no piece holds.
+RUN, FLOOR = 40, 1e-7
 #: Each letter multiplies probabilities by this, which is taken off again at the end: without it long words would underflow.
 SCALE = 24.0
 
@@ -55,7 +57,7 @@ def vocabulary(path: str) -> tuple[np.ndarray, list[str]]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {model.id_to_piece(i).replace("▁", " ").lower() for i in range(model.get_piece_size())}
-    found = {x for x in found if re.fullmatch(r" ?[^\W\d_]+", x) and len(x) <= LONGEST}
+    found = {x for x in found if re.fullmatch(r" ?[^\W\d_]+", x)}
     by_hash = {}
     for n in {len(x) for x in found}:
         words = sorted(x for x in found if len(x) == n)
@@ -65,9 +67,9 @@ def vocabulary(path: str) -> tuple[np.ndarray, list[str]]:
 
 
 def runs(word: str) -> list[str]:
-    """The runs by which a word is scored; the first has a space before it."""
+    """The parts of a word; the first has a space before it."""
     marked = " " + word
-    return [marked[i : i + RUN] for i in range(0, len(marked), RUN)] if len(marked) > RUN else [marked]
+    return [marked[i : i + RUN] for i in range(0, len(marked), RUN)]
 
 
 @dataclass
@@ -77,12 +79,14 @@ class Model:
     languages: list[str]
     hashes: np.ndarray
     probabilities: np.ndarray
+    #: Letters of the longest piece.
+    longest: int
 
     def _ids(self, words: list[str], n: int) -> dict[tuple[int, int], np.ndarray]:
         part = piece_hashes(words, n)
         out = {}
         for end in range(1, n + 1):
-            for begin in range(max(0, end - LONGEST), end):
+            for begin in range(max(0, end - self.longest), end):
                 h = part(begin, end)
                 at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
                 out[begin, end] = np.where(self.hashes[at] == h, at, len(self.hashes))
@@ -99,7 +103,7 @@ class Model:
         ids = ids or self._ids(words, n)
         alpha = [np.ones((len(words), len(self.languages)))]
         for end in range(1, n + 1):
-            alpha.append(sum(alpha[b] * self._weight(ids[b, end], end - b) for b in range(max(0, end - LONGEST), end)))
+            alpha.append(sum(alpha[b] * self._weight(ids[b, end], end - b) for b in range(max(0, end - self.longest), end)))
         return alpha
 
     def scores(self, words: list[str]) -> np.ndarray:
@@ -107,21 +111,55 @@ class Model:
         out = np.zeros((len(words), len(self.languages)))
         by_length: dict[int, list[tuple[int, str]]] = {}
         for i, word in enumerate(words):
-            for x in runs(word):
-                by_length.setdefault(len(x), []).append((i, x))
+            marked = " " + word
+            if len(marked) > RUN:
+                out[i] = self.long_score(marked)
+            else:
+                by_length.setdefault(len(marked), []).append((i, marked))
         for n, held in by_length.items():
             for a in range(0, len(held), 20_000):
                 part = held[a : a + 20_000]
                 at = np.array([i for i, _ in part])
-                np.add.at(out, at, np.log(self.forward([x for _, x in part], n)[n]) - n * np.log(SCALE))
+                out[at] = np.log(self.forward([x for _, x in part], n)[n]) - n * np.log(SCALE)
         return out
 
+    def long_score(self, marked: str) -> np.ndarray:
+        """The same of one word of any length. The state at a letter is the forward sums of the longest places up to it; a part of the word maps the state before it to that after it, all parts are mapped at once, and the maps are applied in turn."""
+        n, width, size = len(marked), self.longest, max(RUN, self.longest)
+        state = np.zeros((width, len(self.languages)))  # state[k]: of k letters back
+        state[0] = 1
+        log = np.zeros(len(self.languages))
+        whole = (n // size) * size
+        for a in range(0, whole, 128 * size):
+            starts = np.arange(a, min(a + 128 * size, whole), size)
+            # each part with the letters before it that a piece may begin in
+            parts = [marked[max(0, s - width) : s].rjust(width, "\0") + marked[s : s + size] for s in starts.tolist()]
+            ids = self._ids(parts, width + size)
+            sums = np.zeros((width + size + 1, len(parts), width, len(self.languages)))
+            sums[width - np.arange(width), :, np.arange(width)] = 1
+            for end in range(width + 1, width + size + 1):
+                for begin in range(end - width, end):
+                    sums[end] += sums[begin] * self._weight(ids[begin, end], end - begin)[:, None, :]
+            for k in range(len(parts)):
+                state = np.einsum("jbl,bl->jl", sums[width + size - np.arange(width), k], state)
+                top = state.max(0)
+                state, log = state / top, log + np.log(top)
+        if n > whole:
+            rest = marked[max(0, whole - width) : whole].rjust(width, "\0") + marked[whole:]
+            ids, m = self._ids([rest], len(rest)), n - whole
+            sums = [*state[::-1]]
+            sums = [np.zeros_like(state[0]), *sums]  # sums[i]: at letter i of rest
+            for end in range(width + 1, width + m + 1):
+                sums.append(sum(sums[b] * self._weight(ids[b, end], end - b)[0] for b in range(end - width, end)))
+            state = sums[-1][None]
+        return np.log(state[0]) + log - n * np.log(SCALE)
+
     def expected(self, words: list[str], counts: np.ndarray, n: int, ids: dict) -> np.ndarray:
         """Expected uses of each piece in each language over all segmentations of the words; counts: words x languages."""
         alpha = self.forward(words, n, ids)
         beta = [np.ones_like(alpha[0])] * (n + 1)
         for begin in range(n - 1, -1, -1):
-            beta[begin] = sum(self._weight(ids[begin, e], e - begin) * beta[e] for e in range(begin + 1, min(n, begin + LONGEST) + 1))
+            beta[begin] = sum(self._weight(ids[begin, e], e - begin) * beta[e] for e in range(begin + 1, min(n, begin + self.longest) + 1))
         out, whole = np.zeros_like(self.probabilities), counts / alpha[n]
         for (b, e), which in ids.items():
             used = alpha[b] * self._weight(which, e - b) * beta[e] * whole
@@ -135,7 +173,7 @@ def fit(words: dict[str, Counter], vocabulary_file: str, rounds: int = 4, smooth
     languages = sorted(words)
     hashes, pieces = vocabulary(vocabulary_file)
     start = np.array([30.0 ** -len(x) for x in pieces] + [0.0])
-    model = Model(languages, hashes, np.repeat((start / start.sum())[:, None], len(languages), 1))
+    model = Model(languages, hashes, np.repeat((start / start.sum())[:, None], len(languages), 1), max(map(len, pieces), default=1))
     counts: dict[str, np.ndarray] = {}
     for k, lang in enumerate(languages):
         for word, n in words[lang].items():
@@ -162,14 +200,18 @@ def held_out(id_col: str) -> Column:
 
 
 def training_words(docs: DataFrame, chars: int, id_col: str, text_col: str, lang_col: str) -> dict[str, Counter]:
-    """Words by language of labelled rows that are not held out: all rows of a language with at most chars code points, else a share of its rows, chosen by hash, with about so many."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
-    total = {r[0]: r[1] for r in rows.groupBy("l").agg(F.sum(F.length("t"))).collect()}
-    keep = F.lit(False)
-    for lang, n in total.items():
-        keep = keep | (F.col("l") == lang) & (F.pmod(F.xxhash64("i", F.lit("language sample")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, chars / max(n, 1))))
-    out: dict[str, Counter] = {lang: Counter() for lang in total}
-    for lang, text in rows.where(keep).select("l", "t").toLocalIterator():
+    """Words by language of labelled rows that are not held out: all rows of a language with at most chars code points, else a share of its rows, chosen by hash, with about so many, but at least the rows of the least hash."""
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"), F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit("language sample")), 1).alias("h"))
+    # rows without letters teach nothing; were one of them the least, its language would be lost
+    rows = rows.where(F.col("t").rlike(r"\p{L}"))
+    share = {}
+    for lang, n, least in rows.groupBy("l").agg(F.sum(F.length("t")), F.min("h")).collect():  # as many as languages
+        share[lang] = max(int(2**63 * min(1.0, chars / n)) - 1, least)
+    if not share:
+        return {}
+    limits = F.create_map(*[x for lang, most in share.items() for x in (F.lit(lang), F.lit(most).cast("long"))])
+    out: dict[str, Counter] = {lang: Counter() for lang in share}
+    for lang, text in rows.where(F.col("h") <= F.element_at(limits, F.col("l"))).select("l", "t").toLocalIterator():
         out[lang].update(WORD.findall(text.lower()))
     return {lang: words for lang, words in out.items() if words}
 

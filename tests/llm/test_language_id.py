@@ -49,6 +49,36 @@ def test_long_words_do_not_underflow():
     assert np.isfinite(small_model().scores(["x" * 5000, "中" * 300])).all()
 
 
+def test_parts_of_long_words_compose():
+    model = small_model()
+    for word in ("andere" * 7, "otherthen" * 20, "ß中x" * 14 + "wenn", "there" * 16, "thender" * 23):
+        marked = " " + word
+        n = len(marked)
+        want = np.log(model.forward([marked], n)[n][0]) - n * np.log(language_id.SCALE)
+        assert np.allclose(model.long_score(marked), want) and np.allclose(model.scores([word])[0], want)
+    assert np.isfinite(model.scores(["there" * 20_000])).all()
+
+
+def test_predictions_are_the_sums_over_words(spark):
+    df = edges.documents(spark)
+    words = language_id.training_words(df, 20_000, "doc_id", "text", "lang")
+    model = language_id.fit(words, PIECES)
+    for r in language_id.predict(df, model).join(df.select("doc_id", "text"), "doc_id").collect():
+        found = language_id.WORD.findall((r.text or "").lower())
+        if not found:
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        x = sum(model.scores([w])[0] * n for w, n in Counter(found).items())
+        assert r.lang_pred == model.languages[int(x.argmax())] and abs(r.score - 1 / np.exp(x - x.max()).sum()) < 1e-6
+
+
+def test_every_language_has_a_row(spark):
+    rows = [(i, f"some words {i} " * 50, "en") for i in range(60)] + [(100 + i, "lange wörter sind hier " * 40_000, "de") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.training_words(df, 10, "doc_id", "text", "lang")
+    assert set(got) == {"en", "de"} and all(got.values())
+
+
 def test_held_out_accuracy(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = language_id.identify(df, PIECES).collect()
