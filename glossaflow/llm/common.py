@@ -8,10 +8,11 @@ import re
 import shutil
 import tempfile
 import uuid
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that separate words: the space and U+0009 to U+000D.
@@ -72,6 +73,46 @@ def barrier(df: DataFrame, **columns) -> DataFrame:
     return df.select(*kept, made).select(*kept, *[F.col(f"_made.{k}").alias(k) for k in columns])
 
 
+@dataclass(frozen=True)
+class Bounds:
+    """Ascending rows of columns that part a table into ranges; a literal of a plan."""
+
+    held: tuple[str, ...]
+    kind: str
+    names: tuple[str, ...]
+
+    @property
+    def n(self) -> int:
+        return len(self.held)
+
+    def rows(self) -> list[Column]:
+        """Each bound as a literal row."""
+        return [F.from_json(F.lit(x), self.kind) for x in self.held]
+
+    def below(self, values: list[Column]) -> Column:
+        """How many bounds are at most the values (nulls come first), by halving."""
+        if not self.n:
+            return F.lit(0)
+        bounds = F.from_json(F.lit(f"[{','.join(self.held)}]"), f"array<{self.kind}>")
+        row = F.struct(*[v.alias(c) for c, v in zip(self.names, values, strict=True)])
+        steps = F.array(*[F.lit(1 << i) for i in reversed(range(self.n.bit_length()))])
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= self.n) & (F.get(bounds, at + step - 1) <= row), at + step).otherwise(at))
+
+
+def range_bounds(df: DataFrame, columns: list[str], rows_in_range: int, most: int, per_range: int = 64) -> Bounds:
+    """Bounds of ranges with about rows_in_range rows each, or as many as most ranges have, from a sample by hash of about per_range rows a range: the driver gets at most some most * per_range rows of these columns. The sample decides the sizes of ranges only."""
+    kind = df.select(*columns).schema.simpleString()
+    n = df.count()
+    ranges = min(most, -(-n // rows_in_range))
+    if ranges < 2:
+        return Bounds((), kind, tuple(columns))
+    share = min(1.0, ranges * per_range / n)
+    held = df.select(*columns).where(F.shiftrightunsigned(F.xxhash64(*columns, F.lit("ranges")), 1) <= int(2**63 * share) - 1)
+    lines = [r[0] for r in held.orderBy(*[F.col(c).asc_nulls_first() for c in columns]).select(F.to_json(F.struct(*columns))).collect()]
+    cuts = dict.fromkeys(lines[len(lines) * i // ranges] for i in range(1, ranges)) if lines else ()
+    return Bounds(tuple(cuts), kind, tuple(columns))
+
+
 def text_buffer(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of an Arrow string column (null: empty), with each row's begin and end."""
     import pyarrow as pa

@@ -1,10 +1,11 @@
 """SimHash document fingerprints, native.
 
-The terms of a text are its windows of three words, weighted by their length;
-each term's hash votes with its weight on 128 signed bits, and the sign of a
-bit's sum is the fingerprint's bit. Two counters of 32 bits share one long, so
-64 sums in generated code hold all votes. A document's terms are summed where
-they stand, before anything is shuffled.
+The terms of a text are its windows of three words. A term weighs one for each
+binary digit of its length in characters, so at most 32; each term's hash votes
+with its weight on 128 signed bits, and the sign of a bit's sum is the
+fingerprint's bit. Two counters of 32 bits share one long, so 64 sums in
+generated code hold all votes. A document's terms are summed where they stand,
+before anything is shuffled.
 
 ``within`` finds all pairs of a query and a fingerprint within a Hamming radius
 by permuted block tables: with b blocks and radius r, at least b - r blocks are
@@ -12,8 +13,11 @@ equal, so each choice of b - r blocks is a table with an exact key.
 
 Defined results: a null text is empty; a text without words has the zero
 fingerprint; a text of fewer than three words is one term; equal texts have
-equal fingerprints; a document whose id repeats is followed by its repetition;
-a null id comes last; an empty table gives an empty result.
+equal fingerprints; a text whose terms weigh 2 ** 32 or more together, which
+would need hundreds of millions of words, is refused with an error; ids may be
+of any kind that can be ordered; a document whose id repeats is followed by its
+repetition, in the order of the texts' hashes; a null id comes last; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,12 +27,12 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, barrier
+from .common import Scratch, barrier, range_bounds
 
 BITS = 128
 _LANES, _PAIR = 32, 0x0000000100000001
-#: The greatest weight of a term: votes of 2 ** 26 terms fit 32 bits.
-MOST_WEIGHT = 64
+#: The query's Hamming radius, and the blocks of its tables: a pair within the radius has an equal block.
+RADIUS, BLOCKS = 3, 4
 
 
 def fingerprints(texts: DataFrame, key: list[str], text_col: str) -> DataFrame:
@@ -40,10 +44,12 @@ def fingerprints(texts: DataFrame, key: list[str], text_col: str) -> DataFrame:
     df = barrier(df, _g=F.arrays_zip("_h", F.slice("_h", F.lit(2), F.size("_h")), F.slice("_h", F.lit(3), F.size("_h")))).drop("_h")
     df = df.select(*key, F.explode(F.slice("_g", F.lit(1), F.size("_g") - 2)).alias("_g"))
     a, b, c = (F.col(f"_g.{x}") for x in df.schema["_g"].dataType.names)
-    weight = F.least(F.coalesce(a["n"], F.lit(0)) + F.coalesce(b["n"], F.lit(0)) + F.coalesce(c["n"], F.lit(0)), F.lit(MOST_WEIGHT)).cast("long")
+    length = F.coalesce(a["n"], F.lit(0)) + F.coalesce(b["n"], F.lit(0)) + F.coalesce(c["n"], F.lit(0))
+    weight = F.floor(F.log2(F.greatest(length, F.lit(1)))) + F.when(length > 0, 1).otherwise(0)
     df = df.select(*key, F.xxhash64(a["h"], b["h"], c["h"]).alias("_x"), weight.alias("_v")).select(*key, "_x", "_v", F.xxhash64("_x", F.lit(7)).alias("_y"))
     sums = [F.sum(F.shiftrightunsigned(x, i).bitwiseAND(F.lit(_PAIR)) * F.col("_v")).alias(f"{x}{i}") for x in ("_x", "_y") for i in range(_LANES)]
     votes = df.groupBy(*key).agg(*sums, F.sum("_v").alias("_all"))
+    votes = votes.withColumn("_all", F.when(F.col("_all") >= 1 << 32, F.raise_error(F.lit("a text has too many terms for its counters")).cast("long")).otherwise(F.col("_all")))
 
     def half(x: str, high: bool) -> Column:
         """32 bits: bit i is set where more than half of all weight voted for it."""
@@ -82,46 +88,36 @@ def within(queries: DataFrame, index: DataFrame, radius: int, blocks: int | None
     def tables(df: DataFrame, name: str) -> DataFrame:
         return df.select("fingerprint").distinct().select(F.col("fingerprint").alias(name), F.explode(cuts).alias("_key"))
 
-    pairs = tables(queries, "query").join(tables(index, "found"), "_key").withColumn("distance", distance(F.col("query"), F.col("found"))).where(F.col("distance") <= radius)
-    return pairs.select("query", "found", "distance").distinct()
+    a, b = tables(queries, "query").alias("a"), tables(index, "found").alias("b")
+    pairs = a.join(b, (F.col("a._key") == F.col("b._key")) & (distance(F.col("query"), F.col("found")) <= radius))
+    return pairs.select("query", "found").distinct().withColumn("distance", distance(F.col("query"), F.col("found")))
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_in_bucket: int = 4_000, most_cells: int = 65_536) -> DataFrame:
-    """doc_id, _t, _next of each row: its text and that of the next row in descending order of an integer id, after the last that of the first. _key is unique and _next_key the next row's.
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_in_bucket: int = 4_000, most_buckets: int = 65_536) -> DataFrame:
+    """doc_id, _t, _next of each row: its text and that of the next row in descending order of ids of any kind, after the last that of the first. _key is unique and _next_key the next row's.
 
-    Ids are dealt into buckets of consecutive ids, balanced by a histogram of a bounded number of cells, some for each bucket, and texts are shuffled once, by bucket. The first row of each bucket also goes, as a copy, to the end of the bucket before it.
+    Rows are dealt into buckets that are ranges of (id, hash of the text) with about as many rows each, from a sample of both, and texts are shuffled once, by bucket. The first row of each bucket also goes, as a copy, to the end of the bucket before it.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    lo, hi, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    lo, hi = (lo, hi) if lo is not None else (0, 0)
-    cells = min(most_cells, 1 + 8 * n // rows_in_bucket)
-    width = (hi - lo) // cells + 1
-    cell = F.coalesce(F.floor((F.lit(hi) - F.col("doc_id")) / F.lit(width)), F.lit(cells)).cast("int")
-    held = {r[0]: r[1] for r in rows.groupBy(cell.alias("c")).count().collect()}  # at most cells + 1 rows
-    bucket_of, b, size = [], 0, 0
-    for c in range(cells + 1):
-        if size and size + held.get(c, 0) > rows_in_bucket:
-            b, size = b + 1, 0
-        bucket_of.append(b)
-        size += held.get(c, 0)
-    buckets = b + 1
-    rows = rows.withColumn("_b", F.element_at(F.lit(bucket_of), cell + 1)).withColumn("_guest", F.lit(False))
-    # a copy of each bucket's first row is a guest at the end of the bucket before it: first its id from the ids alone, then its text
-    top_ids = rows.groupBy("_b").agg(F.max("doc_id").alias("_top")).collect()  # as many as buckets
-    present = sorted((r[0], r[1]) for r in top_ids)
-    before = dict(zip([b for b, _ in present[1:] + present[:1]], [b for b, _ in present], strict=True))
-    top_of = F.element_at(F.lit([dict(present).get(b) for b in range(buckets)]).cast("array<bigint>"), F.col("_b") + 1)
-    tops = rows.where(F.col("doc_id").eqNullSafe(top_of)).groupBy("_b", "doc_id").agg(F.min_by("_t", F.xxhash64("_t")).alias("_t"))
-    guests = tops.select("doc_id", "_t", F.element_at(F.lit([before.get(b, 0) for b in range(buckets)]), F.col("_b") + 1).alias("_b"), F.lit(True).alias("_guest"))
-    after = F.element_at(F.lit([dict((b, a) for a, b in before.items()).get(b, 0) for b in range(buckets)]), F.col("_b") + 1)
-    in_bucket = Window.partitionBy("_b").orderBy("_guest", F.col("doc_id").desc_nulls_last(), F.xxhash64("_t"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).withColumn("_h", F.xxhash64("_t"))
+    bounds = range_bounds(rows.select("doc_id", "_h"), ["doc_id", "_h"], rows_in_bucket, most_buckets)
+    rows = rows.withColumn("_b", F.lit(bounds.n) - bounds.below([F.col("doc_id"), F.col("_h")])).withColumn("_guest", F.lit(False))
+    # a copy of each bucket's first row is a guest at the end of the bucket before it: first its place from ids and hashes alone, then its text
+    first = F.struct("doc_id", "_h")
+    tops = rows.groupBy("_b").agg(F.max(first).alias("_top"))  # as many as buckets, each with an id and a hash
+    present = sorted(r[0] for r in tops.select("_b").collect())
+    before = dict(zip(present[1:] + present[:1], present, strict=True))
+    after = {a: b for b, a in before.items()}
+    listed = lambda held: F.from_json(F.lit(str([held.get(b, 0) for b in range(bounds.n + 1)])), "array<int>")
+    tops = rows.join(F.broadcast(tops.select(F.col("_b").alias("_tb"), "_top")), (F.col("_b") == F.col("_tb")) & first.eqNullSafe(F.col("_top"))).groupBy("_b", "doc_id", "_h").agg(F.min("_t").alias("_t"))
+    guests = tops.select("doc_id", "_t", "_h", F.element_at(listed(before), F.col("_b") + 1).alias("_b"), F.lit(True).alias("_guest"))
+    in_bucket = Window.partitionBy("_b").orderBy("_guest", F.col("doc_id").desc_nulls_last(), F.col("_h").desc())
     dealt = rows.unionByName(guests).select("*", F.row_number().over(in_bucket).alias("_n"), F.lead("_t").over(in_bucket).alias("_next"), F.lead("_guest").over(in_bucket).alias("_last"))
     key = lambda b, n: F.shiftleft(b.cast("long"), 34) + n
-    return dealt.where("not _guest").select("doc_id", "_t", "_next", key(F.col("_b"), F.col("_n")).alias("_key"), F.when(F.col("_last"), key(after, F.lit(1))).otherwise(key(F.col("_b"), F.col("_n") + 1)).alias("_next_key"))
+    return dealt.where("not _guest").select("doc_id", "_t", "_next", key(F.col("_b"), F.col("_n")).alias("_key"), F.when(F.col("_last"), key(F.element_at(listed(after), F.col("_b") + 1), F.lit(1))).otherwise(key(F.col("_b"), F.col("_n") + 1)).alias("_next_key"))
 
 
 def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of every row: n_chars, sha-256 of the edited text, the fingerprints of both texts, and the likeness of the text's to the edited text's and to the next row's."""
+    """Of every row: n_chars, sha-256 of the edited text, the fingerprints of both texts, the likeness of the text's to the edited text's and to the next row's, and near_queries: how many fingerprints of the queries, which are the rows whose id is divisible by 50, are at most RADIUS bits away. Ids that are no whole numbers are never queries."""
     n = F.length("_t")
     df = barrier(with_next(docs, id_col, text_col), _edited=F.concat(F.expr("substring(_t, 1, length(_t) - floor(length(_t) / 2))"), F.expr("substring(_next, 1, floor(length(_t) / 2))")), n_chars=n.cast("long"))
     about = ["_key", "_next_key", "doc_id", "n_chars", "edited_sha256"]
@@ -132,5 +128,7 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     per = prints.groupBy(*about).agg(*[F.max(F.when(F.col("_kind") == k, F.col("fingerprint"))).alias(c) for k, c in enumerate(("fingerprint", "edited_fingerprint"))])
     per = Scratch(docs.sparkSession, "simhash").table("fingerprints", per)
     following = per.select(F.col("_key").alias("_next_key"), F.col("fingerprint").alias("_following"))
-    out = per.join(following, "_next_key")
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("_following")).alias("near_next"))
+    query = per.where(F.expr("try_cast(doc_id as bigint) % 50 = 0"))
+    near = within(query, per, RADIUS, BLOCKS).groupBy("found").agg(F.count(F.lit(1)).alias("near_queries"))
+    out = per.join(following, "_next_key").join(near, F.col("fingerprint") == F.col("found"), "left")
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("_following")).alias("near_next"), F.coalesce("near_queries", F.lit(0)).alias("near_queries"))

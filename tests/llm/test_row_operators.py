@@ -2,11 +2,14 @@
 
 import hashlib
 import re
+import struct
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from glossaflow.llm import quality_rules, simhash, token_counts
@@ -101,6 +104,56 @@ def test_compared_texts(spark):
     assert simhash.compared(edges.empty(spark)).count() == 0
 
 
+def brute_fingerprint(text):
+    """Votes counted bit by bit, with hashes by another library."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    hash_of = lambda h, seed: xxhash.xxh64_intdigest(struct.pack("<q", signed(h)), seed % (1 << 64))
+    terms = [words[i : i + 3] for i in range(max(1, len(words) - 2))] if words else []
+    votes, whole = [0] * 128, 0
+    for term in terms:
+        x = 42
+        for w in term:
+            x = hash_of(xxhash.xxh64_intdigest(w.encode(), 42), x)
+        y = xxhash.xxh64_intdigest(struct.pack("<i", 7), hash_of(x, 42))
+        weight = sum(map(len, term)).bit_length()
+        whole += weight
+        for i in range(64):
+            votes[i] += weight * (y >> i & 1)
+            votes[64 + i] += weight * (x >> i & 1)
+    return f"{sum(1 << i for i in range(128) if 2 * votes[i] > whole):032x}"
+
+
+def test_fingerprints_are_the_votes(spark):
+    for _, df in edges.both(spark):
+        got = simhash.compared(df).collect()
+        assert Counter((r.doc_id, r.fingerprint) for r in got) == Counter((r.doc_id, brute_fingerprint(r.text)) for r in df.collect())
+        prints = {r.fingerprint for r in got if r.doc_id is not None and r.doc_id % 50 == 0}
+        for r in got:
+            assert r.near_queries == sum(bin(int(r.fingerprint, 16) ^ int(q, 16)).count("1") <= simhash.RADIUS for q in prints)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_next_rows_of_any_ids(spark, kind):
+    rnd = np.random.default_rng(8)
+    ids = [*range(300), 10**15, -5, None, None, *[7] * 200]
+    rows = [(i if i is None or kind == "long" else f"k{i}", f"text {n}") for n, i in enumerate(ids)]
+    df = spark.createDataFrame([rows[i] for i in rnd.permutation(len(rows))], f"doc_id {kind}, text string").repartition(5)
+    got = simhash.with_next(df, rows_in_bucket=20)
+    assert max(r[0] for r in got.groupBy((F.col("_key") / (1 << 34)).cast("long")).count().select("count").collect()) <= 60
+    got = got.collect()
+    hashes = {r._t: r.h for r in got_hashes(df)}
+    low = min(hashes.values()) - 1
+    rows.sort(key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0 if kind == "long" else "", hashes.get(r[1], low)), reverse=True)
+    assert {(r.doc_id, r._t, r._next) for r in got} == {(*r, a[1]) for r, a in zip(rows, rows[1:] + rows[:1], strict=True)}
+    by_key = {r._key: r._t for r in got}
+    assert len(by_key) == len(got) and all(by_key[r._next_key] == r._next for r in got)
+
+
+def got_hashes(df):
+    return df.select(F.col("text").alias("_t"), F.xxhash64("text").alias("h")).collect()
+
+
 def test_all_fingerprints_within_a_radius(spark):
     rnd = np.random.default_rng(1)
     base = [int.from_bytes(rnd.bytes(16), "big") for _ in range(40)]
