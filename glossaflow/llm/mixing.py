@@ -1,10 +1,11 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents fall into cells by source, language and topic. The tokens of each
-cell are summed in one aggregation, the table of cells is raked until the token
-shares of each margin are the targets, and each document is then kept with its
-cell's calibrated probability, by a hash of its id and text: the same documents
-at every run, in any order, without a shuffle of texts.
+cell, as the library counts them for a vocabulary, are summed in one
+aggregation, the table of cells is raked until the token shares of each margin
+are the targets, and each document is then kept with its cell's calibrated
+probability, by a hash of its id and text: the same documents at every run, in
+any order, without a shuffle of texts.
 
 Every value of a margin is a cell's own, but for margins with given targets,
 where values without one fall together. Up to ``most_cells`` cells are raked as
@@ -35,8 +36,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, barrier
+from .packing import encoder
+from .token_counts import slices
 
 OTHER = "other"
+#: Stands for null, which no value is mistaken for.
+NULL = "\0null"
 
 
 @dataclass(frozen=True)
@@ -92,10 +97,26 @@ def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray],
 def cells(docs: DataFrame, text_col: str, source_col: str, lang_col: str, topics: dict[str, list[str]], tokens: Column | None = None) -> DataFrame:
     """docs, with _source, _lang, _topic and _tokens. Without a column of tokens the bytes of the text stand for them, a quarter each."""
     size = tokens if tokens is not None else F.ceil(F.coalesce(F.octet_length(text_col), F.lit(0)) / 4)
-    value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(null)"))
+    value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NULL))
     return with_topic(docs.withColumns({"_source": value(source_col), "_lang": value(lang_col), "_tokens": size.cast("double")}), text_col, topics)
 
 
+def counted(celled: DataFrame, text_col: str, vocabulary: str) -> DataFrame:
+    """cells() with the library's number of tokens and without the text."""
+    rest = [c for c in celled.columns if c not in (text_col, "_tokens")]
+
+    def made(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = [x or "" for x in batch.column("_text").to_pylist()]
+            n = [len(x) for part in slices(texts) for x in encoder(vocabulary).encode_batch_fast(texts[part], add_special_tokens=False)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(n, pa.float64())], [*rest, "_tokens"])
+
+    kinds = ", ".join(f"`{c}` {celled.schema[c].dataType.simpleString()}" for c in [*rest, "_tokens"])
+    return celled.select(*[F.col(f"`{c}`") for c in rest], F.col(text_col).alias("_text")).mapInArrow(made, kinds)
+
+
 def _targets(margin: Margin, shares: dict[str, float]) -> dict[str, float]:
     if margin.targets:
         out = dict(margin.targets)
@@ -300,14 +321,20 @@ def uniform(id_col: str, text_col: str, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)), 11) / F.lit(float(1 << 53))
 
 
-def mix(docs: DataFrame, margins: list[Margin], topics: dict[str, list[str]], keep: float | None = None, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", tokens: Column | None = None, most_cells: int = 500_000) -> tuple[DataFrame, Mixture]:
-    """docs with _probability and _kept beside the columns of cells(), and the mixture."""
-    celled = cells(docs, text_col, source_col, lang_col, topics, tokens)
+def mix(docs: DataFrame, margins: list[Margin], topics: dict[str, list[str]], keep: float | None = None, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", vocabulary: str | None = None, most_cells: int = 500_000) -> tuple[DataFrame, Mixture]:
+    """id_col of every row, the columns of cells(), _probability and _kept; and the mixture. Texts are read once."""
+    named = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col(source_col).alias("s"), F.col(lang_col).alias("l"), uniform(id_col, text_col, seed).alias("_draw"))
+    celled = cells(named, "t", "s", "l", topics).drop("s", "l")
+    celled = counted(celled, "t", vocabulary) if vocabulary else celled.drop("t")
+    celled = Scratch(docs.sparkSession, "mixing").table("documents", celled)
     mixture = fit(celled, margins, keep, most_cells)
-    return mixture.with_probability(celled).withColumn("_kept", uniform(id_col, text_col, seed) < F.col("_probability")), mixture
+    return mixture.with_probability(celled).withColumn("_kept", F.col("_draw") < F.col("_probability")).withColumnRenamed("i", id_col).drop("_draw"), mixture
 
 
-def sample(docs: DataFrame, margins: list[Margin], topics: dict[str, list[str]], keep: float | None = None, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+def sample(docs: DataFrame, margins: list[Margin], topics: dict[str, list[str]], keep: float | None = None, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", vocabulary: str | None = None) -> DataFrame:
     """The kept rows of docs, whole, whatever their columns are called."""
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(source_col).alias("s"), F.col(lang_col).alias("l"))
-    return mix(packed, margins, topics, keep, seed, "i", "t", "s", "l")[0].where("_kept").select("row.*")
+    celled = cells(packed, "t", "s", "l", topics)
+    bare = cells(packed.drop("row"), "t", "s", "l", topics).drop("i", "s", "l")
+    mixture = fit(counted(bare, "t", vocabulary) if vocabulary else bare, margins, keep)
+    return mixture.with_probability(celled).where(uniform("i", "t", seed) < F.col("_probability")).select("row.*")

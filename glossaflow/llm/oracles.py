@@ -44,13 +44,19 @@ least AS (SELECT a, min(b) AS m FROM reached GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m AS component_id FROM d JOIN least ON a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
-SUFFIX_DEDUP = """
+#: In hex, a whole character as UTF-8 has them, or else one byte.
+_CHARACTER = "[0-7].|(?:C[2-9A-F]|D.)[89AB].|E0[AB].[89AB].|(?:E[1-9A-CEF])[89AB].[89AB].|ED[89].[89AB].|F0[9AB].[89AB].[89AB].|F[1-3][89AB].[89AB].[89AB].|F48.[89AB].[89AB].|.."
+
+SUFFIX_DEDUP = f"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS c FROM (SELECT doc_id, i, md5(substring(h, 2 * i + 1, 800)) AS g FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 399)) AS i FROM d WHERE length(h) >= 800))),
 edges AS (SELECT doc_id, i, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) AS step FROM windows WHERE c > 1),
 numbered AS (SELECT doc_id, i, sum(CASE WHEN step > 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM edges),
 runs AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM numbered GROUP BY doc_id, run),
 cuts AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs),
-parts AS (SELECT doc_id, string_agg(substring(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS t, sum(b - a) AS n, count(*) AS k, max(b) AS z FROM cuts JOIN d USING (doc_id) GROUP BY doc_id)
-SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(k, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(t, '') || substring(h, 2 * coalesce(z, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN parts USING (doc_id)
+parts AS (SELECT doc_id, string_agg(substring(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS t, sum(b - a) AS n, count(*) AS k, max(b) AS z FROM cuts JOIN d USING (doc_id) GROUP BY doc_id),
+kept AS (SELECT doc_id, length(h) // 2 AS size, n, k, coalesce(t, '') || substring(h, 2 * coalesce(z, 0) + 1) AS r FROM d LEFT JOIN parts USING (doc_id))
+SELECT doc_id, size::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(k, 0)::BIGINT AS n_spans, sha256(unhex(r)) AS kept_sha256,
+  decode(unhex(array_to_string(list_filter(regexp_extract_all(r, '{_CHARACTER}'), lambda x: length(x) > 2 OR x < '8'), ''))) AS text
+FROM kept
 """

@@ -4,19 +4,21 @@ Documents are tokenised once into pieces (a table in shared storage). Each batch
 of a partition is packed best-fit decreasing; nearly full bins are final, and
 underfull bins become items of the next round, dealt over fewer groups by a
 hash. A group never holds more than ``group_items`` items in the mean, whatever
-the size of the corpus: rounds go on until everything fits one group or a round
-no longer pays. Where a piece stands is the sum of the shifts of its bins, so
-only small rows (item, bin, shift) are ever joined.
+the size of the corpus: rounds go on until everything has been in one group, or
+a round leaves more than ``pays`` of the underfull bins before it, whose rest is
+then final as it is. Where a piece stands is the sum of the shifts of its bins,
+so only small rows (item, bin, shift) are ever joined.
 
 Defined results: a null or empty text is the end mark alone, a piece of one
-token; only documents over the limit are cut, and their first piece takes the
-remainder; repeated rows are packed each; other columns are ignored; an empty
-table gives an empty result.
+token; special strings inside texts become their ids, as in the library; only
+documents over the limit are cut, and their first piece takes the remainder;
+repeated rows are packed each; other columns are ignored; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
-import base64
+import os
 import zlib
 from functools import cache
 
@@ -25,18 +27,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
+from .token_counts import slices
 
 _HIGH = 33  # ids are (task << _HIGH) + number within the task
+#: Bits of a bin's id that say of which round it is.
+_ROUND_BITS = 7
 
 
 @cache
-def encoder(ranks_file: str, pattern: str, special: tuple[tuple[str, int], ...]):
-    """The byte-level BPE with these ranks; special strings in texts become their ids, as in the tokenizers library."""
-    import tiktoken
+def encoder(vocabulary: str):
+    """The library's tokenizer, without truncation and padding; a task uses one thread."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    import tokenizers
 
-    with open(ranks_file, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(special))
+    out = tokenizers.Tokenizer.from_file(vocabulary)
+    out.no_truncation()
+    out.no_padding()
+    return out
+
+
+def token_ids(texts: list[str], vocabulary: str) -> list[list[int]]:
+    """The ids of each text, without added special tokens."""
+    return [x.ids for x in encoder(vocabulary).encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def cut(n: int, limit: int) -> list[tuple[int, int]]:
@@ -72,22 +84,22 @@ def best_fit(sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, lis
     return bins, offsets, fills
 
 
-def pieces(docs: DataFrame, ranks_file: str, pattern: str, special: dict[str, int], end_id: int, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each piece, with an id that is unique in the table once it is written."""
-    specials = tuple(sorted(special.items()))
+def pieces(docs: DataFrame, vocabulary: str, end_id: int, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each piece, with an id that is unique in the table once it is written. vocabulary: a file of the tokenizers library."""
 
     def made(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        enc, allowed = encoder(ranks_file, pattern, specials), {s for s, _ in specials}
         next_id = TaskContext.get().partitionId() << _HIGH
         for batch in batches:
             rows = []
-            for row, text in enumerate(batch.column(1)):
-                ids = np.array(enc.encode(text.as_py() or "", allowed_special=allowed, disallowed_special=()) + [end_id], dtype="<u4")
-                for k, (a, b) in enumerate(cut(len(ids), limit)):
-                    rows.append((row, k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            for part in slices(texts):
+                for row, held in enumerate(token_ids(texts[part], vocabulary), part.start):
+                    ids = np.array([*held, end_id], dtype="<u4")
+                    for k, (a, b) in enumerate(cut(len(ids), limit)):
+                        rows.append((row, k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
             at, piece, start, length, crc = (np.array(x) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64) for _ in range(5))
             ids = np.arange(next_id, next_id + len(at))
             next_id += len(at)
@@ -115,19 +127,20 @@ def pack_batches(items: DataFrame, limit: int, nearly_full: int, round_no: int,
 
     made = items.select("item", "length").mapInArrow(packed, "item long, bin long, shift long, fill long, done boolean")
     # the round in the low bits keeps ids of different rounds apart
-    return made.withColumn("bin", F.col("bin") * 16 + round_no)
+    return made.withColumn("bin", F.shiftleft("bin", _ROUND_BITS) + round_no)
 
 
-def pack(table: DataFrame, limit: int, scratch: Scratch, slack: int = 8, group_items: int = 200_000, most_rounds: int = 8) -> DataFrame:
+def pack(table: DataFrame, limit: int, scratch: Scratch, slack: int = 8, group_items: int = 200_000, pays: float = 0.9) -> DataFrame:
     """A written table of pieces, with sequence_id and offset."""
     placed = scratch.table("round0", pack_batches(table, limit, limit - slack, 0))
     # item to its present bin and its offset there, for open bins of the first round only
     open_bins = placed.where("not done").select(F.col("bin").alias("item"), F.col("fill").alias("length")).distinct()
     moves: DataFrame | None = None
-    before = None
-    for r in range(1, most_rounds + 1):
-        n = open_bins.count()
-        if n <= 1 or before is not None and n > 0.98 * before and groups == 1:  # noqa: F821
+    before, r = None, 0
+    while True:
+        n, r = open_bins.count(), r + 1
+        # each round leaves at most that share, so rounds are few whatever the size: 7 bits are enough for 200,000 times 0.9 ** -127 bins
+        if n <= 1 or before is not None and n > pays * before:
             break
         groups, before = max(1, -(-n // group_items)), n
         dealt = open_bins.repartition(groups, F.xxhash64("item", F.lit(r)))
@@ -147,8 +160,8 @@ def pack(table: DataFrame, limit: int, scratch: Scratch, slack: int = 8, group_i
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), F.col("shift").alias("offset"))
 
 
-def pack_documents(docs: DataFrame, ranks_file: str, pattern: str, special: dict[str, int], end_id: int, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The packed pieces of all documents."""
     scratch = Scratch(docs.sparkSession, "packing")
-    table = scratch.table("pieces", pieces(docs, ranks_file, pattern, special, end_id, limit, id_col, text_col))
+    table = scratch.table("pieces", pieces(docs, vocabulary, end_id, limit, id_col, text_col))
     return pack(table, limit, scratch, **how)

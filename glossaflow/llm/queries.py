@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from . import html_extraction, language_id, mixing, ngram_join, oracles, packing, quality_rules, simhash, substring_dedup, suffix_dedup, token_counts
 
-#: Fixed values of the vocabulary: its end-of-text string and id, and the id that ends a packed document.
-SPECIAL, END_ID = {"<|endoftext|>": 50256}, 2
+#: Fixed value: the id that ends a packed document.
+END_ID = 2
 
 
 #: Margins of the mixture: rare sources, languages and topics weigh more than their share.
@@ -30,7 +30,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, SPECIAL, END_ID, 1024)
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), END_ID, 1024)
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,8 +54,9 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed, _ = mixing.mix(documents(spark, sf_dir), MARGINS, TOPICS, KEEP)
-    return mixed.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").cast("long").alias("n_tokens"), F.col("_probability").alias("probability"), F.col("_kept").alias("kept"))
+    mixed, _ = mixing.mix(documents(spark, sf_dir), MARGINS, TOPICS, KEEP, vocabulary=public_tokenizers.path("byte_bpe_50k.json"))
+    value = lambda c: F.when(F.col(c) != mixing.NULL, F.col(c))
+    return mixed.select("doc_id", value("_source").alias("source"), value("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").cast("long").alias("n_tokens"), F.col("_probability").alias("probability"), F.col("_kept").alias("kept"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +64,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup(documents(spark, sf_dir), suffix_dedup.Shape(400, 128, "byte"))
+    return suffix_dedup.dedup(documents(spark, sf_dir), suffix_dedup.Shape(400, 128, "byte"), with_text=True)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,23 @@
 """Substring dedup with a log-structured fingerprint index.
 
 The index is a list of runs: immutable tables of the fingerprints of batches,
-each sorted by fingerprint. A new batch is merge-joined with every run; what is
-found there, or twice in the batch, is a candidate; then the batch becomes a
-run of its own, and when there are more than ``most_runs`` they are compacted
-to one before the next batch comes. The fingerprints are the grams of anchors (see ``windows``), so the
-index holds one for about every eight words and none of the texts.
-
-Candidates are verified on the texts: entries with a candidate gram are
-compared by their whole stretch, and where stretches differ, window by window,
-and the earliest window of each word sequence stays. Groups of more than
-``most`` different stretches are not gathered in one task: their windows are
-compared in a shuffle.
+dealt into the same buckets and sorted by fingerprint. A new batch is
+merge-joined with every run, bucket by bucket, without a shuffle of the runs;
+what is found there, or twice in the batch, is a candidate; then the batch
+becomes a run of its own, and when there are more than ``most_runs`` they are
+compacted to one before the next batch comes. The fingerprints are the grams of
+anchors (see ``windows``), so the index holds one for about every eight words
+and none of the texts. An index in a folder is kept, and a later call dedups
+new documents against those before them.
+
+Candidates are verified by reading the texts again: entries with a candidate
+gram are compared by a hash of their whole stretch, and where stretches differ,
+by hashes of their windows, and the earliest window of each word sequence stays.
+Hashes have 64 bits and are only compared within a gram (which is a hash of 64
+bits itself) and at the same place of the gram, so two different windows are
+taken for one with a probability of 2 ** -64 for each pair of one gram. Groups
+of more than ``most`` different stretches are not gathered in one task: their
+windows are compared in a shuffle.
 
 Defined results: null and empty texts, and texts of fewer words than a window,
 lose nothing; the order is by id, nulls first, then by the place in the
@@ -22,65 +28,118 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from functools import reduce
 
 import numpy as np
 from pyspark.core.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
 
 from . import windows
-from .common import WORD_BREAKS, Scratch
+from .common import WORD_BREAKS, Scratch, range_bounds
 from .windows import CLASS, DOC, Shape
 
 DEFAULT = Shape(20, 5, "word")
 
 
 class FingerprintIndex:
-    """Runs of fingerprints in shared storage. add() takes a batch and gives the fingerprints that stand more than once so far and stand in the batch."""
+    """Runs of fingerprints in shared storage. add() takes a batch and gives the fingerprints that stand more than once so far and stand in the batch. folder: where runs are kept for later calls; without it they are scratch."""
 
-    def __init__(self, scratch: Scratch, shape: Shape = DEFAULT, most_runs: int = 3):
-        self.scratch, self.shape, self.most_runs = scratch, shape, most_runs
-        self.runs: list[tuple[str, DataFrame]] = []
+    def __init__(self, spark: SparkSession, scratch: Scratch, shape: Shape = DEFAULT, most_runs: int = 3, folder: str | None = None):
+        self.spark, self.scratch, self.shape, self.most_runs, self.folder = spark, scratch, shape, most_runs, folder
+        self.top = folder.rstrip("/") if folder else f"{scratch.top}/index"
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.runs: list[str] = []
         self.made = 0
-
-    def _run(self, df: DataFrame) -> tuple[str, DataFrame]:
+        if folder:
+            state = json.loads(self._read_state() or "{}")
+            kept = {"size": shape.size, "gram": shape.gram, "unit": shape.unit}
+            if state and state["shape"] != kept:
+                raise ValueError("the index is one of other windows")
+            self.runs, self.made, self.buckets = state.get("runs", []), state.get("made", 0), state.get("buckets", self.buckets)
+
+    def _state_path(self):
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.top}/state.json")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _read_state(self) -> str | None:
+        path, fs = self._state_path()
+        return self.spark.read.text(path.toString(), wholetext=True).first()[0] if fs.exists(path) else None
+
+    def commit(self) -> None:
+        """Says in the folder which runs count; runs that a failed call has left are not among them."""
+        if not self.folder:
+            return
+        state = json.dumps({"runs": self.runs, "made": self.made, "buckets": self.buckets, "shape": {"size": self.shape.size, "gram": self.shape.gram, "unit": self.shape.unit}})
+        path, fs = self._state_path()
+        out = fs.create(path, True)
+        out.write(bytearray(state.encode()))
+        out.close()
+
+    def _table(self, run: str) -> str:
+        """The catalog's name of a run: only tables of the catalog have buckets."""
+        name = f"fingerprints_{hashlib.sha256(f'{self.top}/{run}'.encode()).hexdigest()[:32]}"
+        if not self.spark.catalog.tableExists(name):
+            self.spark.sql(f"CREATE TABLE {name} (gram BIGINT, n INT) USING parquet CLUSTERED BY (gram) SORTED BY (gram) INTO {self.buckets} BUCKETS LOCATION '{self.top}/{run}'")
+        return name
+
+    def run(self, run: str) -> DataFrame:
+        return self.spark.table(self._table(run))
+
+    def _write(self, grams: DataFrame) -> str:
+        """A new run of (gram, n), in which each gram is once."""
         self.made += 1
-        name = f"run{self.made}"
-        return name, self.scratch.table(name, df)
+        # also apart from runs that a failed call may have left in the folder
+        run = f"run{self.made}-{uuid.uuid4().hex[:8]}"
+        self._table(run)
+        # dealt once, as the buckets are, so that each bucket is one sorted file
+        once = grams.repartition(self.buckets, "gram").groupBy("gram").agg(F.sum("n").alias("n"))
+        once.select("gram", F.least("n", F.lit(2)).cast("int").alias("n")).write.insertInto(self._table(run))
+        return run
 
     def add(self, batch: DataFrame) -> DataFrame:
         """batch: doc_id, th, text."""
         if len(self.runs) >= self.most_runs:
             self.compact()
-        fresh = windows.grams(batch, self.shape).groupBy("gram").agg(F.sum("n").alias("n")).sortWithinPartitions("gram")
-        name, run = self._run(fresh.select("gram", F.least("n", F.lit(2)).cast("int").alias("n")))
-        hits = [run.where("n > 1").select("gram")]
-        if self.runs:
-            older = reduce(DataFrame.unionByName, [old.select("gram") for _, old in self.runs])
-            hits.append(run.where("n = 1").select("gram").join(older, "gram", "left_semi"))
-        # of what stands once in the batch and again in a run; both kinds are disjoint
+        fresh = self._write(windows.grams(batch, self.shape))
+        # what stands twice in the batch, or once and in an older run
+        hits = [self.run(fresh).where("n > 1").select("gram")]
+        hits += [self.run(fresh).where("n = 1").select("gram").join(self.run(old).select("gram").hint("merge"), "gram", "left_semi") for old in self.runs]
         found = self.scratch.table(f"hits{self.made}", reduce(DataFrame.unionByName, hits))
-        self.runs.append((name, run))
+        self.runs.append(fresh)
         return found
 
     def compact(self) -> None:
         """One run in place of all, as if there had been one batch."""
         old = self.runs
-        merged = reduce(DataFrame.unionByName, [run for _, run in old]).groupBy("gram").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n")).sortWithinPartitions("gram")
-        self.runs = [self._run(merged)]
-        self.scratch.drop(*[name for name, _ in old])
+        self.runs = [self._write(reduce(DataFrame.unionByName, [self.run(x) for x in old]))]
+        self.commit()
+        self.drop(old)
+
+    def drop(self, runs: list[str]) -> None:
+        for run in runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._table(run)}")
+            self.scratch._delete(f"{self.top}/{run}")
+
+    def close(self) -> None:
+        """Keeps the runs in the folder, or without one drops them. The catalog forgets them either way."""
+        if self.folder:
+            self.commit()
+            for run in self.runs:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self._table(run)}")
+        else:
+            self.drop(self.runs)
+            self.scratch.drop()
 
 
 def batches_by_id(docs: DataFrame, n: int) -> list[DataFrame]:
-    """docs in n parts of consecutive ids (null ids in the first), with about as many rows each; in one part if ids are no numbers."""
-    if n < 2 or not isinstance(docs.schema["doc_id"].dataType, NumericType):
-        return [docs]
-    cuts = docs.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.01)
-    if not cuts:
+    """docs in n parts of consecutive ids of any kind (null ids in the first), with about as many rows each."""
+    if n < 2:
         return [docs]
-    edges = [None, *sorted(set(cuts)), None]
+    edges = [None, *(x["doc_id"] for x in range_bounds(docs, ["doc_id"], 1, n, 1_000).rows()), None]
     parts = []
     for lo, hi in zip(edges, edges[1:], strict=False):
         keep = F.lit(True) if lo is None else F.col("doc_id") >= lo
@@ -185,12 +244,13 @@ def remove_words(docs: DataFrame, spans: tuple[DataFrame, Broadcast], scratch: S
     return windows.joined_spans(docs, spans, scratch).select("doc_id", "text", "spans").mapInArrow(kept, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
 
 
-def dedup(docs: DataFrame, shape: Shape = DEFAULT, batches: int = 3, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, most: int = 20_000) -> DataFrame:
-    """The documents without words of windows that stand earlier, the index filled batch by batch in the order of ids."""
-    scratch = Scratch(docs.sparkSession, "substrings")
+def dedup(docs: DataFrame, shape: Shape = DEFAULT, batches: int = 5, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, most: int = 20_000, history: DataFrame | None = None, folder: str | None = None) -> DataFrame:
+    """The documents without words of windows that stand earlier, the index filled batch by batch in the order of ids. With a folder the index in it goes on, and stays there: history are the documents that it has seen, whose ids must come before the new ones."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "substrings")
     docs = windows.named(docs, id_col, text_col)
-    index = FingerprintIndex(scratch, shape)
+    index = FingerprintIndex(spark, scratch, shape, folder=folder)
     candidates = reduce(DataFrame.unionByName, [index.add(b) for b in batches_by_id(docs, batches)])
-    # the next batch would need the runs, but there is none
-    scratch.drop(*[name for name, _ in index.runs])
-    return remove_words(docs, repeated_spans(docs, candidates, shape, scratch, most), scratch, with_text)
+    index.close()
+    every = docs if history is None else docs.unionByName(windows.named(history, id_col, text_col))
+    return remove_words(docs, repeated_spans(every, candidates, shape, scratch, most), scratch, with_text)

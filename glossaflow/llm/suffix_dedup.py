@@ -249,7 +249,7 @@ def values_to_bytes(values: np.ndarray) -> np.ndarray:
 
 
 def remove_bytes(docs: DataFrame, spans: tuple[DataFrame, Broadcast], scratch: Scratch, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept text: the kept bytes without parts of characters)."""
 
     def kept(batches):
         import pyarrow as pa
@@ -261,13 +261,13 @@ def remove_bytes(docs: DataFrame, spans: tuple[DataFrame, Broadcast], scratch: S
                 runs = windows.covered((x["a"], x["b"]) for x in held or ())
                 edges = [0, *(x for run in runs for x in run), len(raw)]
                 left = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                out.append((len(raw), len(raw) - len(left), len(runs), hashlib.sha256(left).hexdigest(), left))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())[: 4 + with_text]
+                out.append((len(raw), len(raw) - len(left), len(runs), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())[: 4 + with_text]
             columns = [pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"][: 5 + with_text])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return windows.joined_spans(docs, spans, scratch).select("doc_id", "text", "spans").mapInArrow(kept, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    return windows.joined_spans(docs, spans, scratch).select("doc_id", "text", "spans").mapInArrow(kept, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text)
 
 
 def whole_characters(raw: bytes, a: int, b: int) -> tuple[int, int]:

@@ -319,8 +319,8 @@ def whole_groups(batches, least: int):
 
 
 def spans_by_document(spans: DataFrame) -> DataFrame:
-    """(doc_id, th, a, b) to one row a document with its spans."""
-    return spans.groupBy(*DOC).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    """(doc_id, th, a, b) to one row a document with its distinct spans: rows that agree in id and text have the same ones, however many they are."""
+    return spans.groupBy(*DOC).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
 def joined_spans(docs: DataFrame, found: tuple[DataFrame, Broadcast], scratch: Scratch) -> DataFrame:

@@ -125,10 +125,46 @@ def test_deep_shallow_sorts():
 def test_runs_merge_and_compact(spark):
     df = windows.named(edges.documents(spark), "doc_id", "text")
     scratch = Scratch(spark, "test")
-    one = {r.gram for r in substring_dedup.FingerprintIndex(scratch).add(df).collect()}
-    index = substring_dedup.FingerprintIndex(Scratch(spark, "test"), most_runs=2)
+    one = {r.gram for r in substring_dedup.FingerprintIndex(spark, scratch).add(df).collect()}
+    index = substring_dedup.FingerprintIndex(spark, Scratch(spark, "test"), most_runs=2)
     several = set()
     for part in substring_dedup.batches_by_id(df, 5):
         several |= {r.gram for r in index.add(part).collect()}
         assert len(index.runs) <= 2
     assert one == several
+    index.close()
+
+
+def test_runs_are_joined_without_a_shuffle(spark):
+    df = windows.named(edges.documents(spark), "doc_id", "text")
+    index = substring_dedup.FingerprintIndex(spark, Scratch(spark, "test"))
+    for part in substring_dedup.batches_by_id(df, 2):
+        index.add(part)
+    a, b = (index.run(x) for x in index.runs)
+    plan = a.where("n = 1").join(b.hint("merge"), "gram", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    index.close()
+
+
+def test_an_index_goes_on(spark, tmp_path):
+    """Three calls over parts of the documents, the index kept between them, give what one call over all gives."""
+    docs = edges.documents(spark)
+    rows = lambda df: {tuple(r) for r in df.collect()}
+    want, got = rows(substring_dedup.dedup(docs)), set()
+    ids = sorted(r.doc_id for r in docs.select("doc_id").collect())
+    cuts = [ids[0], ids[len(ids) // 3], ids[len(ids) // 2], ids[-1] + 1]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        new = docs.where((docs.doc_id >= lo) & (docs.doc_id < hi))
+        got |= rows(substring_dedup.dedup(new, batches=2, history=docs.where(docs.doc_id < lo), folder=f"file://{tmp_path}/index"))
+    assert got == want
+    with pytest.raises(ValueError, match="other windows"):
+        substring_dedup.FingerprintIndex(spark, Scratch(spark, "test"), Shape(7, 2, "word"), folder=f"file://{tmp_path}/index")
+
+
+def test_batches_of_any_ids(spark):
+    rows = [(None if i % 50 == 0 else f"k{i}", i) for i in range(400)] + [("k7", 1000 + i) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id string, x long")
+    parts = substring_dedup.batches_by_id(df, 5)
+    held = [{r.x for r in p.collect()} for p in parts]
+    assert len(parts) > 2 and set.union(*held) == {x for _, x in rows} and sum(map(len, held)) == len(rows)
+    assert {x for i, x in rows if i is None} <= held[0]

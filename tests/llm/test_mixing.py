@@ -4,9 +4,11 @@ from collections import Counter, defaultdict
 from functools import partial
 
 import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
-from glossaflow.llm import mixing
+from glossaflow.llm import mixing, queries
 from glossaflow.llm.mixing import Margin
 
 from . import edges
@@ -54,6 +56,50 @@ def test_probabilities_give_the_targets(spark, keep):
     assert mixing.mix(df.repartition(7), margins, TOPICS, keep)[0].where("_kept").count() == sum(r._kept for r in got)
 
 
+def test_targets_by_the_librarys_tokens(spark):
+    """Targets are met by real tokens, and with a share to keep those that bounded raking can meet."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(vocabulary)
+    size = {r.doc_id: len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) for r in df.collect()}
+    for keep in (None, 0.7):
+        mixed, _ = mixing.mix(df, queries.MARGINS, queries.TOPICS, keep, vocabulary=vocabulary)
+        rows = mixed.collect()
+        assert {r.doc_id: r._tokens for r in rows} == size
+        whole = sum(size.values())
+        expected = sum(r._tokens * r._probability for r in rows)
+        assert keep is None or abs(expected - keep * whole) < 1e-3 * whole
+        for margin in queries.MARGINS:
+            before, after = Counter(), Counter()
+            for r in rows:
+                before[r[f"_{margin.name}"]] += r._tokens
+                after[r[f"_{margin.name}"]] += r._tokens * r._probability
+            want = {v: (n / whole) ** margin.power for v, n in before.items()}
+            if keep is None:
+                goal = {v: t / sum(want.values()) * expected for v, t in want.items()}
+            else:
+                # a value whose target is more than it has is kept whole, and the others share the rest
+                goal, free, left = {}, dict(want), keep * whole
+                while True:
+                    scale = left / sum(free.values())
+                    over = [v for v, t in free.items() if t * scale >= before[v]]
+                    for v in over:
+                        goal[v] = before[v]
+                        left -= before[v]
+                        del free[v]
+                    if not over:
+                        break
+                goal |= {v: t * scale for v, t in free.items()}
+            for v in goal:
+                assert abs(after[v] - goal[v]) < 1e-3 * whole, (keep, margin.name, v)
+
+
+def test_null_is_no_other_value(spark):
+    df = spark.createDataFrame([(i, "x y z", [None, "(null)", "null"][i % 3], "en") for i in range(9)], "doc_id long, text string, source string, lang string")
+    _, mixture = mixing.mix(df, [Margin("source"), Margin("lang"), Margin("topic")], TOPICS)
+    assert set(mixture.shares[0]) == {mixing.NULL, "(null)", "null"}
+
+
 def test_rest_falls_together(spark):
     df = spark.createDataFrame([(i, "x y z", f"s{i % 7}", None) for i in range(70)], "doc_id long, text string, source string, lang string")
     _, mixture = mixing.mix(df, [Margin("source", {"s0": 0.5, "s1": 0.2}), Margin("lang"), Margin("topic")], TOPICS)

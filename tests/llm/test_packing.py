@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from glossaflow.llm import packing, queries
 from glossaflow.llm.common import Scratch
 
@@ -15,7 +16,7 @@ from . import edges
 
 
 def packed(df, **how):
-    return packing.pack_documents(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, queries.SPECIAL, queries.END_ID, 1024, **how)
+    return packing.pack_documents(df, public_tokenizers.path("byte_bpe_50k.json"), queries.END_ID, 1024, **how)
 
 
 def gapless(rows, limit):
@@ -48,6 +49,17 @@ def test_pieces_and_places(spark):
     assert packed(edges.empty(spark)).count() == 0
 
 
+def test_a_million_white_characters(spark):
+    texts = [" " * 1_000_000, "\n" * 1_000_000, "a" + " \t" * 300_000 + "b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+    for out in (packed(df), corpus_pipeline.packed(spark, df, "")):
+        rows = out.collect()
+        assert {i: sum(r.length for r in rows if r.doc_id == i) for i in want} == want
+        gapless(rows, 1024)
+
+
 def test_rounds_of_merging(spark):
     rnd = np.random.default_rng(2)
     sizes = [int(x) for x in rnd.integers(1, 1025, 6000)]
