@@ -19,8 +19,8 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="glossaflow", description="Translate text, HTML or JSON documents, with spans that must not change hidden from the service.")
     p.add_argument("--model", help="VENDOR:MODEL of the registry")
     p.add_argument("--format", help="text, html or json")
-    p.add_argument("--source", help="file to read; else standard input")
-    p.add_argument("--translated", help="file to write; else standard output")
+    p.add_argument("--source", help="file to read, or folder with a document in each file; else standard input")
+    p.add_argument("--translated", help="file to write, of a folder the folder of the results as JSON lines; else standard output")
     p.add_argument("--filters", default="", help="names of filters, separated by commas: url, html_TAG")
     p.add_argument("--source-lang")
     p.add_argument("--target-lang")
@@ -91,6 +91,8 @@ def _translate(args, registry: Registry, prompts: Prompts, spark, sender, stdin)
     job = Job(args.model, args.format or "", spans.parse_names(args.filters), args.source_lang, args.target_lang, args.context, args.prompt_key, validate=not args.no_validate, verbose=args.verbose, registry=registry, prompts=prompts)
     settings = job.settings()
     cli_variables = parse_variables(args.variables)
+    if args.source and os.path.isdir(args.source):
+        return _translate_folder(args, job, settings, cli_variables, spark or SparkSession.builder.master("local[2]").getOrCreate(), sender)
     if args.source:
         with open(args.source, encoding="utf-8") as f:
             text = f.read()
@@ -110,16 +112,7 @@ def _translate(args, registry: Registry, prompts: Prompts, spark, sender, stdin)
         else:
             print(prepared, end="")
         return 0
-    for name, env in registry.variables(args.model).items():
-        if name not in cli_variables and env not in os.environ:
-            raise ValueError(f"{env} is not set, which {args.model} needs")
-        job.variables[name] = os.environ.get(env, "")
-    job.variables |= cli_variables
-    auth = transport.Auth.of(settings)
-    if sender is None:
-        if auth:
-            auth.secret()
-        sender = transport.Http(auth, transport.proxy_from(args.proxy))
+    sender = _ready(args, job, settings, cli_variables, sender)
     row = translate(docs, job, sender).first()
     if args.verbose:
         print(row["debug_request"], row["debug_response"], sep="\n", file=sys.stderr)
@@ -136,5 +129,43 @@ def _translate(args, registry: Registry, prompts: Prompts, spark, sender, stdin)
     return 0
 
 
+def _ready(args, job, settings: dict, cli_variables: dict, sender):
+    """The job's variables set, and the transport; raises where something is missing."""
+    for name, env in job.registry.variables(args.model).items():
+        if name not in cli_variables and env not in os.environ:
+            raise ValueError(f"{env} is not set, which {args.model} needs")
+        job.variables[name] = os.environ.get(env, "")
+    job.variables |= cli_variables
+    if sender is None:
+        auth = transport.Auth.of(settings)
+        if auth:
+            auth.secret()
+        sender = transport.Http(auth, transport.proxy_from(args.proxy))
+    return sender
+
+
+def _translate_folder(args, job, settings: dict, cli_variables: dict, spark, sender) -> int:
+    """A document for each file; blank ones are left out. Errors are in the results, and the exit code says whether there are any."""
+    from .plans.translate import translate
+
+    job.dry_run = args.dry_run
+    docs, _ = documents.split_blank(documents.from_files(spark, args.source, job.format))
+    if docs.isEmpty():
+        raise ValueError("no file in the folder has a text")
+    if args.dry_run:
+        job.variables |= cli_variables
+        documents.write_prepared(translate(docs, job, transport.DryRun(), carry=["path"]), args.source.rstrip("/") + ".prepared")
+        return 0
+    if not args.translated:
+        raise ValueError("name a folder for the results with --translated")
+    sender = _ready(args, job, settings, cli_variables, sender)
+    out = translate(docs, job, sender, carry=["path"]).select("doc_id", "path", "result", "error", "lengths", "filter_stats", "consumed", "http_status")
+    documents.write(out, args.translated, "json")
+    failed = spark.read.schema("error struct<stage: string, code: string, message: string>").json(args.translated).where("error is not null").count()
+    if failed:
+        raise ValueError(f"{failed} documents have an error, which is in the results")
+    return 0
+
+
 if __name__ == "__main__":
     sys.exit(run())

@@ -22,6 +22,12 @@ def net_limit(gross: Column) -> Column:
     return F.greatest(F.lit(0).cast("bigint"), gross - PROMPT_CHARS)
 
 
+def of_settings(settings: dict) -> Column:
+    """The net limit of one model's settings, a literal of a plan once it is optimized."""
+    held = settings.get("limits") or {}
+    return net_limit(gross_limit(*[F.lit(held.get(k)).cast("bigint") for k in ("estimated_max_chars", "max_tokens", "max_output_tokens")]))
+
+
 def fits(prepared: Column, limit: Column) -> Column:
     return (limit == 0) | (F.length(prepared) <= limit)
 

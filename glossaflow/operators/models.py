@@ -94,6 +94,33 @@ _MODELS: list[tuple] = [
     ("xai", "grok-3", "grok-3", 524288, 131072, None, {}),
     ("xai", "grok-3-mini", "grok-3-mini", 524288, 131072, None, {}),
 ]
+#: What the list of models says about each, in own words: name and notes.
+_ABOUT: dict[str, tuple[str, str]] = {
+    "anthropic:claude-haiku-3.5": ("Claude 3.5 Haiku", "Small and quick; for short, simple texts in bulk."),
+    "anthropic:claude-opus-4": ("Claude Opus 4", "Largest of its family; for hard texts where cost matters less."),
+    "anthropic:claude-sonnet-4": ("Claude Sonnet 4", "Between the two: long answers at moderate cost."),
+    "deepl:free": ("DeepL API Free", "Machine translation with a monthly quota; text, HTML and JSON as tags."),
+    "deepl:pro": ("DeepL API Pro", "The same service by subscription, at its own address."),
+    "google:gemini-2.5-flash": ("Gemini 2.5 Flash", "Quick, with optional thinking that counts as usage."),
+    "google:gemini-2.5-flash-lite": ("Gemini 2.5 Flash-Lite", "Cheapest of its generation; for bulk."),
+    "google:gemini-2.5-pro": ("Gemini 2.5 Pro", "Largest window of its family; thinks before it answers."),
+    "google:gemini-2.0-flash": ("Gemini 2.0 Flash", "Of the generation before; without thinking."),
+    "openai:gpt-5": ("GPT-5", "Reasons before it answers; takes the default temperature only."),
+    "openai:gpt-5-mini": ("GPT-5 mini", "Smaller and cheaper than GPT-5; default temperature only."),
+    "openai:gpt-5-nano": ("GPT-5 nano", "Smallest of its family, for bulk; default temperature only."),
+    "openai:gpt-4o": ("GPT-4o", "All-round model without reasoning; answers of up to 16,384 tokens."),
+    "openai:gpt-4o-mini": ("GPT-4o mini", "Cheap variant of GPT-4o with the same limits."),
+    "openai:gpt-4": ("GPT-4", "Old model with a small window; kept for comparison."),
+    "openai:gpt-4-turbo": ("GPT-4 Turbo", "GPT-4 with a window of 128,000 tokens."),
+    "yandex:gpt-lite": ("YandexGPT Lite", "Quick; good at Russian. Needs a folder ID."),
+    "yandex:gpt-pro": ("YandexGPT Pro", "Better at long sentences than Lite. Needs a folder ID."),
+    "yandex:gpt-32k": ("YandexGPT 32k", "Pro with a window of 32,000 tokens. Needs a folder ID."),
+    "yandex:llama-lite": ("Llama Lite (hosted)", "Small open model at the same address. Needs a folder ID."),
+    "yandex:llama": ("Llama (hosted)", "Large open model at the same address. Needs a folder ID."),
+    "xai:grok-4": ("Grok 4", "Reasons before it answers; large window."),
+    "xai:grok-3": ("Grok 3", "General model of the generation before."),
+    "xai:grok-3-mini": ("Grok 3 mini", "Small variant of Grok 3."),
+}
 _DEEPL = {"free": ("DEEPL_FREE_API_KEY", None), "pro": ("DEEPL_PRO_API_KEY", "https://api.deepl.com/v2/translate")}
 _GEMINI = "https://generativelanguage.googleapis.com/v1beta/models/{}:generateContent"
 
@@ -122,6 +149,7 @@ def builtin() -> dict[str, dict]:
             env, endpoint = _DEEPL[model]
             own["requirements"] = {"auth": {"env": env}}
             own |= {"endpoint": endpoint} if endpoint else {}
+        own["name"], own["notes"] = _ABOUT[f"{vendor}:{model}"]
         nested[vendor]["models"][model] = own
     return nested
 

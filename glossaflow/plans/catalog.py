@@ -6,8 +6,8 @@ and the SQL states them as VALUES and does its own overlay.
 
 from __future__ import annotations
 
+import json
 import re
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,9 +18,10 @@ from ..functions import text as tx
 from ..operators import models, requests, responses
 from ..operators.prompts import Prompts
 from ..sources import documents as src
+from ..sources import scratch
 from ..sources import transport as tp
 from ..streaming import stream
-from . import reports
+from . import expected, reports
 from .translate import Job, prepare, translate
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -231,23 +232,8 @@ def _sql_values(rows: list[tuple[str, ...]], name: str, columns: str) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(r) + ")" for r in rows) + f") AS {name}({columns})"
 
 
-def _own(vendor: str, model: str) -> dict:
-    return models.builtin()[vendor]["models"][model]
-
-
-def _sql_settings() -> tuple[str, str]:
-    """The nested settings as two tables: vendors, and what models say themselves."""
-    nested = models.builtin()
-    held = lambda x, *path: None if x is None else held(x.get(path[0]), *path[1:]) if path else x
-    cells = lambda x: (sql_str(x.get("endpoint")), sql_str(x.get("format")), sql_str(held(x, "requirements", "auth", "env")), sql_str(held(x, "requirements", "auth", "help_url")), sql_str(held(x, "defaults", "model")), sql_num(held(x, "limits", "estimated_max_chars")), sql_num(held(x, "limits", "max_tokens")), sql_num(held(x, "limits", "max_output_tokens")))
-    vendors = [(sql_str(v), *cells(x)) for v, x in nested.items()]
-    own = [(sql_str(v), sql_str(m), *cells(y)) for v, x in nested.items() for m, y in x["models"].items()]
-    columns = "endpoint, format, env, help_url, api_model, chars, tokens, answer"
-    return _sql_values(vendors, "v", f"vendor, {columns}"), _sql_values(own, "m", f"vendor, model, {columns}")
-
-
-_SQL_VENDORS, _SQL_OWN = _sql_settings()
-_SQL_FLAT = f"SELECT m.vendor || ':' || m.model AS model_key, m.vendor, " + ", ".join(f"coalesce(m.{c}, v.{c}) AS {c}" for c in ("endpoint", "format", "env", "help_url", "api_model", "chars", "tokens", "answer")) + f" FROM {_SQL_OWN} LEFT JOIN {_SQL_VENDORS} ON m.vendor = v.vendor"
+_FLAT_COLUMNS = "model_key, vendor, endpoint, format, env, help_url, api_model, chars, tokens, answer, target_lang, source_lang"
+_SQL_FLAT = "SELECT * FROM " + _sql_values([tuple(sql_num(x) if i in (7, 8, 9) else sql_str(x) for i, x in enumerate(row)) for row in expected.MODELS], "m", _FLAT_COLUMNS)
 _SQL_GROSS = "CASE WHEN coalesce(tokens, 0) > 0 THEN CASE WHEN coalesce(chars, 0) > 0 THEN least(chars, by_tokens) ELSE by_tokens END ELSE coalesce(chars, 0) END"
 _SQL_LIMITS = f"SELECT *, {_SQL_GROSS} AS gross_limit, greatest(0, {_SQL_GROSS} - 2000) AS net_limit FROM (SELECT *, greatest(0, coalesce(tokens, 0) - CASE WHEN coalesce(answer, 0) > 0 THEN answer ELSE greatest(1, floor(0.2 * coalesce(tokens, 0))::BIGINT) END) * 4 AS by_tokens FROM ({_SQL_FLAT}))"
 
@@ -333,7 +319,7 @@ def length_guard_small(spark, sf_dir):
     return _guard(table(spark, sf_dir, "documents"), small.select("pos", "model_key", "net_limit"), len(_SMALL))
 
 
-@query(f"SELECT d.doc_id, coalesce(CASE WHEN d.doc_id % 3 = 0 THEN d.lang END, r.t, 'EN') AS target_lang, coalesce(CASE WHEN d.doc_id % 2 = 0 THEN 'de' END, r.s, 'auto') AS source_lang FROM {_SQL_ASKED} d LEFT JOIN {_sql_values([(sql_str(k), sql_str((_REGISTRY.get(k).get('defaults') or {}).get('target_lang')), sql_str((_REGISTRY.get(k).get('defaults') or {}).get('source_lang'))) for k in _REGISTRY.keys()], 'r', 'model_key, t, s')} ON r.model_key = d.model_key")
+@query(f"SELECT d.doc_id, coalesce(CASE WHEN d.doc_id % 3 = 0 THEN d.lang END, r.t, 'EN') AS target_lang, coalesce(CASE WHEN d.doc_id % 2 = 0 THEN 'de' END, r.s, 'auto') AS source_lang FROM {_SQL_ASKED} d LEFT JOIN (SELECT model_key, target_lang AS t, source_lang AS s FROM ({_SQL_FLAT})) r ON r.model_key = d.model_key")
 def defaults_overridden(spark, sf_dir):
     """Languages: the document's own, else the model's, else the general ones."""
     df = _asked(table(spark, sf_dir, "documents")).join(F.broadcast(_REGISTRY.frame(spark).select("model_key", "defaults")), "model_key", "left")
@@ -589,7 +575,7 @@ def usage_normalise(spark, sf_dir):
 def _json_text() -> Column:
     """A quarter each: whole, without its begin, with something behind it, within a list."""
     k = F.col("event_id") % 4
-    return F.when(k == 0, F.col("props")).when(k == 1, F.substring("props", 2, 1_000_000)).when(k == 2, F.concat("props", F.lit(" x"))).otherwise(F.concat(F.lit(" ["), "props", F.lit(",1.5,null,{}]\n")))
+    return F.when(k == 0, F.col("props")).when(k == 1, F.expr("substring(props, 2)")).when(k == 2, F.concat("props", F.lit(" x"))).otherwise(F.concat(F.lit(" ["), "props", F.lit(",1.5,null,{}]\n")))
 
 
 _JSON_SQL = "CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN substr(props, 2) WHEN 2 THEN props || ' x' ELSE ' [' || props || ',1.5,null,{}]' || chr(10) END"
@@ -608,7 +594,8 @@ def json_structure(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", validation.json_signature(_json_text()).alias("signature"))
 
 
-@query("SELECT event_id, event_id % 3 = 0 AS valid FROM events")
+@query("""SELECT event_id, json_structure(props) IS NOT DISTINCT FROM json_structure(after) AS valid FROM (
+SELECT event_id, props, CASE event_id % 3 WHEN 0 THEN regexp_replace(props, '[0-9]+', '7', 'g') WHEN 1 THEN regexp_replace(props, '"k"|"[a-z]+":', '"other":', 'g') ELSE '[' || props || ']' END AS after FROM events)""")
 def json_structure_kept(spark, sf_dir):
     """A changed value keeps the structure, another name or kind does not."""
     after = F.when(F.col("event_id") % 3 == 0, F.regexp_replace("props", "[0-9]+", "7")).when(F.col("event_id") % 3 == 1, F.regexp_replace("props", '"k"|"[a-z]+":', '"other":')).otherwise(F.concat(F.lit("["), "props", F.lit("]")))
@@ -618,11 +605,14 @@ def json_structure_kept(spark, sf_dir):
 
 @query(r"SELECT page_id, regexp_matches(t, '(?i)^\s*<(?:!DOCTYPE|html)(\s|>)') AS is_full FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN html ELSE substr(html, 10) END AS t FROM pages)")
 def html_is_full_document(spark, sf_dir):
-    text = F.when(F.col("page_id") % 2 == 0, F.col("html")).otherwise(F.substring("html", 10, 10_000_000))
+    text = F.when(F.col("page_id") % 2 == 0, F.col("html")).otherwise(F.expr("substring(html, 10)"))
     return table(spark, sf_dir, "pages").select("page_id", validation.is_full_document(text).alias("is_full"))
 
 
-@query("SELECT item_id, item_id % 3 = 0 AS valid, CASE item_id % 3 WHEN 0 THEN 0 ELSE 1 END::BIGINT AS n_errors FROM benchmark")
+@query("""SELECT item_id, n = 0 AS valid, n::BIGINT AS n_errors FROM (
+SELECT item_id, regexp_matches(made, '<[^<>]*<')::INT + (len(regexp_extract_all(made, '<[a-z]+[^<>/]*>')) - len(regexp_extract_all(made, '<br>')) <> len(regexp_extract_all(made, '</[a-z]+>')))::INT AS n FROM (
+SELECT item_id, CASE item_id % 3 WHEN 0 THEN '<p>' || t || '<br><section><b>x</b></section>' WHEN 1 THEN '<p class="a" <b>' || t || '</p>' ELSE '<em>' || t END AS made FROM (
+SELECT item_id, regexp_replace(text, '[<>&]', ' ', 'g') AS t FROM benchmark)))""")
 def html_valid(spark, sf_dir):
     """Whole fragments, such with a broken tag, and such with an element that is not ended."""
     text = F.regexp_replace("text", "[<>&]", " ")
@@ -634,7 +624,7 @@ def html_valid(spark, sf_dir):
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN true ELSE json_valid(substr(props, 2)) END AS valid FROM events")
 def validation_by_format(spark, sf_dir):
     """Texts pass unseen, JSON is parsed."""
-    text = F.substring("props", 2, 1_000_000)
+    text = F.expr("substring(props, 2)")
     made = [validation.container_result(text, f) for f in ("text", "json")]
     return table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, made[0]["valid"]).otherwise(made[1]["valid"]).alias("valid"))
 
@@ -677,7 +667,7 @@ def pipeline_dry_run(spark, sf_dir):
 def length_stats(spark, sf_dir):
     """Characters before and after, by language and in all."""
     docs = table(spark, sf_dir, "documents")
-    out = translate(docs.select("doc_id", "text"), Job("openai:gpt-5"), tp.Echo("openai")).join(docs.select("doc_id", "lang"), "doc_id")
+    out = translate(docs, Job("openai:gpt-5"), tp.Echo("openai"), carry=["lang"])
     return reports.length_totals(out, "lang")
 
 
@@ -693,11 +683,22 @@ def usage_by_lang(spark, sf_dir):
 @query(f"SELECT page_id, t1 AS prepared FROM ({_sql_chain('html AS t0 FROM pages', 'page_id', [_SQL_TAG.format('a')])})")
 def stream_protect(spark, sf_dir):
     """The same steps over a stream of the pages, until there are no more."""
-    name = f"pages_{uuid.uuid4().hex}"
+    top = scratch.folder(spark, "stream-protect")
     pages = spark.readStream.schema(table(spark, sf_dir, "pages").schema).option("pathGlobFilter", "pages.parquet").parquet(sf_dir)
     made = stream.protected(pages.select("page_id", "html"), ["html_a"], "html").select("page_id", "prepared")
-    made.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    made.writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{top}/out")
+
+
+@query(f"SELECT event_id, upper(event_type) AS result, length(event_type)::BIGINT AS n FROM events")
+def stream_job(spark, sf_dir):
+    """A whole job over a stream, batch by batch, with a store of answers."""
+    top = scratch.folder(spark, "stream-job")
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    docs = events.select(F.col("event_id").alias("doc_id"), F.upper("event_type").alias("text"))
+    stream.start(docs, Job("openai:gpt-4o", validate=False), tp.Echo("openai"), f"{top}/store", f"{top}/out", f"{top}/checkpoint").awaitTermination()
+    out = spark.read.parquet(f"{top}/out")
+    return out.select(F.col("doc_id").alias("event_id"), "result", F.col("lengths.translated").alias("n"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 444464 THEN 'too_long' END AS error, length(text) <= 444464 AS is_asked FROM documents")
@@ -705,3 +706,89 @@ def pipeline_prepared(spark, sf_dir):
     """Which documents become a request."""
     made = prepare(table(spark, sf_dir, "documents").select("doc_id", "text"), Job("openai:gpt-4o", filters=["url"]))
     return made.select("doc_id", F.col("error.code").alias("error"), F.col("request").isNotNull().alias("is_asked"))
+
+
+@query("SELECT doc_id, text, strlen(text)::BIGINT AS n_bytes, 'html' AS format FROM documents WHERE text IS NOT NULL AND strlen(text) > 0")
+def source_files(spark, sf_dir):
+    """Texts written as files, a document each, and read again."""
+    path = scratch.folder(spark, "files")
+    docs = table(spark, sf_dir, "documents").where("text is not null and octet_length(text) > 0").select("doc_id", "text")
+    docs.write.partitionBy("doc_id").option("maxRecordsPerFile", 1).option("lineSep", "").text(path)
+    read = src.from_files(spark, f"{path}/doc_id=*/part-*", "html")
+    return read.select(F.regexp_extract("path", "doc_id=([0-9]+)", 1).cast("bigint").alias("doc_id"), "text", F.octet_length("text").cast("bigint").alias("n_bytes"), "format")
+
+
+@query("SELECT event_id AS doc_id, props AS result, length(props)::BIGINT AS n FROM events")
+def sink_files(spark, sf_dir):
+    """Results to JSON files and back."""
+    path = scratch.folder(spark, "sink")
+    docs = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("props").alias("result"), F.length("props").cast("bigint").alias("n"))
+    src.write(docs, path, "json")
+    return spark.read.schema(docs.schema).json(path)
+
+
+@query(f"SELECT page_id, t3 AS prepared, len(m0)::BIGINT AS n_script, len(m1)::BIGINT AS n_a, len(m2)::BIGINT AS n_url FROM ({_SQL_CHAIN})")
+def sink_prepared(spark, sf_dir):
+    """What a dry run of a collection leaves in its folder."""
+    path = scratch.folder(spark, "prepared")
+    docs = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), _page_text().alias("text"))
+    src.write_prepared(translate(docs, Job("openai:gpt-4o", filters=_CHAIN, dry_run=True, validate=False), tp.DryRun()), path)
+    held = spark.read.schema("doc_id bigint, prepared string, filter_stats array<struct<filter: string, count: bigint>>").json(path)
+    return held.select(F.col("doc_id").alias("page_id"), "prepared", *[F.col("filter_stats")[k]["count"].alias(f"n_{n.removeprefix('html_')}") for k, n in enumerate(_CHAIN)])
+
+
+@query(f"SELECT doc_id, 'text' AS format, 'gpt://of-the-job/yandexgpt-32k/latest' AS model, {_SQL_WRAPPED} AS user_text, contains(system_text, 'a word') AS has_context FROM (SELECT doc_id, text, 'a word' AS system_text FROM documents)")
+def options_merged(spark, sf_dir):
+    """Options of a request: a job's variables on top of what it is made of, the context last."""
+    job = Job("yandex:gpt-32k", variables={"folder_id": "of-the-job", "context": "not this"}, context="a word")
+    options = job.options()
+    docs = table(spark, sf_dir, "documents")
+    made = docs.select("doc_id", F.lit(options["format"]).alias("format"), requests.build(job.settings(), F.col("text"), options, job.prompts).alias("r"))
+    return made.select("doc_id", "format", _json_at("$.modelUri").alias("model"), _json_at("$.messages[1].text").alias("user_text"), _json_at("$.messages[0].text").contains("a word").alias("has_context"))
+
+
+class _Shown:
+    """Answers with what it was sent."""
+
+    def __init__(self, kind: str):
+        self.auth = tp.Auth(kind, "k y", "Bearer" if kind == "header" else "", key="a&b")
+
+    def send(self, request: tp.Request) -> tp.Response:
+        sent = self.auth.attach(request)
+        return tp.Response(200, "\n".join([sent.url, *sent.headers, sent.body]))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'u' || chr(10) || 'h' || chr(10) || event_type || '&k+y=a%26b' WHEN 1 THEN 'u' || chr(10) || 'h' || chr(10) || 'k y: Bearer a&b' || chr(10) || event_type ELSE 'u?k+y=a%26b' || chr(10) || 'h' || chr(10) || event_type END AS sent FROM events")
+def auth_attached(spark, sf_dir):
+    """A key as a form field, a header and a parameter."""
+    events = table(spark, sf_dir, "events").select("event_id", F.struct(F.lit("u").alias("url"), F.array(F.lit("h")).alias("headers"), F.col("event_type").alias("body")).alias("request"))
+    parts = [tp.call(events.where(F.col("event_id") % 3 == i), _Shown(kind)) for i, kind in enumerate(("form", "header", "query"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("event_id", F.col("response.body").alias("sent"))
+
+
+_LEGACY = {"plain": {"vendor": "old", "endpoint": "http://plain"}, "group": {"endpoint": "http://group", "format": "text", "models": {"m1": {}, "m2": {"endpoint": "http://m2", "format": None}}}}
+
+
+@query("SELECT * FROM (VALUES ('plain', 'old', 'http://plain', NULL), ('group:m1', 'group', 'http://group', 'text'), ('group:m2', 'group', 'http://m2', NULL)) AS t(model_key, vendor, endpoint, format)")
+def registry_legacy(spark, sf_dir):
+    """Flat entries beside nested ones; a null of a model wins over its vendor's value."""
+    registry = models.Registry()
+    registry.models = models.flatten(_LEGACY)
+    return registry.frame(spark).select("model_key", "vendor", "endpoint", "format")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'http_error' WHEN event_id % 4 = 1 THEN 'network' END AS error FROM events")
+def pipeline_failures(spark, sf_dir):
+    """Statuses and broken lines are a document's own error."""
+    docs = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), (F.col("event_id") % 4).cast("string").alias("text"))
+    return translate(docs, Job("openai:gpt-4o"), _Failing()).select(F.col("doc_id").alias("event_id"), F.col("error.code").alias("error"))
+
+
+class _Failing:
+    def send(self, request: tp.Request) -> tp.Response:
+        said = json.loads(request.body)["messages"][-1]["content"].split("\n")[1]
+        if said == "0":
+            return tp.Response(503, "busy")
+        if said == "1":
+            raise ConnectionError("no line")
+        return tp.Echo("openai").send(request)

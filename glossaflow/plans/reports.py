@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 def filter_totals(results: DataFrame) -> DataFrame:
     """For each filter: documents with a span, and spans."""
-    each = results.select(F.inline("filter_stats"))
+    # the counts stand behind a generator: else their whole computation would be repeated for each of their fields
+    once = results.select(F.explode(F.array("filter_stats")).alias("held"))
+    each = once.select(F.inline("held"))
     return each.groupBy("filter").agg(F.sum(F.when(F.col("count") > 0, 1).otherwise(0)).cast("bigint").alias("n_docs"), F.sum("count").cast("bigint").alias("n_spans"))
 
 

@@ -10,9 +10,10 @@ the first error instead.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import limits, spans, usage, validation
@@ -71,16 +72,8 @@ def _add(error: Column, condition: Column, made: Column) -> Column:
 
 
 def limit_of(settings: dict) -> int:
-    """The net limit of a model, computed by the same expression as over the table of models."""
-    held = settings.get("limits") or {}
-    value = lambda k: int(held.get(k) or 0)
-    estimated, tokens, answer = value("estimated_max_chars"), value("max_tokens"), value("max_output_tokens")
-    gross = estimated
-    if tokens > 0:
-        reserve = answer if answer > 0 else max(1, int(tokens * limits.RESERVE_SHARE))
-        by_tokens = max(0, tokens - reserve) * limits.CHARS_PER_TOKEN
-        gross = min(estimated, by_tokens) if estimated > 0 else by_tokens
-    return max(0, gross - limits.PROMPT_CHARS)
+    """The net limit of a model as a number: the expression over the table of models, evaluated."""
+    return SparkSession.builder.getOrCreate().range(1).select(limits.of_settings(settings)).first()[0]
 
 
 def prepare(docs: DataFrame, job: Job) -> DataFrame:
@@ -92,7 +85,7 @@ def prepare(docs: DataFrame, job: Job) -> DataFrame:
         df = df.withColumn("error", _add(F.col("error"), ~F.col("_checked.valid"), problem("validate", F.lit(f"invalid_{job.format}"), F.array_join("_checked.errors", "; ")))).drop("_checked")
     df = df.withColumn("signature", validation.json_signature(F.col("text")) if job.validate and job.format == "json" else F.lit(None).cast("string"))
     df = spans.protect(df, "text", filters)
-    limit = F.lit(limit_of(settings))
+    limit = limits.of_settings(settings)
     too_long = F.concat(F.lit("the text is too long by "), limits.excess(F.col("prepared"), limit).cast("string"), F.lit(" characters"))
     df = df.withColumn("error", _add(F.col("error"), ~limits.fits(F.col("prepared"), limit), problem("length", F.lit("too_long"), too_long)))
     df = df.withColumn("error", _add(F.col("error"), F.col("text").isNull(), problem("input", F.lit("no_text"), F.lit("there is no text"))))
@@ -100,16 +93,15 @@ def prepare(docs: DataFrame, job: Job) -> DataFrame:
     return df.withColumn("request", F.when(F.col("error").isNull(), request))
 
 
-def translate(docs: DataFrame, job: Job, transport: tp.Transport, store: str | None = None, callers: int | None = None) -> DataFrame:
-    """docs (doc_id unique, text) to: doc_id, original, prepared, result, http_status, debug_request, debug_response, raw_response, consumed, lengths, filter_stats, error."""
+def translate(docs: DataFrame, job: Job, transport: tp.Transport, store: str | None = None, callers: int | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """docs (doc_id, text) to: doc_id, original, prepared, result, http_status, debug_request, debug_response, raw_response, consumed, lengths, filter_stats, error, and the columns of docs to carry. Each row is answered by itself: ids may repeat or be null."""
     settings, n = job.settings(), len(spans.resolve(job.filters))
-    df = prepare(docs.select("doc_id", "text"), job)
+    df = prepare(docs.select("doc_id", "text", F.struct(*[F.col(c) for c in carry], F.lit(0).alias("_")).alias("_carried")), job)
     if job.dry_run:
         df = df.withColumns({"http_status": F.lit(0), "raw_response": F.lit("[dry-run]"), "_text": F.when(F.col("error").isNull(), F.col("prepared")), "_usage": F.lit(None).cast("variant"), "response": F.lit(None).cast(tp.RESPONSE_TYPE)})
     else:
-        asked = df.where("request is not null").select("doc_id", "request")
-        got = tp.call_once(asked, transport, store, callers) if store else tp.call(asked, transport, callers)
-        df = df.join(got, "doc_id", "left").withColumns({"http_status": F.col("response.status"), "raw_response": F.col("response.body")})
+        df = tp.call_once(df, transport, store, callers) if store else tp.call(df, transport, callers)
+        df = df.withColumns({"http_status": F.col("response.status"), "raw_response": F.col("response.body")})
         df = df.withColumn("error", _add(F.col("error"), F.col("failure").isNotNull(), problem("call", F.lit("network"), F.col("failure"))))
         refused = responses.http_error(F.col("http_status"), F.col("raw_response"), settings)
         df = df.withColumn("error", _add(F.col("error"), refused.isNotNull(), problem("call", refused["code"], refused["message"])))
@@ -132,4 +124,4 @@ def translate(docs: DataFrame, job: Job, transport: tp.Transport, store: str | N
     lengths = F.struct(*[F.length(c).cast("bigint").alias(name) for c, name in (("text", "original"), ("prepared", "prepared"), ("result", "translated"))])
     if job.strict:
         df = df.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error(F.concat_ws(": ", F.col("error.stage"), F.col("error.code"), F.col("error.message"))).cast(ERROR_TYPE)))
-    return df.select("doc_id", F.col("text").alias("original"), "prepared", F.when(F.col("error").isNull(), F.col("result")).alias("result"), "http_status", debug.alias("debug_request"), answer.alias("debug_response"), "raw_response", "consumed", lengths.alias("lengths"), spans.stats(F.col("spans")).alias("filter_stats"), "error")
+    return df.select("doc_id", F.col("text").alias("original"), "prepared", F.when(F.col("error").isNull(), F.col("result")).alias("result"), "http_status", debug.alias("debug_request"), answer.alias("debug_response"), "raw_response", "consumed", lengths.alias("lengths"), spans.stats(F.col("spans")).alias("filter_stats"), "error", *[F.col(f"_carried.`{c}`").alias(c) for c in carry])

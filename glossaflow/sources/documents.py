@@ -51,8 +51,13 @@ def split_blank(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Dat
     return docs.where(~blank), docs.where(blank)
 
 
+def write_prepared(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """What a dry run of a collection prepares: doc_id, prepared and the number of spans of each filter, as JSON lines."""
+    df.select("doc_id", "prepared", "filter_stats").write.mode(mode).json(path)
+
+
 def write(df: DataFrame, path: str, kind: str = "parquet", text_col: str = "result", mode: str = "errorifexists") -> None:
-    """Results as Parquet or JSON, or the text column alone."""
+    """Results as Parquet or JSON, or the text column alone, without ids."""
     if kind == "text":
         df.select(text_col).write.mode(mode).text(path, lineSep="\n")
     else:

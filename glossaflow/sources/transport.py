@@ -1,10 +1,12 @@
 """The call itself, behind an interface: in tests an echo, in production HTTP.
 
-Requests go through mapInPandas as (doc_id, request). A call costs money and
-Spark may run a task again, so answers are kept in a table by document and
-hash of the request; what is already there is not asked again. Keys never are
-in a column: the transport reads them where it runs and adds them to the
-request; logs show *** for them.
+Rows with a request go through the call whole, so an answer needs no join to
+find its row. A call costs money and Spark may run a task again, so answers can
+be kept in a table by the hash of their request: equal requests are asked once,
+in batches that are committed one by one, and what has a good answer is not
+asked again. A task that is lost asks again at most what its batch held. Keys
+never are in a column: the transport reads them where it runs and adds them to
+the request; logs show *** for them.
 """
 
 from __future__ import annotations
@@ -15,11 +17,13 @@ import time
 import urllib.error
 import urllib.parse
 import urllib.request
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RESPONSE_TYPE = "struct<status: int, headers: map<string, array<string>>, body: string>"
@@ -140,6 +144,8 @@ class Http:
     pause: float = 0.0
 
     def send(self, request: Request) -> Response:
+        if self.proxy and not self.proxy.lower().startswith(("http://", "https://")) and "://" in self.proxy:
+            raise ValueError(f"proxies are spoken to by HTTP only, not by {self.proxy.split('://')[0]}")
         request = self.auth.attach(request) if self.auth else request
         handlers = [urllib.request.ProxyHandler({"http": self.proxy, "https": self.proxy})] if self.proxy else []
         opener = urllib.request.build_opener(*handlers)
@@ -174,43 +180,87 @@ def proxy_from(flag: str | None) -> str | None:
     return flag or os.environ.get("GLOSSAFLOW_PROXY") or None
 
 
-def call(requests: DataFrame, transport: Transport, callers: int | None = None) -> DataFrame:
-    """requests (doc_id, request) to (doc_id, response, failure): failure says why there is no response. callers: how many tasks ask at once."""
-    kind = requests.schema["doc_id"].dataType.simpleString()
+def call(df: DataFrame, transport: Transport, callers: int | None = None, at_once: int = 32) -> DataFrame:
+    """df with response and failure, which says why a request has no response; rows without a request have neither. callers: how many tasks ask at once; a task hands on its answers after every at_once rows."""
 
-    def sent(frames: Iterator):
-        import pandas as pd
+    def sent(batches: Iterator):
+        import pyarrow as pa
 
-        for frame in frames:
-            rows = []
-            for doc_id, r in zip(frame["doc_id"], frame["request"], strict=True):
-                try:
-                    got = transport.send(Request(r["url"], list(r["headers"]), r["body"]))
-                    rows.append((doc_id, {"status": got.status, "headers": got.headers, "body": got.body}, None))
-                except Exception as e:  # noqa: BLE001  one document must not end the job
-                    rows.append((doc_id, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["doc_id", "response", "failure"])
+        for batch in batches:
+            for start in range(0, len(batch), at_once):
+                part = batch.slice(start, at_once)
+                rows = [_sent(transport, r) for r in part.column("request").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([r for r, _ in rows], _RESPONSE), pa.array([f for _, f in rows], pa.string())], [*part.schema.names, "response", "failure"])
 
-    dealt = requests.select("doc_id", "request")
-    return (dealt.repartition(callers) if callers else dealt).mapInPandas(sent, f"doc_id {kind}, response {RESPONSE_TYPE}, failure string")
+    import pyarrow as pa
 
+    _RESPONSE = pa.struct([("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.list_(pa.string()))), ("body", pa.string())])
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return (df.repartition(callers) if callers else df).mapInArrow(sent, f"{kinds}, response {RESPONSE_TYPE}, failure string")
 
-def request_hash():
-    return F.sha2(F.to_json("request"), 256)
 
-
-def call_once(requests: DataFrame, transport: Transport, store: str, callers: int | None = None) -> DataFrame:
-    """As call(), with answers kept in the Parquet table store: a document's request that has an answer there is not sent again."""
-    spark = requests.sparkSession
-    asked = requests.withColumn("request_hash", request_hash())
+def _sent(transport: Transport, r: dict | None) -> tuple[dict | None, str | None]:
+    """(response, why there is none) of a request."""
+    if r is None:
+        return None, None
+    try:
+        got = transport.send(Request(r["url"], list(r["headers"]), r["body"]))
+        return {"status": got.status, "headers": list(got.headers.items()), "body": got.body}, None
+    except Exception as e:  # noqa: BLE001  one document must not end the job
+        return None, f"{type(e).__name__}: {e}"
+
+
+def request_hash() -> Column:
+    return F.when(F.col("request").isNotNull(), F.sha2(F.to_json("request"), 256))
+
+
+def call_once(df: DataFrame, transport: Transport, store: str, callers: int | None = None, rows_a_caller: int = 1_000) -> DataFrame:
+    """As call(), with answers kept in the Parquet table store: a request that has an answer of a status below 400 there is not sent again. All else that came back is in the store too, for this run alone. df should be a table or cheap, as it is read twice."""
+    spark, run = df.sparkSession, uuid.uuid4().hex
+    asked = df.withColumn("request_hash", request_hash())
+    known = _stored(spark, store)
+    fresh = asked.where("request is not null").groupBy("request_hash").agg(F.first("request").alias("request"))
+    if known is not None:
+        fresh = fresh.join(known.where("good").select("request_hash"), "request_hash", "left_anti")
+    # what is to be asked is written once, dealt by hash; a folder that begins with _ is no part of the table
+    pending = f"{store}/_pending-{run}"
+    fresh = fresh.withColumn("deal", F.pmod(F.xxhash64("request_hash"), F.lit(_DEALS)).cast("int"))
+    fresh.hint("rebalance", "deal").write.partitionBy("deal").parquet(pending)
+    fresh = spark.read.schema(f"request_hash string, request {REQUEST_TYPE}, deal int").parquet(pending)
+    # a batch keeps all callers busy for a while, and has whole deals
+    batch = rows_a_caller * (callers or spark.sparkContext.defaultParallelism)
+    deals = max(1, _DEALS * batch // max(fresh.count(), 1))
+    for i in range(0, _DEALS, deals):
+        part = fresh.where((F.col("deal") >= i) & (F.col("deal") < i + deals)).drop("deal")
+        got = call(part, transport, callers).drop("request")
+        good = F.col("failure").isNull() & (F.col("response.status") < 400)
+        got.select("request_hash", "response", "failure", F.coalesce(good, F.lit(False)).alias("good"), F.lit(run).alias("run")).write.mode("append").parquet(store)
+    remove(spark, pending)
+    answers = _stored(spark, store)
+    if answers is None:
+        return asked.drop("request_hash").withColumns({"response": F.lit(None).cast(RESPONSE_TYPE), "failure": F.lit(None).cast("string")})
+    mine = answers.where(F.col("good") | (F.col("run") == run)).groupBy("request_hash").agg(F.max_by(F.struct("response", "failure"), F.struct("good", "run")).alias("_answer"))
+    out = asked.join(mine, "request_hash", "left")
+    lost = F.when(F.col("request").isNotNull() & F.col("_answer").isNull(), F.lit("no answer"))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.col("_answer.response").alias("response"), F.coalesce("_answer.failure", lost).alias("failure"))
+
+
+#: At most so many batches a run.
+_DEALS = 64
+_STORE_TYPE = f"request_hash string, response {RESPONSE_TYPE}, failure string, good boolean, run string"
+
+
+def _stored(spark: SparkSession, store: str) -> DataFrame | None:
+    """The table of answers, or None where there is none yet."""
     try:
-        known = spark.read.parquet(store).select("doc_id", "request_hash")
-        fresh = asked.join(known, ["doc_id", "request_hash"], "left_anti")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+        return spark.read.schema(_STORE_TYPE).parquet(store)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
             raise
-        fresh = asked
-    got = call(fresh, transport, callers).join(fresh.select("doc_id", "request_hash"), "doc_id")
-    got.where("failure is null").write.mode("append").parquet(store)
-    answers = spark.read.parquet(store).dropDuplicates(["doc_id", "request_hash"])
-    return asked.select("doc_id", "request_hash").join(answers, ["doc_id", "request_hash"], "left").select("doc_id", "response", F.when(F.col("response").isNull(), F.coalesce("failure", F.lit("no answer"))).alias("failure"))
+        return None
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any store that Spark can write to."""
+    held = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(held, True)

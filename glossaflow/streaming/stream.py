@@ -16,7 +16,7 @@ def protected(stream: DataFrame, filters: list[str], text_col: str = "text") ->
 
 
 def start(stream: DataFrame, job: Job, transport: Transport, store: str, out: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Translates each micro-batch. Answers are in store by request and results by batch, so a batch that runs again asks and writes nothing twice."""
+    """Translates each micro-batch. Good answers are in store by request and results by batch, so a batch that runs again asks only for what had no good answer yet, and writes over what it wrote."""
 
     def batch(df: DataFrame, batch_id: int) -> None:
         translate(df, job, transport, store).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")

@@ -30,6 +30,21 @@ assert not any(n.startswith('op') or n == 'pipeline' for n in e.queries())
     subprocess.run([sys.executable, "-c", code], cwd=TOP, check=True, timeout=120)
 
 
+def test_a_broken_dependency_is_an_error():
+    code = """
+import sys
+class Gone:
+    def find_spec(self, name, path=None, target=None):
+        if name == 'public_tokenizers':
+            raise ModuleNotFoundError(name, name=name)
+sys.meta_path.insert(0, Gone())
+import __spark_entry__
+"""
+    if (TOP / "glossaflow" / "llm").is_dir():
+        done = subprocess.run([sys.executable, "-c", code], cwd=TOP, capture_output=True, text=True, timeout=120)
+        assert done.returncode and "public_tokenizers" in done.stderr
+
+
 def test_nothing_else_imports_the_optional_operators():
     for path in [*TOP.glob("glossaflow/**/*.py"), *TOP.glob("*.py")]:
         if "llm" not in path.parts and path.name not in ("__spark_entry__.py", "corpus_pipeline.py"):

@@ -254,3 +254,103 @@ def test_cli(spark, tmp_path, capsys, monkeypatch):
     assert cli.run(["--model=yandex:llama", "--format=text", f"--source={source}", "--variables=folder_id=f, x = y"], spark, transport.Echo("yandex")) == 0
     assert cli.run([*base], spark, transport.Echo("openai", "truncate")) == 1
     assert cli.parse_variables("a=1=2, b =") == {"a": "1=2", "b": ""}
+
+
+# --- answers by row, and what a store keeps ------------------------------------------
+
+
+class Counting:
+    """Says how often it was asked, by a file for each call."""
+
+    def __init__(self, folder, status=200):
+        self.folder, self.status = str(folder), status
+
+    def send(self, request):
+        import pathlib
+        import uuid
+
+        pathlib.Path(self.folder, uuid.uuid4().hex).write_text(request.body)
+        return transport.Response(self.status, "busy") if self.status >= 400 else transport.Echo("openai").send(request)
+
+
+def test_failures_are_asked_again(spark, tmp_path):
+    docs, job, store = frame(spark, ["a", "b"]), Job("openai:gpt-4o"), str(tmp_path / "store")
+    for status in (503, 429, 401):
+        got = rows(translate(docs, job, transport.Static(transport.Response(status, "busy")), store))
+        assert [(r.error.code, r.http_status) for r in got] == [("http_error", status)] * 2 and "busy" in got[0].error.message
+    assert [r.result for r in rows(translate(docs, job, transport.Echo("openai"), store))] == ["a", "b"]
+    assert [r.result for r in rows(translate(docs, job, transport.Static(transport.Response(500, "not asked")), store))] == ["a", "b"]
+
+
+def test_reasons_with_a_store(spark, tmp_path):
+    class Broken:
+        def send(self, request):
+            raise AttributeError("no such part")
+
+    for store in (None, str(tmp_path / "store")):
+        (row,) = rows(translate(frame(spark, ["a"]), Job("openai:gpt-4o"), Broken(), store))
+        assert (row.error.stage, row.error.code, row.error.message) == ("call", "network", "AttributeError: no such part")
+    assert rows(translate(frame(spark, ["a"]), Job("openai:gpt-4o"), transport.Echo("openai"), store))[0].result == "a"
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_rows_keep_their_own_answer(spark, tmp_path, stored):
+    docs = spark.createDataFrame([(2, "a", "x"), (2, "b", "y"), (None, "c", "z"), (None, "a", "w"), (3, None, "v")], "doc_id long, text string, k string")
+    (tmp_path / "calls").mkdir()
+    out = translate(docs, Job("openai:gpt-4o"), Counting(tmp_path / "calls"), str(tmp_path / "store") if stored else None, carry=["k"]).collect()
+    assert sorted((r.k, r.doc_id, r.result, r.error and r.error.code) for r in out) == [("v", 3, None, "no_text"), ("w", None, "a", None), ("x", 2, "a", None), ("y", 2, "b", None), ("z", None, "c", None)]
+    if stored:
+        # equal requests are one
+        assert len(list((tmp_path / "calls").iterdir())) == 3
+        assert not [p for p in (tmp_path / "store").iterdir() if p.name.startswith("_pending")]
+
+
+def test_batches_are_committed_one_by_one(spark, tmp_path):
+    (tmp_path / "calls").mkdir()
+    docs, store = frame(spark, [f"t{i}" for i in range(120)]), str(tmp_path / "store")
+    asked = docs.select("doc_id", F.struct(F.lit("u").alias("url"), F.array().cast("array<string>").alias("headers"), F.to_json(F.struct(F.array(F.struct(F.col("text").alias("content"))).alias("messages"))).alias("body")).alias("request"))
+    out = transport.call_once(asked, Counting(tmp_path / "calls"), store, callers=2, rows_a_caller=10).collect()
+    assert len(out) == 120 and all(r.response.status == 200 and r.failure is None for r in out)
+    assert len(list((tmp_path / "calls").iterdir())) == 120
+    assert len({p.name.split("-")[2] for p in (tmp_path / "store").glob("part-*")}) >= 1 and spark.read.parquet(store).where("good").count() == 120
+
+
+def test_other_proxies_are_refused():
+    with pytest.raises(ValueError, match="socks5"):
+        transport.Http(proxy="socks5://127.0.0.1:1").send(transport.Request("http://127.0.0.1:9/", [], ""))
+
+
+def test_validators_can_be_added(spark, monkeypatch):
+    short = lambda text: F.struct((F.length(text) < 4).alias("valid"), F.when(F.length(text) < 4, F.array().cast("array<string>")).otherwise(F.array(F.lit("long"))).alias("errors"))
+    monkeypatch.setitem(validation.VALIDATORS, "note", short)
+    got = frame(spark, ["abc", "abcd"]).select(validation.container_result(F.col("text"), "note").alias("r")).collect()
+    assert [r.r.valid for r in got] == [True, False]
+
+
+def test_one_pass_for_each_filter(spark):
+    from glossaflow.plans import catalog
+
+    plan = catalog.filter_stats_by_filter(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") <= 3 and plan.count("split(") <= 3
+
+
+def test_cli_of_a_folder(spark, tmp_path, capsys):
+    (tmp_path / "in").mkdir()
+    for name, text in (("a", "see http://a.b now"), ("b", " \n"), ("c", "plain")):
+        (tmp_path / "in" / f"{name}.txt").write_text(text)
+    base = ["--model=openai:gpt-4o", "--format=text", f"--source={tmp_path / 'in'}", "--filters=url"]
+    assert cli.run([*base, "--dry-run"], spark) == 0
+    assert sorted(r.prepared for r in spark.read.json(str(tmp_path / "in.prepared")).collect()) == ["plain", "see @@0@@ now"]
+    assert cli.run([*base, f"--translated={tmp_path / 'out'}"], spark, transport.Echo("openai")) == 0
+    got = spark.read.json(str(tmp_path / "out")).collect()
+    assert sorted((r.path.rsplit("/", 1)[1], r.result) for r in got) == [("a.txt", "see http://a.b now"), ("c.txt", "plain")]
+    assert cli.run(base, spark, transport.Echo("openai")) == 1 and "--translated" in capsys.readouterr().err
+    assert cli.run([*base, f"--translated={tmp_path / 'bad'}"], spark, transport.Echo("openai", "truncate")) == 1 and "2 documents" in capsys.readouterr().err
+
+
+def test_models_are_listed_with_notes(capsys):
+    registry = Registry()
+    assert all(registry.notes(k) and registry.get(k)["name"] for k in registry.keys())
+    assert cli.run(["--list-models"]) == 0
+    out = capsys.readouterr().out
+    assert all(registry.notes(k) in out for k in registry.keys())
