@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import POWERS, mix64
+from .common import POWERS, mix64, tidy
 from .token_counts import slices
 
 WORD = regex.compile(r"\p{L}+")
@@ -249,7 +249,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                         best[i], score[i] = model.languages[k], 1 / np.exp(x - x[k]).sum()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text")).mapInArrow(made, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text")).mapInArrow(tidy(made), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, vocabulary_file: str, chars: int = 1_500_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

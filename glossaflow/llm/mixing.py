@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, barrier
+from .common import Scratch, barrier, tidy
 from .packing import encoder
 from .token_counts import slices
 
@@ -110,11 +110,11 @@ def counted(celled: DataFrame, text_col: str, vocabulary: str) -> DataFrame:
 
         for batch in batches:
             texts = [x or "" for x in batch.column("_text").to_pylist()]
-            n = [len(x) for part in slices(texts) for x in encoder(vocabulary).encode_batch_fast(texts[part], add_special_tokens=False)]
+            n = [len(x) for part in slices(texts, 200_000) for x in encoder(vocabulary).encode_batch_fast(texts[part], add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(n, pa.float64())], [*rest, "_tokens"])
 
     kinds = ", ".join(f"`{c}` {celled.schema[c].dataType.simpleString()}" for c in [*rest, "_tokens"])
-    return celled.select(*[F.col(f"`{c}`") for c in rest], F.col(text_col).alias("_text")).mapInArrow(made, kinds)
+    return celled.select(*[F.col(f"`{c}`") for c in rest], F.col(text_col).alias("_text")).mapInArrow(tidy(made), kinds)
 
 
 def _targets(margin: Margin, shares: dict[str, float]) -> dict[str, float]:

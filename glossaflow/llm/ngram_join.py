@@ -38,7 +38,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_values, mix64, prefix_hash, span_hash, text_buffer, word_spans
+from .common import Scratch, byte_values, mix64, prefix_hash, span_hash, text_buffer, tidy, word_spans
 from .components import components
 from .windows import Filter, allowed, filter_of, row_runs
 
@@ -80,7 +80,7 @@ class Join:
 def _spelled(column, how: Join):
     """(first row, row after the last, hashes of words, first word of each row and the end) of portions of an Arrow text column."""
     data, lo, hi = text_buffer(column)
-    for a, b in row_runs(lo, hi, 1_000_000):
+    for a, b in row_runs(lo, hi, 300_000):
         base, end = int(lo[a]), int(hi[b - 1])
         part = data[base:end]
         starts, ends, firsts = word_spans(part, lo[a:b] - base, hi[a:b] - base)
@@ -159,7 +159,7 @@ def described(docs: DataFrame, how: Join) -> DataFrame:
         rows = len(held)
         yield pa.RecordBatch.from_arrays([pa.nulls(rows, doc_type), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.array(held.astype(np.int32)), pa.array(sketch[held])], names)
 
-    return docs.select("doc_id", "dh", "text").mapInArrow(made, f"doc_id {kind}, dh long, n long, sid long, bucket int, words long")
+    return docs.select("doc_id", "dh", "text").mapInArrow(tidy(made), f"doc_id {kind}, dh long, n long, sid long, bucket int, words long")
 
 
 def sketch_of(table: DataFrame) -> np.ndarray:
@@ -185,7 +185,7 @@ def border(sizes: dict[int, int], how: Join, scan_cost: float = 8.0, most: int =
 def _postings(column, how: Join, counts: np.ndarray, light: int):
     """(token, c, sid, n, place) arrays of portions of an Arrow text column, each set once: subsets of size c of light sets, and with c = 0 the first n-grams in the common order of all sets that a heavy one may meet."""
     seen: set[int] = set()
-    for rows in _portions(ordered_sets(column, how, counts), 200_000):
+    for rows in _portions(ordered_sets(column, how, counts), 100_000):
         held: list[tuple] = []
         for _, grams, order in rows:
             size, name = len(grams), set_id(grams)
@@ -225,7 +225,7 @@ def tokens(docs: DataFrame, how: Join, sketch, light: int, firsts) -> DataFrame:
                 t, n = np.unique(token, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(n.astype(np.int32))], ["token", "n"])
 
-    return docs.select("dh", "text").mapInArrow(made, "token long, n int").groupBy("token").agg(F.sum("n").alias("n"))
+    return docs.select("dh", "text").mapInArrow(tidy(made), "token long, n int").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def postings(docs: DataFrame, how: Join, sketch, light: int, firsts, shared) -> DataFrame:
@@ -244,7 +244,7 @@ def postings(docs: DataFrame, how: Join, sketch, light: int, firsts, shared) ->
                 ok &= np.repeat(enough, np.diff(np.append(starts, len(token))))
                 yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (token, *rest)], ["token", "c", "sid", "n", "place"])
 
-    return docs.select("dh", "text").mapInArrow(made, "token long, c int, sid long, n int, place int")
+    return docs.select("dh", "text").mapInArrow(tidy(made), "token long, c int, sid long, n int, place int")
 
 
 def _portions(items, most: int):
@@ -279,12 +279,12 @@ def sets_of(docs: DataFrame, bitmap, how: Join) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for part in _portions(batch_sets(_firsts_only(batch, bitmap.value), how), 500_000):
+            for part in _portions(batch_sets(_firsts_only(batch, bitmap.value), how), 100_000):
                 part = [g for _, g in part if len(g)]
                 bits = np.array([parity_bits(g) for g in part], np.int64).reshape(-1, PARITY)
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(g) for g in part], pa.int64()), *(pa.array(bits[:, i].copy()) for i in range(PARITY)), pa.array([g.tobytes() for g in part], pa.binary())], ["sid", *_BITS, "grams"])
 
-    return docs.select("dh", "text").mapInArrow(made, "sid long, " + ", ".join(f"{c} long" for c in _BITS) + ", grams binary")
+    return docs.select("dh", "text").mapInArrow(tidy(made), "sid long, " + ", ".join(f"{c} long" for c in _BITS) + ", grams binary")
 
 
 def _differ() -> Column:
@@ -339,7 +339,7 @@ def verified(pairs: DataFrame, sets: DataFrame, how: Join, hub_rows: int = 2_000
                     vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    return dealt.mapInArrow(compared, "u long, v long")
+    return dealt.mapInArrow(tidy(compared), "u long, v long")
 
 
 def _sides(left: DataFrame, hubs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -412,10 +412,11 @@ def linked(docs: DataFrame, how: Join, scratch: Scratch, most_rounds: int = 6, p
         scratch.drop(f"pairs{r}")
         return links[-1]
 
-    found = link(0, _first_pairs(heavy, bits, how))
-    joined = components(found, scratch, "joined0")
-    state = heavy.join(joined.select(F.col("node").alias("sid"), "component"), "sid", "left").select("token", "sid", "n", "place", F.coalesce("component", "sid").alias("comp"))
-    written, before = ["heavy", "joined0"], None
+    # labels need not be whole components here: a set goes to the least of itself, its hub, and the hub's hub
+    hub_of = link(0, _first_pairs(heavy, bits, how)).select(F.col("v").alias("sid"), F.col("u").alias("to")).distinct()
+    label = hub_of.join(hub_of.select(F.col("sid").alias("to"), F.col("to").alias("on")), "to", "left").select("sid", F.least("sid", "to", "on").alias("component"))
+    state = heavy.join(label, "sid", "left").select("token", "sid", "n", "place", F.coalesce("component", "sid").alias("comp"))
+    written, before = ["heavy"], None
     for r in range(1, most_rounds + 2):
         # only lists with several components go on; a closed list never opens again
         ends = F.min("comp").alias("lo"), F.max("comp").alias("hi")

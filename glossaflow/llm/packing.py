@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tidy
 from .token_counts import slices
 
 _HIGH = 33  # ids are (task << _HIGH) + number within the task
@@ -95,7 +95,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, limit: int, id_col: st
         for batch in batches:
             rows = []
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            for part in slices(texts):
+            for part in slices(texts, 200_000):
                 for row, held in enumerate(token_ids(texts[part], vocabulary), part.start):
                     ids = np.array([*held, end_id], dtype="<u4")
                     for k, (a, b) in enumerate(cut(len(ids), limit)):
@@ -106,7 +106,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, limit: int, id_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc), pa.array(ids)], ["doc_id", "piece", "start", "length", "ids_crc32", "item"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(made, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, item long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(made), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, item long")
 
 
 def pack_batches(items: DataFrame, limit: int, nearly_full: int, round_no: int, whole: bool = False) -> DataFrame:
@@ -125,7 +125,7 @@ def pack_batches(items: DataFrame, limit: int, nearly_full: int, round_no: int,
             yield pa.RecordBatch.from_arrays([pa.array(batch.column("item").to_numpy()), pa.array(bins + next_bin), pa.array(offsets), pa.array(fill), pa.array(fill >= nearly_full)], ["item", "bin", "shift", "fill", "done"])
             next_bin += len(fills)
 
-    made = items.select("item", "length").mapInArrow(packed, "item long, bin long, shift long, fill long, done boolean")
+    made = items.select("item", "length").mapInArrow(tidy(packed), "item long, bin long, shift long, fill long, done boolean")
     # the round in the low bits keeps ids of different rounds apart
     return made.withColumn("bin", F.shiftleft("bin", _ROUND_BITS) + round_no)
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import windows
-from .common import WORD_BREAKS, Scratch, range_bounds
+from .common import WORD_BREAKS, Scratch, range_bounds, tidy
 from .windows import CLASS, DOC, Shape
 
 DEFAULT = Shape(20, 5, "word")
@@ -205,7 +205,7 @@ def _grouped_windows(looked: DataFrame, shape: Shape) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(table.column(c).take(pa.array(at)).combine_chunks() for c in DOC), pa.array(place[at] - back[starts]), pa.array(place[at] - back[ends] + shape.size)], [*DOC, "a", "b"])
 
     dealt = looked.select("gram", *DOC, "at", "payload").repartition("gram").sortWithinPartitions("gram", F.col("doc_id").asc_nulls_first(), "th", "at")
-    return dealt.mapInArrow(made, f"doc_id {kind}, th long, a long, b long")
+    return dealt.mapInArrow(tidy(made), f"doc_id {kind}, th long, a long, b long")
 
 
 def _counted_windows(looked: DataFrame, shape: Shape) -> DataFrame:
@@ -241,7 +241,7 @@ def remove_words(docs: DataFrame, spans: tuple[DataFrame, Broadcast], scratch: S
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: 4 + with_text])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return windows.joined_spans(docs, spans, scratch).select("doc_id", "text", "spans").mapInArrow(kept, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
+    return windows.joined_spans(docs, spans, scratch).select("doc_id", "text", "spans").mapInArrow(tidy(kept), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
 
 
 def dedup(docs: DataFrame, shape: Shape = DEFAULT, batches: int = 5, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, most: int = 20_000, history: DataFrame | None = None, folder: str | None = None) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import windows
-from .common import Scratch, byte_values, prefix_hash, span_hash
+from .common import Scratch, byte_values, prefix_hash, span_hash, tidy
 from .windows import CLASS, DOC, Shape
 
 DEFAULT = Shape(400, 128, "byte")
@@ -187,7 +187,7 @@ def _sorted_groups(found: DataFrame, shape: Shape) -> DataFrame:
             yield portion(table)
 
     dealt = found.select("gram", *DOC, "at", "n", "payload").repartition("gram").sortWithinPartitions("gram")
-    return dealt.mapInArrow(made, f"doc_id {kind}, th long, a long, b long")
+    return dealt.mapInArrow(tidy(made), f"doc_id {kind}, th long, a long, b long")
 
 
 def _counted_windows(found: DataFrame, shape: Shape) -> DataFrame:
@@ -205,7 +205,7 @@ def _counted_windows(found: DataFrame, shape: Shape) -> DataFrame:
                 n = pa.array(np.full(len(starts), i))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(n) for c in ["gram", *DOC]), pa.array(np.full(len(starts), place[i])), batch.column("n").take(n), pa.array((hi - starts).astype(np.int32)), pa.array(span_hash(sums, starts, starts + shape.size).view(np.int64))], ["gram", *DOC, "place", "n", "l", "w"])
 
-    each = found.select("gram", *DOC, "at", "n", "payload").mapInArrow(hashed, f"gram long, doc_id {kind}, th long, place long, n long, l int, w long")
+    each = found.select("gram", *DOC, "at", "n", "payload").mapInArrow(tidy(hashed), f"gram long, doc_id {kind}, th long, place long, n long, l int, w long")
     key = ["gram", "l", "w"]
     again = each.groupBy(*key).agg(F.sum("n").alias("all")).where("all > 1").select(*key)
     return each.where("n = 1").join(again, key, "left_semi").select(*DOC, (F.col("place") - F.col("l")).alias("a"), (F.col("place") - F.col("l") + shape.size).alias("b"))
@@ -267,7 +267,7 @@ def remove_bytes(docs: DataFrame, spans: tuple[DataFrame, Broadcast], scratch: S
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"][: 5 + with_text])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return windows.joined_spans(docs, spans, scratch).select("doc_id", "text", "spans").mapInArrow(kept, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text)
+    return windows.joined_spans(docs, spans, scratch).select("doc_id", "text", "spans").mapInArrow(tidy(kept), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text)
 
 
 def whole_characters(raw: bytes, a: int, b: int) -> tuple[int, int]:
@@ -302,7 +302,7 @@ def cut_rows(docs: DataFrame, shape: Shape = DEFAULT, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], pa.schema([batch.schema.field("row"), pa.field("kept", pa.string())]))
 
     row_type = docs.schema.simpleString()
-    cut = joined.mapInArrow(kept, f"row {row_type}, kept string").where("kept is null or trim(kept) <> '' or trim(row.`" + text_col + "`) = ''")
+    cut = joined.mapInArrow(tidy(kept), f"row {row_type}, kept string").where("kept is null or trim(kept) <> '' or trim(row.`" + text_col + "`) = ''")
     again = {text_col: F.col("kept")} | ({n_chars_col: F.length("kept").cast(docs.schema[n_chars_col].dataType)} if n_chars_col in docs.columns else {})
     return cut.select(*[again[c].alias(c) if c in again else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 

@@ -33,6 +33,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 LETTER, NUMBER, SPACE, WHITE, OTHER, QUOTE, SINGLE, R, V, L, E, END = range(12)
 N_CLASSES = 12
 # states: nothing begun; in letters, numbers, others; in white space that ends with a space or not; after ' and after 'r 'v 'l
@@ -293,4 +295,4 @@ def with_token_counts(docs: DataFrame, vocabulary: str, limit: int, id_col: str
 
     kind = docs.schema[id_col].dataType.simpleString()
     held = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
-    return held.mapInArrow(counted, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return held.mapInArrow(tidy(counted), f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

@@ -23,7 +23,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_values, mix64, prefix_hash, span_hash, text_buffer, word_spans
+from .common import Scratch, byte_values, mix64, prefix_hash, span_hash, text_buffer, tidy, word_spans
 
 #: Units handled at once; one document may have more, and is then cut into stretches that overlap by a window.
 STRETCH = 400_000
@@ -220,7 +220,7 @@ def grams(docs: DataFrame, shape: Shape) -> DataFrame:
                 g, n = np.unique(found.gram, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.minimum(n, 2).astype(np.int32))], ["gram", "n"])
 
-    return docs.select("text").mapInArrow(made, "gram long, n int")
+    return docs.select("text").mapInArrow(tidy(made), "gram long, n int")
 
 
 def entries(docs: DataFrame, shape: Shape, bitmap) -> DataFrame:
@@ -236,7 +236,7 @@ def entries(docs: DataFrame, shape: Shape, bitmap) -> DataFrame:
                 row = pa.array(found.row[ok])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("th").take(row), *(pa.array(x[ok]) for x in (found.at(), found.gram, found.kind()))], [*DOC, "at", *CLASS])
 
-    return docs.mapInArrow(made, f"doc_id {kind}, th long, at long, gram long, kind long")
+    return docs.mapInArrow(tidy(made), f"doc_id {kind}, th long, at long, gram long, kind long")
 
 
 def member_hash(th: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -253,7 +253,7 @@ def member_hashes(members: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(member_hash(batch.column(0).to_numpy(), batch.column(1).to_numpy()))], ["h"])
 
-    return members.select("th", "at").mapInArrow(made, "h long")
+    return members.select("th", "at").mapInArrow(tidy(made), "h long")
 
 
 def unpacked(at):
@@ -292,7 +292,7 @@ def looked_up(docs: DataFrame, wanted: DataFrame, shape: Shape, payload: str, ta
                 row = pa.array(found.row[ok])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("th").take(row), pa.array(at[ok]), take(found, ok, sums, values)], [*DOC, "at", "payload"])
 
-    got = docs.mapInArrow(made, f"doc_id {kind}, th long, at long, payload {payload}")
+    got = docs.mapInArrow(tidy(made), f"doc_id {kind}, th long, at long, payload {payload}")
     keys = [*DOC, "at"]
     a, b = wanted.alias("a"), got.alias("b")
     return a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]).select("a.*", "b.payload"), bitmap
