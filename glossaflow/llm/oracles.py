@@ -19,7 +19,9 @@ f AS (SELECT *, (
     + CASE WHEN n_lines >= 4 AND 100 * n_dup_lines > 60 * n_lines THEN 4 ELSE 0 END + CASE WHEN 100 * n_symbols > 20 * n_words THEN 8 ELSE 0 END
     + CASE WHEN word_chars < 2 * n_words OR word_chars > 25 * n_words THEN 16 ELSE 0 END + CASE WHEN 100 * n_letters < 50 * word_chars THEN 32 ELSE 0 END
     + CASE WHEN 100 * n_exclaims > 30 * n_words THEN 64 ELSE 0 END)::BIGINT AS failures FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed, failures = 0 AS kept, failures FROM f
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed, failures = 0 AS kept, failures, 'v2' AS policy,
+  CASE failures WHEN 1 THEN 'too_short' WHEN 2 THEN 'repeated_windows' WHEN 4 THEN 'repeated_lines' WHEN 8 THEN 'symbols' WHEN 16 THEN 'word_length' WHEN 32 THEN 'too_few_letters' WHEN 64 THEN 'shouting' END AS only_failure
+FROM f
 """
 
 SUBSTRING_DEDUP = rf"""

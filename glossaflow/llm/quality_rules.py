@@ -114,8 +114,14 @@ def ablation(held: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RULES) -
 
 
 def judged(docs: DataFrame, policy: Policy = POLICIES[-1], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The ledger with base_failed and kept."""
-    return ledger(docs, RULES, id_col, text_col).withColumns({"base_failed": fails(BASE_POLICY), "kept": ~(fails(BASE_POLICY) | fails(policy))})
+    """The ledger with base_failed and kept, the policy's name, and only_failure: the rule without which the row would be kept, if there is just one."""
+    names = [r.name for r in RULES]
+    mask = policy.mask() | BASE_POLICY.mask()
+    bad = F.col("failures").bitwiseAND(F.lit(mask).cast("long"))
+    alone = F.lit(None).cast("string")
+    for i, name in enumerate(names):
+        alone = F.when(bad == 1 << i, F.lit(name)).otherwise(alone)
+    return ledger(docs, RULES, id_col, text_col).withColumns({"base_failed": fails(BASE_POLICY), "kept": bad == 0, "policy": F.lit(policy.name), "only_failure": alone})
 
 
 def keep_passing(docs: DataFrame, policy: Policy = POLICIES[-1], text_col: str = "text") -> DataFrame:

@@ -10,8 +10,10 @@ some length are a run between two low values of the common-prefix array, so a
 window that reaches l bytes back stands twice if two suffixes are in one run of
 both orders.
 
-Groups of more suffixes than ``most`` are not gathered in one task: their
-windows are counted by hash in a shuffle instead.
+Entries are one class, of which one member is sorted, if a hash of 64 bits of
+their whole stretch is equal within a gram (a hash of 64 bits itself). Groups of
+more classes than ``most`` are not gathered in one task: their windows are
+counted by hash in a shuffle instead, with the same result.
 
 Defined results: null and empty texts, and texts shorter than a window, lose
 nothing; repeated rows are documents of their own, so each repeats the other;
