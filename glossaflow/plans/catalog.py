@@ -801,3 +801,17 @@ def html_valid_pages(spark, sf_dir):
     text = F.regexp_replace("html", "</?b>", "")
     text = F.when(F.col("page_id") % 2 == 0, F.replace(text, F.lit("<article>"), F.lit("<article><article>"))).otherwise(text)
     return table(spark, sf_dir, "pages").select("page_id", validation.html_result(text)["valid"].alias("valid"))
+
+
+@query("""SELECT doc_id, 'Characters:' || chr(10) || '  original:   ' || n || chr(10) || '  prepared:   ' || (n + 1) || chr(10) || '  translated: ' || (n + 2) || chr(10) || 'Spans:' || chr(10)
+  || CASE WHEN doc_id % 2 = 0 THEN '  no filters' ELSE '  url: ' || doc_id || chr(10) || '  html_a: 0' END || chr(10) || 'Usage:' || chr(10)
+  || CASE WHEN doc_id % 3 = 0 THEN '  not given' ELSE '  Tokens:' || chr(10) || '    Total:       ' || n || chr(10) || '    Prompt:      7' || chr(10) || '    Of reasoning: ' || doc_id END AS report
+FROM (SELECT doc_id, length(text) AS n FROM documents WHERE text IS NOT NULL)""")
+def report_lines(spark, sf_dir):
+    """What a run reports about a document, as lines with padded names."""
+    docs, n = table(spark, sf_dir, "documents").where("text is not null"), F.length("text").cast("bigint")
+    lengths = F.struct(n.alias("original"), (n + 1).alias("prepared"), (n + 2).alias("translated"))
+    stats = F.when(F.col("doc_id") % 2 == 0, F.array().cast("array<struct<filter: string, count: bigint>>")).otherwise(F.array(F.struct(F.lit("url").alias("filter"), F.col("doc_id").alias("count")), F.struct(F.lit("html_a").alias("filter"), F.lit(0).cast("bigint").alias("count"))))
+    parts = F.create_map(F.lit("prompt"), F.lit(7).cast("bigint"), F.lit("of reasoning"), F.col("doc_id"))
+    used = F.when(F.col("doc_id") % 3 > 0, F.create_map(F.lit("tokens"), F.struct(n.alias("total"), parts.alias("breakdown"))))
+    return docs.select("doc_id", reports.lines_of(lengths, stats, used).alias("report"))

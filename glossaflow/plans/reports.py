@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -29,3 +29,21 @@ def usage_totals(results: DataFrame, *by: str) -> DataFrame:
 
 def error_totals(results: DataFrame) -> DataFrame:
     return results.where("error is not null").groupBy("error.stage", "error.code").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+def _padded(name: Column, width: int = 12) -> Column:
+    """A name with a capital, a colon, and spaces up to a width."""
+    label = F.concat(F.upper(F.substring(name, 1, 1)), F.substr(name, F.lit(2)), F.lit(":"))
+    return F.when(F.length(label) < width, F.rpad(label, width, " ")).otherwise(label)
+
+
+def lines_of(lengths: Column, filter_stats: Column, consumed: Column) -> Column:
+    """What a run reports about each document, as text."""
+    chars = [F.concat(F.lit("  "), F.rpad(F.lit(f"{k}:"), 12, " "), lengths[k].cast("string")) for k in ("original", "prepared", "translated")]
+    spans = F.transform(filter_stats, lambda s: F.concat(F.lit("  "), s["filter"], F.lit(": "), s["count"].cast("string")))
+    spans = F.when(F.size(spans) > 0, spans).otherwise(F.array(F.lit("  no filters")))
+    number = lambda name, n: F.concat(F.lit("    "), _padded(name), F.lit(" "), F.coalesce(n, F.lit(0)).cast("string"))
+    parts = lambda used: F.transform(F.map_entries(F.coalesce(used["breakdown"], F.create_map().cast("map<string,bigint>"))), lambda e: number(e["key"], e["value"]))
+    usage = F.flatten(F.transform(F.map_entries(consumed), lambda c: F.concat(F.array(F.concat(F.lit("  "), F.upper(F.substring(c["key"], 1, 1)), F.substr(c["key"], F.lit(2)), F.lit(":")), number(F.lit("total"), c["value"]["total"])), parts(c["value"]))))
+    usage = F.when(F.size(usage) > 0, usage).otherwise(F.array(F.lit("  not given")))
+    return F.array_join(F.concat(F.array(F.lit("Characters:"), *chars), F.array(F.lit("Spans:")), spans, F.array(F.lit("Usage:")), usage), "\n")
