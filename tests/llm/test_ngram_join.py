@@ -78,6 +78,22 @@ def test_rounds_do_not_change_links(spark, limits):
     assert result(df, Join(), **limits) == brute(df.collect(), Join())
 
 
+def test_rounds_of_hubs(spark, monkeypatch):
+    """Lists of more than two members go through several rounds; nearly similar sets are never joined by them."""
+    monkeypatch.setattr(ngram_join, "HUBS", 2)
+    rnd = random.Random(7)
+    base = [f"w{rnd.randrange(900)}" for _ in range(150)]
+    texts = near_copies(4)
+    for k in (4, 8, 12):
+        for _ in range(25):
+            copy = list(base)
+            for at in rnd.sample(range(150), k):
+                copy[at] = f"x{rnd.randrange(10_000)}"
+            texts.append(" ".join(copy))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert result(df, Join(), most_rounds=3, pair_budget=0) == brute(df.collect(), Join())
+
+
 @pytest.mark.parametrize("light", [0, 25])
 def test_any_border_gives_the_same(spark, monkeypatch, light):
     monkeypatch.setattr(ngram_join, "border", lambda *_: light)
