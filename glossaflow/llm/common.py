@@ -100,14 +100,14 @@ class Bounds:
         return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= self.n) & (F.get(bounds, at + step - 1) <= row), at + step).otherwise(at))
 
 
-def range_bounds(df: DataFrame, columns: list[str], rows_in_range: int, most: int, per_range: int = 64) -> Bounds:
-    """Bounds of ranges with about rows_in_range rows each, or as many as most ranges have, from a sample by hash of about per_range rows a range: the driver gets at most some most * per_range rows of these columns. The sample decides the sizes of ranges only."""
+def range_bounds(df: DataFrame, columns: list[str], rows_in_range: int, most: int, per_range: int = 64, most_sampled: int = 1_000_000) -> Bounds:
+    """Bounds of ranges with about rows_in_range rows each, or as many as most ranges have, from a sample by hash of about per_range rows a range, but eight a range or most_sampled in all: the driver gets that many rows of these columns. The sample decides the sizes of ranges only."""
     kind = df.select(*columns).schema.simpleString()
     n = df.count()
     ranges = min(most, -(-n // rows_in_range))
     if ranges < 2:
         return Bounds((), kind, tuple(columns))
-    share = min(1.0, ranges * per_range / n)
+    share = min(1.0, ranges * max(8, min(per_range, most_sampled // ranges)) / n)
     held = df.select(*columns).where(F.shiftrightunsigned(F.xxhash64(*columns, F.lit("ranges")), 1) <= int(2**63 * share) - 1)
     lines = [r[0] for r in held.orderBy(*[F.col(c).asc_nulls_first() for c in columns]).select(F.to_json(F.struct(*columns))).collect()]
     cuts = dict.fromkeys(lines[len(lines) * i // ranges] for i in range(1, ranges)) if lines else ()

@@ -44,7 +44,7 @@ _NEVER = frozenset("script style noscript template nav aside footer form button
 _COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
 _BOILERPLATE = _COMMENTS | frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login footer masthead toolbar pagination pager widget widgets alert search skip contentinfo complementary sharing social related recommended recommendations share".split())
 #: Words that only say where or what kind of box an element is. A name is boilerplate if it has a word of the list above and else only such ones.
-_NEUTRAL = frozenset("a area bar block body bottom box btn button buttons card cards cell col column container content data desktop div el element fixed floating form global group header heading holder icons id in inner item items js large layout left line link links list main media mobile module nav on out outer panel part pane post posts primary region right row rows secondary section site slot small sticky story stories strip tab text thread title top ui ul unit user view wrap wrapper zone page pages".split())
+_NEUTRAL = frozenset("a area article articles bar block blog body bottom box btn button buttons card cards cell col column container content data desktop div el element entry fixed floating form global group header heading holder icons id in inner item items js large layout left line link links list main media mobile module nav news next on out outer panel part pane post posts prev previous primary region right row rows secondary section site slot small sticky story stories strip tab text thread title top ui ul unit user view wrap wrapper zone page pages".split())
 _ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 _NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 #: Characters that a notice or an advert may have alone on a page.
