@@ -815,3 +815,46 @@ def report_lines(spark, sf_dir):
     parts = F.create_map(F.lit("prompt"), F.lit(7).cast("bigint"), F.lit("of reasoning"), F.col("doc_id"))
     used = F.when(F.col("doc_id") % 3 > 0, F.create_map(F.lit("tokens"), F.struct(n.alias("total"), parts.alias("breakdown"))))
     return docs.select("doc_id", reports.lines_of(lengths, stats, used).alias("report"))
+
+
+@query(f"SELECT doc_id, t1 AS prepared, len(m0)::BIGINT AS n FROM ({_sql_chain('text AS t0 FROM documents', 'doc_id', ['[0-9]+'])})")
+def filter_added(spark, sf_dir):
+    """A kind of filter that the package doesn't have."""
+
+    def digits(name: str) -> spans.SpanFilter | None:
+        return spans.SpanFilter(name, "[0-9]+") if name == "digits" else None
+
+    spans.FACTORIES.append(digits)
+    try:
+        filters = spans.resolve(["digits"])
+    finally:
+        spans.FACTORIES.remove(digits)
+    df = spans.protect(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", filters)
+    return df.select("doc_id", "prepared", F.size(F.col("spans")[0]["found"]).cast("bigint").alias("n"))
+
+
+class _Back:
+    """Answers with the body that it was sent."""
+
+    def send(self, request: tp.Request) -> tp.Response:
+        return tp.Response(200, request.body)
+
+
+def _own_builder(settings: dict, text: Column, options: dict, prompts: Prompts) -> Column:
+    return F.to_json(F.struct(text.alias("t")))
+
+
+def _own_parser(body: Column, settings: dict) -> Column:
+    said = F.get_json_object(body, "$.t")
+    error = F.when(said.isNull(), F.struct(F.lit("empty").alias("code"), F.lit("no text").alias("message")))
+    return F.struct(said.alias("text"), F.lit(None).cast("variant").alias("usage"), error.alias("error"))
+
+
+@query("SELECT doc_id, text AS result, CASE WHEN text IS NULL THEN 'no_text' END AS error FROM documents")
+def vendor_added(spark, sf_dir):
+    """A service that the package doesn't know: its builder, its parser and an entry of the registry."""
+    requests.BUILDERS["own"], responses.PARSERS["own"] = _own_builder, _own_parser
+    registry = models.Registry()
+    registry.models["own:model"] = {"vendor": "own", "endpoint": "http://own"}
+    out = translate(table(spark, sf_dir, "documents"), Job("own:model", filters=["url"], registry=registry), _Back())
+    return out.select("doc_id", "result", F.col("error.code").alias("error"))
