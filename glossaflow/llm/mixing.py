@@ -36,8 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, barrier, tidy
-from .packing import encoder
-from .token_counts import slices
+from .packing import Vocabulary, token_ids
 
 OTHER = "other"
 #: Stands for null, which no value is mistaken for.
@@ -101,7 +100,7 @@ def cells(docs: DataFrame, text_col: str, source_col: str, lang_col: str, topics
     return with_topic(docs.withColumns({"_source": value(source_col), "_lang": value(lang_col), "_tokens": size.cast("double")}), text_col, topics)
 
 
-def counted(celled: DataFrame, text_col: str, vocabulary: str) -> DataFrame:
+def counted(celled: DataFrame, text_col: str, vocabulary: Vocabulary) -> DataFrame:
     """cells() with the library's number of tokens and without the text."""
     rest = [c for c in celled.columns if c not in (text_col, "_tokens")]
 
@@ -109,8 +108,7 @@ def counted(celled: DataFrame, text_col: str, vocabulary: str) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            texts = [x or "" for x in batch.column("_text").to_pylist()]
-            n = [len(x) for part in slices(texts, 200_000) for x in encoder(vocabulary).encode_batch_fast(texts[part], add_special_tokens=False)]
+            n = [len(token_ids(x.as_py() or "", vocabulary)) for x in batch.column("_text")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(n, pa.float64())], [*rest, "_tokens"])
 
     kinds = ", ".join(f"`{c}` {celled.schema[c].dataType.simpleString()}" for c in [*rest, "_tokens"])
@@ -321,7 +319,7 @@ def uniform(id_col: str, text_col: str, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)), 11) / F.lit(float(1 << 53))
 
 
-def mix(docs: DataFrame, margins: list[Margin], topics: dict[str, list[str]], keep: float | None = None, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", vocabulary: str | None = None, most_cells: int = 500_000) -> tuple[DataFrame, Mixture]:
+def mix(docs: DataFrame, margins: list[Margin], topics: dict[str, list[str]], keep: float | None = None, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", vocabulary: Vocabulary | None = None, most_cells: int = 500_000) -> tuple[DataFrame, Mixture]:
     """id_col of every row, the columns of cells(), _probability and _kept; and the mixture. Texts are read once."""
     named = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col(source_col).alias("s"), F.col(lang_col).alias("l"), uniform(id_col, text_col, seed).alias("_draw"))
     celled = cells(named, "t", "s", "l", topics).drop("s", "l")
@@ -331,7 +329,7 @@ def mix(docs: DataFrame, margins: list[Margin], topics: dict[str, list[str]], ke
     return mixture.with_probability(celled).withColumn("_kept", F.col("_draw") < F.col("_probability")).withColumnRenamed("i", id_col).drop("_draw"), mixture
 
 
-def sample(docs: DataFrame, margins: list[Margin], topics: dict[str, list[str]], keep: float | None = None, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", vocabulary: str | None = None) -> DataFrame:
+def sample(docs: DataFrame, margins: list[Margin], topics: dict[str, list[str]], keep: float | None = None, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", vocabulary: Vocabulary | None = None) -> DataFrame:
     """The kept rows of docs, whole, whatever their columns are called."""
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(source_col).alias("s"), F.col(lang_col).alias("l"))
     celled = cells(packed, "t", "s", "l", topics)

@@ -18,8 +18,10 @@ an empty result.
 
 from __future__ import annotations
 
+import base64
 import os
 import zlib
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -27,13 +29,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, tidy
-from .token_counts import slices
 
 _HIGH = 33  # ids are (task << _HIGH) + number within the task
 #: Bits of a bin's id that say of which round it is.
 _ROUND_BITS = 7
 
 
+@dataclass(frozen=True)
+class Vocabulary:
+    """file: of the tokenizers library. ranks, pattern, special: the same vocabulary for a faster library, if there is such a file; ids are the same, and texts that it refuses go through the first one."""
+
+    file: str
+    ranks: str | None = None
+    pattern: str = ""
+    special: tuple[tuple[str, int], ...] = ()
+
+
 @cache
 def encoder(vocabulary: str):
     """The library's tokenizer, without truncation and padding; a task uses one thread."""
@@ -46,9 +57,23 @@ def encoder(vocabulary: str):
     return out
 
 
-def token_ids(texts: list[str], vocabulary: str) -> list[list[int]]:
-    """The ids of each text, without added special tokens."""
-    return [x.ids for x in encoder(vocabulary).encode_batch_fast(texts, add_special_tokens=False)]
+@cache
+def fast_encoder(vocabulary: Vocabulary):
+    import tiktoken
+
+    with open(vocabulary.ranks, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("packing", pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens=dict(vocabulary.special))
+
+
+def token_ids(text: str, vocabulary: Vocabulary) -> np.ndarray:
+    """The ids of a text, without added special tokens; special strings in it become their ids."""
+    if vocabulary.ranks:
+        try:
+            return fast_encoder(vocabulary).encode_to_numpy(text, allowed_special="all")
+        except ValueError:  # its pattern can't go through some hundred thousand white characters in a row
+            pass
+    return np.array(encoder(vocabulary.file).encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def cut(n: int, limit: int) -> list[tuple[int, int]]:
@@ -84,8 +109,8 @@ def best_fit(sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, lis
     return bins, offsets, fills
 
 
-def pieces(docs: DataFrame, vocabulary: str, end_id: int, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each piece, with an id that is unique in the table once it is written. vocabulary: a file of the tokenizers library."""
+def pieces(docs: DataFrame, vocabulary: Vocabulary, end_id: int, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each piece, with an id that is unique in the table once it is written."""
 
     def made(batches):
         import pyarrow as pa
@@ -94,12 +119,10 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, limit: int, id_col: st
         next_id = TaskContext.get().partitionId() << _HIGH
         for batch in batches:
             rows = []
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for part in slices(texts, 200_000):
-                for row, held in enumerate(token_ids(texts[part], vocabulary), part.start):
-                    ids = np.array([*held, end_id], dtype="<u4")
-                    for k, (a, b) in enumerate(cut(len(ids), limit)):
-                        rows.append((row, k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
+            for row, text in enumerate(batch.column(1)):
+                ids = np.append(token_ids(text.as_py() or "", vocabulary), np.uint32(end_id)).astype("<u4")
+                for k, (a, b) in enumerate(cut(len(ids), limit)):
+                    rows.append((row, k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
             at, piece, start, length, crc = (np.array(x) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64) for _ in range(5))
             ids = np.arange(next_id, next_id + len(at))
             next_id += len(at)
@@ -160,7 +183,7 @@ def pack(table: DataFrame, limit: int, scratch: Scratch, slack: int = 8, group_i
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), F.col("shift").alias("offset"))
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: Vocabulary, end_id: int, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The packed pieces of all documents."""
     scratch = Scratch(docs.sparkSession, "packing")
     table = scratch.table("pieces", pieces(docs, vocabulary, end_id, limit, id_col, text_col))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from . import html_extraction, language_id, mixing, ngram_join, oracles, packing, quality_rules, simhash, substring_dedup, suffix_dedup, token_counts
 
-#: Fixed value: the id that ends a packed document.
+#: The vocabulary's special string with its id, and the id that ends a packed document.
+VOCABULARY = packing.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, (("<|endoftext|>", 50256),))
 END_ID = 2
 
 
@@ -30,7 +31,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), END_ID, 1024)
+    return packing.pack_documents(documents(spark, sf_dir), VOCABULARY, END_ID, 1024)
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +55,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed, _ = mixing.mix(documents(spark, sf_dir), MARGINS, TOPICS, KEEP, vocabulary=public_tokenizers.path("byte_bpe_50k.json"))
+    mixed, _ = mixing.mix(documents(spark, sf_dir), MARGINS, TOPICS, KEEP, vocabulary=VOCABULARY)
     value = lambda c: F.when(F.col(c) != mixing.NULL, F.col(c))
     return mixed.select("doc_id", value("_source").alias("source"), value("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").cast("long").alias("n_tokens"), F.col("_probability").alias("probability"), F.col("_kept").alias("kept"))
 

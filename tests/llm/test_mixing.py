@@ -4,7 +4,6 @@ from collections import Counter, defaultdict
 from functools import partial
 
 import numpy as np
-import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
@@ -59,8 +58,8 @@ def test_probabilities_give_the_targets(spark, keep):
 def test_targets_by_the_librarys_tokens(spark):
     """Targets are met by real tokens, and with a share to keep those that bounded raking can meet."""
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    tokenizer = Tokenizer.from_file(vocabulary)
+    vocabulary = queries.VOCABULARY
+    tokenizer = Tokenizer.from_file(vocabulary.file)
     size = {r.doc_id: len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) for r in df.collect()}
     for keep in (None, 0.7):
         mixed, _ = mixing.mix(df, queries.MARGINS, queries.TOPICS, keep, vocabulary=vocabulary)

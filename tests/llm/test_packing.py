@@ -16,7 +16,7 @@ from . import edges
 
 
 def packed(df, **how):
-    return packing.pack_documents(df, public_tokenizers.path("byte_bpe_50k.json"), queries.END_ID, 1024, **how)
+    return packing.pack_documents(df, queries.VOCABULARY, queries.END_ID, 1024, **how)
 
 
 def gapless(rows, limit):

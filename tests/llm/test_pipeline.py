@@ -80,7 +80,7 @@ def test_passages(stages):
 
 def test_mixture(spark, stages):
     """Raked by plain loops, and drawn by the document's own number."""
-    tokenizer = Tokenizer.from_file(corpus_pipeline.VOCABULARY)
+    tokenizer = Tokenizer.from_file(queries.VOCABULARY.file)
     size = {r.doc_id: len(tokenizer.encode(r.text, add_special_tokens=False).ids) for r in stages[3]}
 
     def topic(text):
