@@ -7,7 +7,6 @@ columns of documents.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from glossaflow.llm import mixing, ngram_join, packing, quality_rules, queries, suffix_dedup
@@ -17,8 +16,6 @@ from glossaflow.llm.common import Scratch
 NEAR = ngram_join.Join(5, 80, 100)
 #: Repeated passages: any 200 bytes, about 35 words, that also start elsewhere.
 PASSAGE = suffix_dedup.Shape(200, 64, "byte")
-#: The vocabulary by which tokens are counted and packed.
-VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Tokens of a sequence.
 SEQUENCE = 1024
 
@@ -40,12 +37,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample in which sources, languages and topics have their target weights. A null source or language is a value of its own; a text without tokens weighs nothing; repeated rows stay or go together."""
-    return mixing.sample(docs, queries.MARGINS, queries.TOPICS, queries.KEEP, vocabulary=VOCABULARY)
+    return mixing.sample(docs, queries.MARGINS, queries.TOPICS, queries.KEEP, vocabulary=queries.VOCABULARY)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences: a row for each piece of a document and its place. A null or empty text is the end mark alone; repeated rows are packed each."""
-    return packing.pack_documents(docs, VOCABULARY, queries.END_ID, SEQUENCE)
+    return packing.pack_documents(docs, queries.VOCABULARY, queries.END_ID, SEQUENCE)
 
 
 STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_duplicates), ("suffix-array dedup", repeated_passages), ("mixing to target weights", mixture), ("best-fit packing", packed)]
