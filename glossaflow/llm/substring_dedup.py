@@ -148,11 +148,9 @@ def batches_by_id(docs: DataFrame, n: int) -> list[DataFrame]:
     return parts
 
 
-def repeated_spans(docs: DataFrame, candidates: DataFrame, shape: Shape, scratch: Scratch, most: int = 20_000) -> tuple[DataFrame, Broadcast]:
-    """(doc_id, th, a, b): words a to b of windows that stand earlier. docs: doc_id, th, text. And the filter that they still need."""
-    bitmap = windows.filter_of(candidates, "gram")
-    found = scratch.table("entries", windows.entries(docs, shape, bitmap))
-    bitmap.destroy()
+def repeated_spans(docs: DataFrame, candidates: DataFrame, shape: Shape, scratch: Scratch, most: int = 20_000) -> tuple[DataFrame, Broadcast | None]:
+    """(doc_id, th, a, b): words a to b of windows that stand earlier. docs: doc_id, th, text. And the filter that they still need, if any."""
+    found = windows.entries_of_grams(docs, shape, candidates, scratch)
     kinds = scratch.table("classes", windows.classes(found))
     scratch.drop()
     # all members of a class but the first: each of their windows stands earlier
@@ -219,7 +217,7 @@ def _counted_windows(looked: DataFrame, shape: Shape) -> DataFrame:
     return again.select(*DOC, "a", (F.col("a") + shape.size).alias("b"))
 
 
-def remove_words(docs: DataFrame, spans: tuple[DataFrame, Broadcast], scratch: Scratch, with_text: bool = False) -> DataFrame:
+def remove_words(docs: DataFrame, spans: tuple[DataFrame, Broadcast | None], scratch: Scratch, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and the kept words, joined by a space)."""
 
     def kept(batches):

@@ -213,12 +213,10 @@ def _counted_windows(found: DataFrame, shape: Shape) -> DataFrame:
     return each.where("n = 1").join(again, key, "left_semi").select(*DOC, (F.col("place") - F.col("l")).alias("a"), (F.col("place") - F.col("l") + shape.size).alias("b"))
 
 
-def repeated_spans(docs: DataFrame, shape: Shape, scratch: Scratch, most: int = 5_000) -> tuple[DataFrame, Broadcast]:
-    """(doc_id, th, a, b): bytes a to b of strings that also start elsewhere. docs: doc_id, th, text. And the filter that they still need."""
+def repeated_spans(docs: DataFrame, shape: Shape, scratch: Scratch, most: int = 5_000) -> tuple[DataFrame, Broadcast | None]:
+    """(doc_id, th, a, b): bytes a to b of strings that also start elsewhere. docs: doc_id, th, text. And the filter that they still need, if any."""
     several = windows.grams(docs, shape).groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
-    bitmap = windows.filter_of(several, "gram")
-    found = scratch.table("entries", windows.entries(docs, shape, bitmap))
-    bitmap.destroy()
+    found = windows.entries_of_grams(docs, shape, several, scratch)
     kinds = scratch.table("classes", windows.classes(found))
     scratch.drop()
     # classes with several members repeat whole
@@ -250,7 +248,7 @@ def values_to_bytes(values: np.ndarray) -> np.ndarray:
     return _SORTED_BYTES[np.searchsorted(_SORTED_VALUES, values)]
 
 
-def remove_bytes(docs: DataFrame, spans: tuple[DataFrame, Broadcast], scratch: Scratch, with_text: bool = False) -> DataFrame:
+def remove_bytes(docs: DataFrame, spans: tuple[DataFrame, Broadcast | None], scratch: Scratch, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept text: the kept bytes without parts of characters)."""
 
     def kept(batches):

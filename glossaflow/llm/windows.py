@@ -10,7 +10,9 @@ of a class needs a closer look.
 
 Filters between passes are bitmaps of a fixed size that hold hashes: what they
 let through beyond the wanted rows is removed by joins, so they bound the
-volume and never the result.
+volume and never the result. Where there are too many hashes for a filter, rows
+are joined with them instead: entries with the wanted grams, and texts with the
+wanted places in them.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ STRETCH = 400_000
 _PLACE_BITS = 21  # > log2(STRETCH + a window)
 #: Bits of a filter: 2 ** 27, 16 MB.
 FILTER_BITS = 27
+#: Hashes that a filter is made of at most, a sixteenth of its bits; more are joined instead.
+FILTER_ROWS = 1 << (FILTER_BITS - 4)
 #: Columns that name a document: its id, and a hash of its text, as ids may repeat.
 DOC = ["doc_id", "th"]
 #: Columns that name a class: the gram, and a hash of all that its entries have in common.
@@ -223,8 +227,8 @@ def grams(docs: DataFrame, shape: Shape) -> DataFrame:
     return docs.select("text").mapInArrow(tidy(made), "gram long, n int")
 
 
-def entries(docs: DataFrame, shape: Shape, bitmap) -> DataFrame:
-    """All entries whose gram the filter (a broadcast) lets through."""
+def entries(docs: DataFrame, shape: Shape, bitmap: Broadcast | None) -> DataFrame:
+    """All entries whose gram the filter lets through."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def made(batches):
@@ -232,13 +236,27 @@ def entries(docs: DataFrame, shape: Shape, bitmap) -> DataFrame:
 
         for batch in batches:
             for found, _, _ in _batch_entries(batch, shape):
-                ok = np.flatnonzero(allowed(bitmap.value, found.gram))
+                ok = np.flatnonzero(allowed(bitmap.value, found.gram)) if bitmap else np.arange(len(found.row))
                 row = pa.array(found.row[ok])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("th").take(row), *(pa.array(x[ok]) for x in (found.at(), found.gram, found.kind()))], [*DOC, "at", *CLASS])
 
     return docs.mapInArrow(tidy(made), f"doc_id {kind}, th long, at long, gram long, kind long")
 
 
+def entries_of_grams(docs: DataFrame, shape: Shape, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    """The entries whose gram is wanted (perhaps some more), as the table "entries"."""
+    grams = scratch.table("wanted", wanted.select("gram").distinct())
+    if grams.count() > FILTER_ROWS:
+        found = entries(docs, shape, None)
+        out = scratch.table("entries", found.join(grams, "gram", "left_semi").select(found.columns))
+    else:
+        bitmap = filter_of(grams, "gram")
+        out = scratch.table("entries", entries(docs, shape, bitmap))
+        bitmap.destroy()
+    scratch.drop("wanted")
+    return out
+
+
 def member_hash(th: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A hash of an entry's place, the same wherever it is made."""
     return mix64(th.view(np.uint64) + mix64(at.astype(np.uint64))).view(np.int64)
@@ -277,18 +295,31 @@ def classes(found: DataFrame) -> DataFrame:
     return per.join(of_gram, "gram").select(*CLASS, "n", "first", (F.col("kinds") == 1).alias("alone"), "kinds")
 
 
-def looked_up(docs: DataFrame, wanted: DataFrame, shape: Shape, payload: str, take: Callable) -> tuple[DataFrame, Broadcast]:
-    """wanted (doc_id, th, at, ...) with payload: take(entries, indices, sums, values) gives an Arrow array. Texts are read again through a filter, which is returned too, and not shuffled; the join removes what else it lets through."""
-    bitmap = filter_of(member_hashes(wanted), "h")
+def looked_up(docs: DataFrame, wanted: DataFrame, shape: Shape, payload: str, take: Callable) -> tuple[DataFrame, Broadcast | None]:
+    """wanted (doc_id, th, at, ...) with payload: take(entries, indices, sums, values) gives an Arrow array. Texts are read again through a filter, which is returned too, and not shuffled; the join removes what else it lets through. Where too many are wanted for a filter, texts are shuffled to their wanted places."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    bitmap = filter_of(member_hashes(wanted), "h") if wanted.count() <= FILTER_ROWS else None
+    if bitmap is None:
+        places = wanted.groupBy(*DOC).agg(F.collect_set("at").alias("places"))
+        a, b = docs.alias("a"), places.alias("b")
+        docs = a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in DOC]).select("a.*", "b.places")
 
     def made(batches):
         import pyarrow as pa
 
         for batch in batches:
+            if bitmap is None:
+                lists = batch.column("places")
+                named = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
+                # a place within its row, as one number each
+                held = np.sort(member_hash(named, lists.flatten().to_numpy()))
             for found, sums, values in _batch_entries(batch, shape):
                 at = found.at()
-                ok = np.flatnonzero(allowed(bitmap.value, member_hash(batch.column("th").to_numpy()[found.row], at)))
+                if bitmap is None:
+                    h = member_hash(found.row.astype(np.int64), at)
+                    ok = np.flatnonzero(held[np.minimum(np.searchsorted(held, h), len(held) - 1)] == h)
+                else:
+                    ok = np.flatnonzero(allowed(bitmap.value, member_hash(batch.column("th").to_numpy()[found.row], at)))
                 row = pa.array(found.row[ok])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("th").take(row), pa.array(at[ok]), take(found, ok, sums, values)], [*DOC, "at", "payload"])
 
@@ -323,10 +354,11 @@ def spans_by_document(spans: DataFrame) -> DataFrame:
     return spans.groupBy(*DOC).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
-def joined_spans(docs: DataFrame, found: tuple[DataFrame, Broadcast], scratch: Scratch) -> DataFrame:
+def joined_spans(docs: DataFrame, found: tuple[DataFrame, Broadcast | None], scratch: Scratch) -> DataFrame:
     """docs (doc_id, th, ...) with the spans of each; the spans are written, and what they were made from, with its filter, is dropped."""
     held = scratch.table("spans", spans_by_document(found[0]))
-    found[1].destroy()
+    if found[1]:
+        found[1].destroy()
     scratch.drop("entries", "classes", "large")
     a, b = docs.alias("a"), held.alias("b")
     return a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in DOC], "left").select("a.*", "b.spans")

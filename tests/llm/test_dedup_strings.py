@@ -63,6 +63,18 @@ def test_substrings(spark, batches, most):
     assert substring_dedup.dedup(edges.empty(spark)).count() == 0
 
 
+def test_without_filters(spark, monkeypatch):
+    """What a corpus gives whose repeated grams and members are too many for a filter."""
+    monkeypatch.setattr(windows, "FILTER_ROWS", 0)
+    for _, df in edges.both(spark):
+        rows = df.collect()
+        want = brute_words(rows, 20)
+        got = substring_dedup.dedup(df, batches=2).collect()
+        assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == Counter((r.doc_id, *want[r.doc_id, r.text or ""]) for r in rows)
+        got = suffix_dedup.dedup(df).collect()
+        assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == Counter((r.doc_id, *x) for r, x in zip(rows, brute_bytes([r.text for r in rows], 400), strict=True))
+
+
 @pytest.mark.parametrize("most", [5_000, 1])
 def test_suffixes(spark, most):
     for _, df in edges.both(spark):
