@@ -4,44 +4,24 @@ from __future__ import annotations
 
 import atexit
 import gc
-import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import folder, shared_dir  # noqa: F401
+
 #: Characters that separate words: the space and U+0009 to U+000D.
 WORD_BREAKS = " \t\n\x0b\x0c\r"
 
 
-@cache
-def _own_folder() -> str:
-    own = tempfile.mkdtemp(prefix="glossaflow-")
-    atexit.register(shutil.rmtree, own, True)
-    return f"file://{own}"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a folder of this machine only where none is set and the master is local."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return _own_folder()
-
-
 class Scratch:
     """Parquet tables of one run in the shared folder. A table cuts the lineage: its rows stay as they are when executors are lost."""
 
     def __init__(self, spark: SparkSession, what: str):
-        self.spark, self.top = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+        self.spark, self.top = spark, folder(spark, what)
         atexit.register(self._delete, self.top)
 
     def table(self, name: str, df: DataFrame, *partition_by: str) -> DataFrame:
