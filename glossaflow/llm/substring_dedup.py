@@ -168,12 +168,12 @@ def repeated_spans(docs: DataFrame, candidates: DataFrame, shape: Shape, scratch
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(windows.span_hash(sums, starts, starts + shape.size).view(np.int64)))
 
     looked, bitmap = windows.looked_up(docs, wanted, shape, "array<long>", window_hashes)
+    if kinds.where(F.col("kinds") > most).isEmpty():
+        return whole.unionByName(_grouped_windows(looked, shape)), bitmap
+    # written, as groups of both sizes need it and the texts are to be read once
+    looked = scratch.table("looked", looked)
     small, large = looked.where(F.col("kinds") <= most), looked.where(F.col("kinds") > most)
-    spans = whole.unionByName(_grouped_windows(small, shape))
-    # only where there is such a group: else the texts would be read once more for nothing
-    if not kinds.where(F.col("kinds") > most).isEmpty():
-        spans = spans.unionByName(_counted_windows(scratch.table("large", large), shape))
-    return spans, bitmap
+    return whole.unionByName(_grouped_windows(small, shape)).unionByName(_counted_windows(large, shape)), bitmap
 
 
 def _grouped_windows(looked: DataFrame, shape: Shape) -> DataFrame:

@@ -230,12 +230,12 @@ def repeated_spans(docs: DataFrame, shape: Shape, scratch: Scratch, most: int =
         return pa.array([values_to_bytes(values[a:b]).tobytes() for a, b in zip((e.here - e.hi)[ok].tolist(), (e.here - e.lo + shape.size)[ok].tolist(), strict=True)], pa.binary())
 
     looked, bitmap = windows.looked_up(docs, wanted, shape, "binary", stretch)
+    if kinds.where(F.col("kinds") > most).isEmpty():
+        return whole.unionByName(_sorted_groups(looked, shape)), bitmap
+    # written, as groups of both sizes need it and the texts are to be read once
+    looked = scratch.table("looked", looked)
     small, large = looked.where(F.col("kinds") <= most), looked.where(F.col("kinds") > most)
-    spans = whole.unionByName(_sorted_groups(small, shape))
-    # only where there is such a group: else the texts would be read once more for nothing
-    if not kinds.where(F.col("kinds") > most).isEmpty():
-        spans = spans.unionByName(_counted_windows(large, shape))
-    return spans, bitmap
+    return whole.unionByName(_sorted_groups(small, shape)).unionByName(_counted_windows(large, shape)), bitmap
 
 
 _BYTE_OF = {int(v): i for i, v in enumerate(byte_values(np.arange(256, dtype=np.uint8)))}

@@ -359,7 +359,7 @@ def joined_spans(docs: DataFrame, found: tuple[DataFrame, Broadcast | None], scr
     held = scratch.table("spans", spans_by_document(found[0]))
     if found[1]:
         found[1].destroy()
-    scratch.drop("entries", "classes", "large")
+    scratch.drop("entries", "classes", "looked")
     a, b = docs.alias("a"), held.alias("b")
     return a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in DOC], "left").select("a.*", "b.spans")
 
