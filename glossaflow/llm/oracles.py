@@ -46,6 +46,21 @@ least AS (SELECT a, min(b) AS m FROM reached GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m AS component_id FROM d JOIN least ON a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+RANKED_SEARCH = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+q AS (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark),
+lengths AS (SELECT doc_id, len(w)::BIGINT AS n FROM d WHERE len(w) > 0),
+whole AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM lengths),
+tf AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, whole GROUP BY term, docs),
+adds AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))) AS a FROM tf JOIN weights USING (term) JOIN lengths USING (doc_id), whole),
+scores AS (SELECT item_id, doc_id, sum(a)::BIGINT AS score FROM q JOIN adds USING (term) GROUP BY ALL),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
 #: In hex, a whole character as UTF-8 has them, or else one byte.
 _CHARACTER = "[0-7].|(?:C[2-9A-F]|D.)[89AB].|E0[AB].[89AB].|(?:E[1-9A-CEF])[89AB].[89AB].|ED[89].[89AB].|F0[9AB].[89AB].[89AB].|F[1-3][89AB].[89AB].[89AB].|F48.[89AB].[89AB].|.."
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extraction, language_id, mixing, ngram_join, oracles, packing, quality_rules, simhash, substring_dedup, suffix_dedup, token_counts
+from . import html_extraction, language_id, mixing, ngram_join, oracles, packing, periodic_runs, piece_table, quality_rules, ranked_search, simhash, substring_dedup, suffix_dedup, token_counts
 
 #: The vocabulary's special string with its id, and the id that ends a packed document.
 VOCABULARY = packing.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, (("<|endoftext|>", 50256),))
@@ -72,5 +72,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(documents(spark, sf_dir), substring_dedup.Shape(20, 5, "word"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_ngram_join, op3_simhash, op4_language_id, op5_html_extraction, op6_token_counts, op7_mixing, op8_quality_rules, op9_suffix_dedup, op10_substring_dedup)}
-ORACLES: dict[str, str] = {"op2_ngram_join": oracles.NGRAM_JOIN, "op8_quality_rules": oracles.QUALITY_RULES, "op9_suffix_dedup": oracles.SUFFIX_DEDUP, "op10_substring_dedup": oracles.SUBSTRING_DEDUP}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.with_runs(periodic_runs.with_planted(documents(spark, sf_dir)), periodic_runs.Least(6, 4)))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 20)
+
+
+def op13_piece_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = piece_table.encoded(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    return made.select("doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_ngram_join, op3_simhash, op4_language_id, op5_html_extraction, op6_token_counts, op7_mixing, op8_quality_rules, op9_suffix_dedup, op10_substring_dedup, op11_periodic_runs, op12_ranked_search, op13_piece_table)}
+ORACLES: dict[str, str] = {"op2_ngram_join": oracles.NGRAM_JOIN, "op8_quality_rules": oracles.QUALITY_RULES, "op9_suffix_dedup": oracles.SUFFIX_DEDUP, "op10_substring_dedup": oracles.SUBSTRING_DEDUP, "op12_ranked_search": oracles.RANKED_SEARCH}
