@@ -1,5 +1,9 @@
 """Placeholders on texts with odd spans."""
 
+import random
+import re
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -96,3 +100,53 @@ _PIECE = st.sampled_from(["http://a.b/c", "<a href=x>y</a>", "text ", " <a>", "<
 def test_back_is_the_text(spark, texts):
     for names in (["url", "html_a"], ["html_a", "url", "html_a"]):
         assert all(r.back == r.text for r in prepared(spark, texts, names))
+
+
+def by_one_after_another(text, names):
+    """Prepared, spans and restored text by plain matching and replacing, as the filters are defined."""
+    n, held = 0, []
+    for made in spans.resolve(names):
+        pattern = re.compile(made.pattern.replace("\\s", " \\t\\n\\x0b\\f\\r"))
+        found = pattern.findall(text)
+        numbers = iter(range(n, n + len(found)))
+        text = pattern.sub(lambda _, it=numbers: f"@@{next(it)}@@", text)
+        held.append((n, found))
+        n += len(found)
+    prepared = text
+    for first, found in reversed(held):
+        for i, v in enumerate(found):
+            text = text.replace(f"@@{first + i}@@", v)
+    return prepared, held, text
+
+
+_ODD = ["<a", "<A href=1>", "</a>", "</A>", ">", "<article>", "<b>", "x ", "</b>", "\n", "http://q.r/s", "@@", "@@0@@", "@", "1", "0", "12@@", "<h1>", "</h2>", "é😀", "@@007@@", "@@99999999999999999999@@"]
+
+
+@pytest.mark.parametrize("names", [["html_a"], ["html_a", "url", "html_h[1-6]"], ["url", "html_a", "html_b"], ["html_a", "html_a"], ["html_a|b", "url"]])
+def test_equals_plain_matching_and_replacing(spark, names):
+    """Openings without >, end tags alone, marks that share characters or arise from spans."""
+    rnd = random.Random(1)
+    texts = ["".join(rnd.choice(_ODD) for _ in range(rnd.randrange(25))) for _ in range(1500)]
+    for r in prepared(spark, texts, names):
+        assert (r.prepared, [(s.first, list(s.found)) for s in r.spans], r.back) == by_one_after_another(r.text, names), r.text
+
+
+@pytest.mark.parametrize(
+    ("text", "names", "n"),
+    [
+        ("<article>" + "x y" * 3_300_000, ["html_a"], 0),
+        ("<a>" * 100_000 + "</b>", ["html_a"], 0),
+        ("<a " * 100_000 + "</a>", ["html_a"], 0),
+        ("<a </a>" * 100_000, ["html_a"], 50_000),
+        ("x<a>y</a>" * 100_000, ["html_a"], 100_000),
+        ("http://a.b/c <a>y</a> " * 100_000, ["html_a", "url"], 100_000),
+    ],
+    ids=["one opening", "openings alone", "openings without >", "pairs", "elements", "two filters"],
+)
+def test_large_pages_take_linear_time(spark, text, names, n):
+    """Each takes some seconds; by matching with backtracking, or replacing one by one, minutes to hours."""
+    filters = spans.resolve(names)
+    df = spans.protect(spark.createDataFrame([(text,)], "text string"), "text", filters)
+    began = time.monotonic()
+    row = df.select(F.size(F.col("spans")[0]["found"]).alias("n"), (spans.restore(F.col("prepared"), F.col("spans"), len(filters)) == F.col("text")).alias("same")).first()
+    assert row.n == n and row.same and time.monotonic() - began < 60
