@@ -3,15 +3,20 @@
 No piece of a fitting model goes on after a white space mark that follows other
 characters, and none holds a line feed: a text, its spaces made marks, falls
 into chunks (marks with the word after them, or one line feed) that are
-segmented each by itself. So every distinct chunk of the corpus is segmented
-once, by the library, and ids are joined back by position:
+segmented each by itself. So every distinct chunk
+of the corpus is segmented once, by the library, and ids are joined back by
+position:
 
-* each task counts its distinct chunks and a shuffle adds the counts up; the
-  table holds chunk, ids and, where it is another text, what the ids decode to;
-* the commonest chunks, a bounded number of rows and bytes, go to all tasks.
-  Texts made of these alone are put together where they are;
-* the others, with their missing chunks, are written once; the missing chunks
-  meet the table in a join, return to their text, and complete it.
+* texts are read in blocks of some megabytes. A block numbers its distinct
+  chunks, and is written as its documents' sequences of numbers, and its chunks
+  by ranges of their hash;
+* the chunks of a range of hashes meet in one task, from all blocks. The task
+  segments each once, and answers every block with the ids of its chunks;
+* a block's sequences meet its answers in a join, each number becomes its
+  chunk's ids, and the library decodes them.
+
+What is written and shuffled is a block's distinct chunks and their ids, and two
+bytes or so for each further chunk of a text; texts are not shuffled.
 
 ``check`` refuses models to which this doesn't apply: pieces that cross marks or
 hold line feeds, a normaliser that changes texts, no byte fallback, user-defined
@@ -28,14 +33,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import cache
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, tidy
-from .token_counts import slices
 
 MARK = "▁"
 #: No piece holds it, so nothing is joined across it, before or behind.
@@ -44,15 +48,6 @@ _CHUNK = re.compile(r"\n| *[^ \n]+| +")
 _BORDER = re.compile(r"\n|(?<=[^ \n]) ")
 
 
-@dataclass(frozen=True)
-class Head:
-    """Bounds of the chunks that go to all tasks: rows, bytes of chunks and ids, and bytes of one chunk."""
-
-    rows: int = 1 << 17
-    size: int = 16 << 20
-    longest: int = 1024
-
-
 def check(model: str) -> None:
     """ValueError if chunks of texts cannot be segmented apart by this model."""
     from sentencepiece import sentencepiece_model_pb2
@@ -98,171 +93,176 @@ def chunks_of(text: str) -> Iterator[list[str]]:
         yield _CHUNK.findall(part)
 
 
-def segment(chunks: list[str], model: str) -> tuple[list[bytes], list[str | None]]:
-    """The ids of each chunk, little-endian of 32 bits, and what they decode to (None: the chunk itself)."""
-    import numpy as np
-
+def segment(chunks: list[str], model: str) -> list[bytes]:
+    """The ids of each chunk, little-endian of 32 bits."""
     library = _library(model)
     before = library.encode(BREAK)
-    ids, texts = [], []
+    out = []
     for begin in range(0, len(chunks), 4096):
-        part = chunks[begin : begin + 4096]
-        held = [x[len(before) :] for x in library.encode([BREAK + x for x in part], num_threads=1)]
-        said = library.decode([before + x for x in held], num_threads=1)
-        ids += [np.array(x, "<u4").tobytes() for x in held]
-        texts += [None if y == BREAK + x else y[len(BREAK) :] for x, y in zip(part, said, strict=True)]
-    return ids, texts
+        made = library.encode([BREAK + x for x in chunks[begin : begin + 4096]], num_threads=1)
+        out += [np.array(x[len(before) :], "<u4").tobytes() for x in made]
+    return out
 
 
-def _texts(batch, column: int) -> Iterator[list[str]]:
-    texts = [x or "" for x in batch.column(column).to_pylist()]
-    for s in slices(texts):
-        yield texts[s]
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers of 32 bits, compressed by bytes of equal weight."""
+    import pyarrow as pa
 
+    return pa.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True) if len(numbers) else b""
 
-def chunk_table(docs: DataFrame, model: str, text_col: str = "text", most: int = 500_000) -> DataFrame:
-    """chunk, n (how often it stands in the texts), ids, said (null: the chunk). A task holds at most so many chunks before it hands them on."""
 
-    def counted(batches):
-        from collections import Counter
+def _unpacked(held: bytes, n: int) -> np.ndarray:
+    import pyarrow as pa
 
-        import pyarrow as pa
+    if not n:
+        return np.zeros(0, "<u4")
+    planes = np.frombuffer(pa.decompress(held, 4 * n, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).reshape(-1).view("<u4")
 
-        def rows():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.large_string()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], ["chunk", "n"])
 
-        seen: Counter[str] = Counter()
-        letters = 0
-        for batch in batches:
-            for texts in _texts(batch, 0):
-                for text in texts:
-                    for chunks in chunks_of(text):
-                        had = len(seen)
-                        seen.update(chunks)
-                        letters += sum(map(len, chunks)) if len(seen) > had else 0
-                        if len(seen) > most or letters > 64 * most:
-                            yield rows()
-                            seen, letters = Counter(), 0
-        if seen:
-            yield rows()
-
-    def segmented(batches):
-        import pyarrow as pa
+class _Numbers(dict):
+    """Numbers by first sight; the line feed is 0."""
+
+    def __init__(self):
+        super().__init__({BREAK: 0})
 
+    def __missing__(self, chunk: str) -> int:
+        out = self[chunk] = len(self)
+        return out
+
+
+def _bucket_of(chunk: str, buckets: int) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(chunk) % buckets
+
+
+BLOCK_TYPE = "block long, bucket int, n long, size long, payload binary, buckets binary, lengths array<int>"
+
+
+def blocks_of(docs: DataFrame, buckets: int, letters: int) -> DataFrame:
+    """The blocks of docs (doc_id, text). Rows with bucket -1 hold a block's ids of documents, how many chunks each has, their numbers, and the bucket of each number from 1 on; others hold the chunks of one bucket, in order of their numbers."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        task, made = TaskContext.get().partitionId(), 0
+        names = ["block", "bucket", "n", "size", "payload", "buckets", "lengths", "ids"]
+
+        def block(ids, texts):
+            nonlocal made
+            number, (seen, lengths, parts) = (task << 32) + made, (_Numbers(), [], [])
+            made += 1
+            for text in texts:
+                held = [np.array([seen[x] for x in chunks], np.uint32) for chunks in chunks_of(text)]
+                lengths.append(sum(map(len, held)))
+                parts += held
+            every = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+            one = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            chunks = list(seen)[1:]
+            places = np.array([_bucket_of(x, buckets) for x in chunks], np.int64)
+            head = [pa.array([number]), pa.array([-1], pa.int32()), pa.array([len(every)]), pa.array([len(chunks)])]
+            packed = [pa.array([_packed(x)], pa.binary()) for x in (every, places)]
+            yield pa.RecordBatch.from_arrays([*head, *packed, pa.array([lengths], pa.list_(pa.int32())), one], names)
+            by: dict[int, list[str]] = {}
+            for place, x in zip(places.tolist(), chunks, strict=True):
+                by.setdefault(place, []).append(x)
+            n = len(by)
+            joined = [BREAK.join(v).encode() for v in by.values()]
+            head = [pa.array([number] * n, pa.int64()), pa.array(list(by), pa.int32()), pa.array([len(v) for v in by.values()], pa.int64()), pa.array([len(x) for x in joined], pa.int64())]
+            packed = [pa.array([pa.compress(x, "zstd", asbytes=True) for x in joined], pa.binary()), pa.nulls(n, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*head, *packed, pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, one.type)], names)
+
+        ids, texts, size = [], [], 0
         for batch in batches:
-            for begin in range(0, len(batch), 4096):
-                part = batch.slice(begin, 4096)
-                ids, said = segment(part.column(0).to_pylist(), model)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary()), pa.array(said, pa.string())], ["chunk", "n", "ids", "said"])
-
-    every = docs.select(F.col(text_col).alias("text")).where("text <> ''").mapInArrow(tidy(counted), "chunk string, n long")
-    return every.groupBy("chunk").agg(F.sum("n").alias("n")).mapInArrow(tidy(segmented), "chunk string, n long, ids binary, said string")
-
-
-def _level() -> Column:
-    return F.floor(F.log2("n") * 4).cast("int")
-
-
-def head_of(table: DataFrame, head: Head) -> tuple[list, bool]:
-    """The commonest chunks within the bounds, and whether they are all. The driver gets a row for each quarter power of two of counts, and then the head."""
-    fits = F.octet_length("chunk") <= head.longest
-    rows = table.groupBy(F.when(fits, _level()).alias("level")).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("chunk") + F.octet_length("ids")).alias("size")).collect()
-    least, n, size = None, 0, 0
-    for r in sorted((r for r in rows if r.level is not None), key=lambda r: -r.level):
-        n, size = n + r.rows, size + r.size
-        if n > head.rows or size > head.size:
-            break
-        least = r.level
-    if least is None:
-        return [], not rows
-    held = table.where(fits & (_level() >= least)).select("chunk", "ids", "said").collect()
-    return held, len(held) == sum(r.rows for r in rows)
-
-
-def put_together(text: str, ids: dict[str, bytes], said: dict[str, str], begin: bytes, end: bytes) -> tuple[bytes, str] | set[str]:
-    """The ids and the decoded text, or the chunks that are missing."""
-    out, read, missing = [begin], [], set()
-    for chunks in chunks_of(text):
-        try:
-            if not missing:
-                out.append(b"".join([ids[x] for x in chunks]))
-                read.append("".join([said.get(x, x) for x in chunks]) if said else "".join(chunks))
-        except KeyError:
-            missing |= {x for x in chunks if x not in ids}
-        else:
-            if missing:
-                missing |= {x for x in chunks if x not in ids}
-    return missing or (b"".join([*out, end]), "".join(read)[1:])
-
-
-def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", head: Head = Head()) -> DataFrame:
-    """doc_id, ids (all, as little-endian unsigned 32-bit integers, with begin and end) and decoded, the text that the library makes of them."""
-    import numpy as np
+            strings = batch.column(1)
+            for i in range(len(batch)):
+                text = strings[i].as_py() or ""
+                if texts and size + len(text) > letters:
+                    yield from block(pa.concat_arrays(ids), texts)
+                    ids, texts, size = [], [], 0
+                ids.append(batch.column(0).slice(i, 1))
+                texts.append(text)
+                size += len(text) + 64
+        if texts:
+            yield from block(pa.concat_arrays(ids), texts)
 
-    check(model)
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "pieces")
-    held = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = held.schema["doc_id"].dataType.simpleString()
-    table = scratch.table("chunks", chunk_table(held, model))
-    common, complete = head_of(table, head)
-    library = _library(model)
-    begin, end = (np.array([i], "<u4").tobytes() for i in (library.bos_id(), library.eos_id()))
-    shared = spark.sparkContext.broadcast(({r.chunk: bytes(r.ids) for r in common}, {r.chunk: r.said for r in common if r.said is not None}))
-
-    def from_head(whole: bool):
-        """Rows that the head makes whole, or else those that it doesn't, with what they miss."""
-
-        def run(batches):
-            import pyarrow as pa
-
-            ids, said = shared.value
-            for batch in batches:
-                texts = [x or "" for x in batch.column(1).to_pylist()]
-                for s in slices(texts):
-                    made = [put_together(x, ids, said, begin, end) for x in texts[s]]
-                    at = [i for i, x in enumerate(made) if isinstance(x, tuple) == whole]
-                    keys = batch.column(0).slice(s.start, len(made)).take(pa.array(at, pa.int64()))
-                    if whole:
-                        yield pa.RecordBatch.from_arrays([keys, pa.array([made[i][0] for i in at], pa.binary()), pa.array([made[i][1] for i in at], pa.string())], ["doc_id", "ids", "decoded"])
-                    elif at:
-                        yield pa.RecordBatch.from_arrays([keys, pa.array([texts[s][i] for i in at], pa.string()), pa.array([list(made[i]) for i in at], pa.list_(pa.string()))], ["doc_id", "text", "missing"])
-
-        return tidy(run)
-
-    out_kind = f"doc_id {kind}, ids binary, decoded string"
-    whole = held.mapInArrow(from_head(True), out_kind)
-    if complete:
-        return whole
-    # the number of a row is fixed by its being written
-    open_rows = held.mapInArrow(from_head(False), f"doc_id {kind}, text string, missing array<string>").withColumn("row", F.monotonically_increasing_id())
-    open_rows = scratch.table("open", open_rows)
-    missed = open_rows.select("row", F.explode("missing").alias("chunk")).join(table.select("chunk", "ids", "said"), "chunk")
-    missed = missed.groupBy("row").agg(F.collect_list(F.struct("chunk", "ids", "said")).alias("found"))
-
-    def completed(batches):
+    return docs.mapInArrow(tidy(run), f"{BLOCK_TYPE}, ids array<{kind}>")
+
+
+def answers_of(parts: DataFrame, model: str, most: int = 2_000_000) -> DataFrame:
+    """For the chunks of each block and bucket: how many ids each has, and these. Parts of a bucket come together in a task, which keeps what it has segmented, at most so many chunks."""
+
+    def run(batches):
         import pyarrow as pa
 
-        ids, said = shared.value
+        known: dict[str, bytes] = {}
         for batch in batches:
             for i in range(len(batch)):
-                found = batch.column(2)[i].as_py()
-                own = {x["chunk"]: x["ids"] for x in found}
-                made = put_together(batch.column(1)[i].as_py(), _Both(own, ids), {**said, **{x["chunk"]: x["said"] for x in found if x["said"] is not None}}, begin, end)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([made[0]], pa.binary()), pa.array([made[1]], pa.string())], ["doc_id", "ids", "decoded"])
+                block, bucket, n, size, payload = (batch.column(c)[i].as_py() for c in range(5))
+                chunks = pa.decompress(payload, size, "zstd", asbytes=True).decode().split(BREAK)
+                if len(known) > most:
+                    known.clear()
+                fresh = [x for x in chunks if x not in known]
+                known.update(zip(fresh, segment(fresh, model), strict=True))
+                held = [known[x] for x in chunks]
+                counts = np.fromiter(map(len, held), np.uint32, len(held)) // 4
+                ids = np.frombuffer(b"".join(held), "<u4")
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([bucket], pa.int32()), pa.array([n]), pa.array([_packed(counts)], pa.binary()), pa.array([len(ids)]), pa.array([_packed(ids)], pa.binary())], ["block", "bucket", "n", "counts", "n_ids", "ids"])
 
-    rest = open_rows.drop("missing").join(missed, "row").select("doc_id", "text", "found").mapInArrow(tidy(completed), out_kind)
-    return whole.unionByName(rest)
+    return parts.mapInArrow(tidy(run), "block long, bucket int, n long, counts binary, n_ids long, ids binary")
 
 
-class _Both(dict):
-    """A row's own chunks, and those of all."""
+def _assembled(model: str):
+    """Blocks with their answers to documents."""
 
-    def __init__(self, own: dict[str, bytes], common: dict[str, bytes]):
-        super().__init__(own)
-        self.common = common
-
-    def __missing__(self, chunk: str) -> bytes:
-        return self.common[chunk]
+    def run(batches):
+        import pyarrow as pa
 
-    def __contains__(self, chunk) -> bool:
-        return super().__contains__(chunk) or chunk in self.common
+        library = _library(model)
+        begin, end = (np.array([i], "<u4") for i in (library.bos_id(), library.eos_id()))
+        line = np.frombuffer(segment([BREAK], model)[0], "<u4")
+        for batch in batches:
+            for i in range(len(batch)):
+                n, size, payload, buckets, lengths = (batch.column(c)[i].as_py() for c in ("n", "size", "payload", "buckets", "lengths"))
+                found = sorted(batch.column("found")[i].as_py() or [], key=lambda x: x["bucket"])
+                # the answers by bucket, and within one by number, as a stable sort by buckets has the numbers
+                counts = np.concatenate([[len(line)], *[_unpacked(x["counts"], x["n"]) for x in found]]).astype(np.int64)
+                pieces = np.concatenate([line, *[_unpacked(x["ids"], x["n_ids"]) for x in found]])
+                order = np.concatenate([[0], np.argsort(_unpacked(buckets, size), kind="stable") + 1])
+                assert len(order) == len(counts), "a block lacks an answer"
+                begins, many = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+                begins[order], many[order] = np.cumsum(counts) - counts, counts
+                numbers = _unpacked(payload, n)
+                each = many[numbers]
+                at = np.repeat(begins[numbers] - np.cumsum(each) + each, each) + np.arange(each.sum())
+                every = pieces[at]
+                edges = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(lengths)])]
+                ids = batch.column("ids")[i].values
+                for first in range(0, len(lengths), 256):
+                    own = [np.concatenate([begin, every[a:b], end]) for a, b in zip(edges[first : first + 256], edges[first + 1 : first + 257], strict=False)]
+                    texts = [library.decode(x.tolist()) for x in own]
+                    yield pa.RecordBatch.from_arrays([ids.slice(first, len(own)), pa.array([x.astype("<u4").tobytes() for x in own], pa.binary()), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+
+    return tidy(run)
+
+
+def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", letters: int = 8_000_000, bucket_bytes: int = 64 << 20) -> DataFrame:
+    """doc_id, ids (all, as little-endian unsigned 32-bit integers, with begin and end) and decoded, the text that the library makes of them. A block has about so many letters, or one text; a bucket of hashes gets the chunks of about so many bytes of texts."""
+    check(model)
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "pieces")
+    held = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = held.schema["doc_id"].dataType.simpleString()
+    size = held.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
+    blocks = scratch.table("blocks", blocks_of(held, buckets, letters).withColumn("kind", F.when(F.col("bucket") < 0, "numbers").otherwise("chunks")), "kind")
+    parts = blocks.where("kind = 'chunks'").select("block", "bucket", "n", "size", "payload")
+    answers = scratch.table("answers", answers_of(parts.repartition(buckets, "bucket"), model))
+    scratch.drop()
+    found = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "counts", "n_ids", "ids")).alias("found"))
+    numbers = blocks.where("kind = 'numbers'").select("block", "n", "size", "payload", "buckets", "lengths", "ids")
+    # no order and no pair of blocks is needed: a block is one row on each side
+    whole = numbers.join(found, "block", "left").select("n", "size", "payload", "buckets", "lengths", "ids", "found")
+    return whole.mapInArrow(_assembled(model), f"doc_id {kind}, ids binary, decoded string")

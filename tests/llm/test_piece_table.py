@@ -5,11 +5,11 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
 from glossaflow.llm import piece_table
-from glossaflow.llm.piece_table import Head
 
 from . import edges
 
@@ -32,19 +32,16 @@ def test_chunks_of_random_strings(library):
     for _ in range(3000):
         text = "".join(rnd.choice(letters) for _ in range(rnd.randrange(60)))
         chunks = [c for part in piece_table.portions(text, rnd.choice([3, 10, 1000])) for c in piece_table._CHUNK.findall(part)]
-        ids, said = piece_table.segment(chunks, MODEL)
-        whole = library.encode(text)
-        assert b"".join(ids) == np.array(whole, "<u4").tobytes()
-        assert "".join(c if s is None else s for c, s in zip(chunks, said, strict=True))[1:] == library.decode(whole)
+        assert b"".join(piece_table.segment(chunks, MODEL)) == np.array(library.encode(text), "<u4").tobytes()
 
 
-@pytest.mark.parametrize("head", [Head(), Head(rows=200), Head(rows=0), Head(size=500), Head(longest=3)])
-def test_equals_the_library(spark, library, head):
-    """Whatever goes to all tasks, with and without a join for the rest."""
+@pytest.mark.parametrize("sizes", [{}, {"letters": 1}, {"letters": 5000, "bucket_bytes": 10_000}])
+def test_equals_the_library(spark, library, sizes):
+    """Blocks of all documents, of one, and several blocks with many buckets."""
     for _, df in edges.both(spark):
-        got = Counter((r.doc_id, bytes(r.ids), r.decoded) for r in piece_table.encoded(df, MODEL, head=head).collect())
+        got = Counter((r.doc_id, bytes(r.ids), r.decoded) for r in piece_table.encoded(df, MODEL, **sizes).collect())
         assert got == Counter((r.doc_id, *brute(library, r.text)) for r in df.select("doc_id", "text").collect())
-    assert piece_table.encoded(edges.empty(spark), MODEL, head=head).count() == 0
+    assert piece_table.encoded(edges.empty(spark), MODEL, **sizes).count() == 0
 
 
 def test_long_texts(spark, library):
@@ -53,11 +50,15 @@ def test_long_texts(spark, library):
     assert {r.doc_id: (bytes(r.ids), r.decoded) for r in got} == {i: brute(library, t) for i, t in enumerate(texts)}
 
 
-def test_the_table_holds_each_chunk_once(spark):
-    rows = piece_table.chunk_table(edges.frame(spark).repartition(5), MODEL, most=50).collect()
-    assert len({r.chunk for r in rows}) == len(rows)
-    text = "".join((" " + r.text.replace("▁", " ")) for r in edges.frame(spark).collect() if r.text)
-    assert sum(r.n * len(r.chunk) for r in rows) == len(text)
+def test_a_chunk_is_in_one_bucket(spark):
+    """So one task segments it, however many blocks hold it; a block asks for it once."""
+    docs = edges.frame(spark).repartition(5).select("doc_id", "text")
+    rows = piece_table.blocks_of(docs, 7, 3000).where("bucket >= 0").collect()
+    held = [(r.block, r.bucket, x) for r in rows for x in pa.decompress(r.payload, r.size, "zstd", asbytes=True).decode().split("\n")]
+    assert len({r.block for r in rows}) > 5 and len(held) == len({(b, x) for b, _, x in held})
+    assert len({(k, x) for _, k, x in held}) == len({x for _, _, x in held})
+    want = {c for r in docs.collect() for chunks in piece_table.chunks_of(r.text or "") for c in chunks} - {"\n"}
+    assert {x for _, _, x in held} == want
 
 
 def test_models_that_do_not_fit(tmp_path):
