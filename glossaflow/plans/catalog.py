@@ -701,6 +701,19 @@ def stream_job(spark, sf_dir):
     return out.select(F.col("doc_id").alias("event_id"), "result", F.col("lengths.translated").alias("n"))
 
 
+@query("SELECT doc_id, text AS result, 200::BIGINT AS status, count(*) OVER (PARTITION BY text)::BIGINT AS n_equal FROM (SELECT conv_id * 1000 + turn AS doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(11)) AS text FROM conversations)")
+def answers_kept(spark, sf_dir):
+    """Turns of conversations asked once each, whatever their number of copies; a later run whose service is down has all its answers from the compacted store."""
+    store = f"{scratch.temporary(spark, 'answers')}/store"
+    docs = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), tx.trimmed(F.col("text")).alias("text"))
+    job = Job("openai:gpt-4o", validate=False)
+    translate(docs, job, tp.Echo("openai"), store, in_flight=4).write.format("noop").mode("overwrite").save()
+    tp.compact(spark, store, 1)
+    out = translate(docs, job, tp.Static(tp.Response(503, "down")), store)
+    equal = docs.groupBy("text").agg(F.count(F.lit(1)).alias("n_equal"))
+    return out.join(equal, F.col("original") == F.col("text")).select("doc_id", "result", F.col("http_status").cast("bigint").alias("status"), "n_equal")
+
+
 @query("SELECT doc_id, CASE WHEN length(text) > 444464 THEN 'too_long' END AS error, length(text) <= 444464 AS is_asked FROM documents")
 def pipeline_prepared(spark, sf_dir):
     """Which documents become a request."""

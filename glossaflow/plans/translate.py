@@ -93,14 +93,14 @@ def prepare(docs: DataFrame, job: Job) -> DataFrame:
     return df.withColumn("request", F.when(F.col("error").isNull(), request))
 
 
-def translate(docs: DataFrame, job: Job, transport: tp.Transport, store: str | None = None, callers: int | None = None, carry: Sequence[str] = ()) -> DataFrame:
-    """docs (doc_id, text) to: doc_id, original, prepared, result, http_status, debug_request, debug_response, raw_response, consumed, lengths, filter_stats, error, and the columns of docs to carry. Each row is answered by itself: ids may repeat or be null."""
+def translate(docs: DataFrame, job: Job, transport: tp.Transport, store: str | None = None, callers: int | None = None, carry: Sequence[str] = (), in_flight: int = 1, work: str | None = None) -> DataFrame:
+    """docs (doc_id, text) to: doc_id, original, prepared, result, http_status, debug_request, debug_response, raw_response, consumed, lengths, filter_stats, error, and the columns of docs to carry. Each row is answered by itself: ids may repeat or be null. store, callers, in_flight and work: as in transport.call_once()."""
     settings, n = job.settings(), len(spans.resolve(job.filters))
     df = prepare(docs.select("doc_id", "text", F.struct(*[F.col(c) for c in carry], F.lit(0).alias("_")).alias("_carried")), job)
     if job.dry_run:
         df = df.withColumns({"http_status": F.lit(0), "raw_response": F.lit("[dry-run]"), "_text": F.when(F.col("error").isNull(), F.col("prepared")), "_usage": F.lit(None).cast("variant"), "response": F.lit(None).cast(tp.RESPONSE_TYPE)})
     else:
-        df = tp.call_once(df, transport, store, callers) if store else tp.call(df, transport, callers)
+        df = tp.call_once(df, transport, store, callers, in_flight=in_flight, work=work) if store else tp.call(df, transport, callers, in_flight=in_flight)
         df = df.withColumns({"http_status": F.col("response.status"), "raw_response": F.col("response.body")})
         df = df.withColumn("error", _add(F.col("error"), F.col("failure").isNotNull(), problem("call", F.lit("network"), F.col("failure"))))
         refused = responses.http_error(F.col("http_status"), F.col("raw_response"), settings)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import shutil
 import tempfile
@@ -29,6 +30,33 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_folder()
 
 
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes files or folders of any store that Spark can write to."""
+    for path in paths:
+        held = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(held, True)
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """The paths of what lies in a folder, none if there is no folder."""
+    held = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [x.getPath().toString() for x in system.listStatus(held)] if system.exists(held) else []
+
+
+def temporary(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder that is deleted when this process ends."""
+
+    def delete() -> None:
+        if spark.sparkContext._jsc is not None:
+            with contextlib.suppress(Exception):  # at the end the JVM may be gone
+                remove(spark, path)
+
+    path = folder(spark, what)
+    atexit.register(delete)
+    return path
+
+
 def folder(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"

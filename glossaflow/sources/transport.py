@@ -1,31 +1,44 @@
 """The call itself, behind an interface: in tests an echo, in production HTTP.
 
 Rows with a request go through the call whole, so an answer needs no join to
-find its row. A call costs money and Spark may run a task again, so answers can
-be kept in a table by the hash of their request: equal requests are asked once,
-in batches that are committed one by one, and what has a good answer is not
-asked again. A task that is lost asks again at most what its batch held. Keys
-never are in a column: the transport reads them where it runs and adds them to
-the request; logs show *** for them.
+find its row. A task keeps a bounded number of requests open at a time, and all
+tasks together keep to a rate, which falls where the service is too busy.
+
+A call costs money and Spark may run a task again, so answers can be kept by the
+hash of their request: equal requests are asked once, in batches that are
+committed one by one, and what has a good answer is not asked again. A task that
+is lost asks again at most what its batch held. The store is a folder for each
+of 256 prefixes of the hash, with sorted files that are never changed; a run
+lists and opens only the prefixes of its own requests, and of those only hashes
+until it needs answers. ``compact`` makes one sorted file of many.
+
+Keys never are in a column: the transport reads them where it runs and adds them
+to the request; logs show *** for them.
 """
 
 from __future__ import annotations
 
+import dataclasses
 import json
 import os
+import threading
 import time
 import urllib.error
 import urllib.parse
 import urllib.request
 import uuid
+from collections import deque
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import cache
 from typing import Protocol
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import scratch
+
 RESPONSE_TYPE = "struct<status: int, headers: map<string, array<string>>, body: string>"
 REQUEST_TYPE = "struct<url: string, headers: array<string>, body: string>"
 
@@ -46,7 +59,7 @@ class Response:
 
 
 class Transport(Protocol):
-    """Pickled to the executors; send() runs there."""
+    """Pickled to the executors; send() runs there, in several threads where several requests are open at a time."""
 
     def send(self, request: Request) -> Response: ...
 
@@ -133,19 +146,53 @@ class Auth:
         raise ValueError(f"unknown kind of authentication: {self.kind}")
 
 
+class Pace:
+    """At most so many requests a second, from all threads of a process. A busy service halves that; each good answer gives back a twentieth of what was allowed at first."""
+
+    def __init__(self, rate: float, least: float = 0.05):
+        self.full = self.rate = rate
+        self.least, self.next, self.lock = min(least, rate), 0.0, threading.Lock()
+
+    def wait(self) -> None:
+        """Until it is one's turn."""
+        with self.lock:
+            turn = max(time.monotonic(), self.next)
+            self.next = turn + 1 / self.rate
+        time.sleep(max(0.0, turn - time.monotonic()))
+
+    def busy(self, seconds: float = 0.0) -> None:
+        """The service has had too much; it may say for how long."""
+        with self.lock:
+            self.rate = max(self.least, self.rate / 2)
+            self.next = max(self.next, time.monotonic() + seconds)
+
+    def fine(self) -> None:
+        with self.lock:
+            self.rate = min(self.full, self.rate + self.full / 20)
+
+
+@cache
+def _pace(host: str, rate: float) -> Pace:
+    """One for each service in a process: the tasks that a worker runs one after another go on at the rate that was found."""
+    return Pace(rate)
+
+
 @dataclass
 class Http:
-    """HTTP with a time limit, a few retries where the service is busy, a pause between requests, and an optional proxy."""
+    """HTTP with a time limit, a few retries where the service is busy, a pause between requests, and an optional proxy. rate: requests a second of all tasks together, each of which keeps to its part and lowers it on 429."""
 
     auth: Auth | None = None
     proxy: str | None = None
     timeout: float = 120.0
     retries: int = 3
     pause: float = 0.0
+    rate: float | None = None
+    tasks: int = 1
 
     def send(self, request: Request) -> Response:
         if self.proxy and not self.proxy.lower().startswith(("http://", "https://")) and "://" in self.proxy:
             raise ValueError(f"proxies are spoken to by HTTP only, not by {self.proxy.split('://')[0]}")
+        pace = _pace(urllib.parse.urlsplit(request.url).netloc, self.rate / self.tasks) if self.rate else None
         request = self.auth.attach(request) if self.auth else request
         handlers = [urllib.request.ProxyHandler({"http": self.proxy, "https": self.proxy})] if self.proxy else []
         opener = urllib.request.build_opener(*handlers)
@@ -155,19 +202,35 @@ class Http:
             made.add_header(name.strip(), value.strip())
         for attempt in range(self.retries + 1):
             time.sleep(self.pause)
+            if pace:
+                pace.wait()
+            asked_to_wait = None
             try:
                 with opener.open(made, timeout=self.timeout) as got:
+                    if pace:
+                        pace.fine()
                     return _response(got.status, got)
             except urllib.error.HTTPError as e:
+                asked_to_wait = _seconds(e.headers.get("Retry-After"))
+                if pace and e.code == 429:
+                    pace.busy(asked_to_wait or 0.0)
                 if attempt == self.retries or e.code != 429 and e.code < 500:
                     return _response(e.code, e)
             except urllib.error.URLError as e:
                 if attempt == self.retries:
                     raise ConnectionError(f"network error: {e.reason}") from e
-            time.sleep(2**attempt)
+            time.sleep(2**attempt if asked_to_wait is None else asked_to_wait)
         raise AssertionError("unreachable")
 
 
+def _seconds(header: str | None, most: float = 300.0) -> float | None:
+    """How long a service asks to wait, where it says so in seconds."""
+    try:
+        return min(most, max(0.0, float(header))) if header else None
+    except ValueError:
+        return None
+
+
 def _response(status: int, got) -> Response:
     headers: dict[str, list[str]] = {}
     for name, value in got.headers.items():
@@ -180,17 +243,32 @@ def proxy_from(flag: str | None) -> str | None:
     return flag or os.environ.get("GLOSSAFLOW_PROXY") or None
 
 
-def call(df: DataFrame, transport: Transport, callers: int | None = None, at_once: int = 32) -> DataFrame:
-    """df with response and failure, which says why a request has no response; rows without a request have neither. callers: how many tasks ask at once; a task hands on its answers after every at_once rows."""
+def in_order(transport: Transport, requests: Iterator[dict | None], pool: ThreadPoolExecutor, ahead: int) -> Iterator[tuple[dict | None, str | None]]:
+    """The answers in order of the requests; at most ahead of them have been handed to the pool and not been taken."""
+    held: deque = deque()
+    for r in requests:
+        held.append(pool.submit(_sent, transport, r))
+        if len(held) >= ahead:
+            yield held.popleft().result()
+    while held:
+        yield held.popleft().result()
+
+
+def call(df: DataFrame, transport: Transport, callers: int | None = None, at_once: int = 32, in_flight: int = 1) -> DataFrame:
+    """df with response and failure, which says why a request has no response; rows without a request have neither. callers: how many tasks ask at once; in_flight: how many requests a task has open at a time. A task hands on its answers by at_once rows."""
+    if isinstance(transport, Http) and transport.rate:
+        transport = dataclasses.replace(transport, tasks=callers or df.sparkSession.sparkContext.defaultParallelism)
 
     def sent(batches: Iterator):
         import pyarrow as pa
 
-        for batch in batches:
-            for start in range(0, len(batch), at_once):
-                part = batch.slice(start, at_once)
-                rows = [_sent(transport, r) for r in part.column("request").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([r for r, _ in rows], _RESPONSE), pa.array([f for _, f in rows], pa.string())], [*part.schema.names, "response", "failure"])
+        with ThreadPoolExecutor(in_flight) as pool:
+            for batch in batches:
+                answers = in_order(transport, iter(batch.column("request").to_pylist()), pool, in_flight + at_once)
+                for start in range(0, len(batch), at_once):
+                    part = batch.slice(start, at_once)
+                    rows = [next(answers) for _ in range(len(part))]
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array([r for r, _ in rows], _RESPONSE), pa.array([f for _, f in rows], pa.string())], [*part.schema.names, "response", "failure"])
 
     import pyarrow as pa
 
@@ -214,53 +292,72 @@ def request_hash() -> Column:
     return F.when(F.col("request").isNotNull(), F.sha2(F.to_json("request"), 256))
 
 
-def call_once(df: DataFrame, transport: Transport, store: str, callers: int | None = None, rows_a_caller: int = 1_000) -> DataFrame:
-    """As call(), with answers kept in the Parquet table store: a request that has an answer of a status below 400 there is not sent again. All else that came back is in the store too, for this run alone. df should be a table or cheap, as it is read twice."""
-    spark, run = df.sparkSession, uuid.uuid4().hex
-    asked = df.withColumn("request_hash", request_hash())
-    known = _stored(spark, store)
-    fresh = asked.where("request is not null").groupBy("request_hash").agg(F.first("request").alias("request"))
-    if known is not None:
-        fresh = fresh.join(known.where("good").select("request_hash"), "request_hash", "left_anti")
-    # what is to be asked is written once, dealt by hash; a folder that begins with _ is no part of the table
-    pending = f"{store}/_pending-{run}"
-    fresh = fresh.withColumn("deal", F.pmod(F.xxhash64("request_hash"), F.lit(_DEALS)).cast("int"))
-    fresh.hint("rebalance", "deal").write.partitionBy("deal").parquet(pending)
-    fresh = spark.read.schema(f"request_hash string, request {REQUEST_TYPE}, deal int").parquet(pending)
-    # a batch keeps all callers busy for a while, and has whole deals
-    batch = rows_a_caller * (callers or spark.sparkContext.defaultParallelism)
-    deals = max(1, _DEALS * batch // max(fresh.count(), 1))
-    for i in range(0, _DEALS, deals):
-        part = fresh.where((F.col("deal") >= i) & (F.col("deal") < i + deals)).drop("deal")
-        got = call(part, transport, callers).drop("request")
-        good = F.col("failure").isNull() & (F.col("response.status") < 400)
-        got.select("request_hash", "response", "failure", F.coalesce(good, F.lit(False)).alias("good"), F.lit(run).alias("run")).write.mode("append").parquet(store)
-    remove(spark, pending)
-    answers = _stored(spark, store)
-    if answers is None:
-        return asked.drop("request_hash").withColumns({"response": F.lit(None).cast(RESPONSE_TYPE), "failure": F.lit(None).cast("string")})
-    mine = answers.where(F.col("good") | (F.col("run") == run)).groupBy("request_hash").agg(F.max_by(F.struct("response", "failure"), F.struct("good", "run")).alias("_answer"))
-    out = asked.join(mine, "request_hash", "left")
-    lost = F.when(F.col("request").isNotNull() & F.col("_answer").isNull(), F.lit("no answer"))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.col("_answer.response").alias("response"), F.coalesce("_answer.failure", lost).alias("failure"))
+#: The store's folders are named by so many characters of the hash.
+_PREFIX = 2
+_STORE_TYPE = f"request_hash string, response {RESPONSE_TYPE}, failure string, good boolean, run string, prefix string"
 
 
-#: At most so many batches a run.
-_DEALS = 64
-_STORE_TYPE = f"request_hash string, response {RESPONSE_TYPE}, failure string, good boolean, run string"
+def stored(spark: SparkSession, store: str, prefixes: set[str] | None = None) -> DataFrame | None:
+    """The answers under these prefixes (None: all), or None where there are none. Other folders of the store are neither listed nor opened."""
+    there = [x for x in scratch.listed(spark, store) if (name := x.rsplit("/", 1)[-1]).startswith("prefix=") and (prefixes is None or name.removeprefix("prefix=") in prefixes)]
+    return spark.read.schema(_STORE_TYPE).option("basePath", store).parquet(*sorted(there)) if there else None
 
 
-def _stored(spark: SparkSession, store: str) -> DataFrame | None:
-    """The table of answers, or None where there is none yet."""
-    try:
-        return spark.read.schema(_STORE_TYPE).parquet(store)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return None
+def _kept(answers: DataFrame, store: str) -> None:
+    """Adds answers to the store: a sorted file for each prefix and task."""
+    made = answers.select("request_hash", "response", "failure", "good", "run", "prefix").sortWithinPartitions("prefix", "request_hash")
+    made.write.mode("append").partitionBy("prefix").parquet(store)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of any store that Spark can write to."""
-    held = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(held, True)
+def call_once(df: DataFrame, transport: Transport, store: str, callers: int | None = None, rows_a_caller: int = 1_000, in_flight: int = 1, work: str | None = None) -> DataFrame:
+    """As call(), with answers kept in the folder store: a request that has an answer of a status below 400 there is not sent again. All else that came back is in the store too, for this run alone. df is computed once, into a table in work (a new folder that goes when this process ends), from which the result is read."""
+    spark, run = df.sparkSession, uuid.uuid4().hex
+    work = work or scratch.temporary(spark, "requests")
+    columns, of_hash = df.columns, df.withColumn("request_hash", request_hash())
+    of_hash = of_hash.withColumn("prefix", F.substring("request_hash", 1, _PREFIX))
+    of_hash.write.parquet(f"{work}/asked")
+    asked = spark.read.schema(of_hash.schema).parquet(f"{work}/asked")
+    wanted = {r[0] for r in asked.where("prefix is not null").select("prefix").distinct().collect()}
+    fresh = asked.where("request is not null").groupBy("prefix", "request_hash").agg(F.first("request").alias("request"))
+    known = stored(spark, store, wanted)
+    if known is not None:
+        fresh = fresh.join(known.where("good").select("request_hash"), "request_hash", "left_anti").select("prefix", "request_hash", "request")
+    # what is to be asked is written once, by prefix
+    fresh.hint("rebalance", "prefix").write.partitionBy("prefix").parquet(f"{work}/fresh")
+    fresh = spark.read.schema(f"request_hash string, request {REQUEST_TYPE}, prefix string").parquet(f"{work}/fresh")
+    # a batch keeps all callers busy for a while, and has whole prefixes
+    n, tasks = fresh.count(), callers or spark.sparkContext.defaultParallelism
+    order = sorted(wanted)
+    each = max(1, len(order) * rows_a_caller * tasks // max(n, 1))
+    for i in range(0, len(order) if n else 0, each):
+        part = fresh.where(F.col("prefix").isin(order[i : i + each]))
+        # by ranges of hashes, so that a task writes few files
+        part = part.repartitionByRange(callers, "request_hash") if callers else part.repartitionByRange("request_hash")
+        got = call(part, transport, None, in_flight=in_flight)
+        good = F.coalesce(F.col("failure").isNull() & (F.col("response.status") < 400), F.lit(False))
+        _kept(got.withColumns({"good": good, "run": F.lit(run)}), store)
+    scratch.remove(spark, f"{work}/fresh")
+    answers = stored(spark, store, wanted)
+    if answers is None:
+        return asked.select(*[F.col(f"`{c}`") for c in columns], F.lit(None).cast(RESPONSE_TYPE).alias("response"), F.lit(None).cast("string").alias("failure"))
+    mine = answers.where(F.col("good") | (F.col("run") == run)).groupBy("request_hash").agg(F.max_by(F.struct("response", "failure"), F.struct("good", "run")).alias("_answer"))
+    out = asked.join(mine, "request_hash", "left")
+    lost = F.when(F.col("request").isNotNull() & F.col("_answer").isNull(), F.lit("no answer"))
+    return out.select(*[F.col(f"`{c}`") for c in columns], F.col("_answer.response").alias("response"), F.coalesce("_answer.failure", lost).alias("failure"))
+
+
+def compact(spark: SparkSession, store: str, most_files: int = 8) -> int:
+    """Writes the good answers of each prefix that has more than so many files anew, sorted, one of each request, and then deletes the files that held them; the number of prefixes. While nothing else uses the store; when it is broken off, answers are there twice, which changes nothing."""
+    held = {}
+    for path in scratch.listed(spark, store):
+        files = [x for x in scratch.listed(spark, path) if x.rsplit("/", 1)[-1].startswith("part-")]
+        if len(files) > most_files:
+            held[path.rsplit("prefix=", 1)[-1]] = files
+    if not held:
+        return 0
+    best = F.max_by(F.struct("response", "failure", "good", "run"), F.col("run"))
+    made = stored(spark, store, set(held)).where("good").groupBy("prefix", "request_hash").agg(best.alias("best"))
+    # a file for each prefix, or more where the rows are many
+    _kept(made.select("prefix", "request_hash", "best.*").repartitionByRange("prefix", "request_hash"), store)
+    scratch.remove(spark, *[x for files in held.values() for x in files])
+    return len(held)

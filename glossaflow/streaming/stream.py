@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import spans
 from ..plans.translate import Job, translate
+from ..sources import scratch
 from ..sources.transport import Transport
 
 
@@ -15,11 +16,16 @@ def protected(stream: DataFrame, filters: list[str], text_col: str = "text") ->
     return spans.protect(stream, text_col, spans.resolve(filters))
 
 
-def start(stream: DataFrame, job: Job, transport: Transport, store: str, out: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+def start(stream: DataFrame, job: Job, transport: Transport, store: str, out: str, checkpoint: str, available_now: bool = True, in_flight: int = 1) -> StreamingQuery:
     """Translates each micro-batch. Good answers are in store by request and results by batch, so a batch that runs again asks only for what had no good answer yet, and writes over what it wrote."""
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        translate(df, job, transport, store).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        spark = df.sparkSession
+        work = scratch.folder(spark, "batch")
+        try:
+            translate(df, job, transport, store, in_flight=in_flight, work=work).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        finally:
+            scratch.remove(spark, work)
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -4,6 +4,7 @@ import http.server
 import io
 import json
 import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -312,7 +313,7 @@ def test_batches_are_committed_one_by_one(spark, tmp_path):
     out = transport.call_once(asked, Counting(tmp_path / "calls"), store, callers=2, rows_a_caller=10).collect()
     assert len(out) == 120 and all(r.response.status == 200 and r.failure is None for r in out)
     assert len(list((tmp_path / "calls").iterdir())) == 120
-    assert len({p.name.split("-")[2] for p in (tmp_path / "store").glob("part-*")}) >= 1 and spark.read.parquet(store).where("good").count() == 120
+    assert len({p.name.split("-")[2] for p in (tmp_path / "store").glob("prefix=*/part-*")}) >= 2 and spark.read.parquet(store).where("good").count() == 120
 
 
 def test_other_proxies_are_refused():
@@ -354,3 +355,118 @@ def test_models_are_listed_with_notes(capsys):
     assert cli.run(["--list-models"]) == 0
     out = capsys.readouterr().out
     assert all(registry.notes(k) in out for k in registry.keys())
+
+
+# --- the store's folders, and requests in flight -----------------------------------
+
+
+def asking(spark, texts):
+    """Rows with a request each, as the echo answers it."""
+    body = F.to_json(F.struct(F.array(F.struct(F.col("text").alias("content"))).alias("messages")))
+    return frame(spark, texts).select("doc_id", F.struct(F.lit("u").alias("url"), F.array().cast("array<string>").alias("headers"), body.alias("body")).alias("request"))
+
+
+def test_a_run_opens_its_own_prefixes_only(spark, tmp_path):
+    store = tmp_path / "store"
+    transport.call_once(asking(spark, [f"t{i}" for i in range(60)]), transport.Echo("openai"), str(store)).collect()
+    new = asking(spark, ["new"])
+    prefix = new.select(F.substring(transport.request_hash(), 1, 2)).first()[0]
+    others = [p for p in store.glob("prefix=*/part-*") if p.parent.name != f"prefix={prefix}"]
+    assert len({p.parent for p in others}) > 30
+    for p in others:
+        p.write_bytes(b"no such format")
+    for _ in range(2):
+        (row,) = transport.call_once(new, transport.Echo("openai"), str(store)).collect()
+        assert row.response.status == 200
+    # what has been asked is looked up by hash alone
+    plan = transport.stored(spark, str(store), {prefix}).where("good").select("request_hash")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<request_hash:string,good:boolean>" in plan
+
+
+def test_compaction(spark, tmp_path):
+    store = str(tmp_path / "store")
+    texts = [f"t{i}" for i in range(40)]
+    transport.call_once(asking(spark, texts), transport.Static(transport.Response(500, "busy")), store).collect()
+    for i in range(3):
+        transport.call_once(asking(spark, texts[: 20 * (i + 1)]), transport.Echo("openai"), store).collect()
+    before = {p.parent.name for p in (tmp_path / "store").glob("prefix=*/part-*")}
+    assert transport.compact(spark, store, 1) > 5 and transport.compact(spark, store, 1) == 0
+    files = list((tmp_path / "store").glob("prefix=*/part-*"))
+    assert len(files) == len(before) == len({p.parent for p in files})
+    held = spark.read.parquet(store)
+    assert held.where("good").count() == held.select("request_hash").distinct().count() == 40
+    got = transport.call_once(asking(spark, [*texts, "new"]), transport.Static(transport.Response(500, "asked")), store).collect()
+    assert sorted((r.response.status, r.response.body == "asked") for r in got) == [(200, False)] * 40 + [(500, True)]
+    for p in files:
+        hashes = [r.request_hash for r in spark.read.parquet(str(p)).collect()]
+        assert hashes == sorted(hashes)
+
+
+class Slow(http.server.BaseHTTPRequestHandler):
+    """Answers after a fifth of a second, and notes how many it has open."""
+
+    lock, open, most, refuse = threading.Lock(), 0, 0, 0
+
+    def do_POST(self):
+        body = self.rfile.read(int(self.headers.get("Content-Length") or 0))
+        with Slow.lock:
+            Slow.open += 1
+            Slow.most = max(Slow.most, Slow.open)
+            Slow.refuse -= 1
+            refused = Slow.refuse >= 0
+        time.sleep(0.2)
+        with Slow.lock:
+            Slow.open -= 1
+        self.send_response(429 if refused else 200)
+        if refused:
+            self.send_header("Retry-After", "0.1")
+        self.end_headers()
+        self.wfile.write(body)
+
+    def log_message(self, *_):
+        pass
+
+
+@pytest.fixture
+def slow():
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Slow)
+    Slow.open = Slow.most = Slow.refuse = 0
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/"
+    server.shutdown()
+
+
+def test_so_many_requests_are_open_and_never_more(spark, slow):
+    request = F.struct(F.lit(slow).alias("url"), F.array().cast("array<string>").alias("headers"), F.col("text").alias("body")).alias("request")
+    asked = frame(spark, [f"t{i}" for i in range(60)]).select("doc_id", F.when(F.col("doc_id") % 6 > 0, request).alias("request"))
+    for n in (1, 7):
+        Slow.most, began = 0, time.monotonic()
+        got = transport.call(asked.where(F.col("doc_id") < 12 * n).coalesce(1), transport.Http(), in_flight=n, at_once=4).collect()
+        assert Slow.most == n and time.monotonic() - began < 0.2 * 10 * 3 + 5
+        assert all(r.failure is None and (r.response.body == f"t{r.doc_id}" if r.doc_id % 6 else r.response is None) for r in got)
+
+
+def test_tasks_share_a_rate_that_falls(slow, monkeypatch):
+    now = [100.0]
+    monkeypatch.setattr(transport.time, "monotonic", lambda: now[0])
+    monkeypatch.setattr(transport.time, "sleep", lambda s: now.__setitem__(0, now[0] + s))
+    pace = transport.Pace(10.0)
+    for _ in range(11):
+        pace.wait()
+    assert abs(now[0] - 101.0) < 1e-6
+    pace.busy(5.0)
+    pace.wait()
+    pace.wait()
+    assert pace.rate == 5.0 and now[0] >= 106.2 - 1e-6
+    for _ in range(50):
+        pace.fine()
+    assert pace.rate == 10.0
+    for _ in range(30):
+        pace.busy()
+    assert pace.rate == pace.least
+    Slow.refuse = 2
+    sender = transport.Http(rate=40.0, tasks=4)
+    assert sender.send(transport.Request(slow, [], "x")).status == 200
+    host = slow.split("/")[2]
+    assert transport._pace(host, 10.0).full == 10.0 and transport._pace(host, 10.0).rate == 3.0
+    assert [transport._seconds(x) for x in (None, "2", "-1", "Wed, 21 Oct", "9999")] == [None, 2.0, 0.0, None, 300.0]
