@@ -7,16 +7,18 @@ segmented each by itself. So every distinct chunk
 of the corpus is segmented once, by the library, and ids are joined back by
 position:
 
-* texts are read in blocks of some megabytes. A block numbers its distinct
-  chunks, and is written as its documents' sequences of numbers, and its chunks
+* the commonest chunks of a bounded sample of texts, at most so many, are
+  segmented first and go to all tasks. Which they are changes no result;
+* texts are read in blocks of some megabytes. A block numbers its other chunks
+  too, and is written as its documents' sequences of numbers, and its own chunks
   by ranges of their hash;
 * the chunks of a range of hashes meet in one task, from all blocks. The task
   segments each once, and answers every block with the ids of its chunks;
 * a block's sequences meet its answers in a join, each number becomes its
   chunk's ids, and the library decodes them.
 
-What is written and shuffled is a block's distinct chunks and their ids, and two
-bytes or so for each further chunk of a text; texts are not shuffled.
+What is written and shuffled is a block's own chunks and their ids, and two bytes
+or so for each chunk of a text; texts are not shuffled.
 
 ``check`` refuses models to which this doesn't apply: pieces that cross marks or
 hold line feeds, a normaliser that changes texts, no byte fallback, user-defined
@@ -121,10 +123,7 @@ def _unpacked(held: bytes, n: int) -> np.ndarray:
 
 
 class _Numbers(dict):
-    """Numbers by first sight; the line feed is 0."""
-
-    def __init__(self):
-        super().__init__({BREAK: 0})
+    """Numbers: those of the common chunks, then by first sight."""
 
     def __missing__(self, chunk: str) -> int:
         out = self[chunk] = len(self)
@@ -140,8 +139,34 @@ def _bucket_of(chunk: str, buckets: int) -> int:
 BLOCK_TYPE = "block long, bucket int, n long, size long, payload binary, buckets binary, lengths array<int>"
 
 
-def blocks_of(docs: DataFrame, buckets: int, letters: int) -> DataFrame:
-    """The blocks of docs (doc_id, text). Rows with bucket -1 hold a block's ids of documents, how many chunks each has, their numbers, and the bucket of each number from 1 on; others hold the chunks of one bucket, in order of their numbers."""
+def common_chunks(docs: DataFrame, size: int, model: str, most: int, sample_bytes: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """At most so many of the commonest short chunks in a sample of so many bytes by hash of the text, the line feed first; how many ids each has, and these."""
+
+    def counted(batches):
+        from collections import Counter
+
+        import pyarrow as pa
+
+        seen: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                for chunks in chunks_of(text.as_py()):
+                    seen.update(x for x in chunks if len(x) <= 64)
+            if len(seen) > 500_000:
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["chunk", "n"])
+                seen = Counter()
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["chunk", "n"])
+
+    share = int(1_000_000 * min(1.0, sample_bytes / max(size, 1)))
+    held = docs.where((F.col("text") != "") & (F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share)).select("text")
+    every = held.mapInArrow(tidy(counted), "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n")).where("n > 1")
+    best = [r.chunk for r in every.where(F.col("chunk") != BREAK).orderBy(F.desc("n"), "chunk").limit(most).collect()]
+    ids = segment([BREAK, *best], model)
+    return [BREAK, *best], np.array([len(x) // 4 for x in ids], np.int64), np.frombuffer(b"".join(ids), "<u4")
+
+
+def blocks_of(docs: DataFrame, buckets: int, letters: int, common) -> DataFrame:
+    """The blocks of docs (doc_id, text). Rows with bucket -1 hold a block's ids of documents, how many chunks each has, their numbers, and the bucket of each number beyond those of the common chunks; others hold the chunks of one bucket, in order of their numbers. common: the broadcast common chunks."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -149,11 +174,12 @@ def blocks_of(docs: DataFrame, buckets: int, letters: int) -> DataFrame:
         from pyspark import TaskContext
 
         task, made = TaskContext.get().partitionId(), 0
+        first = {x: i for i, x in enumerate(common.value[0])}
         names = ["block", "bucket", "n", "size", "payload", "buckets", "lengths", "ids"]
 
         def block(ids, texts):
             nonlocal made
-            number, (seen, lengths, parts) = (task << 32) + made, (_Numbers(), [], [])
+            number, (seen, lengths, parts) = (task << 32) + made, (_Numbers(first), [], [])
             made += 1
             for text in texts:
                 held = [np.array([seen[x] for x in chunks], np.uint32) for chunks in chunks_of(text)]
@@ -161,7 +187,7 @@ def blocks_of(docs: DataFrame, buckets: int, letters: int) -> DataFrame:
                 parts += held
             every = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
             one = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-            chunks = list(seen)[1:]
+            chunks = list(seen)[len(first) :]
             places = np.array([_bucket_of(x, buckets) for x in chunks], np.int64)
             head = [pa.array([number]), pa.array([-1], pa.int32()), pa.array([len(every)]), pa.array([len(chunks)])]
             packed = [pa.array([_packed(x)], pa.binary()) for x in (every, places)]
@@ -215,7 +241,7 @@ def answers_of(parts: DataFrame, model: str, most: int = 2_000_000) -> DataFrame
     return parts.mapInArrow(tidy(run), "block long, bucket int, n long, counts binary, n_ids long, ids binary")
 
 
-def _assembled(model: str):
+def _assembled(model: str, common):
     """Blocks with their answers to documents."""
 
     def run(batches):
@@ -223,15 +249,16 @@ def _assembled(model: str):
 
         library = _library(model)
         begin, end = (np.array([i], "<u4") for i in (library.bos_id(), library.eos_id()))
-        line = np.frombuffer(segment([BREAK], model)[0], "<u4")
+        _, first_counts, first_ids = common.value
         for batch in batches:
             for i in range(len(batch)):
                 n, size, payload, buckets, lengths = (batch.column(c)[i].as_py() for c in ("n", "size", "payload", "buckets", "lengths"))
                 found = sorted(batch.column("found")[i].as_py() or [], key=lambda x: x["bucket"])
                 # the answers by bucket, and within one by number, as a stable sort by buckets has the numbers
-                counts = np.concatenate([[len(line)], *[_unpacked(x["counts"], x["n"]) for x in found]]).astype(np.int64)
-                pieces = np.concatenate([line, *[_unpacked(x["ids"], x["n_ids"]) for x in found]])
-                order = np.concatenate([[0], np.argsort(_unpacked(buckets, size), kind="stable") + 1])
+                counts = np.concatenate([first_counts, *[_unpacked(x["counts"], x["n"]) for x in found]]).astype(np.int64)
+                pieces = np.concatenate([first_ids, *[_unpacked(x["ids"], x["n_ids"]) for x in found]])
+                shared = len(first_counts)
+                order = np.concatenate([np.arange(shared), np.argsort(_unpacked(buckets, size), kind="stable") + shared])
                 assert len(order) == len(counts), "a block lacks an answer"
                 begins, many = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
                 begins[order], many[order] = np.cumsum(counts) - counts, counts
@@ -249,20 +276,21 @@ def _assembled(model: str):
     return tidy(run)
 
 
-def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", letters: int = 8_000_000, bucket_bytes: int = 64 << 20) -> DataFrame:
-    """doc_id, ids (all, as little-endian unsigned 32-bit integers, with begin and end) and decoded, the text that the library makes of them. A block has about so many letters, or one text; a bucket of hashes gets the chunks of about so many bytes of texts."""
+def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", letters: int = 8_000_000, bucket_bytes: int = 64 << 20, most_common: int = 1 << 17, sample_bytes: int = 64 << 20) -> DataFrame:
+    """doc_id, ids (all, as little-endian unsigned 32-bit integers, with begin and end) and decoded, the text that the library makes of them. A block has about so many letters, or one text; a bucket of hashes gets the chunks of about so many bytes of texts; most_common and sample_bytes bound the chunks that go to all tasks, and the texts from which they are chosen."""
     check(model)
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "pieces")
     held = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = held.schema["doc_id"].dataType.simpleString()
     size = held.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
-    blocks = scratch.table("blocks", blocks_of(held, buckets, letters).withColumn("kind", F.when(F.col("bucket") < 0, "numbers").otherwise("chunks")), "kind")
+    common = spark.sparkContext.broadcast(common_chunks(held, size, model, most_common, sample_bytes))
+    blocks = scratch.table("blocks", blocks_of(held, buckets, letters, common).withColumn("kind", F.when(F.col("bucket") < 0, "numbers").otherwise("chunks")), "kind")
     parts = blocks.where("kind = 'chunks'").select("block", "bucket", "n", "size", "payload")
     answers = scratch.table("answers", answers_of(parts.repartition(buckets, "bucket"), model))
-    scratch.drop()
+    scratch.drop("blocks/kind=chunks")
     found = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "counts", "n_ids", "ids")).alias("found"))
     numbers = blocks.where("kind = 'numbers'").select("block", "n", "size", "payload", "buckets", "lengths", "ids")
     # no order and no pair of blocks is needed: a block is one row on each side
     whole = numbers.join(found, "block", "left").select("n", "size", "payload", "buckets", "lengths", "ids", "found")
-    return whole.mapInArrow(_assembled(model), f"doc_id {kind}, ids binary, decoded string")
+    return whole.mapInArrow(_assembled(model, common), f"doc_id {kind}, ids binary, decoded string")

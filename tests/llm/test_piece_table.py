@@ -35,9 +35,9 @@ def test_chunks_of_random_strings(library):
         assert b"".join(piece_table.segment(chunks, MODEL)) == np.array(library.encode(text), "<u4").tobytes()
 
 
-@pytest.mark.parametrize("sizes", [{}, {"letters": 1}, {"letters": 5000, "bucket_bytes": 10_000}])
+@pytest.mark.parametrize("sizes", [{}, {"letters": 1}, {"letters": 5000, "bucket_bytes": 10_000, "most_common": 50}, {"most_common": 0, "letters": 20_000}])
 def test_equals_the_library(spark, library, sizes):
-    """Blocks of all documents, of one, and several blocks with many buckets."""
+    """Blocks of all documents, of one, several blocks with many buckets, and no common chunks."""
     for _, df in edges.both(spark):
         got = Counter((r.doc_id, bytes(r.ids), r.decoded) for r in piece_table.encoded(df, MODEL, **sizes).collect())
         assert got == Counter((r.doc_id, *brute(library, r.text)) for r in df.select("doc_id", "text").collect())
@@ -53,11 +53,13 @@ def test_long_texts(spark, library):
 def test_a_chunk_is_in_one_bucket(spark):
     """So one task segments it, however many blocks hold it; a block asks for it once."""
     docs = edges.frame(spark).repartition(5).select("doc_id", "text")
-    rows = piece_table.blocks_of(docs, 7, 3000).where("bucket >= 0").collect()
+    common = piece_table.common_chunks(docs, 10**6, MODEL, 9, 10**6)
+    assert len(common[0]) == len(set(common[0])) == 10 and common[1].sum() == len(common[2])
+    rows = piece_table.blocks_of(docs, 7, 3000, spark.sparkContext.broadcast(common)).where("bucket >= 0").collect()
     held = [(r.block, r.bucket, x) for r in rows for x in pa.decompress(r.payload, r.size, "zstd", asbytes=True).decode().split("\n")]
     assert len({r.block for r in rows}) > 5 and len(held) == len({(b, x) for b, _, x in held})
     assert len({(k, x) for _, k, x in held}) == len({x for _, _, x in held})
-    want = {c for r in docs.collect() for chunks in piece_table.chunks_of(r.text or "") for c in chunks} - {"\n"}
+    want = {c for r in docs.collect() for chunks in piece_table.chunks_of(r.text or "") for c in chunks} - set(common[0])
     assert {x for _, _, x in held} == want
 
 
