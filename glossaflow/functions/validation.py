@@ -9,9 +9,11 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
+from functools import cache
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,66 +22,86 @@ MOST_DEPTH = 512
 RESULT = "struct<valid: boolean, errors: array<string>>"
 
 
-class _Object(list):
-    """The members of an object in order, the last value of a name at the place of its first."""
+#: What a value comes to: the signature of its structure, and how deep it is nested.
+_NULL, _BOOLEAN, _INTEGER, _DOUBLE, _STRING = (("NULL", 0), ("boolean", 0), ("integer", 0), ("double", 0), ("string", 0))
 
 
-def _parse(text: str):
-    """The decoded text; ValueError if it is no JSON."""
+def _integer(digits: str) -> tuple[str, int]:
+    """By its digits; numbers of any length are never made. A negative zero has no integer."""
+    if len(digits) < 19 and digits != "-0":
+        return _INTEGER
+    size, last = len(digits.lstrip("-")), str(2**63 if digits[0] == "-" else 2**63 - 1)
+    return _INTEGER if digits != "-0" and (size < len(last) or size == len(last) and digits.lstrip("-") <= last) else _DOUBLE
 
-    def refuse(name):
-        raise ValueError(f"{name} is no JSON value")
 
-    def members(held):
-        out: dict = {}
-        for k, v in held:
-            out[k] = v
-        return _Object(out.items())
+def _refused(name: str):
+    raise ValueError(f"{name} is no JSON value")
 
-    data = json.loads(text, object_pairs_hook=members, parse_constant=refuse)
-    if isinstance(text, str) and "\\u" in text and any(0xD800 <= ord(c) < 0xE000 for c in json.dumps(data, ensure_ascii=False)):
-        raise ValueError("lone surrogate")
-    stack, depth = [data], 0
-    while stack:
-        depth += 1
-        if depth > MOST_DEPTH + 1:
+
+def _of(value, look: bool) -> tuple[str, int]:
+    """What a value comes to that the decoder has just made: objects have come to it already, lists hold what they do. look: whether strings may have half a surrogate pair."""
+    kind = type(value)
+    if kind is tuple:
+        return value
+    if kind is str:
+        if look:
+            value.encode()
+        return _STRING
+    if kind is list:
+        held = [_of(x, look) for x in value]
+        return "[" + ",".join([x for x, _ in held]) + "]", 1 + max([d for _, d in held], default=0)
+    return _NULL if value is None else _BOOLEAN
+
+
+def _object(members: list, look: bool) -> tuple[str, int]:
+    held: dict = {}
+    for name, value in members:
+        if look:
+            name.encode()
+        held[name] = _of(value, look)
+    depth = 1 + max([d for _, d in held.values()], default=0)
+    if list(held) == [str(i) for i in range(len(held))]:
+        return "[" + ",".join([x for x, _ in held.values()]) + "]", depth
+    return "{" + ",".join([json.dumps(k) + ":" + x for k, (x, _) in held.items()]) + "}", depth
+
+
+def _decoder(look: bool) -> json.JSONDecoder:
+    return json.JSONDecoder(object_pairs_hook=lambda x: _object(x, look), parse_int=_integer, parse_float=lambda _: _DOUBLE, parse_constant=_refused)
+
+
+_DECODERS = _decoder(False), _decoder(True)
+
+
+def json_checked_text(text: str) -> tuple[str | None, str | None]:
+    """(why a text is no JSON, None) or (None, the signature of its structure), by one scan that keeps no tree.
+
+    The signature has objects with their names in order, the last value of a name
+    at the place of its first, lists element by element, and kinds of values. An
+    empty object is an empty list, and so is an object with the names 0, 1, 2, … a
+    list.
+    """
+    look = "\\u" in text
+    try:
+        made, depth = _of(_DECODERS[look].decode(text), look)
+        if depth > MOST_DEPTH:
             raise ValueError("nested too deep")
-        stack = [y for x in stack if isinstance(x, list) for y in ([v for _, v in x] if isinstance(x, _Object) else x)]
-    return data
+    except UnicodeEncodeError:
+        return "not well-formed JSON: lone surrogate", None
+    except RecursionError:
+        return "not well-formed JSON: nested too deep", None
+    except ValueError as e:
+        return f"not well-formed JSON: {e}", None
+    return None, made
 
 
 def json_error(text: str) -> str | None:
     """Why a text is no JSON, or None."""
-    try:
-        _parse(text)
-    except (ValueError, RecursionError) as e:
-        return f"not well-formed JSON: {e}" if str(e) else "not well-formed JSON"
-    return None
+    return json_checked_text(text)[0]
 
 
 def signature(text: str) -> str | None:
-    """The structure of a JSON text: objects with their names in order, lists element by element, and kinds of values. An empty object is an empty list, and so is an object with the names 0, 1, 2, … a list. None if it is no JSON."""
-    try:
-        data = _parse(text)
-    except (ValueError, RecursionError):
-        return None
-
-    def of(x) -> str:
-        if isinstance(x, _Object):
-            if [k for k, _ in x] == [str(i) for i in range(len(x))]:
-                return "[" + ",".join(of(v) for _, v in x) + "]"
-            return "{" + ",".join(json.dumps(k) + ":" + of(v) for k, v in x) + "}"
-        if isinstance(x, list):
-            return "[" + ",".join(map(of, x)) + "]"
-        if x is None:
-            return "NULL"
-        if isinstance(x, bool):
-            return "boolean"
-        if isinstance(x, int):
-            return "integer" if -(2**63) <= x < 2**63 else "double"
-        return "double" if isinstance(x, float) else "string"
-
-    return of(data)
+    """The structure of a JSON text, or None if it is no JSON."""
+    return json_checked_text(text)[1]
 
 
 #: Fixed values of HTML: elements without an end tag, and those whose end tag may be left out.
@@ -159,10 +181,32 @@ def _batched(function, kind: str):
     return made
 
 
+@cache
+def _json_scan():
+    """One function object, so that Spark sees equal calls as one."""
+
+    @F.arrow_udf("struct<error: string, signature: string>")
+    def scanned(texts: pa.Array) -> pa.Array:
+        held = [(None, None) if x is None else json_checked_text(x) for x in texts.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([e for e, _ in held], pa.string()), pa.array([s for _, s in held], pa.string())], ["error", "signature"])
+
+    return scanned
+
+
+def json_scan(text: Column) -> Column:
+    """struct(error, signature) by one scan of each text; both null for a null text."""
+    return _json_scan()(text)
+
+
+def scan_result(text: Column, scan: Column) -> Column:
+    """struct(valid, errors) from a scan."""
+    error = scan["error"]
+    return F.when(text.isNotNull(), F.struct(error.isNull().alias("valid"), F.when(error.isNull(), F.array().cast("array<string>")).otherwise(F.array(error)).alias("errors")))
+
+
 def json_result(text: Column) -> Column:
     """struct(valid, errors)."""
-    error = _batched(json_error, "string")(text)
-    return F.when(text.isNotNull(), F.struct(error.isNull().alias("valid"), F.when(error.isNull(), F.array().cast("array<string>")).otherwise(F.array(error)).alias("errors")))
+    return scan_result(text, json_scan(text))
 
 
 def html_result(text: Column) -> Column:
@@ -171,7 +215,7 @@ def html_result(text: Column) -> Column:
 
 
 def json_signature(text: Column) -> Column:
-    return _batched(signature, "string")(text)
+    return json_scan(text)["signature"]
 
 
 def same_structure(before: Column, after: Column) -> Column:

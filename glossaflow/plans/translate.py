@@ -76,14 +76,27 @@ def limit_of(settings: dict) -> int:
     return SparkSession.builder.getOrCreate().range(1).select(limits.of_settings(settings)).first()[0]
 
 
+def _checked(df: DataFrame, job: Job, column: str) -> DataFrame:
+    """df with _checked, the container's result, and _signature. JSON is scanned once for both, unless an own validator is set."""
+    if not job.validate or job.format not in ("json", "html"):
+        return df.withColumn("_signature", F.lit(None).cast("string"))
+    text = F.col(column)
+    if job.format == "json":
+        df = df.withColumn("_scan", validation.json_scan(text))
+        own = validation.VALIDATORS.get("json") is not validation.json_result
+        result = validation.container_result(text, "json") if own else validation.scan_result(text, F.col("_scan"))
+        return df.withColumns({"_checked": result, "_signature": F.col("_scan.signature")}).drop("_scan")
+    return df.withColumns({"_checked": validation.container_result(text, job.format), "_signature": F.lit(None).cast("string")})
+
+
 def prepare(docs: DataFrame, job: Job) -> DataFrame:
     """docs (doc_id, text, …) with prepared, spans, signature, error and request (null where there is an error)."""
     settings, filters = job.settings(), spans.resolve(job.filters)
     df = docs.withColumn("error", F.lit(None).cast(ERROR_TYPE))
+    df = _checked(df, job, "text")
     if job.validate and job.format in ("json", "html"):
-        df = df.withColumn("_checked", validation.container_result(F.col("text"), job.format))
-        df = df.withColumn("error", _add(F.col("error"), ~F.col("_checked.valid"), problem("validate", F.lit(f"invalid_{job.format}"), F.array_join("_checked.errors", "; ")))).drop("_checked")
-    df = df.withColumn("signature", validation.json_signature(F.col("text")) if job.validate and job.format == "json" else F.lit(None).cast("string"))
+        df = df.withColumn("error", _add(F.col("error"), ~F.col("_checked.valid"), problem("validate", F.lit(f"invalid_{job.format}"), F.array_join("_checked.errors", "; "))))
+    df = df.withColumn("signature", F.col("_signature")).drop("_checked", "_signature")
     df = spans.protect(df, "text", filters)
     limit = limits.of_settings(settings)
     too_long = F.concat(F.lit("the text is too long by "), limits.excess(F.col("prepared"), limit).cast("string"), F.lit(" characters"))
@@ -109,11 +122,11 @@ def translate(docs: DataFrame, job: Job, transport: tp.Transport, store: str | N
         df = df.withColumn("error", _add(F.col("error"), F.col("_parsed.error").isNotNull(), problem("parse", F.col("_parsed.error.code"), F.col("_parsed.error.message"))))
         df = df.withColumns({"_text": F.col("_parsed.text"), "_usage": F.col("_parsed.usage")})
     df = df.withColumns({"consumed": usage.consumed(F.col("_usage"), settings.get("usage") or {}), "result": spans.restore(F.col("_text"), F.col("spans"), n)})
+    df = _checked(df, job, "result")
     if job.validate and job.format in ("json", "html"):
-        df = df.withColumn("_checked", validation.container_result(F.col("result"), job.format))
         df = df.withColumn("error", _add(F.col("error"), F.coalesce(~F.col("_checked.valid"), F.lit(False)), problem("revalidate", F.lit(f"invalid_{job.format}"), F.array_join("_checked.errors", "; "))))
     if job.validate and job.format == "json":
-        same = validation.same_structure(F.col("signature"), validation.json_signature(F.col("result")))
+        same = validation.same_structure(F.col("signature"), F.col("_signature"))
         df = df.withColumn("_same", same).withColumn("error", _add(F.col("error"), F.col("result").isNotNull() & ~F.col("_same.valid"), problem("revalidate", F.lit("structure"), F.array_join("_same.errors", "; "))))
     debug = requests.preview(F.col("request"), [], sent=not job.dry_run) if job.verbose or job.dry_run else F.lit("")
     answer = F.coalesce(responses.preview(F.col("response"), []), F.lit("")) if job.verbose else F.lit("")

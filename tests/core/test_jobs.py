@@ -7,6 +7,8 @@ import threading
 import time
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from glossaflow import cli
@@ -30,12 +32,12 @@ def rows(df):
 # --- validation ---------------------------------------------------------------
 
 
-@pytest.mark.parametrize("text", ["1", '"a"', "null", "[]", "{}", " [1.5, true] ", '{"a":1,"a":2}', "[" * 512 + "]" * 512, '"\\ud83d\\ude00"'])
+@pytest.mark.parametrize("text", ["1", '"a"', "null", "[]", "{}", " [1.5, true] ", '{"a":1,"a":2}', "[" * 512 + "]" * 512, '"\\ud83d\\ude00"', '"\\\\ud83d"', "1" * 6000, "-0"])
 def test_json(text):
     assert validation.json_error(text) is None
 
 
-@pytest.mark.parametrize("text", ["", "{", "[1,]", "NaN", "[Infinity]", "{'a':1}", '{"a":1} x', "[" * 600 + "]" * 600, "[" * 100_000, '"\\ud83d"', '"\n"'])
+@pytest.mark.parametrize("text", ["", "{", "[1,]", "NaN", "[Infinity]", "{'a':1}", '{"a":1} x', "[" * 600 + "]" * 600, "[" * 513 + "]" * 513, '{"a":' * 513 + "1" + "}" * 513, "[" * 100_000, '{"\\udc00": 1}', '[["\\ud83dx"]]', '"\\ud83d"', '"\n"'])
 def test_no_json(text):
     assert validation.json_error(text)
 
@@ -47,6 +49,46 @@ def test_signatures():
     assert s("[1]") != s("[1,2]") and s("9223372036854775807") == "integer" and s("9223372036854775808") == "double" and s('{"a":1,"b":2,"a":"x"}') == '{"a":string,"b":integer}' and s("x") is None
 
 
+def test_integers_by_their_digits():
+    for text in ("0", "-1", "9223372036854775807", "-9223372036854775808", "922337203685477580", "1000000000000000000"):
+        assert validation.signature(text) == "integer", text
+    for text in ("-0", "9223372036854775808", "-9223372036854775809", "1" * 5000, "1e3", "1.0", "-9" + "0" * 19):
+        assert validation.signature(text) == "double", text
+
+
+def by_a_tree(text):
+    """Structure by decoding the whole text and walking the tree."""
+
+    def of(x):
+        if isinstance(x, dict):
+            if list(x) == [str(i) for i in range(len(x))]:
+                return of(list(x.values()))
+            return "{" + ",".join(json.dumps(k) + ":" + of(v) for k, v in x.items()) + "}"
+        if isinstance(x, list):
+            return "[" + ",".join(map(of, x)) + "]"
+        return {bool: "boolean", int: "integer", float: "double", str: "string", type(None): "NULL"}[type(x)]
+
+    return of(json.loads(text))
+
+
+@given(st.recursive(st.none() | st.booleans() | st.integers(-(10**9), 10**9) | st.floats(allow_nan=False, allow_infinity=False) | st.text(max_size=4), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text(max_size=3) | st.sampled_from(["0", "1", "2"]), x, max_size=4), max_leaves=20), st.booleans())
+def test_signature_of_any_tree(value, ascii_only):
+    text = json.dumps(value, ensure_ascii=ascii_only)
+    try:
+        text.encode()
+    except UnicodeEncodeError:
+        return
+    if "\\ud" not in text and "\\uD" not in text:
+        assert validation.json_checked_text(text) == (None, by_a_tree(text))
+
+
+def test_json_is_scanned_once_before_and_once_after(spark):
+    df = translate(frame(spark, ['{"a": 1}', None, "{"]), Job("deepl:free", "json"), transport.Echo("deepl"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2 and plan.count("MapInArrow") == 1
+    assert [(r.result, r.error and r.error.code) for r in rows(df)] == [('{"a": 1}', None), (None, "no_text"), (None, "invalid_json")]
+
+
 def test_html():
     good = ["<p>a<p>b", "<!DOCTYPE html><html><body><section>x</section></body></html>", "a<br>b<img src=x>", "<script>if (a < b) {}</script>", "", "<ul><li>a<li>b</ul>", "&amp; &copy;"]
     bad = ['<p class="x"\n<b>y</b></p>', "<b>x", "<b><i>x</b></i>", "</i>x", "a < b", '<a x="1" x="2">y</a>', "<p"]
