@@ -16,9 +16,12 @@ sizes. Candidates of a list are not all pairs: first each set is compared with
 one of its lists' hubs, links join components, and only lists with members of
 different components go on. Of those the short ones are compared in full and
 are done; in long ones each member meets the nearest of some hubs, round by
-round, while that joins many. What is left then is compared in full, so no link
-between components is lost. Pairs are first held against parity bits of both
-sets, which bound from below by how much the sets differ.
+round, while that joins many. What is left then is joined by cells of size, so
+that no link between components is lost: two sets of a long list that share a
+token of a short one have met there, and else all that a set has of short lists
+or alone is missing from the other, which leaves a narrow interval of sizes, in
+most sets none. Pairs are first held against parity bits of both sets, which
+bound from below by how much the sets differ.
 
 Defined results: a text without words (null, empty) has no n-grams and is
 linked with nothing; a text of fewer words than n is one n-gram; repeated rows
@@ -113,10 +116,11 @@ def batch_sets(column, how: Join):
 def ordered_sets(column, how: Join, counts: np.ndarray):
     """(row, sorted distinct n-gram hashes, their places in the common order) of every row with words. The order is that of the product of their words' frequencies, which is how often chance would repeat an n-gram."""
     for a, _, words, firsts in _spelled(column, how):
-        rarity = np.log2(1.0 + counts[(words >> np.uint64(64 - SKETCH_BITS)).astype(np.intp)])
-        sums = np.concatenate([[0.0], np.cumsum(rarity)])
+        # in whole numbers, so that an n-gram has the same place in every text
+        rarity = np.rint(32 * np.log2(1.0 + counts[(words >> np.uint64(64 - SKETCH_BITS)).astype(np.intp)])).astype(np.int64)
+        sums = np.concatenate([[0], np.cumsum(rarity)])
         last = max(len(words) - how.n + 1, 0)
-        chance = np.clip((sums[how.n : how.n + last] - sums[:last]) * 32, 0, (1 << 20) - 1).astype(np.uint64)
+        chance = np.clip(sums[how.n : how.n + last] - sums[:last], 0, (1 << 20) - 1).astype(np.uint64)
         for i, first, stop, grams in _grams(words, firsts, how.n):
             if stop == first:
                 continue
@@ -303,12 +307,18 @@ def _least_shared(size: Column) -> Column:
 
 
 def pruned(heavy: DataFrame, how: Join) -> DataFrame:
-    """Postings (a written table) without those that link nothing: tokens of one set, sets that share fewer tokens with all others than any link has, and of each set its most common tokens, as many as that minimum less one: a linked pair still has a token left. shared: how many of a set's tokens others have."""
+    """Postings (a written table) without those that link nothing: tokens of one set, sets that share fewer tokens with all others than any link has, and of each set its most common tokens, as many as that minimum less one: a linked pair still has a token left. shared: how many of a set's tokens others have. common: how many n-grams the set has but for those of its prefix that stand in no list or in one of at most HUBS sets.
+
+    Of two sets one has the prefix that ends earlier in the common order, and what of it the other has is in both prefixes. So two sets
+    without a common short list share at most the greater of their two numbers common."""
     in_lists = heavy.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     of_set = Window.partitionBy("sid")  # at most a set's prefix
-    ranked = heavy.join(in_lists, "token").select("*", F.row_number().over(of_set.orderBy("m", "token")).alias("rank"), F.count(F.lit(1)).over(of_set).cast("int").alias("shared"))
+    ranked = heavy.join(in_lists, "token").select("*", F.row_number().over(of_set.orderBy("m", "token")).alias("rank"), F.count(F.lit(1)).over(of_set).cast("int").alias("shared"), F.sum(F.when(F.col("m") > HUBS, 1).otherwise(0)).over(of_set).cast("int").alias("long"))
+    n = F.col("n")
+    prefix = F.least(n, n - F.ceil(n * how.num / how.den) + _least_shared(n))
+    ranked = ranked.withColumn("common", (n - prefix + F.col("long")).cast("int"))
     least = _least_shared(F.ceil(F.col("n") * how.num / how.den))
-    return ranked.where(F.col("rank") <= F.col("shared") - least + 1).drop("m", "rank")
+    return ranked.where(F.col("rank") <= F.col("shared") - least + 1).drop("m", "rank", "long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, how: Join, hub_rows: int = 2_000) -> DataFrame:
@@ -344,8 +354,8 @@ def verified(pairs: DataFrame, sets: DataFrame, how: Join, hub_rows: int = 2_000
 
 def _sides(left: DataFrame, hubs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of lists as the members a and b of pairs."""
-    parts = ("sid", "n", "place", "comp", *_BITS)
-    return hubs.select("token", *[F.col(c).alias(f"a{c}") for c in parts]), left.select("token", *[F.col(c).alias(f"b{c}") for c in parts])
+    named = lambda df, side: df.select("token", *[F.col(c).alias(f"{side}{c}") for c in df.columns if c not in ("token", "members", "hub")])
+    return named(hubs, "a"), named(left, "b")
 
 
 def _all_pairs(left: DataFrame, how: Join) -> DataFrame:
@@ -355,6 +365,28 @@ def _all_pairs(left: DataFrame, how: Join) -> DataFrame:
     return met.select(F.col("asid").alias("u"), F.col("bsid").alias("v")).distinct()
 
 
+def _cell(n: Column) -> Column:
+    """A number that grows with n: up to 256 n itself, then 64 to each doubling."""
+    return F.when(n < 256, n).otherwise(256 + F.floor(F.log2(n / 256) * 64)).cast("int")
+
+
+def _cells(left: DataFrame, how: Join) -> tuple[DataFrame, DataFrame]:
+    """Rows of long lists as members a and b of pairs: b by the cell of its size, a by all cells of sizes with which it can be linked by sharing at most its number common."""
+    n = F.col("n")
+    most = F.floor(F.col("common") * (how.den + how.num) / how.num) - n
+    lo, hi = F.ceil(n * how.num / how.den), F.least(F.floor(n * how.den / how.num), most)
+    narrowed = left.withColumns({"lo": lo.cast("int"), "hi": hi.cast("int")})
+    a, b = _sides(left.withColumn("cell", _cell(n)), narrowed.where("lo <= hi").withColumn("cell", F.explode(F.sequence(_cell(F.col("lo")), _cell(F.col("hi"))))))
+    return a, b
+
+
+def _cell_pairs(left: DataFrame, how: Join) -> DataFrame:
+    """(u, v): what may be linked of any two members of a long list that are in different components and have no short list in common."""
+    a, b = _cells(left, how)
+    met = a.join(b, (a["token"] == b["token"]) & (F.col("acell") == F.col("bcell")) & (F.col("asid") != F.col("bsid")) & (F.col("acomp") != F.col("bcomp")) & F.col("bn").between(F.col("alo"), F.col("ahi")) & _may_link("a", "b", how) & _bits_allow(how))
+    return met.select(F.least("asid", "bsid").alias("u"), F.greatest("asid", "bsid").alias("v")).distinct()
+
+
 def _hub_pairs(left: DataFrame, how: Join, r: int) -> DataFrame:
     """(u, v): each member v with that one of its lists' HUBS hubs in other components that its parity bits are nearest to."""
     hubs = left.withColumn("hub", F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("sid", F.lit(r)), "sid"))).where(F.col("hub") <= HUBS)
@@ -415,7 +447,7 @@ def linked(docs: DataFrame, how: Join, scratch: Scratch, most_rounds: int = 6, p
     # labels need not be whole components here: a set goes to the least of itself, its hub, and the hub's hub
     hub_of = link(0, _first_pairs(heavy, bits, how)).select(F.col("v").alias("sid"), F.col("u").alias("to")).distinct()
     label = hub_of.join(hub_of.select(F.col("sid").alias("to"), F.col("to").alias("on")), "to", "left").select("sid", F.least("sid", "to", "on").alias("component"))
-    state = heavy.join(label, "sid", "left").select("token", "sid", "n", "place", F.coalesce("component", "sid").alias("comp"))
+    state = heavy.join(label, "sid", "left").select("token", "sid", "n", "place", "common", F.coalesce("component", "sid").alias("comp"))
     written, before = ["heavy"], None
     for r in range(1, most_rounds + 2):
         # only lists with several components go on; a closed list never opens again
@@ -428,10 +460,10 @@ def linked(docs: DataFrame, how: Join, scratch: Scratch, most_rounds: int = 6, p
         few, many = left.where(F.col("members") <= HUBS), left.where(F.col("members") > HUBS)
         per = many.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.sum("k").alias("all"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("cost"))
         cost, rows = per.agg(F.sum("cost"), F.sum("all")).first()
-        # short lists are compared in full, and long ones where that is little or hubs no longer join much
+        # short lists are compared in full, and long ones by cells where that is little or hubs no longer join much
         full = not cost or cost <= pair_budget * rows or r > most_rounds or before is not None and cost > 0.7 * before
         before = cost
-        found = link(r, _all_pairs(left, how) if full else _all_pairs(few, how).unionByName(_hub_pairs(many, how, r)))
+        found = link(r, _all_pairs(few, how).unionByName(_cell_pairs(many, how) if full else _hub_pairs(many, how, r)).distinct())
         if full:
             break
         label = left.select("sid", "comp").distinct()

@@ -140,3 +140,48 @@ def test_components(spark):
         parent[b] = a
     linked = {x for a, b in pairs if a != b for x in (a, b)}
     assert got == {x: find(x) for x in linked}
+
+
+def template(k, replaced, seed=3, vocabulary=10**6):
+    """k texts of a template of 100 words, some of each replaced: similar, but not similar enough."""
+    rnd = random.Random(seed)
+    base, texts = [f"t{i}" for i in range(100)], []
+    for _ in range(k):
+        copy = list(base)
+        for at in rnd.sample(range(100), replaced):
+            copy[at] = f"x{rnd.randrange(vocabulary)}"
+        texts.append(" ".join(copy))
+    return texts
+
+
+@pytest.mark.parametrize("vocabulary", [10**6, 2000])
+def test_a_template_is_not_joined_in_full(spark, monkeypatch, vocabulary):
+    """Of the pairs of long lists the last round meets some hundredths, and hands on fewer than there are texts."""
+    met = {}
+    real, pairs = ngram_join._cells, ngram_join._cell_pairs
+
+    def counted(left, how):
+        a, b = real(left, how)
+        met["cells"] = a.join(b, (a["token"] == b["token"]) & (a["acell"] == b["bcell"])).count()
+        met["all"] = left.groupBy("token").count().selectExpr("sum(count * count)").first()[0]
+        return a, b
+
+    def handed_on(left, how):
+        out = pairs(left, how)
+        met["pairs"] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "_cells", counted)
+    monkeypatch.setattr(ngram_join, "_cell_pairs", handed_on)
+    df = spark.createDataFrame(list(enumerate(template(1200, 3, vocabulary=vocabulary))), "doc_id long, text string")
+    got = ngram_join.with_components(df, Join()).collect()
+    assert len(got) == 1200 and sum(r.component_id == r.doc_id for r in got) > 1100
+    assert met["all"] > 10**6 and met["cells"] < 0.03 * met["all"] and met["pairs"] < 1200
+
+
+def test_a_template_with_near_copies(spark):
+    """Some of the texts of a template are near enough to others, with few words replaced, or with those of another text."""
+    texts = template(150, 3) + template(60, 1, 4) + template(40, 2, 5, 4)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for how in (Join(), Join(5, 80, 100)):
+        assert result(df, how) == brute(df.collect(), how)
