@@ -33,7 +33,10 @@ text are ignored, whatever their names; an empty table gives no rows.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
+import uuid
 from collections.abc import Iterator
 from functools import cache
 
@@ -276,6 +279,20 @@ def _assembled(model: str, common):
     return tidy(run)
 
 
+def _bucketed(spark, df: DataFrame, path: str, n: int) -> DataFrame:
+    """df written to path by kind and in buckets by block. The catalog forgets the table when this process ends; the files go with the scratch folder."""
+
+    def forget() -> None:
+        if spark.sparkContext._jsc is not None:
+            with contextlib.suppress(Exception):  # at the end the session may be gone
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    name = f"pieces_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("compression", "zstd").option("path", path).partitionBy("kind").bucketBy(n, "block").sortBy("block").saveAsTable(name)
+    atexit.register(forget)
+    return spark.table(name)
+
+
 def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", letters: int = 8_000_000, bucket_bytes: int = 64 << 20, most_common: int = 1 << 17, sample_bytes: int = 64 << 20) -> DataFrame:
     """doc_id, ids (all, as little-endian unsigned 32-bit integers, with begin and end) and decoded, the text that the library makes of them. A block has about so many letters, or one text; a bucket of hashes gets the chunks of about so many bytes of texts; most_common and sample_bytes bound the chunks that go to all tasks, and the texts from which they are chosen."""
     check(model)
@@ -285,12 +302,15 @@ def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     size = held.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
     common = spark.sparkContext.broadcast(common_chunks(held, size, model, most_common, sample_bytes))
-    blocks = scratch.table("blocks", blocks_of(held, buckets, letters, common).withColumn("kind", F.when(F.col("bucket") < 0, "numbers").otherwise("chunks")), "kind")
+    made = blocks_of(held, buckets, letters, common).withColumn("kind", F.when(F.col("bucket") < 0, "numbers").otherwise("chunks"))
+    # a table in buckets by block, so that the numbers, the most of it, meet the answers where they lie
+    blocks = _bucketed(spark, made, f"{scratch.top}/blocks", int(spark.conf.get("spark.sql.shuffle.partitions")))
     parts = blocks.where("kind = 'chunks'").select("block", "bucket", "n", "size", "payload")
     answers = scratch.table("answers", answers_of(parts.repartition(buckets, "bucket"), model))
     scratch.drop("blocks/kind=chunks")
+    # the hint keeps Spark from moving the numbers to where the answers are
     found = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "counts", "n_ids", "ids")).alias("found"))
     numbers = blocks.where("kind = 'numbers'").select("block", "n", "size", "payload", "buckets", "lengths", "ids")
     # no order and no pair of blocks is needed: a block is one row on each side
-    whole = numbers.join(found, "block", "left").select("n", "size", "payload", "buckets", "lengths", "ids", "found")
+    whole = numbers.join(found.hint("merge"), "block", "left").select("n", "size", "payload", "buckets", "lengths", "ids", "found")
     return whole.mapInArrow(_assembled(model, common), f"doc_id {kind}, ids binary, decoded string")
