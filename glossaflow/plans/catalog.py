@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import limits, spans, usage, validation
+from ..functions import limits, spans, sql, usage, validation
 from ..functions import text as tx
 from ..operators import models, requests, responses
 from ..operators.prompts import Prompts
@@ -245,21 +245,45 @@ def model_table(spark: SparkSession) -> DataFrame:
     return df.withColumn("gross_limit", gross).withColumn("net_limit", limits.net_limit(F.col("gross_limit")))
 
 
-@query(f"SELECT model_key, vendor, endpoint, format, env, help_url, api_model FROM ({_SQL_FLAT})")
+_ORDER = {k: i for i, k in enumerate(sorted(_REGISTRY.keys()))}
+
+
+def _dealt(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """Documents dealt to n models or prompts in turn, summed by turn: pos, n_docs, chars."""
+    docs = table(spark, sf_dir, "documents").groupBy((F.col("doc_id") % n).cast("int").alias("pos"))
+    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
+
+
+def _with_load(spark: SparkSession, sf_dir: str, held: DataFrame, order: dict[str, int], key: str = "model_key") -> DataFrame:
+    """A small table of models or prompts with the documents that are dealt to each."""
+    pos = F.element_at(F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), F.col(key))
+    none = F.lit(0).cast("bigint")
+    return F.broadcast(held.withColumn("pos", pos)).join(_dealt(spark, sf_dir, len(order)), "pos", "left").withColumns({"n_docs": F.coalesce("n_docs", none), "chars": F.coalesce("chars", none)})
+
+
+def _sql_load(held: str, columns: str, n: int, key: str = "model_key") -> str:
+    return f"SELECT {columns}, coalesce(n_docs, 0)::BIGINT AS n_docs, coalesce(text_chars, 0)::BIGINT AS chars FROM (SELECT *, row_number() OVER (ORDER BY {key}) - 1 AS turn FROM ({held})) LEFT JOIN (SELECT doc_id % {n} AS turn, count(*) AS n_docs, sum(length(text)) AS text_chars FROM documents GROUP BY ALL) USING (turn)"
+
+
+@query(_sql_load(_SQL_FLAT, "model_key, vendor, endpoint, format, env, help_url, api_model", len(_ORDER)))
 def registry_flatten(spark, sf_dir):
-    """Settings of each model, the vendor's where it has none."""
-    return _REGISTRY.frame(spark).select("model_key", "vendor", "endpoint", "format", F.col("auth.env").alias("env"), F.col("auth.help_url").alias("help_url"), F.element_at("defaults", "model").alias("api_model"))
+    """Settings of each model, the vendor's where it has none, and the documents dealt to it."""
+    held = _with_load(spark, sf_dir, _REGISTRY.frame(spark), _ORDER)
+    return held.select("model_key", "vendor", "endpoint", "format", F.col("auth.env").alias("env"), F.col("auth.help_url").alias("help_url"), F.element_at("defaults", "model").alias("api_model"), "n_docs", "chars")
 
 
-@query(f"SELECT model_key, gross_limit::BIGINT AS gross_limit, net_limit::BIGINT AS net_limit FROM ({_SQL_LIMITS})")
+@query(_sql_load(_SQL_LIMITS, "model_key, gross_limit::BIGINT AS gross_limit, net_limit::BIGINT AS net_limit, CASE WHEN net_limit > 0 THEN (coalesce(text_chars, 0) + net_limit - 1) // net_limit END::BIGINT AS n_requests", len(_ORDER)))
 def model_limits(spark, sf_dir):
-    return model_table(spark).select("model_key", "gross_limit", "net_limit")
+    """Limits, and how many full requests the texts dealt to a model would fill."""
+    held = _with_load(spark, sf_dir, model_table(spark), _ORDER)
+    return held.select("model_key", "gross_limit", "net_limit", F.when(F.col("net_limit") > 0, F.expr("(chars + net_limit - 1) div net_limit")).alias("n_requests"), "n_docs", "chars")
 
 
-@query(f"SELECT vendor, count(*)::BIGINT AS n, string_agg(model_key, ',' ORDER BY model_key) AS model_keys FROM ({_SQL_FLAT}) GROUP BY vendor")
+@query(f"SELECT vendor, count(*)::BIGINT AS n, string_agg(model_key, ',' ORDER BY model_key) AS model_keys, sum(n_docs)::BIGINT AS n_docs, sum(chars)::BIGINT AS chars FROM ({_sql_load(_SQL_FLAT, 'model_key, vendor', len(_ORDER))}) GROUP BY vendor")
 def models_by_vendor(spark, sf_dir):
-    df = _REGISTRY.frame(spark).groupBy(F.coalesce("vendor", F.lit("other")).alias("vendor"))
-    return df.agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list("model_key")), ",").alias("model_keys"))
+    """Models, and the documents dealt to them, by vendor."""
+    df = _with_load(spark, sf_dir, _REGISTRY.frame(spark), _ORDER).groupBy(F.coalesce("vendor", F.lit("other")).alias("vendor"))
+    return df.agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list("model_key")), ",").alias("model_keys"), F.sum("n_docs").alias("n_docs"), F.sum("chars").alias("chars"))
 
 
 _KEYS = ["openai:gpt-4o", "foo:bar", "google:gemini-1.5-pro", "deepl:pro", "xai:grok-4"]
@@ -334,12 +358,17 @@ _PROMPTS = Prompts()
 _SQL_PROMPTS = _sql_values([(sql_str(k), str(i), sql_str(f), sql_str(t), sql_str(held.get("notes"))) for k, held in _PROMPTS.templates.items() for i, (f, t) in enumerate((f, t) for f, t in held.items() if f != "notes")], "p", "prompt_key, pos, format, template, notes")
 
 
-@query("SELECT * FROM (VALUES ('translator', 'text,html,json', 'General translation of text, HTML and JSON')) AS p(prompt_key, formats, notes)")
+@query("""SELECT * FROM (VALUES ('translator', 'text,html,json', 'General translation of text, HTML and JSON')) AS p(prompt_key, formats, notes), (
+SELECT count(*)::BIGINT AS n_docs, sum(CASE WHEN doc_id % 4 < 3 THEN 1 ELSE 0 END)::BIGINT AS n_with_format FROM documents)""")
 def prompts_catalog(spark, sf_dir):
+    """Prompts with their formats, and how many documents ask for a prompt and have a template for their format."""
     listed = F.transform(F.sort_array(F.collect_list(F.struct("pos", "format"))), lambda x: x["format"])
-    return _PROMPTS.frame(spark).groupBy("prompt_key").agg(F.array_join(listed, ",").alias("formats"), F.first("notes").alias("notes"))
-
-
+    known = _PROMPTS.frame(spark)
+    catalogue = known.groupBy("prompt_key").agg(F.array_join(listed, ",").alias("formats"), F.first("notes").alias("notes"))
+    asked = table(spark, sf_dir, "documents").select(F.lit("translator").alias("prompt_key"), F.element_at(F.array(*map(F.lit, ("text", "html", "json", "pdf"))), (F.col("doc_id") % 4 + 1).cast("int")).alias("format"))
+    found = asked.join(F.broadcast(known.select("prompt_key", "format", F.lit(1).alias("has"))), ["prompt_key", "format"], "left")
+    asked = found.groupBy("prompt_key").agg(F.count(F.lit(1)).alias("n_docs"), F.count("has").alias("n_with_format"))
+    return catalogue.join(asked, "prompt_key")
 
 
 def _sql_render(template: str) -> str:
@@ -782,12 +811,13 @@ def auth_attached(spark, sf_dir):
 _LEGACY = {"plain": {"vendor": "old", "endpoint": "http://plain"}, "group": {"endpoint": "http://group", "format": "text", "models": {"m1": {}, "m2": {"endpoint": "http://m2", "format": None}}}}
 
 
-@query("SELECT * FROM (VALUES ('plain', 'old', 'http://plain', NULL), ('group:m1', 'group', 'http://group', 'text'), ('group:m2', 'group', 'http://m2', NULL)) AS t(model_key, vendor, endpoint, format)")
+@query(_sql_load("SELECT * FROM (VALUES ('plain', 'old', 'http://plain', NULL), ('group:m1', 'group', 'http://group', 'text'), ('group:m2', 'group', 'http://m2', NULL)) AS t(model_key, vendor, endpoint, format)", "model_key, vendor, endpoint, format", 3))
 def registry_legacy(spark, sf_dir):
-    """Flat entries beside nested ones; a null of a model wins over its vendor's value."""
+    """Flat entries beside nested ones, with documents dealt to each; a null of a model wins over its vendor's value."""
     registry = models.Registry()
     registry.models = models.flatten(_LEGACY)
-    return registry.frame(spark).select("model_key", "vendor", "endpoint", "format")
+    held = _with_load(spark, sf_dir, registry.frame(spark), {k: i for i, k in enumerate(sorted(registry.keys()))})
+    return held.select("model_key", "vendor", "endpoint", "format", "n_docs", "chars")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'http_error' WHEN event_id % 4 = 1 THEN 'network' END AS error FROM events")
@@ -871,3 +901,68 @@ def vendor_added(spark, sf_dir):
     registry.models["own:model"] = {"vendor": "own", "endpoint": "http://own"}
     out = translate(table(spark, sf_dir, "documents"), Job("own:model", filters=["url"], registry=registry), _Back())
     return out.select("doc_id", "result", F.col("error.code").alias("error"))
+
+
+# --- running totals, sketches, event time, SQL functions ------------------------------
+
+
+@query("SELECT doc_id, n, offset_before::BIGINT AS offset, (offset_before // 1000000)::BIGINT AS batch FROM (SELECT doc_id, length(text)::BIGINT AS n, coalesce(sum(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS offset_before FROM documents)")
+def budget_offsets(spark, sf_dir):
+    """The characters before each document in order of ids, and which batch of a million it begins in."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("bigint").alias("n"))
+    return reports.running_total(docs, ["doc_id"], F.col("n")).withColumn("batch", F.expr("offset div 1000000"))
+
+
+@query("SELECT source, lang, offset_before::BIGINT AS offset, doc_id FROM (SELECT source, lang, doc_id, sum(length(text)) OVER (ORDER BY source NULLS FIRST, lang NULLS FIRST, doc_id ROWS UNBOUNDED PRECEDING) - length(text) AS offset_before FROM documents)")
+def budget_by_source(spark, sf_dir):
+    """The same in order of sources, of which one has a large part of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.length("text").alias("n"))
+    return reports.running_total(docs, ["source", "lang", "doc_id"], F.col("n"), ranges=16).drop("n")
+
+
+@query("""SELECT lang, source, (CASE WHEN l = 1 THEN 2 ELSE 0 END + CASE WHEN s = 1 THEN 1 ELSE 0 END)::BIGINT AS level, n, total, true AS items_within, true AS median_within, true AS high_within FROM (
+SELECT lang, source, grouping(lang) AS l, grouping(source) AS s, count(*)::BIGINT AS n, sum(length(text))::BIGINT AS total FROM documents GROUP BY CUBE (lang, source))""")
+def usage_sketch_cube(spark, sf_dir):
+    """Texts by language and source from sketches that are kept by day and merged: numbers of distinct texts within 6 % (or 3) and lengths at the quantiles within 3 % of ranks (or 2 rows) of what exact counts give."""
+    docs = table(spark, sf_dir, "documents")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int"))
+    kept = reports.usage_sketches(docs, day, ["lang", "source"], F.xxhash64("text"), F.length("text"))
+    made = reports.usage_cube(kept, ["lang", "source"])
+    # the exact side: every row goes to its four groups, and there is compared with the group's quantiles
+    groups = docs.select(F.length("text").alias("len"), F.xxhash64("text").alias("item"), F.explode(F.array(*[F.struct((F.col("lang") if level < 2 else F.lit(None).cast("string")).alias("lang"), (F.col("source") if level % 2 == 0 else F.lit(None).cast("string")).alias("source"), F.lit(level).cast("bigint").alias("level")) for level in range(4)])).alias("g")).select("len", "item", "g.*")
+    quantiles = made.select(F.col("lang").alias("l"), F.col("source").alias("s"), F.col("level").alias("v"), "p50", "p90")
+    of_group = F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("level") == F.col("v"))
+    exact = groups.join(F.broadcast(quantiles), of_group).groupBy(F.col("l"), F.col("s"), F.col("v")).agg(
+        F.countDistinct("item").alias("d"), F.count(F.lit(1)).alias("m"),
+        *[F.sum((F.col("len") < F.col(q)).cast("int")).alias(f"under_{q}") for q in ("p50", "p90")], *[F.sum((F.col("len") <= F.col(q)).cast("int")).alias(f"upto_{q}") for q in ("p50", "p90")],
+    )
+    out = made.join(exact, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("level") == F.col("v")))
+    room = F.greatest(F.lit(2.0), 0.03 * F.col("m"))
+    within = lambda q, share: (F.col(f"under_{q}") <= share * F.col("m") + room) & (F.col(f"upto_{q}") >= share * F.col("m") - room)
+    return out.select("lang", "source", F.col("level").cast("bigint").alias("level"), "n", "total", (F.abs(F.col("n_items") - F.col("d")) <= F.greatest(F.lit(3.0), 0.06 * F.col("d"))).alias("items_within"), within("p50", 0.5).alias("median_within"), within("p90", 0.9).alias("high_within"))
+
+
+@query("""SELECT start, start + INTERVAL 1 HOUR AS "end", event_type, count(*)::BIGINT AS n, sum(floor(value))::BIGINT AS total FROM (SELECT date_trunc('hour', ts) AS start, event_type, value FROM events)
+WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events) GROUP BY ALL""")
+def stream_windows(spark, sf_dir):
+    """Events, each of which comes twice, counted once by hour and kind over a stream; hours that the watermark has not passed are not given out."""
+    top = scratch.temporary(spark, "stream-windows")
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    twice = events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", F.floor("value").alias("value"), F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+    made = stream.usage_windows(stream.asked_once(twice, "ts", ["event_id"], "2 hours"), "ts", ["event_type"], F.col("value"))
+    made.writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(made.schema).parquet(f"{top}/out")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
+@query(f"""SELECT doc_id, {_sql_protect("t", _SQL_URL, "0")} AS prepared, len(regexp_extract_all(t, '{_SQL_URL}'))::BIGINT AS n, t AS restored, trim(t, ' ' || chr(9) || chr(10) || chr(13) || chr(11)) AS unwrapped, length(t)::BIGINT AS in_segments FROM (
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text || ' http://a.b/' || doc_id ELSE text END AS t FROM documents)""")
+def sql_functions(spark, sf_dir):
+    """The steps called from SQL alone."""
+    sql.register(spark, "gf_")
+    table(spark, sf_dir, "documents").createOrReplaceTempView("gf_documents")
+    return spark.sql("""
+      WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN concat(text, ' http://a.b/', doc_id) ELSE text END AS t FROM gf_documents),
+      lengths AS (SELECT doc_id, sum(length(s.segment) + coalesce(length(s.address), 0)) AS in_segments FROM d, LATERAL gf_segments(d.t) AS s GROUP BY doc_id)
+      SELECT doc_id, gf_protect_addresses(t) AS prepared, CAST(size(gf_addresses(t)) AS BIGINT) AS n, gf_restore_spans(gf_protect_addresses(t), gf_addresses(t)) AS restored, gf_unwrap_marks(gf_wrap_marks(t)) AS unwrapped, in_segments
+      FROM d JOIN lengths USING (doc_id)""")

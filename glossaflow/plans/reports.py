@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+
 
 def filter_totals(results: DataFrame) -> DataFrame:
     """For each filter: documents with a span, and spans."""
@@ -47,3 +51,39 @@ def lines_of(lengths: Column, filter_stats: Column, consumed: Column) -> Column:
     usage = F.flatten(F.transform(F.map_entries(consumed), lambda c: F.concat(F.array(F.concat(F.lit("  "), F.upper(F.substring(c["key"], 1, 1)), F.substr(c["key"], F.lit(2)), F.lit(":")), number(F.lit("total"), c["value"]["total"])), parts(c["value"]))))
     usage = F.when(F.size(usage) > 0, usage).otherwise(F.array(F.lit("  not given")))
     return F.array_join(F.concat(F.array(F.lit("Characters:"), *chars), F.array(F.lit("Spans:")), spans, F.array(F.lit("Usage:")), usage), "\n")
+
+
+def running_total(df: DataFrame, order: Sequence[str], value: Column, name: str = "offset", ranges: int | None = None) -> DataFrame:
+    """df with the sum of value over all rows before each, in this order (nulls first, a null value counts nothing); rows that agree in it follow one another by a hash of all columns.
+
+    No task gets all rows: ranges of the order are written to the shared folder, each is
+    summed, the sums of the ranges, a row for each, are added up, and within a range the
+    rows are. Equal rows of order may be split between ranges, as the hash is part of it.
+    """
+    spark = df.sparkSession
+    columns = df.columns
+    plain = [F.col(f"`{f.name}`").cast("string") if any(x in f.dataType.simpleString() for x in ("map<", "variant")) else F.col(f"`{f.name}`") for f in df.schema]
+    held = df.withColumns({"_value": F.coalesce(value.cast("bigint"), F.lit(0)), "_tie": F.xxhash64(*plain)})
+    keys = [F.col(f"`{c}`").asc_nulls_first() for c in order] + [F.col("_tie").asc()]
+    dealt = held.repartitionByRange(ranges, *keys) if ranges else held.repartitionByRange(*keys)
+    path = scratch.temporary(spark, "ranges")
+    dealt.withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    held = spark.read.parquet(path)
+    sums = held.groupBy("_range").agg(F.sum("_value").alias("_sum"))
+    before = sums.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    out = held.withColumn("_within", F.coalesce(F.sum("_value").over(within), F.lit(0))).join(F.broadcast(before), "_range")
+    return out.select(*[F.col(f"`{c}`") for c in columns], (F.col("_before") + F.col("_within")).alias(name))
+
+
+def usage_sketches(df: DataFrame, day: Column, by: Sequence[str], item: Column, amount: Column, bits: int = 12, k: int = 400) -> DataFrame:
+    """day, by, n, total, and two sketches of bounded size: of the distinct items (a standard error of 1.04 / sqrt(2 ** bits): 1.6 %) and of the amounts' ranks (k 400: ranks within 0.7 % or so). Kept by day, they can be merged over days and columns without the rows."""
+    held = df.select(day.alias("day"), *by, item.alias("_item"), amount.cast("bigint").alias("_amount"))
+    return held.groupBy("day", *by).agg(F.count(F.lit(1)).alias("n"), F.sum("_amount").alias("total"), F.hll_sketch_agg("_item", bits).alias("items"), F.kll_sketch_agg_bigint("_amount", k).alias("amounts"))
+
+
+def usage_cube(sketches: DataFrame, by: Sequence[str], shares: Sequence[float] = (0.5, 0.9)) -> DataFrame:
+    """Subtotals over all combinations of by from sketches: n, total, the number of distinct items, and quantiles of the amounts. Only rows of sketches are read, however many rows they stand for."""
+    merged = sketches.cube(*by).agg(F.grouping_id().alias("level"), F.sum("n").alias("n"), F.sum("total").alias("total"), F.hll_union_agg("items").alias("items"), F.kll_merge_agg_bigint("amounts").alias("amounts"))
+    quantiles = [F.kll_sketch_get_quantile_bigint("amounts", F.lit(float(q))).alias(f"p{round(100 * q)}") for q in shares]
+    return merged.select(*by, "level", "n", "total", F.hll_sketch_estimate("items").alias("n_items"), *quantiles)
