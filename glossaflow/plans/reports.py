@@ -60,20 +60,20 @@ def running_total(df: DataFrame, order: Sequence[str], value: Column, name: str
     summed, the sums of the ranges, a row for each, are added up, and within a range the
     rows are. Equal rows of order may be split between ranges, as the hash is part of it.
     """
-    spark = df.sparkSession
-    columns = df.columns
+    spark, columns = df.sparkSession, df.columns
     plain = [F.col(f"`{f.name}`").cast("string") if any(x in f.dataType.simpleString() for x in ("map<", "variant")) else F.col(f"`{f.name}`") for f in df.schema]
-    held = df.withColumns({"_value": F.coalesce(value.cast("bigint"), F.lit(0)), "_tie": F.xxhash64(*plain)})
-    keys = [F.col(f"`{c}`").asc_nulls_first() for c in order] + [F.col("_tie").asc()]
+    # the columns of df are apart, so that no name of theirs is in the way
+    held = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.coalesce(value.cast("bigint"), F.lit(0)).alias("value"), F.xxhash64(*plain).alias("tie"))
+    keys = [F.col(f"row.`{c}`").asc_nulls_first() for c in order] + [F.col("tie").asc()]
     dealt = held.repartitionByRange(ranges, *keys) if ranges else held.repartitionByRange(*keys)
     path = scratch.temporary(spark, "ranges")
-    dealt.withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    dealt.withColumn("part", F.spark_partition_id()).write.parquet(path)
     held = spark.read.parquet(path)
-    sums = held.groupBy("_range").agg(F.sum("_value").alias("_sum"))
-    before = sums.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    out = held.withColumn("_within", F.coalesce(F.sum("_value").over(within), F.lit(0))).join(F.broadcast(before), "_range")
-    return out.select(*[F.col(f"`{c}`") for c in columns], (F.col("_before") + F.col("_within")).alias(name))
+    sums = held.groupBy("part").agg(F.sum("value").alias("sum"))
+    before = sums.select("part", F.coalesce(F.sum("sum").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = Window.partitionBy("part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    out = held.withColumn("within", F.coalesce(F.sum("value").over(within), F.lit(0))).join(F.broadcast(before), "part")
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in columns], (F.col("before") + F.col("within")).alias(name))
 
 
 def usage_sketches(df: DataFrame, day: Column, by: Sequence[str], item: Column, amount: Column, bits: int = 12, k: int = 400) -> DataFrame:
