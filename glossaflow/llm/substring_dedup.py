@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import uuid
 from functools import reduce
 
@@ -52,32 +53,55 @@ class FingerprintIndex:
         self.top = folder.rstrip("/") if folder else f"{scratch.top}/index"
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[str] = []
-        self.made = 0
+        self.made = self.state = 0
         if folder:
-            state = json.loads(self._read_state() or "{}")
+            state = self._read_state()
             kept = {"size": shape.size, "gram": shape.gram, "unit": shape.unit}
             if state and state["shape"] != kept:
                 raise ValueError("the index is one of other windows")
             self.runs, self.made, self.buckets = state.get("runs", []), state.get("made", 0), state.get("buckets", self.buckets)
 
-    def _state_path(self):
+    def _files(self):
+        """The folder's file system and path, and the names in it."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.top}/state.json")
-        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _read_state(self) -> str | None:
-        path, fs = self._state_path()
-        return self.spark.read.text(path.toString(), wholetext=True).first()[0] if fs.exists(path) else None
+        path = jvm.org.apache.hadoop.fs.Path(self.top)
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return fs, jvm.org.apache.hadoop.fs.Path, [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+
+    def _read_state(self) -> dict:
+        """The last state; an error where it cannot be read, where runs that it names are lost, or where there are runs and no state says which of them count. The state before the last is kept beside it."""
+        _, _, names = self._files()
+        states = [int(m[1]) for n in names if (m := re.fullmatch(r"state-(\d+)\.json", n))]
+        if not states:
+            if any(n.startswith("run") for n in names):
+                raise LookupError(f"the index in {self.top} has runs but no state: which of them count is not known")
+            return {}
+        self.state = max(states)
+        held = self.spark.read.text(f"{self.top}/state-{self.state}.json", wholetext=True).first()
+        try:
+            state = json.loads(held[0] if held else "")
+        except ValueError as e:
+            raise LookupError(f"the state state-{self.state}.json of the index in {self.top} cannot be read") from e
+        if lost := [run for run in state["runs"] if run not in names]:
+            raise LookupError(f"the index in {self.top} has lost its runs {', '.join(lost)}")
+        return state
 
     def commit(self) -> None:
-        """Says in the folder which runs count; runs that a failed call has left are not among them."""
+        """Says in the folder which runs count; runs that a failed call has left are not among them. A state is written beside the last one and then renamed, so that a whole one is there at any time."""
         if not self.folder:
             return
-        state = json.dumps({"runs": self.runs, "made": self.made, "buckets": self.buckets, "shape": {"size": self.shape.size, "gram": self.shape.gram, "unit": self.shape.unit}})
-        path, fs = self._state_path()
-        out = fs.create(path, True)
-        out.write(bytearray(state.encode()))
+        fs, path, names = self._files()
+        held = json.dumps({"runs": self.runs, "made": self.made, "buckets": self.buckets, "shape": {"size": self.shape.size, "gram": self.shape.gram, "unit": self.shape.unit}})
+        self.state += 1
+        fresh = path(f"{self.top}/_state-{uuid.uuid4().hex}")
+        out = fs.create(fresh, True)
+        out.write(bytearray(held.encode()))
         out.close()
+        if not fs.rename(fresh, path(f"{self.top}/state-{self.state}.json")):
+            raise OSError(f"the state of the index in {self.top} could not be renamed: another call may have written it")
+        for n in names:
+            if (m := re.fullmatch(r"state-(\d+)\.json", n)) and int(m[1]) < self.state - 1:
+                fs.delete(path(f"{self.top}/{n}"), False)
 
     def _table(self, run: str) -> str:
         """The catalog's name of a run: only tables of the catalog have buckets."""

@@ -299,7 +299,7 @@ def cut_rows(docs: DataFrame, shape: Shape = DEFAULT, id_col: str = "doc_id", te
                     edges = [0, *(x for run in runs for x in run), len(raw)]
                     text = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode()
                 out.append(text)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], pa.schema([batch.schema.field("row"), pa.field("kept", pa.string())]))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], schema=pa.schema([batch.schema.field("row"), pa.field("kept", pa.string())]))
 
     row_type = docs.schema.simpleString()
     cut = joined.mapInArrow(tidy(kept), f"row {row_type}, kept string").where("kept is null or trim(kept) <> '' or trim(row.`" + text_col + "`) = ''")

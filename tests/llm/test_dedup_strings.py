@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import shutil
 from collections import Counter
 
 import numpy as np
@@ -180,3 +181,30 @@ def test_batches_of_any_ids(spark):
     held = [{r.x for r in p.collect()} for p in parts]
     assert len(parts) > 2 and set.union(*held) == {x for _, x in rows} and sum(map(len, held)) == len(rows)
     assert {x for i, x in rows if i is None} <= held[0]
+
+
+def test_a_broken_index_is_an_error(spark, tmp_path):
+    """A cut state, a missing one and lost runs are told of; a state that was being written counts for nothing."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + k) % 40}" for k in range(30))) for i in range(30)], "doc_id long, text string")
+    index, shape = tmp_path / "index", Shape(7, 2, "word")
+    build = lambda: substring_dedup.dedup(docs, shape, batches=2, folder=f"file://{index}")
+    opened = lambda: substring_dedup.FingerprintIndex(spark, Scratch(spark, "test"), shape, folder=f"file://{index}")
+    build()
+    runs = opened().runs
+    (index / "_state-half").write_text('{"runs": [')
+    assert runs and opened().runs == runs and len(list(index.glob("state-*.json"))) <= 2
+    state = max(index.glob("state-*.json"))
+    whole = state.read_text()
+    for cut in ("", whole[:20]):
+        (index / f".{state.name}.crc").unlink(missing_ok=True)
+        state.write_text(cut)
+        with pytest.raises(LookupError, match="cannot be read"):
+            opened()
+    for p in index.glob("state-*.json"):
+        p.unlink()
+    with pytest.raises(LookupError, match="no state"):
+        opened()
+    state.write_text(whole)
+    shutil.move(index / runs[0], tmp_path / "elsewhere")
+    with pytest.raises(LookupError, match="lost"):
+        opened()
