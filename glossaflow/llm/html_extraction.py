@@ -4,10 +4,11 @@ A page is read once into blocks of text, each with the path of tags (and
 classes) from the root to it. For each path the mean text length and the mean
 number of punctuation marks of its blocks are its ratios. Both are smoothed
 over neighbouring blocks, fused to one score, and paths whose score is over a
-threshold are content. The deepest element that holds all of them, or the
-outermost article or main around it, is the article; all its blocks are the
-result, those of links too, without those inside menus, forms, notices and the
-like. Where that element is only the body, blocks of links before or after all
+threshold are content. An article or main that holds most of their text is the
+article, also where a path outside of it is over the threshold; else the deepest
+element that holds all of them, or the outermost article or main around it. All
+its blocks are the result, those of links too, without those inside menus, forms,
+notices, adverts, comments and the like. Where that element is only the body, blocks of links before or after all
 content that share no element with any are an unmarked menu and left out, but
 for headings.
 
@@ -42,7 +43,11 @@ _ENDS = {"li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl
 _NEVER = frozenset("script style noscript template nav aside footer form button select textarea iframe object svg canvas audio video dialog menu head title input datalist map noembed noframes xmp".split())
 #: Words in class, id or role that say what an element is.
 _COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
-_BOILERPLATE = _COMMENTS | frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login footer masthead toolbar pagination pager widget widgets alert search skip contentinfo complementary sharing social related recommended recommendations share".split())
+#: Words that say it beside any others: adverts, consent and comments have the names of their makers too.
+_STRONG = frozenset("ad ads advert adverts advertisement advertising adsense adsbygoogle adslot adunit sponsor sponsored promo promotion cookie cookies consent gdpr onetrust paywall notice notices newsletter disqus comment comments commentlist".split())
+#: Words that turn a name into its opposite, or into what is not there.
+_WITHOUT = frozenset("no not without has with hide hidden free off enabled disabled".split())
+_BOILERPLATE = _COMMENTS | _STRONG | frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login footer masthead toolbar pagination pager widget widgets alert search skip contentinfo complementary sharing social related recommended recommendations share".split())
 #: Words that only say where or what kind of box an element is. A name is boilerplate if it has a word of the list above and else only such ones.
 _NEUTRAL = frozenset("a area article articles bar block blog body bottom box btn button buttons card cards cell col column container content data desktop div el element entry fixed floating form global group header heading holder icons id in inner item items js large layout left line link links list main media mobile module nav news next on out outer panel part pane post posts prev previous primary region right row rows secondary section site slot small sticky story stories strip tab text thread title top ui ul unit user view wrap wrapper zone page pages".split())
 _ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
@@ -58,11 +63,18 @@ def _names(said: str) -> set[str]:
     out: set[str] = set()
     for name in said.split():
         words = _WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
-        if not set(words).isdisjoint(_BOILERPLATE) and all(w in _BOILERPLATE or w in _NEUTRAL for w in words):
+        words = [next((c for c in ("comments", "comment") if w.endswith(c)), w) for w in words]
+        strong = not _STRONG.isdisjoint(words) and _WITHOUT.isdisjoint(words)
+        if strong or not set(words).isdisjoint(_BOILERPLATE) and all(w in _BOILERPLATE or w in _NEUTRAL for w in words):
             out |= set(words) & _BOILERPLATE
     return out
 
 
+def _site_header(names: str) -> bool:
+    """Whether a name is that of the header of a page or site, and not of an article."""
+    return any(set(words) <= {"header", "site", "global", "top", "main", "sticky", "desktop", "mobile"} and "header" in words for name in names.lower().split() for words in [_WORDS.findall(name)])
+
+
 @dataclass
 class Block:
     text: str
@@ -157,10 +169,7 @@ class _Reader:
         named = up.named if up else frozenset()
         self.made += 1
         if names and tag not in ("html", "body", "article", "main"):
-            found = _names(names)
-            if found & _COMMENTS:
-                out = True
-            elif found or not article and "header" in names.lower().split():
+            if _names(names) or not article and _site_header(names):
                 named |= {self.made}
         self.stack.append(_Element(tag, self.made, f"{tag}.{said}" if said else tag, out, article, named))
 
@@ -221,8 +230,8 @@ def path_scores(blocks: list[Block]) -> np.ndarray:
     return np.sqrt(np.maximum(length[which], 0) * smooth(length[which])) * (1 + np.sqrt(marks[which] * smooth(marks[which])))
 
 
-def content(blocks: list[Block], threshold: float = 0.2) -> list[Block]:
-    """The article's blocks."""
+def content(blocks: list[Block], threshold: float = 0.2, share: float = 0.6) -> list[Block]:
+    """The article's blocks. share: so much of the text of paths over the threshold makes an article or main the article."""
     if not blocks:
         return []
     scores = path_scores(blocks)
@@ -230,6 +239,13 @@ def content(blocks: list[Block], threshold: float = 0.2) -> list[Block]:
     chosen = np.flatnonzero(scores >= threshold * np.average(scores, weights=size))
     if not len(chosen):
         return []
+    of_article: dict[int, int] = {}
+    for i in chosen:
+        if (a := blocks[i].article) is not None:
+            of_article[a] = of_article.get(a, 0) + size[i]
+    most = max(of_article, key=of_article.get, default=None)
+    if most is not None and of_article[most] >= share * size[chosen].sum():
+        return [b for b in blocks if most in b.inside]
     # the elements that hold all chosen blocks, without a block's own
     common = [e for e, *others in zip(*(blocks[i].inside[:-1] for i in chosen), strict=False) if all(e == x for x in others)]
     article = blocks[chosen[0]].article

@@ -7,6 +7,8 @@ import pytest
 
 from glossaflow.llm import html_extraction as H
 
+from . import edges
+
 CHROME = '<nav><ul><li><a href="/a">Home</a><li><a href="/b">News, sport</a></ul></nav><div class="cookie-notice">We use cookies. Really, we do.</div>'
 AFTER = '<div id="comments"><p>First comment, quite long, with marks, too.</p></div><aside>About us.</aside><form><p>Name, mail, word.</p><input></form><footer>&copy; us.</footer>'
 ARTICLE = ["A headline", "First paragraph, with a link here, and more text that goes on.", "Second one & its text; it is a little longer, so that it is more of it.", "Short."]
@@ -89,3 +91,69 @@ def test_rows(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in H.extract(df).collect()) == [(0, "", 0), (1, "", 0), (1, "a, b.", 5), (1, "a, b.", 5)]
     assert H.extract(df.limit(0)).count() == 0
+
+
+_PARAGRAPH = "This is a sentence of the article, and it goes on for a while; then it ends here. " * 4
+_BODY = [f"{i} {_PARAGRAPH}".strip() for i in range(10)]
+_BOX = "Words that stand in a box beside the article, with some marks, and of some length. They are no part of it. " * 2
+_NAMED = ["adsbygoogle", "div-gpt-ad-1", "ad-728x90", "fb-comments", "reader-comments", "usercomments", "google-ad", "native-ad", "onetrust-banner-sdk", "cookie-law-info-bar", "legal-notice", "paywall-notice", "userComments"]
+
+
+def _page(before="", inside="", after="", tag="article"):
+    paragraphs = "".join(f"<p>{x}</p>" for x in _BODY)
+    return f"<html><body>{before}<{tag}>{paragraphs}{inside}</{tag}>{after}</body></html>"
+
+
+@pytest.mark.parametrize("name", [*_NAMED, "site-header", "page-header", "discussion", "zorp-quux", ""])
+def test_a_box_beside_an_article(name):
+    """Whatever its name is, and though its text reads like an article's."""
+    box = f'<div class="{name}"><p>{_BOX}</p></div>'
+    want = "\n\n".join(_BODY)
+    assert H.main_text(_page(before=box)) == want
+    assert H.main_text(_page(after=box)) == want
+    assert H.main_text(_page(before=box, tag="main")) == want
+
+
+@pytest.mark.parametrize("name", _NAMED)
+def test_a_named_box_inside_an_article(name):
+    for box in (f'<div class="{name}"><p>{_BOX}</p></div>', f'<section id="{name}">{_BOX}</section>'):
+        assert H.main_text(_page(inside=box)) == "\n\n".join(_BODY)
+
+
+@pytest.mark.parametrize("name", ["no-comments", "has-ads", "with-sidebar", "post-body", "share-price-table", "search-theory"])
+def test_a_name_that_says_something_else(name):
+    assert H.main_text(_page(inside=f'<div class="{name}"><p>{_BOX}</p></div>')) == "\n\n".join([*_BODY, _BOX.strip()])
+
+
+@pytest.mark.parametrize("name", ["comments", "replies", "discussion-comments", "ads"])
+def test_an_article_in_an_element_with_a_wrong_name(name):
+    paragraphs = "".join(f"<p>{x}</p>" for x in _BODY)
+    assert H.main_text(f'<html><body><div id="{name}">{paragraphs}</div></body></html>') == "\n\n".join(_BODY)
+
+
+def test_comments_that_are_longer_than_the_article():
+    comments = "".join(f'<div class="comment"><b>name {i}</b><p>{_PARAGRAPH}</p></div>' for i in range(30))
+    assert H.main_text(_page(after=f'<div id="comments">{comments}</div>')) == "\n\n".join(_BODY)
+
+
+def ratios(blocks):
+    """Fused ratios by plain loops: of each path the means, smoothed with the two blocks to either side."""
+    import math
+
+    own = [len(b.text) - b.linked for b in blocks]
+    marks = [sum(c in ".,;:!?…。，、；：！？" for c in b.text) for b in blocks]
+    mean = lambda values, path: sum(v for v, b in zip(values, blocks, strict=True) if b.path == path) / sum(b.path == path for b in blocks)
+    length, punctuation = ([mean(v, b.path) for b in blocks] for v in (own, marks))
+    weights = {d: math.exp(-d * d / 2) for d in range(-2, 3)}
+    whole = sum(weights.values())
+    at = lambda v, i: v[min(max(i, 0), len(v) - 1)]
+    smooth = lambda v, i: sum(w * at(v, i + d) for d, w in weights.items()) / whole
+    return [math.sqrt(max(length[i], 0) * smooth(length, i)) * (1 + math.sqrt(punctuation[i] * smooth(punctuation, i))) for i in range(len(blocks))]
+
+
+def test_scores_equal_plain_loops(spark):
+    pages = [r.html for r in spark.read.parquet(f"{edges.SF}/pages.parquet").collect()] + [_page(), _page(before="<ul><li>a<li>b</ul>")]
+    for page in pages:
+        blocks = H.read(page)
+        if blocks:
+            assert H.path_scores(blocks) == pytest.approx(ratios(blocks))
