@@ -6,7 +6,9 @@ and the SQL states them as VALUES and does its own overlay.
 
 from __future__ import annotations
 
+import contextlib
 import json
+import os
 import re
 from collections.abc import Callable
 
@@ -883,6 +885,16 @@ class _Back:
         return tp.Response(200, request.body)
 
 
+@contextlib.contextmanager
+def _registered(where: dict, name: str, function):
+    """An addition for as long as plans are made with it."""
+    where[name] = function
+    try:
+        yield
+    finally:
+        del where[name]
+
+
 def _own_builder(settings: dict, text: Column, options: dict, prompts: Prompts) -> Column:
     return F.to_json(F.struct(text.alias("t")))
 
@@ -896,13 +908,75 @@ def _own_parser(body: Column, settings: dict) -> Column:
 @query("SELECT doc_id, text AS result, CASE WHEN text IS NULL THEN 'no_text' END AS error FROM documents")
 def vendor_added(spark, sf_dir):
     """A service that the package doesn't know: its builder, its parser and an entry of the registry."""
-    requests.BUILDERS["own"], responses.PARSERS["own"] = _own_builder, _own_parser
     registry = models.Registry()
     registry.models["own:model"] = {"vendor": "own", "endpoint": "http://own"}
-    out = translate(table(spark, sf_dir, "documents"), Job("own:model", filters=["url"], registry=registry), _Back())
+    with _registered(requests.BUILDERS, "own", _own_builder), _registered(responses.PARSERS, "own", _own_parser):
+        out = translate(table(spark, sf_dir, "documents"), Job("own:model", filters=["url"], registry=registry), _Back())
     return out.select("doc_id", "result", F.col("error.code").alias("error"))
 
 
+def _balanced(text: Column) -> Column:
+    """A format of its own: as many opening braces as closing ones."""
+    count = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
+    same = count("{") == count("}")
+    return F.when(text.isNotNull(), F.struct(same.alias("valid"), F.when(same, F.array().cast("array<string>")).otherwise(F.array(F.lit("braces differ"))).alias("errors")))
+
+
+@query("""SELECT event_id, valid, CASE WHEN valid THEN 0 ELSE 1 END::BIGINT AS n_errors FROM (
+SELECT event_id, length(t) - length(replace(t, '{', '')) = length(t) - length(replace(t, '}', '')) AS valid FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '{' || props ELSE props END AS t FROM events))""")
+def validator_added(spark, sf_dir):
+    """A validator for a format that the package doesn't know."""
+    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("{"), "props")).otherwise(F.col("props"))
+    with _registered(validation.VALIDATORS, "braces", _balanced):
+        df = table(spark, sf_dir, "events").select("event_id", validation.container_result(text, "braces").alias("r"))
+    return df.select("event_id", "r.valid", F.size("r.errors").cast("bigint").alias("n_errors"))
+
+
+_OWN_MODELS = """
+house:
+  endpoint: http://house/v1
+  format: json
+  defaults: {target_lang: SV, temperature: 0}
+  requirements: {auth: {type: header, key_name: X-Key, env: HOUSE_KEY}}
+  limits: {estimated_max_chars: 5000}
+  models:
+    small: {}
+    large: {endpoint: http://house/v2, defaults: {target_lang: FI}, limits: {estimated_max_chars: 9000, max_tokens: 4000}}
+"""
+_OWN_PROMPTS = """
+brief:
+  text: "From {source} to {target}."
+  notes: Short ones
+"""
+
+
+def _written(content: str) -> str:
+    """A file on the driver, where registries and prompts are read."""
+    import tempfile
+
+    with tempfile.NamedTemporaryFile("w", suffix=".yaml", delete=False) as f:
+        f.write(content)
+    return f.name
+
+
+@query("""SELECT doc_id, model_key, CASE model_key WHEN 'house:small' THEN 'http://house/v1' ELSE 'http://house/v2' END AS endpoint, CASE model_key WHEN 'house:small' THEN 3000 ELSE 7000 END::BIGINT AS net_limit,
+length(text) <= CASE model_key WHEN 'house:small' THEN 3000 ELSE 7000 END AS fits, 'From ' || lang || ' to ' || CASE model_key WHEN 'house:small' THEN 'SV' ELSE 'FI' END || '.' AS prompt FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'house:small' ELSE 'house:large' END AS model_key FROM documents)""")
+def yaml_swapped(spark, sf_dir):
+    """Models and prompts from files of one's own, over all documents."""
+    paths = [_written(_OWN_MODELS), _written(_OWN_PROMPTS)]
+    try:
+        registry, prompts = models.Registry(paths[0]), Prompts(paths[1])
+    finally:
+        for path in paths:
+            os.unlink(path)
+    held = registry.frame(spark)
+    gross = limits.gross_limit(F.col("limits.estimated_max_chars"), F.col("limits.max_tokens"), F.col("limits.max_output_tokens"))
+    held = held.select("model_key", "endpoint", limits.net_limit(gross).cast("bigint").alias("net_limit"), F.element_at("defaults", "target_lang").alias("target"))
+    docs = table(spark, sf_dir, "documents").withColumn("model_key", F.when(F.col("doc_id") % 2 == 0, "house:small").otherwise("house:large"))
+    out = docs.join(F.broadcast(held), "model_key")
+    return out.select("doc_id", "model_key", "endpoint", "net_limit", limits.fits(F.col("text"), F.col("net_limit")).alias("fits"), prompts.render("brief", "text", {"source": F.col("lang"), "target": F.col("target")}).alias("prompt"))
+
+
 # --- running totals, sketches, event time, SQL functions ------------------------------
 
 
