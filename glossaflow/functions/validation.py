@@ -10,6 +10,7 @@ import json
 import re
 from collections.abc import Callable
 from functools import cache
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -107,15 +108,28 @@ def signature(text: str) -> str | None:
 #: Fixed values of HTML: elements without an end tag, and those whose end tag may be left out.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr basefont frame isindex".split())
 _OPTIONAL_END = frozenset("p li dt dd option optgroup thead tbody tfoot tr td th colgroup body html head".split())
+#: Fixed values of HTML: what a start tag ends by itself if it is the innermost open element.
+_ENDS = {
+    "p": "address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dt dd".split(),
+    "li": ["li"], "dt": ["dt", "dd"], "dd": ["dt", "dd"], "option": ["option", "optgroup"], "optgroup": ["optgroup"], "td": ["td", "th", "tr", "tbody", "tfoot"], "th": ["td", "th", "tr", "tbody", "tfoot"],
+    "tr": ["tr", "tbody", "tfoot"], "thead": ["tbody", "tfoot"], "tbody": ["tbody", "tfoot"], "tfoot": ["tbody"], "colgroup": ["thead", "tbody", "tfoot", "tr", "td"], "head": ["body"],
+}
+_ENDED = {tag: frozenset(k for k, v in _ENDS.items() if tag in v) for tag in {x for v in _ENDS.values() for x in v}}
+#: Fixed values of HTML: elements that hold cells only through others, and what may stand in them; all else a browser puts before the table.
+_TABLE = frozenset("table thead tbody tfoot tr".split())
+_IN_TABLE = frozenset("caption colgroup col thead tbody tfoot tr td th script style template form input".split())
 #: Fixed value: the pattern of a whole document's begin.
 FULL_DOCUMENT = r"(?i)^\s*<(?:!DOCTYPE|html)(\s|>)"
 
 
 class _Checker(HTMLParser):
+    """The open elements of a page, from the outermost, and what is wrong with its tags."""
+
     def __init__(self):
         super().__init__(convert_charrefs=False)
         self.open: list[str] = []
         self.errors: list[str] = []
+        self.ids: set[str | None] = set()
 
     def handle_starttag(self, tag, attrs):
         if "<" in (self.get_starttag_text() or "")[1:]:
@@ -123,12 +137,23 @@ class _Checker(HTMLParser):
         names = [k for k, _ in attrs]
         for name in {n for n in names if names.count(n) > 1}:
             self.errors.append(f"attribute {name} of {tag} is given twice")
+        for name in {n for n in names if re.search("[\"'=]", n)}:
+            self.errors.append(f"attribute {name} of {tag} has a name that is none")
+        held = dict(attrs).get("id")
+        if held is not None and held in self.ids:
+            self.errors.append(f"id {held} is given twice")
+        self.ids.add(held)
+        while self.open and self.open[-1] in _ENDED.get(tag, ()):
+            self.open.pop()
+        if self.open and self.open[-1] in _TABLE and tag not in _IN_TABLE:
+            self.errors.append(f"{tag} stands in {self.open[-1]}, outside of a cell")
         if tag not in _VOID:
             self.open.append(tag)
 
     def handle_startendtag(self, tag, attrs):
-        if "<" in (self.get_starttag_text() or "")[1:]:
-            self.errors.append(f"tag {tag} is not closed by >")
+        self.handle_starttag(tag, attrs)
+        if tag not in _VOID:
+            self.open.pop()
 
     def handle_endtag(self, tag):
         if tag in _VOID:
@@ -144,15 +169,43 @@ class _Checker(HTMLParser):
                 self.errors.append(f"end tag {tag} comes before that of {last}")
 
     def handle_data(self, data):
-        if re.search(r"<(?![A-Za-z/!?])", data) and self.cdata_elem is None:
-            self.errors.append("a < that begins no tag")
+        if self.cdata_elem is None:
+            if re.search(r"<(?![A-Za-z/!?])", data):
+                self.errors.append("a < that begins no tag")
+            if self.open and self.open[-1] in _TABLE and not data.isspace():
+                self.errors.append(f"text stands in {self.open[-1]}, outside of a cell")
 
     def handle_entityref(self, name):
-        pass
+        self.handle_data(name)
+
+    def handle_charref(self, name):
+        self.handle_data(name)
+
+
+_REFERENCE = re.compile(r"<!--|<(script|style)(?=[\s/>])|&(?:(#(?:[xX][0-9A-Fa-f]+|[0-9]+))|(#?[A-Za-z][A-Za-z0-9]*))?(;?)", re.I)
+
+
+def reference_errors(text: str) -> list[str]:
+    """What is wrong with character references, in texts and attributes, outside of comments, scripts and styles."""
+    out, at = [], 0
+    while m := _REFERENCE.search(text, at):
+        at = m.end()
+        if m[0] == "<!--" or m[1]:
+            ends = re.compile("-->" if m[0] == "<!--" else f"</{m[1]}", re.I).search(text, at)
+            if not ends:
+                break
+            at = ends.end()
+        elif m[2] is None and m[3] is None:
+            out.append("a & that begins no reference")
+        elif not m[4]:
+            out.append(f"reference &{m[2] or m[3]} is not ended by ;")
+        elif m[3] and m[3] + ";" not in html5:
+            out.append(f"reference &{m[3]}; is not known")
+    return out
 
 
 def html_errors(text: str) -> list[str]:
-    """What is wrong in an HTML document or fragment; an approximation of a parser's error list: broken tags, end tags that don't match, doubled attributes."""
+    """What is wrong in an HTML document or fragment: broken tags and attributes, end tags that don't match, what stands in a table outside of its cells, doubled attributes and ids, character references. Names of elements are free. An approximation of a parser's error list, from the tags in their order; no tree is made."""
     checker = _Checker()
     try:
         checker.feed(text if re.match(FULL_DOCUMENT, text, re.A) else f"<div>{text}</div>")
@@ -163,7 +216,7 @@ def html_errors(text: str) -> list[str]:
     if rest.startswith("<") and len(rest) > 1:
         checker.errors.append("the last tag has no end")
     checker.errors += [f"{tag} is not ended" for tag in reversed(checker.open) if tag not in _OPTIONAL_END]
-    return checker.errors
+    return checker.errors + reference_errors(text)
 
 
 def is_full_document(text: Column) -> Column:

@@ -98,6 +98,54 @@ def test_html():
         assert validation.html_errors(text), text
 
 
+@pytest.mark.parametrize(
+    ("text", "words"),
+    [
+        ("<table><tr><td>a</td></tr>x</table>", ["text", "table"]),
+        ("<table><b>a</b><tr><td>b</table>", ["b", "table"]),
+        ("<table><tr>&amp;<td>b</table>", ["text", "tr"]),
+        ("<b><i>x</b>y</i>", ["comes before that of i"]),
+        ("<p>a<div>b</div></p>", ["end tag p closes nothing"]),
+        ("<p a='1' A='2'>x", ["given twice"]),
+        ("<p a\"b=1>x", ["has a name that is none"]),
+        ("<i id=x></i><b id=x></b>", ["id x"]),
+        ("a & b", ["begins no reference"]),
+        ("<a href='?a=1&b=2'>x</a>", ["&b is not ended"]),
+        ("&copy x", ["&copy is not ended"]),
+        ("&nosuch;", ["&nosuch; is not known"]),
+        ("&#xZZ;", ["reference"]),
+        ("<section/>x</section>", ["end tag section closes nothing"]),
+    ],
+)
+def test_html_errors_by_kind(text, words):
+    errors = validation.html_errors(text)
+    assert any(all(w in e for w in words) for e in errors), errors
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "<table><caption>c</caption><thead><tr><th>a<th>b<tbody><tr><td><b>x</b>y<td>z</table>",
+        "<table>\n<tr>\n<td>a</td>\n</tr>\n</table>",
+        "<my-element><xyz a=1>x</xyz></my-element>",
+        "<script>if (a && b) x('&nosuch;')</script><!-- & &x; --><style>a > b & c</style>",
+        "&amp; &#169; &#xA9; &NotEqualTilde;",
+        "<p>a<ul><li>b<li>c</ul><dl><dt>d<dd>e<dt>f</dl><select><option>g<option>h</select>",
+        "<p>a<p>b</p><p a='1' b=\"2\" c=3 d>",
+        "<!-- <b> -->",
+    ],
+)
+def test_html_without_errors(text):
+    assert validation.html_errors(text) == []
+
+
+def test_html_errors_take_linear_time():
+    for text in ("<p>" * 50_000, "<table><tr>" * 30_000, "&" * 200_000, "<!--" * 50_000, "<b>x</b>" * 30_000):
+        began = time.monotonic()
+        validation.html_errors(text)
+        assert time.monotonic() - began < 10, text[:8]
+
+
 def test_usage(spark):
     cases = {'"3.7"': 3, "true": 0, "null": 0, '"1e3"': 1000, '" 12 "': 12, '"1d"': 0, '"NaN"': 0, "9007199254740993": 9007199254740993, '{"x":1}': 0, '"x"': 0, "-2.9": -2, '""': 0}
     df = spark.createDataFrame([(k, v) for k, v in cases.items()], "t string, n long")
