@@ -168,7 +168,10 @@ def runs_of(ids: np.ndarray, row: np.ndarray, least: Least = Least()) -> np.ndar
         else:  # two stretches with one hash
             i = np.searchsorted(begins, a, "right") - 1
             out += [x for x in _plainly(ids, begins[i], ends[i], q, least) if x[0] < b and x[1] > a]
-    return np.unique(np.array(out, np.int64).reshape(-1, 3), axis=0)
+    found = np.unique(np.array(out, np.int64).reshape(-1, 3), axis=0)
+    # what was found word by word may be a run of a lesser period too
+    found = found[np.concatenate([[True], (found[1:, :2] != found[:-1, :2]).any(1)])[: len(found)]]
+    return found[np.lexsort((found[:, 2], found[:, 0]))]
 
 
 def words_of(texts) -> tuple:
