@@ -313,12 +313,12 @@ def call_once(df: DataFrame, transport: Transport, store: str, callers: int | No
     """As call(), with answers kept in the folder store: a request that has an answer of a status below 400 there is not sent again. All else that came back is in the store too, for this run alone. df is computed once, into a table in work (a new folder that goes when this process ends), from which the result is read."""
     spark, run = df.sparkSession, uuid.uuid4().hex
     work = work or scratch.temporary(spark, "requests")
-    columns, of_hash = df.columns, df.withColumn("request_hash", request_hash())
-    of_hash = of_hash.withColumn("prefix", F.substring("request_hash", 1, _PREFIX))
+    columns = df.columns
+    of_hash = df.withColumn("_request_hash", request_hash()).withColumn("_prefix", F.substring("_request_hash", 1, _PREFIX))
     of_hash.write.parquet(f"{work}/asked")
     asked = spark.read.schema(of_hash.schema).parquet(f"{work}/asked")
-    wanted = {r[0] for r in asked.where("prefix is not null").select("prefix").distinct().collect()}
-    fresh = asked.where("request is not null").groupBy("prefix", "request_hash").agg(F.first("request").alias("request"))
+    wanted = {r[0] for r in asked.where("_prefix is not null").select("_prefix").distinct().collect()}
+    fresh = asked.where("request is not null").groupBy(F.col("_prefix").alias("prefix"), F.col("_request_hash").alias("request_hash")).agg(F.first("request").alias("request"))
     known = stored(spark, store, wanted)
     if known is not None:
         fresh = fresh.join(known.where("good").select("request_hash"), "request_hash", "left_anti").select("prefix", "request_hash", "request")
@@ -341,7 +341,7 @@ def call_once(df: DataFrame, transport: Transport, store: str, callers: int | No
     if answers is None:
         return asked.select(*[F.col(f"`{c}`") for c in columns], F.lit(None).cast(RESPONSE_TYPE).alias("response"), F.lit(None).cast("string").alias("failure"))
     mine = answers.where(F.col("good") | (F.col("run") == run)).groupBy("request_hash").agg(F.max_by(F.struct("response", "failure"), F.struct("good", "run")).alias("_answer"))
-    out = asked.join(mine, "request_hash", "left")
+    out = asked.join(mine.withColumnRenamed("request_hash", "_request_hash"), "_request_hash", "left")
     lost = F.when(F.col("request").isNotNull() & F.col("_answer").isNull(), F.lit("no answer"))
     return out.select(*[F.col(f"`{c}`") for c in columns], F.col("_answer.response").alias("response"), F.coalesce("_answer.failure", lost).alias("failure"))
 
