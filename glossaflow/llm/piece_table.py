@@ -143,7 +143,7 @@ BLOCK_TYPE = "block long, bucket int, n long, size long, payload binary, buckets
 
 
 def common_chunks(docs: DataFrame, size: int, model: str, most: int, sample_bytes: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """At most so many of the commonest short chunks in a sample of so many bytes by hash of the text, the line feed first; how many ids each has, and these."""
+    """At most so many of the commonest short chunks in a sample of so many bytes by hash of id and text, the line feed first; how many ids each has, and these."""
 
     def counted(batches):
         from collections import Counter
@@ -160,8 +160,8 @@ def common_chunks(docs: DataFrame, size: int, model: str, most: int, sample_byte
                 seen = Counter()
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["chunk", "n"])
 
-    share = int(1_000_000 * min(1.0, sample_bytes / max(size, 1)))
-    held = docs.where((F.col("text") != "") & (F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share)).select("text")
+    share = int(2**63 * min(1.0, sample_bytes / max(size, 1)))
+    held = docs.where((F.col("text") != "") & (F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1) <= share - 1)).select("text")
     every = held.mapInArrow(tidy(counted), "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n")).where("n > 1")
     best = [r.chunk for r in every.where(F.col("chunk") != BREAK).orderBy(F.desc("n"), "chunk").limit(most).collect()]
     ids = segment([BREAK, *best], model)
