@@ -371,19 +371,21 @@ def _cell(n: Column) -> Column:
 
 
 def _cells(left: DataFrame, how: Join) -> tuple[DataFrame, DataFrame]:
-    """Rows of long lists as members a and b of pairs: b by the cell of its size, a by all cells of sizes with which it can be linked by sharing at most its number common."""
+    """Rows of long lists as members a and b of pairs: b by the cell of its size, a by all cells of sizes, lo to hi, with which it can be linked by sharing at most its number common. before: the set's lists that are shorter than this one."""
     n = F.col("n")
     most = F.floor(F.col("common") * (how.den + how.num) / how.num) - n
     lo, hi = F.ceil(n * how.num / how.den), F.least(F.floor(n * how.den / how.num), most)
-    narrowed = left.withColumns({"lo": lo.cast("int"), "hi": hi.cast("int")})
-    a, b = _sides(left.withColumn("cell", _cell(n)), narrowed.where("lo <= hi").withColumn("cell", F.explode(F.sequence(_cell(F.col("lo")), _cell(F.col("hi"))))))
+    shorter = Window.partitionBy("sid").orderBy("members", "token").rowsBetween(Window.unboundedPreceding, -1)  # at most a set's prefix
+    narrowed = left.withColumns({"lo": lo.cast("int"), "hi": hi.cast("int"), "before": F.collect_list("token").over(shorter)})
+    a, b = _sides(narrowed.withColumn("cell", _cell(n)), narrowed.where("lo <= hi").withColumn("cell", F.explode(F.sequence(_cell(F.col("lo")), _cell(F.col("hi"))))))
     return a, b
 
 
 def _cell_pairs(left: DataFrame, how: Join) -> DataFrame:
-    """(u, v): what may be linked of any two members of a long list that are in different components and have no short list in common."""
+    """(u, v): what may be linked of any two members of a long list that are in different components and have no short list in common. Two sets meet once: in the shortest of their common lists, and from one side if both reach each other."""
     a, b = _cells(left, how)
-    met = a.join(b, (a["token"] == b["token"]) & (F.col("acell") == F.col("bcell")) & (F.col("asid") != F.col("bsid")) & (F.col("acomp") != F.col("bcomp")) & F.col("bn").between(F.col("alo"), F.col("ahi")) & _may_link("a", "b", how) & _bits_allow(how))
+    reached = F.col("bn").between(F.col("alo"), F.col("ahi")) & ((F.col("asid") < F.col("bsid")) | (F.col("asid") > F.col("bsid")) & ~F.col("an").between(F.col("blo"), F.col("bhi")))
+    met = a.join(b, (a["token"] == b["token"]) & (F.col("acell") == F.col("bcell")) & reached & (F.col("acomp") != F.col("bcomp")) & _may_link("a", "b", how) & _bits_allow(how) & ~F.arrays_overlap("abefore", "bbefore"))
     return met.select(F.least("asid", "bsid").alias("u"), F.greatest("asid", "bsid").alias("v")).distinct()
 
 
