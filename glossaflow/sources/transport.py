@@ -322,8 +322,8 @@ def call_once(df: DataFrame, transport: Transport, store: str, callers: int | No
     known = stored(spark, store, wanted)
     if known is not None:
         fresh = fresh.join(known.where("good").select("request_hash"), "request_hash", "left_anti").select("prefix", "request_hash", "request")
-    # what is to be asked is written once, by prefix
-    fresh.hint("rebalance", "prefix").write.partitionBy("prefix").parquet(f"{work}/fresh")
+    # what is to be asked is written once, each prefix in one file or few
+    fresh.hint("rebalance", "prefix").sortWithinPartitions("prefix", "request_hash").write.parquet(f"{work}/fresh")
     fresh = spark.read.schema(f"request_hash string, request {REQUEST_TYPE}, prefix string").parquet(f"{work}/fresh")
     # a batch keeps all callers busy for a while, and has whole prefixes
     n, tasks = fresh.count(), callers or spark.sparkContext.defaultParallelism
