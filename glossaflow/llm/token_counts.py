@@ -10,10 +10,12 @@ them:
   compose by a parallel prefix scan, and then each chunk is run once from the
   state in which it really begins.
 * ``PairTransducer`` reads the bytes of a pretoken. Its state is the last token
-  of the encoding of what it has read, for as many places back as the longest
-  token; the transition that appends token t after a compatible token adds one
-  to the count of the shorter prefix. Results are kept for pretokens seen
-  before, up to a bound.
+  of the encoding of each prefix after which a token can still be under way, and
+  how many tokens these have fewer than the whole; a transition is annotated
+  with the tokens that its byte adds. States and transitions are compiled when
+  they are first met, and forgotten beyond a bound: a long run of one byte comes
+  back to the same states, so it costs a look-up a byte. Results are kept for
+  pretokens seen before, up to a bound.
 
 Defined results: a null or empty text has no tokens; the special string of the
 vocabulary counts as one token wherever it stands, as in the library;
@@ -148,11 +150,17 @@ def pretoken_begins(classes: np.ndarray, chunk: int = 256) -> np.ndarray:
 
 
 class PairTransducer(dict):
-    """Pretoken to its number of tokens; computed on first sight."""
+    """Pretoken to its number of tokens; computed on first sight.
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 1_000_000):
+    states: the bytes at the end that begin some token, and for the prefix before each of them, and for the whole, its
+    last token and how many tokens fewer than the whole it has.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], most: int = 1_000_000, most_states: int = 50_000):
         super().__init__()
-        self.ranks, self.most, self.longest = ranks, most, max(map(len, ranks))
+        self.ranks, self.most, self.most_states = ranks, most, most_states
+        self.begun = {token[:i] for token in ranks for i in range(1, len(token))}
+        self._forget()
         self.parts, self.pairs = self._splits(), {}
         self.joined = {v: k for k, v in self.parts.items()}
 
@@ -199,19 +207,42 @@ class PairTransducer(dict):
         self.pairs[key] = ok
         return ok
 
+    def move(self, state: int, byte: int) -> tuple[int, int]:
+        """The state after one more byte and the tokens that it adds; found once, kept as a transition."""
+        open_, last, less = self.states[state]
+        read, ranks = open_ + bytes([byte]), self.ranks
+        for i in range(len(read)):
+            token = ranks.get(read[i:])
+            if token is not None and (last[i] < 0 or self.compatible(last[i], token)):
+                break
+        more = 1 - less[i]
+        while read and read not in self.begun:
+            read = read[1:]
+        kept = len(last) - len(read)
+        made = read, (*last[kept:], token), (*[x + more for x in less[kept:]], 0)
+        full = len(self.states) >= self.most_states
+        if full:
+            self._forget()
+        to = self.numbers.setdefault(made, len(self.states))
+        if to == len(self.states):
+            self.states.append(made)
+        if not full:
+            self.moves[state << 8 | byte] = to, more
+        return to, more
+
+    def _forget(self) -> None:
+        """No states but the first, in which nothing is read."""
+        self.states, self.moves = [(b"", (-1,), (0,))], {}
+        self.numbers = {self.states[0]: 0}
+
     def count(self, piece: bytes) -> int:
-        ranks = self.ranks
-        if piece in ranks:
+        if piece in self.ranks:
             return 1
-        longest, n = self.longest, len(piece)
-        last, counts = [-1] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            for begin in range(max(0, end - longest), end):
-                token = ranks.get(piece[begin:end])
-                if token is not None and (begin == 0 or self.compatible(last[begin], token)):
-                    last[end], counts[end] = token, counts[begin] + 1
-                    break
-        return counts[n]
+        state = n = 0
+        for byte in piece:
+            state, more = self.moves.get(state << 8 | byte) or self.move(state, byte)
+            n += more
+        return n
 
     def __missing__(self, text: str) -> int:
         out = self.count(text.encode())

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import struct
+import time
 from collections import Counter
 
 import numpy as np
@@ -40,6 +41,25 @@ def test_counts_of_random_strings(tokenizer):
     assert token_counts.count_tokens(texts, counter, special).tolist() == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+def test_long_runs_come_back_to_the_same_states(tokenizer):
+    counter, special = token_counts.compiled(JSON)
+    token_counts.code_classes()
+    random = "".join(np.random.default_rng(5).choice(list("abcdefghijklmnopqrstuvwxyz"), 20_000))
+    for text in (" " * 300_000, "\n" * 100_000, "a" * 100_000, "-=" * 50_000, "\u3000" * 50_000, random):
+        before, began = len(counter.states), time.process_time()
+        assert token_counts.count_tokens([text], counter, special)[0] == len(tokenizer.encode(text, add_special_tokens=False).ids)
+        if text is not random:
+            assert time.process_time() - began < 5 and len(counter.states) < before + 1000
+
+
+def test_states_are_forgotten_beyond_the_bound():
+    counter, _ = token_counts.compiled(JSON)
+    few = token_counts.PairTransducer(counter.ranks, most=100, most_states=20)
+    for text in ("unforgettablenesses" * 40, "漢字かな交じり文" * 30, "zqxjkv" * 50):
+        assert few.count(text.encode()) == counter.count(text.encode())
+        assert len(few.states) <= 20
+
+
 def test_chunk_maps_compose(tokenizer):
     classes = np.random.default_rng(4).integers(0, token_counts.N_CLASSES, 5000).astype(np.uint8)
     whole = token_counts.pretoken_begins(classes, chunk=8192)
