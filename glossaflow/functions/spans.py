@@ -141,7 +141,7 @@ _SHARED = f"{MARK}[0-9]+{MARK}@?[0-9]+{MARK}"
 _JOINING = rf"{_SHARED}|{MARK}[0-9]+@?\z|\A@?[0-9]+@|\A[@0-9]*\z"
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of a value that is computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -168,7 +168,7 @@ def _in_one_pass(text: Column, step: Column) -> Column:
 
         return F.array_join(F.transform(F.split(text, f"{MARK}[0-9]+{MARK}", -1), with_span), "")
 
-    return _let(digits, opened)
+    return let(digits, opened)
 
 
 def _run_together(text: Column, step: Column) -> Column:
@@ -184,7 +184,7 @@ def _put_back(text: Column, step: Column) -> Column:
         nothing = step.isNull() | (F.size(step["found"]) == 0) | ~t.contains(MARK)
         return F.when(nothing, t).when(_run_together(t, step), _folded(t, step)).otherwise(_in_one_pass(t, step))
 
-    return _let(text, opened)
+    return let(text, opened)
 
 
 def restore(text: Column, spans: Column, n_filters: int) -> Column:

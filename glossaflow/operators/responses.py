@@ -2,17 +2,20 @@
 
 usage is the service's own usage object, or null. error is null or
 struct(code, message); the ladder of each service goes from the body's form
-over the service's own errors to the missing marks.
+over the service's own errors to the missing marks. A body is decoded once, and
+so is what stands at a path that several steps look at.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.spans import let
 
 
 def decoded(body: Column) -> Column:
@@ -33,13 +36,12 @@ def kind(part: Column) -> Column:
 
 def string_at(data: Column, path: str) -> Column:
     """The string at a path; null if it is anything else."""
-    return F.when(kind(at(data, path)) == "STRING", F.try_variant_get(data, path, "string"))
+    return let(F.try_variant_get(data, path, "variant"), lambda part: F.when(kind(part) == "STRING", F.try_variant_get(part, "$", "string")))
 
 
 def said_at(data: Column, path: str) -> Column:
     """What stands at a path as text: strings as they are, other parts as JSON."""
-    part = at(data, path)
-    return F.when(kind(part) == "STRING", F.try_variant_get(data, path, "string")).otherwise(F.to_json(part))
+    return let(at(data, path), lambda part: F.when(kind(part) == "STRING", F.try_variant_get(part, "$", "string")).otherwise(F.to_json(part)))
 
 
 def is_container(data: Column) -> Column:
@@ -58,12 +60,26 @@ def _ladder(steps: list[Step]) -> Column:
     return out
 
 
-def _result(content: Column, usage: Column, steps: list[Step], marked: bool = True) -> Column:
-    if marked:
-        steps = [*steps, (~F.coalesce(tx.has_marks(content), F.lit(False)), "no_marks", F.lit("the marks around the translation are missing"))]
-    error = _ladder(steps)
-    text = tx.unwrap(content) if marked else content
-    return F.struct(F.when(error.isNull(), text).alias("text"), F.when(error.isNull(), usage).alias("usage"), error.alias("error"))
+def _result(said: Column, usage: Column, ladder: Callable[[Column], list[Step]], marked: bool = True) -> Column:
+    """said: the content, which is found once. ladder: the steps over it."""
+
+    def judged(content: Column) -> Column:
+        lost = (~F.coalesce(tx.has_marks(content), F.lit(False)), "no_marks", F.lit("the marks around the translation are missing"))
+        text = tx.unwrap(content) if marked else content
+        steps = [*ladder(content), lost] if marked else ladder(content)
+        return let(_ladder(steps), lambda error: F.struct(F.when(error.isNull(), text).alias("text"), F.when(error.isNull(), usage).alias("usage"), error.alias("error")))
+
+    return let(said, judged)
+
+
+def _of_decoded(parser: Callable[[Column, Column, dict], Column]) -> Callable[[Column, dict], Column]:
+    """A parser (data, body, settings) as one of the body and settings; the body is decoded once, not for each look at it."""
+
+    @wraps(parser)
+    def made(body: Column, settings: dict) -> Column:
+        return let(decoded(body), lambda data: parser(data, body, settings))
+
+    return made
 
 
 def _malformed(data: Column, body: Column) -> Step:
@@ -73,71 +89,71 @@ def _malformed(data: Column, body: Column) -> Step:
 _TRUNCATED = "the answer was cut off; allow more tokens or split the text"
 
 
-def anthropic(body: Column, settings: dict) -> Column:
-    data = decoded(body)
-    content, problem = string_at(data, "$.choices[0].message.content"), at(data, "$.error")
+@_of_decoded
+def anthropic(data: Column, body: Column, settings: dict) -> Column:
+    said, problem = string_at(data, "$.choices[0].message.content"), at(data, "$.error")
     message = F.coalesce(said_at(data, "$.error.message"), said_at(data, "$.error"))
     asked = (settings.get("defaults") or {}).get("max_tokens")
-    steps = [
+    ladder = lambda content: [
         _malformed(data, body),
         (problem.isNotNull() & F.contains(message, F.lit("max_tokens")), "too_many_tokens", F.concat(F.lit(f"the service refuses {asked} tokens for an answer: "), message)),
         (problem.isNotNull(), "api_error", message),
         (F.coalesce(string_at(data, "$.choices[0].finish_reason") == "length", F.lit(False)), "truncated", F.lit(_TRUNCATED)),
         (F.coalesce(content, F.lit("")) == "", "empty", F.concat(F.lit("no translation: "), body)),
     ]
-    return _result(content, at(data, "$.usage"), steps)
+    return _result(said, at(data, "$.usage"), ladder)
 
 
-def openai(body: Column, settings: dict) -> Column:
-    data = decoded(body)
-    content = string_at(data, "$.choices[0].message.content")
-    steps = [
+@_of_decoded
+def openai(data: Column, body: Column, settings: dict) -> Column:
+    said = string_at(data, "$.choices[0].message.content")
+    ladder = lambda content: [
         _malformed(data, body),
         (F.coalesce(string_at(data, "$.choices[0].finish_reason") == "length", F.lit(False)), "truncated", F.lit(_TRUNCATED)),
         (F.coalesce(content, F.lit("")) == "", "empty", F.concat(F.lit("no translation: "), body)),
     ]
-    return _result(content, at(data, "$.usage"), steps)
+    return _result(said, at(data, "$.usage"), ladder)
 
 
-def xai(body: Column, settings: dict) -> Column:
+@_of_decoded
+def xai(data: Column, body: Column, settings: dict) -> Column:
     """Never looks whether the answer was cut off."""
-    data = decoded(body)
-    content = string_at(data, "$.choices[0].message.content")
+    said = string_at(data, "$.choices[0].message.content")
     code = F.coalesce(said_at(data, "$.code"), F.lit("unknown_error"))
-    steps = [
+    ladder = lambda content: [
         _malformed(data, body),
         (at(data, "$.error").isNotNull(), "api_error", F.concat(F.lit("["), code, F.lit("] "), said_at(data, "$.error"))),
         (content.isNull(), "empty", F.concat(F.lit("no translation: "), body)),
     ]
-    return _result(content, at(data, "$.usage"), steps)
+    return _result(said, at(data, "$.usage"), ladder)
 
 
-def google(body: Column, settings: dict) -> Column:
-    data = decoded(body)
+@_of_decoded
+def google(data: Column, body: Column, settings: dict) -> Column:
     reason = F.coalesce(said_at(data, "$.candidates[0].finishReason"), F.lit(""))
     parts = at(data, "$.candidates[0].content.parts")
     pieces = F.try_variant_get(parts, "$", "array<variant>")
     texts = F.transform(pieces, lambda p: F.when(F.regexp_extract(F.schema_of_variant(F.try_variant_get(p, "$.text", "variant")), "^[A-Z]+", 0) == "STRING", F.try_variant_get(p, "$.text", "string")))
-    content = F.array_join(texts, "")  # nulls are left out
-    steps = [
+    said = F.array_join(texts, "")  # nulls are left out
+    ladder = lambda content: [
         _malformed(data, body),
         (reason == "MAX_TOKENS", "truncated", F.lit(_TRUNCATED)),
         (reason != "STOP", "unexpected_finish", F.concat(F.lit("the answer ended with '"), reason, F.lit("': "), body)),
         (~F.coalesce(kind(parts).isin("ARRAY", "OBJECT"), F.lit(False)), "empty", F.concat(F.lit("no translation: "), body)),
     ]
-    return _result(content, at(data, "$.usageMetadata"), steps)
+    return _result(said, at(data, "$.usageMetadata"), ladder)
 
 
-def yandex(body: Column, settings: dict) -> Column:
-    data = decoded(body)
+@_of_decoded
+def yandex(data: Column, body: Column, settings: dict) -> Column:
     problem = at(data, "$.error")
     message = F.coalesce(said_at(data, "$.error.message"), said_at(data, "$.error"))
     code = F.when(kind(at(data, "$.error.httpCode")).isin("BIGINT", "INT", "SMALLINT", "TINYINT"), F.try_variant_get(data, "$.error.httpCode", "int"))
     status = F.coalesce(F.lower(string_at(data, "$.error.httpStatus")), F.lit(""))
     first = at(data, "$.result.alternatives[0].message.text")
-    content = F.when(first.isNotNull(), string_at(data, "$.result.alternatives[0].message.text")).otherwise(string_at(data, "$.completions[0].text"))
+    said = F.when(first.isNotNull(), string_at(data, "$.result.alternatives[0].message.text")).otherwise(string_at(data, "$.completions[0].text"))
     is_code = lambda n: F.coalesce(code == n, F.lit(False))
-    steps = [
+    ladder = lambda content: [
         _malformed(data, body),
         (problem.isNotNull() & is_code(400) & F.contains(F.lower(message), F.lit("folder id")), "wrong_folder", message),
         (problem.isNotNull() & (is_code(401) | F.contains(status, F.lit("unauthorized"))), "unauthorized", message),
@@ -145,15 +161,15 @@ def yandex(body: Column, settings: dict) -> Column:
         (problem.isNotNull(), "api_error", F.concat(F.coalesce(F.concat(F.lit("HTTP "), said_at(data, "$.error.httpCode"), F.lit(": ")), F.lit("")), message)),
         (content.isNull(), "empty", F.concat(F.lit("no translation: "), body)),
     ]
-    return _result(content, at(data, "$.result.usage"), steps)
+    return _result(said, at(data, "$.result.usage"), ladder)
 
 
-def deepl(body: Column, settings: dict) -> Column:
+@_of_decoded
+def deepl(data: Column, body: Column, settings: dict) -> Column:
     """Tags become JSON punctuation again, whatever the format; there is no usage."""
-    data = decoded(body)
-    content = said_at(data, "$.translations[0].text")
-    steps = [(content.isNull(), "empty", F.concat(F.lit("no translation: "), body))]
-    return _result(tx.untag_json(content), F.lit(None).cast("variant"), steps, marked=False)
+    said = said_at(data, "$.translations[0].text")
+    ladder = lambda content: [(content.isNull(), "empty", F.concat(F.lit("no translation: "), body))]
+    return _result(tx.untag_json(said), F.lit(None).cast("variant"), ladder, marked=False)
 
 
 PARSERS: dict[str, Callable[[Column, dict], Column]] = {"anthropic": anthropic, "deepl": deepl, "google": google, "openai": openai, "yandex": yandex, "xai": xai}

@@ -32,7 +32,10 @@ def usage_totals(results: DataFrame, *by: str) -> DataFrame:
 
 
 def error_totals(results: DataFrame) -> DataFrame:
-    return results.where("error is not null").groupBy("error.stage", "error.code").agg(F.count(F.lit(1)).alias("n_docs"))
+    """Documents by the stage and code of their error."""
+    # behind a generator: else the filter would be computed anew below the call's and the checks' results, Python functions and all
+    once = results.select(F.explode(F.array("error")).alias("error"))
+    return once.where("error is not null").groupBy("error.stage", "error.code").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
 def _padded(name: Column, width: int = 12) -> Column:

@@ -570,3 +570,25 @@ def test_tasks_share_a_rate_that_falls(slow, monkeypatch):
     host = slow.split("/")[2]
     assert transport._pace(host, 10.0).full == 10.0 and transport._pace(host, 10.0).rate == 3.0
     assert [transport._seconds(x) for x in (None, "2", "-1", "Wed, 21 Oct", "9999")] == [None, 2.0, 0.0, None, 300.0]
+
+
+def test_answers_are_decoded_once(spark):
+    """Whatever looks at a decoded answer, and a report of errors runs each check once."""
+    docs = spark.createDataFrame([(1, '{"a": 1}'), (2, "{")], "doc_id long, text string")
+    for vendor, model in (("openai", "openai:gpt-4o"), ("google", "google:gemini-2.5-pro"), ("yandex", "yandex:gpt-32k"), ("deepl", "deepl:free")):
+        plan = translate(docs, Job(model, "json", variables={"folder_id": "f"}), transport.Echo(vendor))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parseJson") + plan.count("parse_json") == 1, vendor
+    totals = reports.error_totals(translate(docs, Job("openai:gpt-4o", "json"), transport.Echo("openai", "marks")))
+    plan = totals._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2 and plan.count("parseJson") + plan.count("parse_json") == 1
+    assert {(r.stage, r.code, r.n_docs) for r in totals.collect()} == {("validate", "invalid_json", 1), ("parse", "no_marks", 1)}
+
+
+def test_quick_answers_keep_their_rows(spark):
+    """Handed on together where answers come quickly, by at_once rows where they are long or slow; each row keeps its own answer."""
+    request = F.struct(F.lit("http://x").alias("url"), F.array().cast("array<string>").alias("headers"), F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("t"), "id").alias("content"))).alias("messages"))).alias("body"))
+    asked = spark.range(3000, numPartitions=1).select("id", F.when(F.col("id") % 5 > 0, request).alias("request"))
+    for limits in ({}, {"most_chars": 0}, {"most_seconds": 0.0, "at_once": 1}):
+        for n in (1, 3):
+            rows = transport.call(asked, transport.Echo("openai"), in_flight=n, **limits).collect()
+            assert len(rows) == 3000 and all((f'"content": "t{r.id}"' in r.response.body) if r.id % 5 else r.response is None for r in rows)
