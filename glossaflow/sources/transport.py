@@ -254,8 +254,8 @@ def in_order(transport: Transport, requests: Iterator[dict | None], pool: Thread
         yield held.popleft().result()
 
 
-def call(df: DataFrame, transport: Transport, callers: int | None = None, at_once: int = 32, in_flight: int = 1) -> DataFrame:
-    """df with response and failure, which says why a request has no response; rows without a request have neither. callers: how many tasks ask at once; in_flight: how many requests a task has open at a time. A task hands on its answers by at_once rows."""
+def call(df: DataFrame, transport: Transport, callers: int | None = None, at_once: int = 32, in_flight: int = 1, most_chars: int = 1_000_000, most_seconds: float = 0.2) -> DataFrame:
+    """df with response and failure, which says why a request has no response; rows without a request have neither. callers: how many tasks ask at once; in_flight: how many requests a task has open at a time. A task hands on its answers by at_once rows, or by more as long as they come quickly and are short (most_seconds, most_chars)."""
     if isinstance(transport, Http) and transport.rate:
         transport = dataclasses.replace(transport, tasks=callers or df.sparkSession.sparkContext.defaultParallelism)
 
@@ -264,11 +264,17 @@ def call(df: DataFrame, transport: Transport, callers: int | None = None, at_onc
 
         with ThreadPoolExecutor(in_flight) as pool:
             for batch in batches:
-                answers = in_order(transport, iter(batch.column("request").to_pylist()), pool, in_flight + at_once)
-                for start in range(0, len(batch), at_once):
-                    part = batch.slice(start, at_once)
-                    rows = [next(answers) for _ in range(len(part))]
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array([r for r, _ in rows], _RESPONSE), pa.array([f for _, f in rows], pa.string())], [*part.schema.names, "response", "failure"])
+                # requests as objects by portions, and without threads where one request is open at a time
+                asked = (r for at in range(0, len(batch), 256) for r in batch.column("request").slice(at, 256).to_pylist())
+                answers = in_order(transport, asked, pool, in_flight + at_once) if in_flight > 1 else (_sent(transport, r) for r in asked)
+                rows, size, begun, at = [], 0, time.monotonic(), 0
+                for n in range(1, len(batch) + 1):
+                    rows.append(next(answers))
+                    size += len(rows[-1][0]["body"]) if rows[-1][0] else 0
+                    if n == len(batch) or len(rows) >= at_once and (size > most_chars or time.monotonic() - begun > most_seconds):
+                        part = batch.slice(at, n - at)
+                        yield pa.RecordBatch.from_arrays([*part.columns, pa.array([r for r, _ in rows], _RESPONSE), pa.array([f for _, f in rows], pa.string())], [*part.schema.names, "response", "failure"])
+                        rows, size, begun, at = [], 0, time.monotonic(), n
 
     import pyarrow as pa
 
