@@ -370,13 +370,18 @@ def _cell(n: Column) -> Column:
     return F.when(n < 256, n).otherwise(256 + F.floor(F.log2(n / 256) * 64)).cast("int")
 
 
+def _with_shorter(left: DataFrame) -> DataFrame:
+    """Rows of lists with before: the set's lists that are shorter than this one."""
+    shorter = Window.partitionBy("sid").orderBy("members", "token").rowsBetween(Window.unboundedPreceding, -1)  # at most a set's prefix
+    return left.withColumn("before", F.collect_list("token").over(shorter))
+
+
 def _cells(left: DataFrame, how: Join) -> tuple[DataFrame, DataFrame]:
-    """Rows of long lists as members a and b of pairs: b by the cell of its size, a by all cells of sizes, lo to hi, with which it can be linked by sharing at most its number common. before: the set's lists that are shorter than this one."""
+    """Rows of long lists as members a and b of pairs: b by the cell of its size, a by all cells of sizes, lo to hi, with which it can be linked by sharing at most its number common."""
     n = F.col("n")
     most = F.floor(F.col("common") * (how.den + how.num) / how.num) - n
     lo, hi = F.ceil(n * how.num / how.den), F.least(F.floor(n * how.den / how.num), most)
-    shorter = Window.partitionBy("sid").orderBy("members", "token").rowsBetween(Window.unboundedPreceding, -1)  # at most a set's prefix
-    narrowed = left.withColumns({"lo": lo.cast("int"), "hi": hi.cast("int"), "before": F.collect_list("token").over(shorter)})
+    narrowed = _with_shorter(left).withColumns({"lo": lo.cast("int"), "hi": hi.cast("int")})
     a, b = _sides(narrowed.withColumn("cell", _cell(n)), narrowed.where("lo <= hi").withColumn("cell", F.explode(F.sequence(_cell(F.col("lo")), _cell(F.col("hi"))))))
     return a, b
 
@@ -390,10 +395,11 @@ def _cell_pairs(left: DataFrame, how: Join) -> DataFrame:
 
 
 def _hub_pairs(left: DataFrame, how: Join, r: int) -> DataFrame:
-    """(u, v): each member v with that one of its lists' HUBS hubs in other components that its parity bits are nearest to."""
+    """(u, v): each member v with that one of its lists' HUBS hubs in other components that its parity bits are nearest to. Two sets meet once, in the shortest of their common lists, so that copies which share many lists don't meet in each; a member meets all hubs of its shortest list."""
+    left = _with_shorter(left)
     hubs = left.withColumn("hub", F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("sid", F.lit(r)), "sid"))).where(F.col("hub") <= HUBS)
     a, b = _sides(left, hubs)
-    met = b.join(a, "token").where((F.col("asid") != F.col("bsid")) & (F.col("acomp") != F.col("bcomp")) & _may_link("a", "b", how) & _bits_allow(how))
+    met = b.join(a, "token").where((F.col("asid") != F.col("bsid")) & (F.col("acomp") != F.col("bcomp")) & _may_link("a", "b", how) & _bits_allow(how) & ~F.arrays_overlap("abefore", "bbefore"))
     best = met.groupBy("bsid").agg(F.min(F.struct(_differ().alias("d"), "asid")).alias("x"))
     return best.select(F.col("x.asid").alias("u"), F.col("bsid").alias("v"))
 

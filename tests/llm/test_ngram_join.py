@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from glossaflow.llm import ngram_join
 from glossaflow.llm.common import Scratch
@@ -185,3 +186,17 @@ def test_a_template_with_near_copies(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for how in (Join(), Join(5, 80, 100)):
         assert result(df, how) == brute(df.collect(), how)
+
+
+def test_hubs_and_members_meet_once(spark):
+    """Copies that share many long lists meet in the shortest of these alone; before, 40 sets of 30 lists met 30 times each."""
+    how, zeros = Join(5, 80, 100), [F.lit(0).cast("long").alias(f"s{i}") for i in range(8)]
+    rows = [(t, sid, 100, t, 80, sid, 40 + t) for t in range(30) for sid in range(40)]
+    left = spark.createDataFrame(rows, "token long, sid long, n int, place int, common int, comp long, members long").select("*", *zeros)
+    plain = ngram_join._with_shorter(left)
+    a, b = ngram_join._sides(plain, plain)
+    met = b.join(a, "token").where("asid <> bsid").groupBy("asid", "bsid").agg(F.sum(F.when(~F.arrays_overlap("abefore", "bbefore"), 1)).alias("k"), F.count(F.lit(1)).alias("all"))
+    assert [tuple(r) for r in met.select("k", "all").distinct().collect()] == [(1, 30)]
+    got = ngram_join._hub_pairs(left, how, 1)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("arrays_overlap") == 1
+    assert {r.v for r in got.collect()} == set(range(40))
