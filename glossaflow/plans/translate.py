@@ -20,6 +20,7 @@ from ..functions import limits, spans, usage, validation
 from ..operators import requests, responses
 from ..operators.models import Registry
 from ..operators.prompts import Prompts
+from ..sources import scratch
 from ..sources import transport as tp
 from ..sources.documents import check_format
 
@@ -89,8 +90,8 @@ def _checked(df: DataFrame, job: Job, column: str) -> DataFrame:
     return df.withColumns({"_checked": validation.container_result(text, job.format), "_signature": F.lit(None).cast("string")})
 
 
-def prepare(docs: DataFrame, job: Job) -> DataFrame:
-    """docs (doc_id, text, …) with prepared, spans, signature, error and request (null where there is an error)."""
+def _protected(docs: DataFrame, job: Job) -> DataFrame:
+    """docs (doc_id, text, …) with prepared, spans, signature and error."""
     settings, filters = job.settings(), spans.resolve(job.filters)
     df = docs.withColumn("error", F.lit(None).cast(ERROR_TYPE))
     df = _checked(df, job, "text")
@@ -101,27 +102,59 @@ def prepare(docs: DataFrame, job: Job) -> DataFrame:
     limit = limits.of_settings(settings)
     too_long = F.concat(F.lit("the text is too long by "), limits.excess(F.col("prepared"), limit).cast("string"), F.lit(" characters"))
     df = df.withColumn("error", _add(F.col("error"), ~limits.fits(F.col("prepared"), limit), problem("length", F.lit("too_long"), too_long)))
-    df = df.withColumn("error", _add(F.col("error"), F.col("text").isNull(), problem("input", F.lit("no_text"), F.lit("there is no text"))))
-    request = requests.build(settings, F.col("prepared"), job.options(), job.prompts)
-    return df.withColumn("request", F.when(F.col("error").isNull(), request))
+    return df.withColumn("error", _add(F.col("error"), F.col("text").isNull(), problem("input", F.lit("no_text"), F.lit("there is no text"))))
+
+
+def _with_request(df: DataFrame, job: Job) -> DataFrame:
+    """df (prepared, error, …) with request, null where there is an error."""
+    return df.withColumn("request", F.when(F.col("error").isNull(), requests.build(job.settings(), F.col("prepared"), job.options(), job.prompts)))
+
+
+def prepare(docs: DataFrame, job: Job) -> DataFrame:
+    """docs (doc_id, text, …) with prepared, spans, signature, error and request (null where there is an error)."""
+    return _with_request(_protected(docs, job), job)
+
+
+def _read(df: DataFrame, settings: dict) -> DataFrame:
+    """df (response, failure, error, …) with http_status, raw_response, _text and consumed; what went wrong with the call or its answer is added to error."""
+    df = df.withColumns({"http_status": F.col("response.status"), "raw_response": F.col("response.body")})
+    df = df.withColumn("error", _add(F.col("error"), F.col("failure").isNotNull(), problem("call", F.lit("network"), F.col("failure"))))
+    refused = responses.http_error(F.col("http_status"), F.col("raw_response"), settings)
+    df = df.withColumn("error", _add(F.col("error"), refused.isNotNull(), problem("call", refused["code"], refused["message"])))
+    df = df.withColumn("_parsed", F.when(F.col("error").isNull(), responses.parse(F.col("raw_response"), settings)))
+    df = df.withColumn("error", _add(F.col("error"), F.col("_parsed.error").isNotNull(), problem("parse", F.col("_parsed.error.code"), F.col("_parsed.error.message"))))
+    return df.withColumns({"_text": F.col("_parsed.text"), "consumed": usage.consumed(F.col("_parsed.usage"), settings.get("usage") or {})})
+
+
+def _read_once(df: DataFrame, job: Job, transport: tp.Transport, store: str, callers: int | None, in_flight: int, work: str | None) -> DataFrame:
+    """As _read() over what _protected() made, with the request. Documents of one prepared text have one request: it is built, looked up and asked once, and its answer is read once. df and the answers are computed once, into tables in work."""
+    spark = df.sparkSession
+    work = work or scratch.temporary(spark, "requests")
+    df.write.parquet(f"{work}/documents")
+    docs = spark.read.schema(df.schema).parquet(f"{work}/documents")
+    texts = docs.where("error is null").select("prepared").distinct().withColumn("error", F.lit(None).cast(ERROR_TYPE))
+    answers = _read(tp.call_once(_with_request(texts, job), transport, store, callers, in_flight=in_flight, work=work), job.settings())
+    answers = answers.select(F.col("prepared").alias("_asked"), F.col("error").alias("_error"), "response", "http_status", "raw_response", "_text", "consumed")
+    answers.write.parquet(f"{work}/answers")
+    answers = spark.read.schema(answers.schema).parquet(f"{work}/answers")
+    out = _with_request(docs, job).join(answers, F.when(F.col("error").isNull(), F.col("prepared")) == F.col("_asked"), "left")
+    lost = F.when(F.col("error").isNull() & F.col("_asked").isNull(), problem("call", F.lit("network"), F.lit("no answer"))).cast(ERROR_TYPE)
+    return out.withColumns({"error": F.coalesce("error", "_error", lost), "consumed": F.coalesce("consumed", F.create_map().cast(usage.USAGE_TYPE))})
 
 
 def translate(docs: DataFrame, job: Job, transport: tp.Transport, store: str | None = None, callers: int | None = None, carry: Sequence[str] = (), in_flight: int = 1, work: str | None = None) -> DataFrame:
     """docs (doc_id, text) to: doc_id, original, prepared, result, http_status, debug_request, debug_response, raw_response, consumed, lengths, filter_stats, error, and the columns of docs to carry. Each row is answered by itself: ids may repeat or be null. store, callers, in_flight and work: as in transport.call_once()."""
     settings, n = job.settings(), len(spans.resolve(job.filters))
-    df = prepare(docs.select("doc_id", "text", F.struct(*[F.col(c) for c in carry], F.lit(0).alias("_")).alias("_carried")), job)
+    df = _protected(docs.select("doc_id", "text", F.struct(*[F.col(c) for c in carry], F.lit(0).alias("_")).alias("_carried")), job)
     if job.dry_run:
-        df = df.withColumns({"http_status": F.lit(0), "raw_response": F.lit("[dry-run]"), "_text": F.when(F.col("error").isNull(), F.col("prepared")), "_usage": F.lit(None).cast("variant"), "response": F.lit(None).cast(tp.RESPONSE_TYPE)})
+        df = _with_request(df, job)
+        df = df.withColumns({"http_status": F.lit(0), "raw_response": F.lit("[dry-run]"), "_text": F.when(F.col("error").isNull(), F.col("prepared")), "response": F.lit(None).cast(tp.RESPONSE_TYPE)})
+        df = df.withColumn("consumed", usage.consumed(F.lit(None).cast("variant"), settings.get("usage") or {}))
+    elif store:
+        df = _read_once(df, job, transport, store, callers, in_flight, work)
     else:
-        df = tp.call_once(df, transport, store, callers, in_flight=in_flight, work=work) if store else tp.call(df, transport, callers, in_flight=in_flight)
-        df = df.withColumns({"http_status": F.col("response.status"), "raw_response": F.col("response.body")})
-        df = df.withColumn("error", _add(F.col("error"), F.col("failure").isNotNull(), problem("call", F.lit("network"), F.col("failure"))))
-        refused = responses.http_error(F.col("http_status"), F.col("raw_response"), settings)
-        df = df.withColumn("error", _add(F.col("error"), refused.isNotNull(), problem("call", refused["code"], refused["message"])))
-        df = df.withColumn("_parsed", F.when(F.col("error").isNull(), responses.parse(F.col("raw_response"), settings)))
-        df = df.withColumn("error", _add(F.col("error"), F.col("_parsed.error").isNotNull(), problem("parse", F.col("_parsed.error.code"), F.col("_parsed.error.message"))))
-        df = df.withColumns({"_text": F.col("_parsed.text"), "_usage": F.col("_parsed.usage")})
-    df = df.withColumns({"consumed": usage.consumed(F.col("_usage"), settings.get("usage") or {}), "result": spans.restore(F.col("_text"), F.col("spans"), n)})
+        df = _read(tp.call(_with_request(df, job), transport, callers, in_flight=in_flight), settings)
+    df = df.withColumn("result", spans.restore(F.col("_text"), F.col("spans"), n))
     df = _checked(df, job, "result")
     if job.validate and job.format in ("json", "html"):
         df = df.withColumn("error", _add(F.col("error"), F.coalesce(~F.col("_checked.valid"), F.lit(False)), problem("revalidate", F.lit(f"invalid_{job.format}"), F.array_join("_checked.errors", "; "))))

@@ -396,6 +396,22 @@ def test_rows_keep_their_own_answer(spark, tmp_path, stored):
         assert not [p for p in (tmp_path / "store").iterdir() if p.name.startswith("_pending")]
 
 
+def test_with_a_store_an_answer_is_read_once_for_all_its_documents(spark, tmp_path):
+    """Equal prepared texts share what is made of their answer; what a filter took is each document's own."""
+    (tmp_path / "calls").mkdir()
+    docs, job = frame(spark, ["a http://b", "c", "a http://d", None, "c"]), Job("openai:gpt-4o", filters=["url"], verbose=True)
+    out = translate(docs, job, Counting(tmp_path / "calls"), str(tmp_path / "store"), work=str(tmp_path / "work"))
+    # what is done for each row of the result decodes no answer
+    plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "variant" not in plan and "parse" not in plan
+    got = rows(out)
+    assert [r.result for r in got] == ["a http://b", "c", "a http://d", None, "c"] and len(list((tmp_path / "calls").iterdir())) == 2
+    assert spark.read.parquet(str(tmp_path / "work" / "answers")).count() == 2
+    # the same rows as without a store
+    assert got == rows(translate(docs, job, transport.Echo("openai")))
+    assert got[3].error.code == "no_text" and got[3].consumed == {} and got[0].consumed
+
+
 def test_batches_are_committed_one_by_one(spark, tmp_path):
     (tmp_path / "calls").mkdir()
     docs, store = frame(spark, [f"t{i}" for i in range(120)]), str(tmp_path / "store")
