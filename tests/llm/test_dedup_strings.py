@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from glossaflow.llm import substring_dedup, suffix_dedup, windows
 from glossaflow.llm.common import Scratch
@@ -85,6 +86,26 @@ def test_suffixes(spark, most):
     assert suffix_dedup.dedup(edges.empty(spark)).count() == 0
 
 
+def test_members_of_large_classes_stay_apart(spark):
+    """Copies of one text are not dealt to one task for each class that they share."""
+    rnd = random.Random(9)
+    text = "".join(rnd.choice("abcdefgh ") for _ in range(500))
+    df = spark.createDataFrame([(i, text) for i in range(400)], "doc_id long, text string").repartition(8)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    scratch = Scratch(spark, "test")
+    try:
+        for k, v in zip(held, ("false", "-1"), strict=True):
+            spark.conf.set(k, v)
+        spans, _ = suffix_dedup.repeated_spans(windows.named(df, "doc_id", "text"), Shape(400, 128, "byte"), scratch, most=50)
+        rows = spans.select("doc_id", F.spark_partition_id()).collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    at = Counter(r[1] for r in rows)
+    assert {r[0] for r in rows} == set(range(400))
+    assert max(at.values()) < sum(at.values()) / 2
+
+
 def test_small_alphabets(spark, monkeypatch):
     """Many overlapping repeats, and documents cut into stretches."""
     rnd = random.Random(8)
