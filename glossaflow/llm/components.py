@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, merged
 
 
 def _mark(edges: DataFrame) -> tuple[int, int]:
@@ -23,10 +23,10 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # each neighbour v above u; what is left of now has v below u
-        large = now.join(least.withColumnRenamed("u", "v"), "v").select("u", F.col("m").alias("v")).where("u <> v").distinct()
+        large = now.join(merged(least.withColumnRenamed("u", "v")), "v").select("u", F.col("m").alias("v")).where("u <> v").distinct()
         # small star: the least smaller neighbour takes all smaller ones and the node itself
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_least, "u")
+        small = large.join(merged(small_least), "u")
         linked = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_least.select("u", F.col("m").alias("v")))
         i += 1
         following = scratch.table(f"{name}-{i}", linked.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())

@@ -41,7 +41,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_values, mix64, prefix_hash, span_hash, text_buffer, tidy, word_spans
+from .common import Scratch, byte_values, merged, mix64, prefix_hash, span_hash, text_buffer, tidy, word_spans
 from .components import components
 from .windows import Filter, allowed, filter_of, row_runs
 
@@ -313,7 +313,7 @@ def pruned(heavy: DataFrame, how: Join) -> DataFrame:
     without a common short list share at most the greater of their two numbers common."""
     in_lists = heavy.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     of_set = Window.partitionBy("sid")  # at most a set's prefix
-    ranked = heavy.join(in_lists, "token").select("*", F.row_number().over(of_set.orderBy("m", "token")).alias("rank"), F.count(F.lit(1)).over(of_set).cast("int").alias("shared"), F.sum(F.when(F.col("m") > HUBS, 1).otherwise(0)).over(of_set).cast("int").alias("long"))
+    ranked = heavy.join(merged(in_lists), "token").select("*", F.row_number().over(of_set.orderBy("m", "token")).alias("rank"), F.count(F.lit(1)).over(of_set).cast("int").alias("shared"), F.sum(F.when(F.col("m") > HUBS, 1).otherwise(0)).over(of_set).cast("int").alias("long"))
     n = F.col("n")
     prefix = F.least(n, n - F.ceil(n * how.num / how.den) + _least_shared(n))
     ranked = ranked.withColumn("common", (n - prefix + F.col("long")).cast("int"))
@@ -324,9 +324,9 @@ def pruned(heavy: DataFrame, how: Join) -> DataFrame:
 def verified(pairs: DataFrame, sets: DataFrame, how: Join, hub_rows: int = 2_000) -> DataFrame:
     """The pairs (u, v) that are linked. Members are dealt to copies of their hub's set, a copy for every hub_rows of them, so that no hub gathers all."""
     shares = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / hub_rows).cast("int").alias("shares"))
-    members = pairs.join(shares, "u").withColumn("share", F.pmod(F.xxhash64("v"), F.col("shares")).cast("int"))
-    members = members.join(sets.withColumnRenamed("sid", "v"), "v").select("u", "share", "v", "grams")
-    hubs = shares.join(sets.withColumnRenamed("sid", "u"), "u").select("u", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(None).cast("long").alias("v"), "grams")
+    members = pairs.join(merged(shares), "u").withColumn("share", F.pmod(F.xxhash64("v"), F.col("shares")).cast("int"))
+    members = members.join(merged(sets.withColumnRenamed("sid", "v")), "v").select("u", "share", "v", "grams")
+    hubs = shares.join(merged(sets.withColumnRenamed("sid", "u")), "u").select("u", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(None).cast("long").alias("v"), "grams")
     dealt = hubs.unionByName(members).repartition("u", "share").sortWithinPartitions("u", "share", F.col("v").asc_nulls_first())
 
     def compared(batches):
@@ -361,7 +361,7 @@ def _sides(left: DataFrame, hubs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _all_pairs(left: DataFrame, how: Join) -> DataFrame:
     """(u, v): what may be linked of any two members of a list that are in different components."""
     a, b = _sides(left, left)
-    met = a.join(b, (a["token"] == b["token"]) & (F.col("asid") < F.col("bsid")) & (F.col("acomp") != F.col("bcomp")) & _may_link("a", "b", how) & _bits_allow(how))
+    met = a.join(merged(b), (a["token"] == b["token"]) & (F.col("asid") < F.col("bsid")) & (F.col("acomp") != F.col("bcomp")) & _may_link("a", "b", how) & _bits_allow(how))
     return met.select(F.col("asid").alias("u"), F.col("bsid").alias("v")).distinct()
 
 
@@ -390,7 +390,7 @@ def _cell_pairs(left: DataFrame, how: Join) -> DataFrame:
     """(u, v): what may be linked of any two members of a long list that are in different components and have no short list in common. Two sets meet once: in the shortest of their common lists, and from one side if both reach each other."""
     a, b = _cells(left, how)
     reached = F.col("bn").between(F.col("alo"), F.col("ahi")) & ((F.col("asid") < F.col("bsid")) | (F.col("asid") > F.col("bsid")) & ~F.col("an").between(F.col("blo"), F.col("bhi")))
-    met = a.join(b, (a["token"] == b["token"]) & (F.col("acell") == F.col("bcell")) & reached & (F.col("acomp") != F.col("bcomp")) & _may_link("a", "b", how) & _bits_allow(how) & ~F.arrays_overlap("abefore", "bbefore"))
+    met = a.join(merged(b), (a["token"] == b["token"]) & (F.col("acell") == F.col("bcell")) & reached & (F.col("acomp") != F.col("bcomp")) & _may_link("a", "b", how) & _bits_allow(how) & ~F.arrays_overlap("abefore", "bbefore"))
     return met.select(F.least("asid", "bsid").alias("u"), F.greatest("asid", "bsid").alias("v")).distinct()
 
 
@@ -399,7 +399,7 @@ def _hub_pairs(left: DataFrame, how: Join, r: int) -> DataFrame:
     left = _with_shorter(left)
     hubs = left.withColumn("hub", F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("sid", F.lit(r)), "sid"))).where(F.col("hub") <= HUBS)
     a, b = _sides(left, hubs)
-    met = b.join(a, "token").where((F.col("asid") != F.col("bsid")) & (F.col("acomp") != F.col("bcomp")) & _may_link("a", "b", how) & _bits_allow(how) & ~F.arrays_overlap("abefore", "bbefore"))
+    met = b.join(merged(a), "token").where((F.col("asid") != F.col("bsid")) & (F.col("acomp") != F.col("bcomp")) & _may_link("a", "b", how) & _bits_allow(how) & ~F.arrays_overlap("abefore", "bbefore"))
     best = met.groupBy("bsid").agg(F.min(F.struct(_differ().alias("d"), "asid")).alias("x"))
     return best.select(F.col("x.asid").alias("u"), F.col("bsid").alias("v"))
 
@@ -407,11 +407,11 @@ def _hub_pairs(left: DataFrame, how: Join, r: int) -> DataFrame:
 def _first_pairs(heavy: DataFrame, bits: DataFrame, how: Join) -> DataFrame:
     """(u, v): each set v with that one of its lists' hubs that it shares most lists with. The hub of a list is the set that shares most of its tokens."""
     hubs = heavy.groupBy("token").agg(F.min(F.struct((-F.col("shared") / F.col("n")).alias("o"), F.xxhash64("sid").alias("h"), F.col("sid").alias("asid"), F.col("n").alias("an"), F.col("place").alias("aplace"))).alias("hub"))
-    met = heavy.select("token", F.col("sid").alias("bsid"), F.col("n").alias("bn"), F.col("place").alias("bplace")).join(hubs, "token").select("*", "hub.*")
+    met = heavy.select("token", F.col("sid").alias("bsid"), F.col("n").alias("bn"), F.col("place").alias("bplace")).join(merged(hubs), "token").select("*", "hub.*")
     met = met.where((F.col("asid") != F.col("bsid")) & _may_link("a", "b", how)).groupBy("bsid", "bn", "asid", "an").agg(F.count(F.lit(1)).alias("lists"))
     best = met.groupBy("bsid", "bn").agg(F.max(F.struct("lists", "asid", "an")).alias("x")).select("bsid", "bn", F.col("x.asid").alias("asid"), F.col("x.an").alias("an"))
     for side in "ab":
-        best = best.join(bits.select(F.col("sid").alias(f"{side}sid"), *[F.col(c).alias(f"{side}{c}") for c in _BITS]), f"{side}sid")
+        best = best.join(merged(bits.select(F.col("sid").alias(f"{side}sid"), *[F.col(c).alias(f"{side}{c}") for c in _BITS])), f"{side}sid")
     return best.where(_bits_allow(how)).select(F.col("asid").alias("u"), F.col("bsid").alias("v"))
 
 
@@ -435,12 +435,12 @@ def linked(docs: DataFrame, how: Join, scratch: Scratch, most_rounds: int = 6, p
     # light: the smallest set of a list is linked with every other that any member could be linked with
     small = lists.where("c > 0")
     hub = small.groupBy("token").agg(F.min(F.struct("n", "sid")).alias("hub"))
-    links = [small.join(hub, "token").where((F.col("sid") != F.col("hub.sid")) & (how.den * F.col("c") >= how.num * (F.col("n") + F.col("hub.n") - F.col("c")))).select(F.col("hub.sid").alias("u"), F.col("sid").alias("v")).distinct()]
+    links = [small.join(merged(hub), "token").where((F.col("sid") != F.col("hub.sid")) & (how.den * F.col("c") >= how.num * (F.col("n") + F.col("hub.n") - F.col("c")))).select(F.col("hub.sid").alias("u"), F.col("sid").alias("v")).distinct()]
     links = [scratch.table("links-light", links[0])]
     # heavy
     heavy = scratch.table("heavy", pruned(lists.where("c = 0").select("token", "sid", "n", "place"), how))
     scratch.drop("lists")
-    firsts = per_class.join(heavy.select("sid").distinct(), "sid").select("sid", "n", "dh")
+    firsts = per_class.join(merged(heavy.select("sid").distinct()), "sid").select("sid", "n", "dh")
     wanted = filter_of(firsts, "dh")
     sets = scratch.table("sets", sets_of(docs, wanted, how))
     wanted.destroy()
@@ -454,15 +454,15 @@ def linked(docs: DataFrame, how: Join, scratch: Scratch, most_rounds: int = 6, p
 
     # labels need not be whole components here: a set goes to the least of itself, its hub, and the hub's hub
     hub_of = link(0, _first_pairs(heavy, bits, how)).select(F.col("v").alias("sid"), F.col("u").alias("to")).distinct()
-    label = hub_of.join(hub_of.select(F.col("sid").alias("to"), F.col("to").alias("on")), "to", "left").select("sid", F.least("sid", "to", "on").alias("component"))
-    state = heavy.join(label, "sid", "left").select("token", "sid", "n", "place", "common", F.coalesce("component", "sid").alias("comp"))
+    label = hub_of.join(merged(hub_of.select(F.col("sid").alias("to"), F.col("to").alias("on"))), "to", "left").select("sid", F.least("sid", "to", "on").alias("component"))
+    state = heavy.join(merged(label), "sid", "left").select("token", "sid", "n", "place", "common", F.coalesce("component", "sid").alias("comp"))
     written, before = ["heavy"], None
     for r in range(1, most_rounds + 2):
         # only lists with several components go on; a closed list never opens again
         ends = F.min("comp").alias("lo"), F.max("comp").alias("hi")
         still_open = state.groupBy("token").agg(F.count(F.lit(1)).alias("members"), *ends).where("lo <> hi").select("token", "members")
-        left = state.join(still_open, "token")
-        left = scratch.table(f"left{r}", left.join(bits, "sid") if r == 1 else left)
+        left = state.join(merged(still_open), "token")
+        left = scratch.table(f"left{r}", left.join(merged(bits), "sid") if r == 1 else left)
         scratch.drop(*written)
         written = [f"left{r}"]
         few, many = left.where(F.col("members") <= HUBS), left.where(F.col("members") > HUBS)
@@ -475,10 +475,10 @@ def linked(docs: DataFrame, how: Join, scratch: Scratch, most_rounds: int = 6, p
         if full:
             break
         label = left.select("sid", "comp").distinct()
-        between = found.join(label.select(F.col("sid").alias("u"), F.col("comp").alias("cu")), "u").join(label.select(F.col("sid").alias("v"), F.col("comp").alias("cv")), "v")
+        between = found.join(merged(label.select(F.col("sid").alias("u"), F.col("comp").alias("cu"))), "u").join(merged(label.select(F.col("sid").alias("v"), F.col("comp").alias("cv"))), "v")
         joined = components(between.select(F.col("cu").alias("u"), F.col("cv").alias("v")), scratch, f"joined{r}")
         written.append(f"joined{r}")
-        state = many.drop("members").join(joined.withColumnRenamed("node", "comp"), "comp", "left").withColumn("comp", F.coalesce("component", "comp")).drop("component")
+        state = many.drop("members").join(merged(joined.withColumnRenamed("node", "comp")), "comp", "left").withColumn("comp", F.coalesce("component", "comp")).drop("component")
     scratch.drop("sets", "bits", *written)
     return of_docs, reduce(DataFrame.unionByName, links)
 
@@ -492,10 +492,10 @@ def _found(docs: DataFrame, how: Join, id_col: str, text_col: str, **limits) ->
     nodes = components(links, scratch, "last")
     scratch.drop("links-light")
     classes = of_docs.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
-    classes = classes.join(nodes.select(F.col("node").alias("sid"), "component"), "sid", "left").select("sid", "least", F.coalesce("component", "sid").alias("component"))
+    classes = classes.join(merged(nodes.select(F.col("node").alias("sid"), "component")), "sid", "left").select("sid", "least", F.coalesce("component", "sid").alias("component"))
     groups = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_class = classes.join(groups, "component").select("sid", "component", "component_id")
-    return of_docs.join(of_class, "sid", "left").withColumn("component", F.when(F.col("n") > 0, F.col("component")))
+    of_class = classes.join(merged(groups), "component").select("sid", "component", "component_id")
+    return of_docs.join(merged(of_class), "sid", "left").withColumn("component", F.when(F.col("n") > 0, F.col("component")))
 
 
 def with_components(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
@@ -519,4 +519,4 @@ def one_of_each(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id", tex
     rows = docs.select(F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).alias("_dh"), row.alias("_row"), F.struct(*_comparable(docs)).alias("_order"))
     plain = rows.schema["_row"].dataType == rows.schema["_order"].dataType
     rows = rows.groupBy("_dh").agg((F.min("_row") if plain else F.min_by("_row", "_order")).alias("_row"))
-    return rows.join(keep, "_dh", "left_semi").select("_row.*")
+    return rows.join(merged(keep), "_dh", "left_semi").select("_row.*")

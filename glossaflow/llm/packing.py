@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, tidy
+from .common import Scratch, merged, tidy
 
 _HIGH = 33  # ids are (task << _HIGH) + number within the task
 #: Bits of a bin's id that say of which round it is.
@@ -172,13 +172,13 @@ def pack(table: DataFrame, limit: int, scratch: Scratch, slack: int = 8, group_i
             moves = step.select(F.col("item").alias("first"), "bin", "shift")
         else:
             up = step.select(F.col("item").alias("bin"), F.col("bin").alias("to"), F.col("shift").alias("more"))
-            moves = moves.join(up, "bin", "left").select("first", F.coalesce("to", "bin").alias("bin"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift"))
+            moves = moves.join(merged(up), "bin", "left").select("first", F.coalesce("to", "bin").alias("bin"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift"))
         if groups == 1:
             break
         open_bins = step.where("not done").select(F.col("bin").alias("item"), F.col("fill").alias("length")).distinct()
-    out = table.join(placed.select("item", "bin", "shift"), "item")
+    out = table.join(merged(placed.select("item", "bin", "shift")), "item")
     if moves is not None:
-        out = out.join(moves.select(F.col("first").alias("bin"), F.col("bin").alias("to"), F.col("shift").alias("more")), "bin", "left")
+        out = out.join(merged(moves.select(F.col("first").alias("bin"), F.col("bin").alias("to"), F.col("shift").alias("more"))), "bin", "left")
         out = out.withColumns({"shift": F.col("shift") + F.coalesce("more", F.lit(0)), "bin": F.coalesce("to", "bin")})
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), F.col("shift").alias("offset"))
 
