@@ -2,9 +2,11 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from glossaflow.functions import validation
 from glossaflow.plans.catalog import ORACLES, QUERIES
+from glossaflow.sources import documents
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,3 +47,24 @@ def test_files_of_documents_lie_in_one_folder(spark, tmp_path, monkeypatch):
     made = [p for p in (tmp_path / "held").rglob("*") if not p.name.startswith((".", "_")) and (p.is_dir() or p.stat().st_size)]
     assert len(made) == 18 and all(p.is_file() and p.parent.name == "held" for p in made)
     assert len({p.name.split("-")[1] for p in made}) > 1
+
+
+def test_files_of_documents_need_no_process_each(spark, tmp_path, monkeypatch):
+    """On a disk the tasks make the files, not Hadoop, which leaves a file of checksums beside each and starts two processes for both; a second attempt makes the same ones; they are read by few tasks."""
+    spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("ü"), F.col("id") % 5).alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr("glossaflow.plans.catalog.scratch.folder", lambda spark, what: f"{tmp_path}/held")
+    assert same_as_sql(spark, "source_files", str(tmp_path), "documents") == 600
+    assert len([*(tmp_path / "held").iterdir()]) == 600
+    monkeypatch.setattr("glossaflow.plans.catalog.scratch.folder", lambda spark, what: f"{tmp_path}/again")
+    assert QUERIES["source_files"](spark, str(tmp_path)).rdd.getNumPartitions() <= 16
+    assert {p.name for p in (tmp_path / "again").iterdir()} == {p.name for p in (tmp_path / "held").iterdir()}
+
+
+def test_files_of_equal_texts(spark, tmp_path):
+    """Equal rows have a file each; an existing folder is refused."""
+    rows = spark.createDataFrame([("a",)] * 3 + [("",), ("ü\n",)], "text string").coalesce(1)
+    documents.write_files(rows, f"{tmp_path}/held")
+    for plain in (True, False):
+        assert sorted(r.text for r in documents.from_files(spark, f"{tmp_path}/held", plain=plain).collect()) == ["\n", "a\n", "a\n", "a\n", "ü\n\n"]
+    with pytest.raises(FileExistsError):
+        documents.write_files(rows, f"{tmp_path}/held")
